@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnflow.llm.mixing import mix_sources
 from tarnflow.llm.shared import documents
 from tarnflow.llm.sharding import assign_shards
+from tarnflow.llm.simhash import near_duplicates
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir)).select("doc_id", "slot", "shard")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    printed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", printed, "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op6_sharding": op6_sharding,
+        "op8_simhash": op8_simhash,
     }
