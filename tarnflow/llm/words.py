@@ -40,6 +40,10 @@ class WordRule:
             at = found.end()
         yield text[at:] if at else text
 
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text."""
+        return [w for w in self.gap.split(text.lower() if self.lower else text) if w]
+
     def bounds(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words in a buffer of bytes."""
         inside = np.zeros(len(buffer) + 2, bool)
