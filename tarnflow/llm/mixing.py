@@ -9,8 +9,6 @@ from tarnflow.llm.shared import WORD, fresh
 
 #: Fraction bits of an expected number of copies; sums of 2**31 documents stay exact in a long.
 SHIFT = 30
-#: Parts into which the documents of one source and one size are dealt.
-PARTS = 256
 
 
 def source_targets(
@@ -74,11 +72,13 @@ def mix_sources(
         docs, "size", "source_size", "target", "copies", "part", "at", "first", "name", "none"
     )
     counted = size if size is not None else F.regexp_count(F.col(text), F.lit(WORD))
+    # 128 bits of the key order the documents of one size; the first 8 deal them into parts
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     docs = docs.withColumn(n, F.coalesce(counted, F.lit(0)).cast("long")).withColumns(
         {
             name: F.coalesce(F.col(source).cast("string"), F.lit("")),
             none: F.col(source).isNull(),
-            part: F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(PARTS)),
+            part: F.substring(drawn, 1, 2),
         }
     )
     # docs are dealt once, by these keys, for the window and for the join
@@ -103,12 +103,13 @@ def mix_sources(
         .join(targets, of_source)
         .select(*keys, F.struct((F.col("before") + F.col("inside")).alias("rows"), "source_size", "target").alias(first))
     )
-    inner = Window.partitionBy(*keys).orderBy(F.xxhash64(key), key)
+    inner = Window.partitionBy(*keys).orderBy(drawn, key)
     docs = docs.withColumn(at, F.row_number().over(inner).cast("long")).join(placed, keys)
     docs = docs.withColumns({total: F.col(f"{first}.source_size"), goal: F.col(f"{first}.target")})
     one = 1 << SHIFT
     rate = F.when(F.col(total) > 0, F.floor(F.col(goal) / F.col(total) * one)).otherwise(0).cast("long")
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col(source)), F.lit(one))
+    draw = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(source).cast("string"), F.lit("")))), 1, 7)
+    offset = F.pmod(F.conv(draw, 16, 10).cast("long"), F.lit(one))
     end = F.col(at) + F.col(f"{first}.rows")
     passed = F.shiftright(end * rate + offset, SHIFT) - F.shiftright((end - 1) * rate + offset, SHIFT)
     return docs.withColumn(copies, passed.cast("int")).drop(name, none, part, at, first)

@@ -4,6 +4,36 @@ from __future__ import annotations
 
 
 
+#: The level of the targets is found by trying each number of full sources.
+_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS r,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+  FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(k % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+tries AS (
+  SELECT a.cap / a.w AS full_to,
+         (1.5::DOUBLE * (SELECT sum(source_size) FROM w)
+          - coalesce(sum(b.cap) FILTER (b.cap / b.w < a.cap / a.w), 0))
+         / sum(b.w) FILTER (b.cap / b.w >= a.cap / a.w) AS level
+  FROM (SELECT DISTINCT cap, w FROM w) a, w b GROUP BY a.cap / a.w),
+best AS (SELECT arg_min(level, full_to) AS level FROM tries WHERE level < full_to),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM best) * w, cap)) AS target,
+             ('0x' || substr(md5('17:' || coalesce(source, '')), 1, 7))::BIGINT % 1073741824 AS u
+      FROM w),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.u,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 1073741824)::BIGINT ELSE 0 END AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.r, d.doc_id) AS i
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       size * (((i * rate + u) >> 30) - (((i - 1) * rate + u) >> 30)) AS taken
+FROM p
+"""
+
 #: Words of op7: A-Z lower-cased, runs of anything but ASCII punctuation, white space and control.
 _OP7 = r"""
 WITH d AS (
@@ -34,5 +64,6 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": _OP1,
         "op7_decontamination": _OP7,
     }
