@@ -34,6 +34,19 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f WHERE r > 1),
+a AS (SELECT doc_id, p FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN r USING (doc_id, p)),
+k AS (SELECT a.doc_id, string_agg(d.w[a.p], ' ' ORDER BY a.p) AS t FROM a JOIN d USING (doc_id) GROUP BY a.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 #: Words of op7: A-Z lower-cased, runs of anything but ASCII punctuation, white space and control.
 _OP7 = r"""
 WITH d AS (
@@ -65,5 +78,6 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": _OP1,
+        "op2_substrings": _OP2,
         "op7_decontamination": _OP7,
     }

@@ -12,6 +12,7 @@ from tarnflow.llm.mixing import mix_sources
 from tarnflow.llm.shared import documents
 from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import near_duplicates
+from tarnflow.llm.substrings import remove_duplicates
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = remove_duplicates(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return parsed.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir)).select("doc_id", "slot", "shard")
 
@@ -46,6 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_substrings": op2_substrings,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
