@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm.decontamination import find_contamination
+from tarnflow.llm.language import identify
 from tarnflow.llm.mixing import mix_sources
-from tarnflow.llm.shared import documents
+from tarnflow.llm.shared import crc_fold, documents
 from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import near_duplicates
 from tarnflow.llm.substrings import remove_duplicates
@@ -27,6 +28,12 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold(F.col("doc_id"))
+    found = identify(documents(spark, sf_dir).select("doc_id", "text", "lang"), fold != 1)
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir)).select("doc_id", "slot", "shard")
 
@@ -54,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_substrings": op2_substrings,
+        "op5_language": op5_language,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
