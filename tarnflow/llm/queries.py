@@ -14,6 +14,7 @@ from tarnflow.llm.shared import crc_fold, documents
 from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import near_duplicates
 from tarnflow.llm.substrings import remove_duplicates
+from tarnflow.llm.toxicity import score_toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,13 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    fold = crc_fold(F.col("doc_id"))
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 1)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_fold(F.col("doc_id"))
     found = identify(documents(spark, sf_dir).select("doc_id", "text", "lang"), fold != 1)
@@ -61,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_substrings": op2_substrings,
+        "op3_toxicity": op3_toxicity,
         "op5_language": op5_language,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
