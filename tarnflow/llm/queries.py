@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tarnflow.llm.decontamination import find_contamination
 from tarnflow.llm.language import identify
 from tarnflow.llm.mixing import mix_sources
-from tarnflow.llm.shared import crc_fold, documents
+from tarnflow.llm.shared import crc_fold, documents, scratch
 from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import near_duplicates
 from tarnflow.llm.substrings import remove_duplicates
+from tarnflow.llm.tokens import token_ledger, write_token_ids
 from tarnflow.llm.toxicity import score_toxicity
 
 
@@ -65,6 +66,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed, "component_id")
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark, "token-ids")
+    write_token_ids(documents(spark, sf_dir), path, public_tokenizers.path(tokenizer))
+    return token_ledger(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -74,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
+        "op10_tokens": op10_tokens,
     }
