@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnflow.llm.decontamination import find_contamination
 from tarnflow.llm.language import identify
 from tarnflow.llm.mixing import mix_sources
+from tarnflow.llm.quality import BASE, STANDARD, passes, quality_ledger
 from tarnflow.llm.shared import crc_fold, documents, scratch
 from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import near_duplicates
@@ -66,6 +67,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed, "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return ledger.select(
+        "doc_id", *counts, (~passes(BASE)).alias("base_failed"), (passes(BASE) & passes(STANDARD)).alias("kept")
+    )
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -83,5 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
+        "op9_quality": op9_quality,
         "op10_tokens": op10_tokens,
     }
