@@ -34,8 +34,9 @@ from tarnflow.llm.words import SPACES, batches_of, column_bytes, mix, rolling, s
 WIDTH, GRAM = 20, 8
 #: Bits of an anchor's number in the table of repeated anchors: the table has 2**28 bits, 32 MB.
 TABLE_BITS = 28
-#: Windows that one index block should get, and that a task gathers before it hands them on.
-BLOCK_WINDOWS = 2_000_000
+#: Windows that a task gathers as its reference block, and that one index block should get.  Index
+#: blocks are small enough for a document's windows to spread alike over few or many of them.
+BLOCK_WINDOWS, INDEX_WINDOWS = 2_000_000, 200_000
 
 _RECORD = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<u4"), ("start", "<u4")])
 #: Either documents and their windows, or one document and its duplicate windows; no long is null, as pandas would round it.
@@ -145,13 +146,15 @@ def _ship(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
 
 
-def duplicate_windows(texts: DataFrame, width: int, gram: int, bits: int, block_windows: int) -> DataFrame:
+def duplicate_windows(
+    texts: DataFrame, width: int, gram: int, bits: int, block_windows: int, index_windows: int
+) -> DataFrame:
     """(``doc``, ``text_hash``, ``starts``): windows that stand earlier too; a document may have several rows.
 
     ``texts`` has ``doc``, ``text_hash`` and ``text``.
     """
     table, places = repeated_anchors(texts, width, gram, bits)
-    index_blocks = 1 + places * (width - gram + 2) // 2 // block_windows
+    index_blocks = 1 + places * (width - gram + 2) // 2 // index_windows
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +213,7 @@ def remove_duplicates(
     gram: int = GRAM,
     table_bits: int = TABLE_BITS,
     block_windows: int = BLOCK_WINDOWS,
+    index_windows: int = INDEX_WINDOWS,
 ) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``kept_text`` and ``spans`` (word ranges taken out).
 
@@ -226,7 +230,7 @@ def remove_duplicates(
     n_words, kept, spans, k, t, s = fresh(docs, "n_words", "kept_text", "spans", "doc", "text_hash", "starts")
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
     texts = keyed.select(F.col(k).alias("doc"), F.col(t).alias("text_hash"), F.col(text).alias("text"))
-    found = duplicate_windows(texts, width, gram, table_bits, block_windows)
+    found = duplicate_windows(texts, width, gram, table_bits, block_windows, index_windows)
     found = found.groupBy(F.col("doc").alias(k), F.col("text_hash").alias(t)).agg(F.collect_list("starts").alias(s))
     joined = keyed.join(found, [k, t], "left").drop(k, t)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
