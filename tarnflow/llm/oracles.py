@@ -47,6 +47,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+#: Escaping lengthens a text by one for each backslash, bracket and angle; marks take 13 and 4 characters a turn.
+_OP4 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, length(role) + length(text) + 17
+             + length(regexp_replace(role || text, '[^\\\[<]', '', 'g')) AS n FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(n) + 3)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 #: Words of op7: A-Z lower-cased, runs of anything but ASCII punctuation, white space and control.
 _OP7 = r"""
 WITH d AS (
@@ -100,6 +115,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": _OP1,
         "op2_substrings": _OP2,
+        "op4_chat": _OP4,
         "op7_decontamination": _OP7,
         "op9_quality": _OP9,
     }
