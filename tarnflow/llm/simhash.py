@@ -8,12 +8,12 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import written
+from tarnflow.llm.shared import NULL_ID, fresh, written
 from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
 
 SEED = 42
@@ -42,15 +42,17 @@ def fingerprint(text: bytes, shingle: int, digest=xxhash.xxh64_digest, width: in
     return np.packbits(2 * ones > total).tobytes()
 
 
-def with_fingerprints(docs: DataFrame, text: str, shingle: int, name: str) -> DataFrame:
-    """``docs`` with the 64-bit fingerprint of each text as a signed long."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+def with_fingerprints(docs: DataFrame, text: str, shingle: int, *names: str) -> DataFrame:
+    """``docs`` with the fingerprint of each text as signed longs: 64 bits for one name, 128 for two."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+    wide, digest = len(names), xxhash.xxh64_digest if len(names) == 1 else xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, column=text):
-            prints = b"".join([fingerprint(t, shingle) for t in column_bytes(batch.column(text))])
-            values = np.frombuffer(prints, ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
+            prints = b"".join([fingerprint(t, shingle, digest, 8 * wide) for t in column_bytes(batch.column(text))])
+            values = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, wide)
+            added = [pa.array(values[:, i].copy()) for i in range(wide)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -106,3 +108,70 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
+
+
+#: Segments of a 128-bit fingerprint, and the most bits in which two linked ones differ: for
+#: five-word shingles that is about where similarity falls below 0.8.
+WIDE_SEGMENTS, WIDE_BITS = 4, 20
+
+
+def wide_links(prints: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between ids of 128-bit fingerprints (``id``, ``hi``, ``lo``), at most ``WIDE_BITS`` apart.
+
+    Each of the four 32-bit segments enumerates its ball of radius 1, so fingerprints meet under a
+    key if a segment differs by 2 bits at most: all pairs up to 11 bits apart meet, of wider ones
+    the likelier the nearer.  Under a key, all members are compared with its least and linked to it
+    if near; those that are not choose a least among themselves, until none is left.  A member is
+    linked once a key, so a group of n texts makes no more than n links a key.
+    """
+    word = F.lit((1 << 32) - 1)
+    halves = F.array(
+        F.shiftrightunsigned("hi", 32), F.col("hi").bitwiseAND(word), F.shiftrightunsigned("lo", 32), F.col("lo").bitwiseAND(word)
+    )
+
+    def keys(part: Column, i: Column) -> Column:
+        at = F.call_function("shiftleft", i.cast("long"), F.lit(32))
+        near = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: part.bitwiseXOR(_flip(b)))
+        return F.transform(F.concat(F.array(part), near), lambda k: k.bitwiseOR(at))
+
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rest = dealt.select("id", F.explode(F.flatten(F.transform(halves, keys))).alias("key"))
+    found = None
+    while True:
+        least = rest.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        met = rest.join(least, "key").where("id != b").withColumnRenamed("id", "a")
+        pairs = written(met, "met")
+        if pairs.isEmpty():
+            return found if found is not None else pairs.select("a", "b")
+        pair = pairs.select("a", "b").distinct()
+        of = lambda end: prints.select(F.col("id").alias(end), F.col("hi").alias(f"{end}_hi"), F.col("lo").alias(f"{end}_lo"))
+        apart = F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
+        near = written(pair.join(of("a"), "a").join(of("b"), "b").where(apart <= WIDE_BITS).select("a", "b"), "near")
+        found = near if found is None else found.union(near)
+        rest = pairs.join(near, ["a", "b"], "left_anti").select(F.col("a").alias("id"), "key")
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group, the row of least key stays.
+
+    A group is a component of links between texts whose 128-bit fingerprints over ``shingle``-word
+    shingles are near (``wide_links``); equal fingerprints are linked too.  Texts without words form
+    one group.  A null key is less than every other; equal keys rank by a hash of their texts; of
+    equal rows one stays.  Columns stay as they are.  An empty table gives an empty table.
+    """
+    k, t, n = fresh(docs, "key", "text_hash", "n")
+    keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
+    narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
+    prints = with_fingerprints(narrow, "text", shingle, "hi", "lo").select("k", "t", "hi", "lo", F.xxhash64("hi", "lo").alias("id"))
+    prints = written(prints, "prints")
+    unique = written(prints.groupBy("id").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo")), "unique")
+    found = components(wide_links(unique)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    rooted = written(prints.join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
+    stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
+    goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))
+    goes = goes.select(F.col("k").alias(k), F.col("t").alias(t)).distinct()
+    kept = keyed.join(goes, [k, t], "left_anti")
+    if not prints.groupBy("k", "t").count().where("count > 1").isEmpty():
+        one = Window.partitionBy(k, t).orderBy(*[c for c in docs.columns if c not in (key, text)] or [F.lit(1)])
+        kept = kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    return kept.drop(k, t)
