@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tarnflow.llm.sharding import SHARDS, SLOTS, lookup_table
+
 
 
 #: The level of the targets is found by trying each number of full sources.
@@ -111,11 +113,22 @@ FROM b
 """
 
 
+def _op6() -> str:
+    """The table is given as a list: SQL states the placement, tests compare the filling with a plain one."""
+    table = lookup_table([f"shard-{k:05d}" for k in range(SHARDS)], SLOTS)
+    return f"""
+WITH t AS (SELECT {table} AS shards),
+d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, shards[slot + 1] AS shard FROM d, t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": _OP1,
         "op2_substrings": _OP2,
         "op4_chat": _OP4,
+        "op6_sharding": _op6(),
         "op7_decontamination": _OP7,
         "op9_quality": _OP9,
     }
