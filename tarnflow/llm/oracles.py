@@ -108,7 +108,7 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines) AS kept
+            OR 2 * n_dup_lines > n_lines) AS kept
 FROM b
 """
 

@@ -40,7 +40,7 @@ RULES = (
     Rule(1, "repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     Rule(2, "word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
     Rule(3, "symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
-    Rule(4, "repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule(4, "repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule(5, "empty", lambda m: m["n_words"] == 0),
 )
 BASE = Policy("base", ("too_few_words", "repeated_words"))
