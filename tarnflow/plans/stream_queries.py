@@ -159,7 +159,22 @@ def pts_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir).select("stream_id", "seq", pts.alias("pts"))
 
 
-@query("bounded_queue")
+@query(
+    "bounded_queue",
+    """WITH RECURSIVE {ev},
+       r AS (
+         SELECT DISTINCT stream_id, 0::BIGINT AS nxt, NULL::BIGINT AS free, []::BIGINT[] AS q, 0::BIGINT AS dropped, NULL::BIGINT AS seq, NULL::BIGINT AS taken_us FROM ev
+         UNION ALL
+         SELECT r.stream_id, CASE WHEN take THEN r.nxt ELSE r.nxt + 1 END, CASE WHEN take THEN begin_us + h.service_us ELSE r.free END,
+                CASE WHEN take THEN r.q[2:] WHEN len(r.q) = 3 THEN list_append(r.q[2:], r.nxt) ELSE list_append(r.q, r.nxt) END,
+                CASE WHEN NOT take AND len(r.q) = 3 THEN r.dropped + 1 ELSE r.dropped END,
+                CASE WHEN take THEN h.seq END, CASE WHEN take THEN begin_us END
+         FROM r LEFT JOIN ev h ON h.stream_id = r.stream_id AND h.seq = r.q[1] LEFT JOIN ev a ON a.stream_id = r.stream_id AND a.seq = r.nxt,
+              LATERAL (SELECT greatest(coalesce(r.free, h.at_us), h.at_us) AS begin_us) b,
+              LATERAL (SELECT h.seq IS NOT NULL AND (a.seq IS NULL OR b.begin_us <= a.at_us) AS take) t
+         WHERE h.seq IS NOT NULL OR a.seq IS NOT NULL)
+       SELECT stream_id, seq, taken_us, dropped FROM r WHERE seq IS NOT NULL""",
+)
 def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = replay.DropOldest(3)
     schema = "seq long, taken_us long, dropped long"
@@ -377,7 +392,34 @@ def hotswap_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.pass_through(rows, IS("error"), {"v": (F.col("v") + 1) * 2}).select("stream_id", "seq", "v")
 
 
-@query("batch_collect")
+@query(
+    "batch_collect",
+    """WITH RECURSIVE {ev},
+       r AS (
+         SELECT DISTINCT stream_id, 0::BIGINT AS nxt, NULL::BIGINT AS free, []::BIGINT[] AS off, false AS open, 0 AS size, NULL::VARCHAR AS key,
+                NULL::BIGINT AS now, NULL::BIGINT AS last, -1::BIGINT AS batch, NULL::BIGINT AS seq, NULL::BIGINT AS place, NULL::BIGINT AS closed FROM ev
+         UNION ALL
+         SELECT r.stream_id,
+                CASE WHEN seed THEN CASE WHEN len(r.off) > 0 THEN r.nxt ELSE r.nxt + 1 END WHEN pull THEN r.nxt + 1 ELSE r.nxt END,
+                CASE WHEN seed OR pull THEN r.free ELSE ended + 36000000000 END,
+                CASE WHEN seed THEN r.off[2:] WHEN pull AND a.event_type <> r.key THEN list_append(r.off, r.nxt) ELSE r.off END,
+                seed OR pull,
+                CASE WHEN seed THEN 1 WHEN pull AND a.event_type = r.key THEN r.size + 1 ELSE r.size END,
+                CASE WHEN seed THEN f.event_type ELSE r.key END,
+                CASE WHEN seed THEN greatest(coalesce(r.free, f.at_us), f.at_us) WHEN pull THEN greatest(r.now, a.at_us) ELSE r.now END,
+                CASE WHEN seed THEN f.at_us + 144000000000 ELSE r.last END,
+                CASE WHEN seed THEN r.batch + 1 ELSE r.batch END,
+                CASE WHEN seed THEN f.seq WHEN pull AND a.event_type = r.key THEN a.seq END,
+                CASE WHEN seed THEN 0 WHEN pull AND a.event_type = r.key THEN r.size END,
+                CASE WHEN NOT seed AND NOT pull THEN ended END
+         FROM r LEFT JOIN ev a ON a.stream_id = r.stream_id AND a.seq = r.nxt
+                LEFT JOIN ev f ON f.stream_id = r.stream_id AND f.seq = coalesce(r.off[1], r.nxt),
+              LATERAL (SELECT NOT r.open AS seed, r.open AND r.size < 4 AND coalesce(a.at_us <= greatest(r.now, r.last), false) AS pull,
+                              CASE WHEN r.size < 4 THEN greatest(r.now, r.last) ELSE r.now END AS ended) t
+         WHERE r.open OR f.seq IS NOT NULL),
+       c AS (SELECT stream_id, batch, closed FROM r WHERE closed IS NOT NULL)
+       SELECT r.stream_id, r.seq, r.batch, r.place, c.closed AS closed_us FROM r JOIN c USING (stream_id, batch) WHERE r.seq IS NOT NULL""",
+)
 def batch_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir).withColumn("key", F.col("event_type"))
     return batching.collect_batches(rows, 4, 40 * HOUR, 10 * HOUR)
