@@ -92,8 +92,8 @@ def _starts(rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(part["doc"][0]), part["start"].tobytes()
 
 
-def _later(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which windows also stand earlier.  ``keys``: (key, text hash) of documents, sorted; ``doc`` their rank."""
+def _later(rows: np.ndarray) -> np.ndarray:
+    """Which windows also stand earlier; ``doc`` is the document's rank in the order of (key, text hash)."""
     order = np.lexsort((rows["start"], rows["doc"], rows["g"], rows["h"]))
     rows = rows[order]
     new = np.ones(len(rows), bool)
@@ -109,9 +109,13 @@ class _Block:
     """The windows that a task has gathered: its reference block."""
 
     def __init__(self, index_blocks: int) -> None:
-        self.index_blocks, self.size = index_blocks, 0
+        self.index_blocks = index_blocks
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
         self.docs: list[tuple[int, int]] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, doc: tuple[int, int], h: np.ndarray, g: np.ndarray, start: np.ndarray, anchor: np.ndarray) -> None:
         rows = np.empty(len(h), _RECORD)
@@ -127,7 +131,7 @@ class _Block:
         index = np.concatenate([i for _, i in self.parts])
         keys, rank = np.unique(np.array(self.docs, np.int64).reshape(-1, 2), axis=0, return_inverse=True)
         rows["doc"] = rank.reshape(-1)[rows["doc"]]
-        later = _later(rows, keys)
+        later = _later(rows)
         for doc, starts in _starts(rows[later]):
             at = int(mix(np.array([doc], np.uint64))[0]) % self.index_blocks
             yield {"index": at, "keys": keys[doc].tobytes(), "starts": starts}
@@ -135,10 +139,11 @@ class _Block:
         order = np.argsort(index, kind="stable")
         rows, index = rows[order], index[order]
         cuts = np.flatnonzero(np.diff(index)) + 1
-        for part, i in zip(np.split(rows, cuts), index[np.concatenate([[0], cuts])] if len(index) else [], strict=False):
+        firsts = index[np.concatenate([[0], cuts])] if len(index) else []
+        for part, i in zip(np.split(rows, cuts), firsts, strict=False):
             used, part["doc"] = np.unique(part["doc"], return_inverse=True)
             yield {"index": int(i), "keys": keys[used].tobytes(), "windows": part.tobytes()}
-        self.__init__(self.index_blocks)
+        self.clear()
 
 
 def _ship(rows: list[dict]) -> pa.RecordBatch:
@@ -187,7 +192,7 @@ def duplicate_windows(
             every = np.concatenate(rows)
             ranked, rank = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
             every["doc"] = rank.reshape(-1)[every["doc"]]
-            out += [(int(ranked[d][0]), int(ranked[d][1]), s) for d, s in _starts(every[_later(every, ranked)])]
+            out += [(int(ranked[d][0]), int(ranked[d][1]), s) for d, s in _starts(every[_later(every)])]
         return pd.DataFrame(out, columns=["doc", "text_hash", "starts"])
 
     shipped = texts.mapInArrow(parse, _SHIP)
