@@ -30,7 +30,7 @@ def frame_outcome(fmt: Column, height: Column, width: Column) -> Column:
     )
 
 
-def letterbox(h: Column, w: Column, th: int, tw: int, *, mode: str = "letterbox", scaleup: bool = True, center: bool = True, auto: bool = False, stride: int = 32) -> dict[str, Column]:
+def letterbox(h: Column, w: Column, th: int, tw: int, *, mode: str = "letterbox", crop: tuple[int, int] | None = None, scaleup: bool = True, center: bool = True, auto: bool = False, stride: int = 32) -> dict[str, Column]:
     """Ratios, resized sides and offsets of an image brought to (th, tw)."""
     rh, rw = F.lit(float(th)) / h, F.lit(float(tw)) / w
     if mode == "stretch":
@@ -41,7 +41,8 @@ def letterbox(h: Column, w: Column, th: int, tw: int, *, mode: str = "letterbox"
     side = lambda x: F.greatest(F.lit(1).cast("long"), F.bround(x * ratio, 0).cast("long"))
     nh, nw = side(h), side(w)
     if mode == "center_crop":
-        top, left = -F.floor((nh - th) / 2), -F.floor((nw - tw) / 2)
+        ch, cw = crop or (th, tw)
+        top, left = -F.floor((nh - ch) / 2), -F.floor((nw - cw) / 2)
     else:
         ph, pw = F.lit(th) - nh, F.lit(tw) - nw
         ph, pw = (F.pmod(ph, F.lit(stride)), F.pmod(pw, F.lit(stride))) if auto else (ph, pw)
