@@ -197,7 +197,9 @@ def score_toxicity(
     score, predicted = fresh(docs, "score", "predicted")
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key"))
     marks = marks.agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
-    rows = docs.where(train).select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, "key")
+    rows = docs.where(train).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # labels grow with the documents, so they are never sent whole to every task
+    rows = rows.join(marks.hint("merge"), "key")
     draw = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 40))
     known = marks.join(docs.where(train).select(F.col(key).alias("key")), "key", "left_semi")
     n = known.count()
