@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnflow.llm.shared import written
 from tarnflow.llm.words import SPACES, batches_of
 
 #: Id that ends every document.
@@ -18,10 +20,12 @@ END = 2
 STRIPE, STRIDE = 64 << 20, 10_000
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 1_000_000
-#: Words that are handed to the tokenizer at once, with this one between them.
-BATCH_WORDS, MARK = 2000, "~"
+#: Words that are handed to the tokenizer at once.
+BATCH_WORDS = 2000
 #: Bytes from which a text is encoded by pieces.
 LONG = 8 << 20
+#: A word that ends in ASCII punctuation, but the apostrophe, after a letter or digit.
+_TAILED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-}]+)", re.S)
 
 
 class WordEncoder:
@@ -39,28 +43,26 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the tokenizer has ids of over 16 bits")
         self.known: dict[bytes, bytes] = {}
-        self.mark = np.array(self._ids(MARK), np.uint16)
-        if len(self.mark) != 1:
-            raise ValueError(f"{MARK} must be one token")
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        mark = MARK.encode()
-        alone = [w for w in words if mark in w]
-        words = [w for w in words if mark not in w]
-        for w in alone:
-            self.known[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u2").tobytes()
-        for i in range(0, len(words), BATCH_WORDS):
-            part = words[i : i + BATCH_WORDS]
-            ids = np.array(self._ids(f" {MARK} ".join(w.decode("utf-8", "replace") for w in part)), "<u2")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            bounds = np.concatenate([[-1], cuts, [len(ids)]]).tolist()
-            if len(bounds) != len(part) + 1:
-                raise RuntimeError("a word took the mark's token")
-            for w, a, b in zip(part, bounds, bounds[1:], strict=False):
-                self.known[w] = ids[a + 1 : b].tobytes()
+        """Make the words known.
+
+        Punctuation after an ASCII letter or digit is a token run of its own, so such a word is its
+        core and its tail, which other words share.
+        """
+        parts = {w: m.groups() for w in words if b"<|" not in w and (m := _TAILED.fullmatch(w))}
+        new = {p for pair in parts.values() for p in pair} | {w for w in words if w not in parts}
+        new = sorted(new - self.known.keys())
+        for i in range(0, len(new), BATCH_WORDS):
+            part = new[i : i + BATCH_WORDS]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u2")
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            for w, start, end in zip(part, ends, ends[1:], strict=False):
+                self.known[w] = ids[start:end].tobytes()
+        for w, (core, tail) in parts.items():
+            self.known[w] = self.known[core] + self.known[tail]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without the end id; a long text goes by pieces, cut at white space."""
@@ -157,7 +159,9 @@ def token_ledger(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "place", "file", "n_tokens", "ids_crc32"],
             )
 
+    # a few numbers a document, written once: files are read and digested once for both sums
     rows = read_token_ids(spark, path).mapInArrow(digest, "doc_id long, place long, file string, n_tokens long, ids_crc32 long")
+    rows = written(rows, "token-ledger")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
