@@ -36,7 +36,7 @@ WIDTH, GRAM = 20, 8
 TABLE_BITS = 28
 #: Windows that a task gathers as its reference block, and that one index block should get.  Index
 #: blocks are small enough for a document's windows to spread alike over few or many of them.
-BLOCK_WINDOWS, INDEX_WINDOWS = 2_000_000, 200_000
+BLOCK_WINDOWS, INDEX_WINDOWS = 500_000, 200_000
 
 _RECORD = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<u4"), ("start", "<u4")])
 #: Either documents and their windows, or one document and its duplicate windows; no long is null, as pandas would round it.
