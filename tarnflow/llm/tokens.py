@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +23,8 @@ CACHE_WORDS = 1_000_000
 BATCH_WORDS = 2000
 #: Bytes from which a text is encoded by pieces.
 LONG = 8 << 20
-#: A word that ends in ASCII punctuation, but the apostrophe, after a letter or digit.
-_TAILED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-}]+)", re.S)
+#: ASCII punctuation but the apostrophe, and what it must follow to be a token run of its own.
+TAIL, STEM_END = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordEncoder:
@@ -43,26 +42,34 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the tokenizer has ids of over 16 bits")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         """Make the words known.
 
         Punctuation after an ASCII letter or digit is a token run of its own, so such a word is its
         core and its tail, which other words share.
         """
-        parts = {w: m.groups() for w in words if b"<|" not in w and (m := _TAILED.fullmatch(w))}
-        new = {p for pair in parts.values() for p in pair} | {w for w in words if w not in parts}
-        new = sorted(new - self.known.keys())
+        known, parts, new = self.known, [], set()
+        for w in words:
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and core and core[-1] in STEM_END and b"<|" not in w:
+                parts.append((w, core, w[len(core) :]))
+                new.add(core)
+                new.add(parts[-1][2])
+            else:
+                new.add(w)
+        new = list(new - known.keys())
         for i in range(0, len(new), BATCH_WORDS):
             part = new[i : i + BATCH_WORDS]
             texts = [w.decode("utf-8", "replace") for w in part]
             found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u2")
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            ids = np.array(found.ids, "<u2").tobytes()
+            ends = (2 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             for w, start, end in zip(part, ends, ends[1:], strict=False):
-                self.known[w] = ids[start:end].tobytes()
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + self.known[tail]
+                known[w] = ids[start:end]
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without the end id; a long text goes by pieces, cut at white space."""
@@ -74,11 +81,13 @@ class WordEncoder:
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = set().union(*split)
+        if len(self.known) > CACHE_WORDS // 2:
+            # words of the last half stay at hand, those that come again are taken over
+            self.before, self.known = self.known, {}
         missing = words - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = words
-        self._learn(sorted(missing))
+        again = missing & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self._learn(missing - again)
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in own]), "<u2") for own in split]
 
@@ -131,7 +140,7 @@ def write_token_ids(
         .option("orc.create.index", "true")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
 
