@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
 from tarnflow.llm.shared import NULL_ID, fresh, written
-from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
+from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes, rolling, word_hashes
 
 SEED = 42
 #: Segments of a 64-bit fingerprint, as (first bit, bits).
@@ -110,63 +110,154 @@ def near_duplicates(
     return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Segments of a 128-bit fingerprint, and the most bits in which two linked ones differ: for
-#: five-word shingles that is about where similarity falls below 0.8.
-WIDE_SEGMENTS, WIDE_BITS = 4, 20
+#: Least Jaccard similarity of near copies, as a fraction.
+NEAR, OF = 4, 5
+#: Documents read to learn which shingles are common, and how many of them share a common one.
+COMMON_DOCS, COMMON = 20_000, 4
+#: Rounds of stars at most before all pairs that are left are compared, and pairs a key's member
+#: from which another round is worth while.
+ROUNDS, PAIRS = 8, 1
 
 
-def wide_links(prints: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) between ids of 128-bit fingerprints (``id``, ``hi``, ``lo``), at most ``WIDE_BITS`` apart.
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text the hashes of its distinct shingles, sorted; a text of fewer words is one shingle."""
+    return [np.unique(rolling(h, min(width, max(1, len(h))))) for h in word_hashes(texts, SPACES_LOWER)]
 
-    Each of the four 32-bit segments enumerates its ball of radius 1, so fingerprints meet under a
-    key if a segment differs by 2 bits at most: all pairs up to 11 bits apart meet, of wider ones
-    the likelier the nearer.  Under a key, all members are compared with its least and linked to it
-    if near; those that are not choose a least among themselves, until none is left.  A member is
-    linked once a key, so a group of n texts makes no more than n links a key.
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and their ranks.  It is a sample: it orders keys and changes no result."""
+    n = docs.count()
+    if n > COMMON_DOCS:
+        docs = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 40)) < int(COMMON_DOCS / n * (1 << 40)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            found = np.concatenate(shingle_sets(column_bytes(batch.column("text")), shingle))
+            key, count = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = counts.where(F.col("n") >= COMMON).toArrow()
+    key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], np.log2(np.maximum(got.column("n").to_numpy(), 1))[order].astype(np.uint8)
+
+
+def with_keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """``k`` and ``t`` of ``docs`` with the ``id`` of the text's shingle set, its size ``n``, and its ``keys``.
+
+    Of two sets of Jaccard similarity t or more, in any one order of all shingles, the first
+    n - ceil(t n) + 1 shingles of each have one in common.  These are the keys, rare ones first.
     """
-    word = F.lit((1 << 32) - 1)
-    halves = F.array(
-        F.shiftrightunsigned("hi", 32), F.col("hi").bitwiseAND(word), F.shiftrightunsigned("lo", 32), F.col("lo").bitwiseAND(word)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ranks = shared.value
+        for batch in batches_of(batches):
+            ids, sizes, keys = [], [], []
+            for own in shingle_sets(column_bytes(batch.column("text")), shingle):
+                n = len(own)
+                ids.append(xxhash.xxh3_64_digest(own.tobytes(), SEED))
+                sizes.append(n)
+                if n and len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[at] == own, ranks[at] + 1, 0), kind="stable")]
+                keys.append(own[: n + NEAR * n // -OF + 1 if n else 0])
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            values = pa.array(np.concatenate(keys).view(np.int64))
+            id_ = np.frombuffer(b"".join(ids), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), batch.column("t"), pa.array(id_), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, values)],
+                ["k", "t", "id", "n", "keys"],
+            )
+
+    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, id long, n int, keys array<long>")
 
-    def keys(part: Column, i: Column) -> Column:
-        at = F.call_function("shiftleft", i.cast("long"), F.lit(32))
-        near = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: part.bitwiseXOR(_flip(b)))
-        return F.transform(F.concat(F.array(part), near), lambda k: k.bitwiseOR(at))
-
-    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rest = dealt.select("id", F.explode(F.flatten(F.transform(halves, keys))).alias("key"))
-    found = None
-    while True:
-        least = rest.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = rest.join(least, "key").where("id != b").withColumnRenamed("id", "a")
-        pairs = written(met, "met")
-        if pairs.isEmpty():
-            return found if found is not None else pairs.select("a", "b")
-        pair = pairs.select("a", "b").distinct()
-        of = lambda end: prints.select(F.col("id").alias(end), F.col("hi").alias(f"{end}_hi"), F.col("lo").alias(f"{end}_lo"))
-        apart = F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
-        near = written(pair.join(of("a"), "a").join(of("b"), "b").where(apart <= WIDE_BITS).select("a", "b"), "near")
+
+def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id`` and text as ``id`` and the hashes of the text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            sets = shingle_sets(column_bytes(batch.column("text")), shingle)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, values)], ["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) of ids whose sets have a Jaccard similarity of ``NEAR / OF`` at least."""
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    all_ = F.size("a_set") + F.size("b_set") - both
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(both * OF >= all_ * NEAR).select("a", "b")
+
+
+def near_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``.
+
+    In a round, the members of a key are compared with one of them, another in each round; then
+    members of one component have no need to meet.  Rounds end when few pairs of different
+    components are left under the keys, or when they find nothing, and all these pairs are compared.
+    """
+    fits = F.least("n", "b_n") * OF >= F.greatest("n", "b_n") * NEAR
+    rest, rows, found = members.withColumn("root", F.col("id")), members.count(), None
+    for turn in range(ROUNDS + 1):
+        one = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("one"))
+        ends = [F.col("one.id").alias("b"), F.col("one.n").alias("b_n"), F.col("one.root").alias("b_root")]
+        last = turn == ROUNDS
+        if turn:
+            sizes = rest.groupBy("key", "root").count().groupBy("key")
+            sizes = sizes.agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"))
+            left = sizes.agg(F.sum("cross")).first()[0] or 0
+            if not left:
+                break
+            last = last or left <= 2 * PAIRS * rows or near.isEmpty()
+        if last:
+            other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
+            met = rest.join(other, "key").where("id < b")
+        else:
+            met = rest.join(one.select("key", *ends), "key")
+        pairs = met.where((F.col("root") != F.col("b_root")) & fits).select(F.col("id").alias("a"), "b").distinct()
+        near = written(similar(pairs, sets), "near")
         found = near if found is None else found.union(near)
-        rest = pairs.join(near, ["a", "b"], "left_anti").select(F.col("a").alias("id"), "key")
+        if last:
+            break
+        roots = components(found).select(F.col("a").alias("id"), F.col("b").alias("to"))
+        moved = rest.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("to", "id")).drop("to")
+        moved = written(moved, "moved")
+        open_ = moved.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        rest = written(moved.join(open_, "key"), "rest")
+    return found
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group, the row of least key stays.
 
-    A group is a component of links between texts whose 128-bit fingerprints over ``shingle``-word
-    shingles are near (``wide_links``); equal fingerprints are linked too.  Texts without words form
-    one group.  A null key is less than every other; equal keys rank by a hash of their texts; of
-    equal rows one stays.  Columns stay as they are.  An empty table gives an empty table.
+    A group is a component of links between texts whose sets of ``shingle``-word shingles have a
+    Jaccard similarity of 0.8 at least: all such pairs are linked (``near_links``), and no others.
+    Texts without words form one group.  A null key is less than every other; equal keys rank by a
+    hash of their texts; of equal rows one stays.  Columns stay as they are.  An empty table gives
+    an empty table.
     """
     k, t, n = fresh(docs, "key", "text_hash", "n")
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
     narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
-    prints = with_fingerprints(narrow, "text", shingle, "hi", "lo").select("k", "t", "hi", "lo", F.xxhash64("hi", "lo").alias("id"))
-    prints = written(prints, "prints")
-    unique = written(prints.groupBy("id").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo")), "unique")
-    found = components(wide_links(unique)).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    rooted = written(prints.join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
+    prints = written(with_keys(narrow, shingle), "prints")
+    unique = prints.groupBy("id").agg(F.min(F.struct("k", "t", "n")).alias("at"))
+    first = written(unique.select("id", "at.k", "at.t", "at.n"), "first")
+    # one row a set: that of its least key
+    keys = prints.join(first.select("id", "k", "t"), ["id", "k", "t"]).dropDuplicates(["id"])
+    keys = keys.select("id", "n", F.explode("keys").alias("key"))
+    many = keys.groupBy("key").count().where("count > 1").select("key")
+    members = written(keys.join(many, "key"), "members")
+    ids = first.join(members.select("id").distinct(), "id").select("id", "k", "t")
+    texts = narrow.groupBy("k", "t").agg(F.first("text").alias("text")).join(ids, ["k", "t"])
+    sets = written(_with_sets(texts, shingle), "sets")
+    found = components(near_links(members, sets)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    rooted = written(prints.select("k", "t", "id").join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))
     goes = goes.select(F.col("k").alias(k), F.col("t").alias(t)).distinct()

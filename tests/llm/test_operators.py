@@ -393,6 +393,44 @@ def test_keep_one(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def _edited(rng, words, changes):
+    words = list(words)
+    for at in rng.sample(range(0, len(words), 5), changes):
+        words[at] = f"x{rng.random()}"
+    return words
+
+
+def _groups_by_force(texts):
+    """The least index of each text's group, by the similarity of all pairs."""
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def _kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+
+
+def test_keep_one_finds_every_isolated_pair(spark):
+    rng, texts = random.Random(3), []
+    for i in range(120):
+        words = rng.choices([f"v{i}w{j}" for j in range(400)], k=rng.randrange(80, 400))
+        # a change costs five shingles of each text: similarity 0.8 and little above
+        texts += [" ".join(words), " ".join(_edited(rng, words, (len(words) - 4) // 45))]
+    root = _groups_by_force(texts)
+    assert sum(r != i for i, r in enumerate(root)) == 120
+    assert _kept(spark, texts) == sorted(set(root))
+
+
 def test_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r.a: r.b for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
