@@ -117,6 +117,8 @@ COMMON_DOCS, COMMON = 20_000, 4
 #: Rounds of stars at most before all pairs that are left are compared, and pairs a key's member
 #: from which another round is worth while.
 ROUNDS, PAIRS = 8, 1
+#: Bits of the tables of keys and texts that are worth a shuffle (32 MB), and words of a parity sketch.
+TABLE_BITS, SKETCH = 28, 8
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -144,34 +146,90 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """``k`` and ``t`` of ``docs`` with the ``id`` of the text's shingle set, its size ``n``, and its ``keys``.
+    """``k`` and ``t`` of ``docs`` with the ``id`` of the text's shingle set, its size ``n``, ``sketch`` and ``keys``.
 
     Of two sets of Jaccard similarity t or more, in any one order of all shingles, the first
     n - ceil(t n) + 1 shingles of each have one in common.  These are the keys, rare ones first.
+    The sketch has parities of the shingles' numbers by hash: a bit that differs takes a shingle
+    that only one set has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, ranks = shared.value
         for batch in batches_of(batches):
-            ids, sizes, keys = [], [], []
+            ids, sizes, sketches, keys = [], [], [], []
             for own in shingle_sets(column_bytes(batch.column("text")), shingle):
                 n = len(own)
                 ids.append(xxhash.xxh3_64_digest(own.tobytes(), SEED))
                 sizes.append(n)
+                parity = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     own = own[np.argsort(np.where(common[at] == own, ranks[at] + 1, 0), kind="stable")]
                 keys.append(own[: n + NEAR * n // -OF + 1 if n else 0])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             values = pa.array(np.concatenate(keys).view(np.int64))
+            sketch = pa.ListArray.from_arrays(np.arange(0, SKETCH * len(ids) + 1, SKETCH, np.int32), pa.array(np.concatenate(sketches)))
             id_ = np.frombuffer(b"".join(ids), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("t"), pa.array(id_), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, values)],
-                ["k", "t", "id", "n", "keys"],
+                [batch.column("k"), batch.column("t"), pa.array(id_), pa.array(sizes, pa.int32()), sketch, pa.ListArray.from_arrays(ends, values)],
+                ["k", "t", "id", "n", "sketch", "keys"],
             )
 
-    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, id long, n int, keys array<long>")
+    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, id long, n int, sketch array<long>, keys array<long>")
+
+
+def _table(values: DataFrame) -> np.ndarray:
+    """A table of fixed size, packed: bit by bit, whether ``v`` has a value that ends so."""
+    chunk = 15
+    at = F.col("v").bitwiseAND((1 << TABLE_BITS) - 1)
+    rows = values.select(F.shiftright(at, chunk).alias("chunk"), at.bitwiseAND((1 << chunk) - 1).alias("at"))
+    rows = rows.groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits"))
+    table = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    for row in rows.toLocalIterator():
+        at = row.chunk << chunk - 3
+        table[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return table
+
+
+def _in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & np.int64((1 << TABLE_BITS) - 1)
+    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _members(prints: DataFrame) -> DataFrame:
+    """``key``, ``id`` and ``n``: the keys that several sets have."""
+    spark = prints.sparkSession
+    twice = written(prints.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "twice")
+    shared = spark.sparkContext.broadcast(_table(twice.select(F.col("key").alias("v"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            values = keys.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy(zero_copy_only=False))
+            some = _in_table(shared.value, values)
+            at = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[some]), batch.column("id").take(at), batch.column("n").take(at)], ["key", "id", "n"]
+            )
+
+    some = written(prints.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int").distinct(), "some")
+    return some.join(some.groupBy("key").count().where("count > 1").select("key"), "key")
+
+
+def _texts(narrow: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (``id``, ``k``, ``t``) with their texts."""
+    shared = narrow.sparkSession.sparkContext.broadcast(_table(ids.select(F.col("t").alias("v"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_table(shared.value, batch.column("t").to_numpy())))
+
+    some = narrow.mapInArrow(run, narrow.schema)
+    return some.groupBy("k", "t").agg(F.first("text").alias("text")).join(ids, ["k", "t"])
 
 
 def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -187,6 +245,15 @@ def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, set array<long>")
 
 
+def _may_be_near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``pairs`` without those whose sketches show that more shingles differ than a near pair's can."""
+    at = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
+    of = lambda end: at.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("s").alias(f"{end}_s"))
+    differ = sum((F.bit_count(F.col("a_s")[i].bitwiseXOR(F.col("b_s")[i])) for i in range(SKETCH)), F.lit(0))
+    most = (F.col("a_n") + F.col("b_n")) * (OF - NEAR)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ * (OF + NEAR) <= most).select("a", "b")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) of ids whose sets have a Jaccard similarity of ``NEAR / OF`` at least."""
     of = lambda end: sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set"))
@@ -195,7 +262,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(both * OF >= all_ * NEAR).select("a", "b")
 
 
-def near_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def near_links(members: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``.
 
     In a round, the members of a key are compared with one of them, another in each round; then
@@ -221,7 +288,7 @@ def near_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         else:
             met = rest.join(one.select("key", *ends), "key")
         pairs = met.where((F.col("root") != F.col("b_root")) & fits).select(F.col("id").alias("a"), "b").distinct()
-        near = written(similar(pairs, sets), "near")
+        near = written(similar(written(_may_be_near(pairs, prints), "pairs"), sets), "near")
         found = near if found is None else found.union(near)
         if last:
             break
@@ -246,17 +313,11 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
     narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
     prints = written(with_keys(narrow, shingle), "prints")
-    unique = prints.groupBy("id").agg(F.min(F.struct("k", "t", "n")).alias("at"))
-    first = written(unique.select("id", "at.k", "at.t", "at.n"), "first")
-    # one row a set: that of its least key
-    keys = prints.join(first.select("id", "k", "t"), ["id", "k", "t"]).dropDuplicates(["id"])
-    keys = keys.select("id", "n", F.explode("keys").alias("key"))
-    many = keys.groupBy("key").count().where("count > 1").select("key")
-    members = written(keys.join(many, "key"), "members")
-    ids = first.join(members.select("id").distinct(), "id").select("id", "k", "t")
-    texts = narrow.groupBy("k", "t").agg(F.first("text").alias("text")).join(ids, ["k", "t"])
-    sets = written(_with_sets(texts, shingle), "sets")
-    found = components(near_links(members, sets)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    members = written(_members(prints), "members")
+    first = prints.groupBy("id").agg(F.min(F.struct("k", "t")).alias("at")).select("id", "at.k", "at.t")
+    ids = written(first.join(members.select("id").distinct(), "id").select("id", "k", "t"), "ids")
+    sets = written(_with_sets(_texts(narrow, ids), shingle), "sets")
+    found = components(near_links(members, prints, sets)).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = written(prints.select("k", "t", "id").join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))

@@ -431,6 +431,16 @@ def test_keep_one_finds_every_isolated_pair(spark):
     assert _kept(spark, texts) == sorted(set(root))
 
 
+def test_keep_one_leaves_what_is_below(spark):
+    rng, texts = random.Random(4), []
+    for i in range(120):
+        words = rng.choices([f"v{i}w{j}" for j in range(400)], k=rng.randrange(80, 400))
+        texts += [" ".join(words), " ".join(_edited(rng, words, (len(words) - 4) // 45 + 2))]
+    root = _groups_by_force(texts)
+    assert len(set(root)) > 230
+    assert _kept(spark, texts) == sorted(set(root))
+
+
 def test_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r.a: r.b for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
