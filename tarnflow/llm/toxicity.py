@@ -31,7 +31,7 @@ DISCOUNT, SHARED_DISCOUNT = 2.0, 0.75
 #: Bits of a cell in the tables of grams, contexts and shared grams: what is broadcast has a fixed
 #: size, about 50 MB, whatever the corpus.
 GRAM_BITS, CONTEXT_BITS, SHARED_BITS = 22, 20, 18
-#: Labelled documents kept from the models to fit the curve: a fifth, and this many at most.
+#: Labelled documents kept from the models to fit the curve: a fifth of each class, and this many at most.
 CURVE_ROWS = 4000
 #: Documents with this score or more are taken to be toxic.
 THRESHOLD = 0.7
@@ -156,14 +156,16 @@ class Models:
         return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, rows: tuple[float, float] | None = None) -> np.ndarray:
     """Weights of a logistic curve over (1, x), by Newton steps; large weights cost.
 
     A row weighs as the square root of its class's rarity: half way from all rows alike to both
-    classes alike.
+    classes alike.  ``rows``: how many rows of class 0 and 1 the given ones stand for, if not themselves.
     """
     x = np.column_stack([np.ones(len(x)), x])
-    share = np.sqrt(len(y) / 2 / np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum())))
+    drawn = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
+    stand = drawn if rows is None else np.array(rows) * len(y) / sum(rows)
+    share = (np.sqrt(len(y) / 2 / stand) * stand / drawn)[y]
     w, cost = np.zeros(x.shape[1]), np.diag([0.0, 1e-2, 1e-2]) * len(y) ** 0.5
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -188,7 +190,8 @@ def score_toxicity(
     """Every row of ``docs`` with ``score`` (0 to 1, higher: toxic likelier) and ``predicted``.
 
     Models learn from the labelled rows where ``train`` holds, all but a sample kept for the curve:
-    a fifth of them, at most ``curve_rows``, the same rows at every run.  A document with several
+    a fifth of each class, at most ``curve_rows`` in all, the same rows at every run; of two rows of a
+    class one is kept.  If a class has one row, the curve is fixed and rises with the evidence.  A document with several
     labels counts as toxic if one says so; null labels and labels without document are left out.
     Null and empty texts have no expression and get the curve's value at no evidence.  Without
     labels of both classes nothing can be learnt and every score is 0.  Repeated rows score alike.
@@ -201,13 +204,18 @@ def score_toxicity(
     # labels grow with the documents, so they are never sent whole to every task
     rows = rows.join(marks.hint("merge"), "key")
     draw = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 40))
-    known = marks.join(docs.where(train).select(F.col(key).alias("key")), "key", "left_semi")
-    n = known.count()
-    part = min(0.2, curve_rows / n) if n else 0.0
-    held = draw < int(part * (1 << 40))
+    known = marks.join(docs.where(train).select(F.col(key).alias("key")), "key", "left_semi").withColumn("draw", draw)
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rows_of = (sizes.get(0, 0), sizes.get(1, 0))
+    held = F.lit(False)
+    for c in (0, 1):
+        m = min(max(rows_of[c] // 5, int(rows_of[c] > 1)), max(1, curve_rows // 2))
+        if m:
+            up_to = known.where(F.col("toxic") == c).select("draw").orderBy("draw").limit(m).agg(F.max("draw")).first()[0]
+            held = held | ((F.col("toxic") == c) & (draw <= up_to))
     models = Models(written(_counts(rows.where(~held)), "grams"))
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    curve = _fit(rows.where(held), shared)
+    curve = _fit(rows.where(held), shared, rows_of) if min(rows_of) else None
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +233,7 @@ def score_toxicity(
     return docs.mapInArrow(run, schema)
 
 
-def _fit(rows: DataFrame, shared) -> np.ndarray | None:
+def _fit(rows: DataFrame, shared, rows_of: tuple[int, int]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
             x = shared.value.evidence(batch.column("text").to_pylist())
@@ -234,5 +242,6 @@ def _fit(rows: DataFrame, shared) -> np.ndarray | None:
     got = rows.select("text", "toxic").mapInArrow(run, "a double, b double, toxic int").toPandas()
     got = got.sort_values(["toxic", "a", "b"])
     if got["toxic"].nunique() < 2:
-        return None
-    return fit_curve(got[["a", "b"]].to_numpy(), got["toxic"].to_numpy())
+        # half the classes' log odds, as fit_curve weighs them, and the largest difference as it stands
+        return np.array([np.log(rows_of[1] / rows_of[0]) / 2, 1.0, 0.0])
+    return fit_curve(got[["a", "b"]].to_numpy(), got["toxic"].to_numpy(), rows=rows_of)

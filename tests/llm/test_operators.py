@@ -180,6 +180,16 @@ def test_toxicity_held_out(spark):
     assert right >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in out)
 
 
+def test_toxicity_of_few_toxic_labels(spark):
+    rng = random.Random(8)
+    plain = [f"{a}{b}" for a in ("mor", "sel", "tan", "vip") for b in ("a", "en", "os", "il", "ur")]
+    rows = [(i, " ".join([*rng.choices(plain, k=12), *(["zgrakhxx", "qqwurzak"] if i % 100 == 7 else [])])) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 7)) for i in range(1000)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, labels, F.lit(True), curve_rows=20).collect()
+    assert {r.doc_id for r in out if r.predicted} == set(range(7, 1000, 100))
+
+
 def test_toxicity_bears_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     docs = awkward(spark).withColumn("score", F.lit("x"))
