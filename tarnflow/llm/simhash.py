@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -117,8 +117,8 @@ COMMON_DOCS, COMMON = 20_000, 4
 #: Rounds of stars at most before all pairs that are left are compared, and pairs a key's member
 #: from which another round is worth while.
 ROUNDS, PAIRS = 8, 1
-#: Bits of the tables of keys and texts that are worth a shuffle (32 MB), and words of a parity sketch.
-TABLE_BITS, SKETCH = 28, 8
+#: Bits of the tables of keys (32 MB) and texts (2 MB) that are worth a shuffle, and words of a parity sketch.
+TABLE_BITS, TEXT_BITS, SKETCH = 28, 24, 8
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -181,13 +181,13 @@ def with_keys(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, id long, n int, sketch array<long>, keys array<long>")
 
 
-def _table(values: DataFrame) -> np.ndarray:
+def _table(values: DataFrame, bits: int) -> np.ndarray:
     """A table of fixed size, packed: bit by bit, whether ``v`` has a value that ends so."""
     chunk = 15
-    at = F.col("v").bitwiseAND((1 << TABLE_BITS) - 1)
+    at = F.col("v").bitwiseAND((1 << bits) - 1)
     rows = values.select(F.shiftright(at, chunk).alias("chunk"), at.bitwiseAND((1 << chunk) - 1).alias("at"))
     rows = rows.groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits"))
-    table = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    table = np.zeros(1 << bits - 3, np.uint8)
     for row in rows.toLocalIterator():
         at = row.chunk << chunk - 3
         table[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
@@ -195,7 +195,7 @@ def _table(values: DataFrame) -> np.ndarray:
 
 
 def _in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & np.int64((1 << TABLE_BITS) - 1)
+    at = values & np.int64(8 * len(table) - 1)
     return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
@@ -203,7 +203,7 @@ def _members(prints: DataFrame) -> DataFrame:
     """``key``, ``id`` and ``n``: the keys that several sets have."""
     spark = prints.sparkSession
     twice = written(prints.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "twice")
-    shared = spark.sparkContext.broadcast(_table(twice.select(F.col("key").alias("v"))))
+    shared = spark.sparkContext.broadcast(_table(twice.select(F.col("key").alias("v")), TABLE_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +217,13 @@ def _members(prints: DataFrame) -> DataFrame:
             )
 
     some = written(prints.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int").distinct(), "some")
+    shared.unpersist()
     return some.join(some.groupBy("key").count().where("count > 1").select("key"), "key")
 
 
 def _texts(narrow: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (``id``, ``k``, ``t``) with their texts."""
-    shared = narrow.sparkSession.sparkContext.broadcast(_table(ids.select(F.col("t").alias("v"))))
+    shared = narrow.sparkSession.sparkContext.broadcast(_table(ids.select(F.col("t").alias("v")), TEXT_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +263,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(both * OF >= all_ * NEAR).select("a", "b")
 
 
-def near_links(members: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFrame:
+def near_links(members: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``.
+    ``sets_of`` gives the sets (``id``, ``set``) of a table of ids.
 
     In a round, the members of a key are compared with one of them, another in each round; then
     members of one component have no need to meet.  Rounds end when few pairs of different
@@ -288,7 +290,9 @@ def near_links(members: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFr
         else:
             met = rest.join(one.select("key", *ends), "key")
         pairs = met.where((F.col("root") != F.col("b_root")) & fits).select(F.col("id").alias("a"), "b").distinct()
-        near = written(similar(written(_may_be_near(pairs, prints), "pairs"), sets), "near")
+        pairs = written(_may_be_near(pairs, prints), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        near = written(similar(pairs, sets_of(ids)), "near")
         found = near if found is None else found.union(near)
         if last:
             break
@@ -315,9 +319,13 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
     prints = written(with_keys(narrow, shingle), "prints")
     members = written(_members(prints), "members")
     first = prints.groupBy("id").agg(F.min(F.struct("k", "t")).alias("at")).select("id", "at.k", "at.t")
-    ids = written(first.join(members.select("id").distinct(), "id").select("id", "k", "t"), "ids")
-    sets = written(_with_sets(_texts(narrow, ids), shingle), "sets")
-    found = components(near_links(members, prints, sets)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    first = written(first, "first")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        some = written(first.join(ids, "id").select("id", "k", "t"), "ids")
+        return written(_with_sets(_texts(narrow, some), shingle), "sets")
+
+    found = components(near_links(members, prints, sets_of)).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = written(prints.select("k", "t", "id").join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))

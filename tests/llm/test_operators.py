@@ -451,6 +451,22 @@ def test_keep_one_leaves_what_is_below(spark):
     assert _kept(spark, texts) == sorted(set(root))
 
 
+def test_keep_one_joins_members_around_none(spark):
+    rng, texts = random.Random(5), []
+    for i in range(6):
+        # chains: each version is near the one before, and few are near any one member
+        words = rng.choices([f"v{i}w{j}" for j in range(400)], k=200)
+        for _ in range(25):
+            words = _edited(rng, words, 3)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    root = _groups_by_force(texts)
+    assert _kept(spark, texts) == sorted(set(root)) and len(set(root)) == 6
+    seed = rng.choices([f"s{j}" for j in range(400)], k=200)
+    spread = [" ".join(_edited(rng, seed, rng.randrange(1, 6))) for _ in range(150)]
+    assert _kept(spark, spread) == sorted(set(_groups_by_force(spread)))
+
+
 def test_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r.a: r.b for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
