@@ -1,18 +1,21 @@
 """Substring deduplication by a relative Lempel-Ziv parse.
 
-The reference is the corpus itself, in global order (key, then start).  A factor of ``width`` words
-or more exists at a position if the ``width``-word window there is indexed at an earlier place, so
-the parse needs an index of windows and no alignment of texts:
-
-1. Each window is represented by the least hash of its 8-word grams (its anchor); equal windows have
-   equal anchors.  How often anchors occur is counted over the whole corpus into a bit table of
-   fixed size: a window whose anchor occurs once cannot occur twice.
-2. Every task parses its documents against its own reference block: of a window that occurs again in
-   the block, only the earliest stays indexed, the others are duplicates at once.
-3. What is left is dealt by anchor into index blocks, where windows of all reference blocks meet; all
-   but the earliest are duplicates.
-4. A document's duplicate windows merge into factors.  Each window is judged by itself, those across
-   the boundary of two factors too, so greedy factors lose none.
+The reference is the corpus itself, in global order (key, then start).  Documents are factored
+against reference blocks that index windows of ``width`` words, the least length of a factor:
+
+1. Each window has an anchor, the least hash of its 8-word grams; equal windows have equal anchors.
+   How often anchors occur is counted over the whole corpus into a table of fixed size: a window
+   whose anchor occurs once cannot occur twice.
+2. A task gathers its documents as a reference block and factors them against it: a factor starts
+   at a window that stands earlier too and goes on, word by word, as long as its source does.  Where
+   it ends, the windows across its boundary are looked up anew, so none is lost between two factors.
+3. Windows that stand first in their block are sent, as the words they cover, to index blocks dealt by
+   anchor, where windows of all reference blocks meet and are factored in the same way.  Windows of
+   very frequent anchors are dealt by the whole window, so no index block grows with one anchor.
+4. A document's factors merge into the spans that go.
+
+Hashes only find sources: words are numbered exactly within a block and every factor is compared
+with its source word by word, so words go only where the words of an earlier window are the same.
 """
 
 from __future__ import annotations
@@ -21,26 +24,29 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.shared import NULL_ID, fresh
-from tarnflow.llm.words import SPACES, batches_of, column_bytes, mix, rolling, second, sliding, word_hashes
+from tarnflow.llm.words import SPACES, batches_of, column_bytes, mix, rolling, sliding, word_hashes, word_ids
 
 #: Words of a window, and of the grams that stand for it.
 WIDTH, GRAM = 20, 8
-#: Bits of an anchor's number in the table of repeated anchors: the table has 2**28 bits, 32 MB.
+#: Bits of an anchor's number in the tables of anchors: two tables of 2**28 bits, 32 MB each.
 TABLE_BITS = 28
-#: Windows that a task gathers as its reference block, and that one index block should get.  Index
-#: blocks are small enough for a document's windows to spread alike over few or many of them.
-BLOCK_WINDOWS, INDEX_WINDOWS = 500_000, 200_000
+#: Windows and bytes of text that a task gathers as its reference block, and windows that one index block should
+#: get.  Index blocks are small enough for a document's windows to spread alike over few or many of them.
+BLOCK_WINDOWS, BLOCK_BYTES, INDEX_WINDOWS = 500_000, 8 << 20, 200_000
+#: Share of an index block above which an anchor is dealt by its whole windows.
+HOT_SHARE = 20
 
-_RECORD = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<u4"), ("start", "<u4")])
-#: Either documents and their windows, or one document and its duplicate windows; no long is null, as pandas would round it.
-_SHIP = "index long, keys binary, windows binary, starts binary"
+_ROW = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4")])
+#: Either documents, runs of their windows and the words of these, or one document and starts of windows that stand earlier too.
+_SHIP = pa.schema([("index", pa.int64()), ("keys", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("starts", pa.binary())])
+_FOUND = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())])
 
 
 def anchors(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +65,8 @@ def numbers(anchor: np.ndarray, bits: int) -> np.ndarray:
     return (mix(anchor) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def repeated_anchors(texts: DataFrame, width: int, gram: int, bits: int) -> tuple[np.ndarray, int]:
-    """The table of anchors that occur twice or more, packed; how many places anchors have."""
+def anchor_tables(texts: DataFrame, width: int, gram: int, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which anchors occur twice or more, which more than ``hot`` times, both packed; how many places anchors have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
@@ -69,86 +75,141 @@ def repeated_anchors(texts: DataFrame, width: int, gram: int, bits: int) -> tupl
 
     counts = texts.select("text").mapInArrow(run, "n long").groupBy("n").agg(F.count("*").alias("c"))
     chunk = 15
+    at = F.col("n").bitwiseAND((1 << chunk) - 1)
     rows = (
         counts.groupBy(F.shiftright("n", chunk).alias("chunk"))
         .agg(
             F.sum("c").alias("c"),
-            F.bitmap_construct_agg(F.when(F.col("c") > 1, F.col("n").bitwiseAND((1 << chunk) - 1))).alias("bits"),
+            F.bitmap_construct_agg(F.when(F.col("c") > 1, at)).alias("twice"),
+            F.bitmap_construct_agg(F.when(F.col("c") > hot, at)).alias("hot"),
         )
         .collect()
     )
-    table = np.zeros(1 << bits - 3, np.uint8)
+    tables = np.zeros((2, 1 << bits - 3), np.uint8)
     for row in rows:
-        at = row.chunk << chunk - 3
-        table[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)[: len(table) - at]
-    return table, sum(row.c for row in rows)
+        start = row.chunk << chunk - 3
+        for table, found in zip(tables, (row.twice, row.hot), strict=True):
+            part = np.frombuffer(found, np.uint8)
+            table[start : start + len(part)] = part[: len(table) - start]
+    return tables[0], tables[1], sum(row.c for row in rows)
 
 
-def _starts(rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Of duplicate windows: each document with its starts."""
-    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
-    cuts = np.flatnonzero(np.diff(rows["doc"])) + 1
-    for part in np.split(rows, cuts) if len(rows) else []:
-        yield int(part["doc"][0]), part["start"].tobytes()
+def _bit(table: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (table[n >> 3] >> (n & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _later(rows: np.ndarray) -> np.ndarray:
-    """Which windows also stand earlier; ``doc`` is the document's rank in the order of (key, text hash)."""
-    order = np.lexsort((rows["start"], rows["doc"], rows["g"], rows["h"]))
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-    out = np.zeros(len(rows), bool)
-    # a repeated row of one document is the same place, not a later one
-    out[order] = (rows["doc"] != rows["doc"][lead]) | (rows["start"] != rows["start"][lead])
-    return out
+def sources(ids: np.ndarray, at: np.ndarray, rank: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """For each window the place in ``at`` of the first one of the same words, in the order of (rank, start).
+
+    ``ids`` numbers words, ``at`` has the windows' places in ``ids`` in ascending order.  A window and its source, and the next
+    window and the word after the source, are one factor: its first window is compared whole, each
+    further one by its last word.  Should a hash have misled, whole windows are compared instead.
+    """
+
+    def first(h: np.ndarray) -> np.ndarray:
+        order = np.lexsort((start, rank, h))
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        lead = np.empty(len(h), np.int64)
+        lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        return lead
+
+    lead = first(rolling(mix(ids.astype(np.uint64)), width)[at])
+    source = at[lead]
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = (at[1:] == at[:-1] + 1) & (source[1:] == source[:-1] + 1)
+    other = source != at
+    heads = np.flatnonzero(other & ~goes_on)
+    along = np.flatnonzero(other & goes_on)
+    span = np.arange(width)
+    same = np.array_equal(ids[at[along] + width - 1], ids[source[along] + width - 1]) and all(
+        np.array_equal(ids[at[part, None] + span], ids[source[part, None] + span]) for part in np.array_split(heads, 1 + len(heads) // 100_000)
+    )
+    return lead if same else first(np.unique(ids[at[:, None] + span], axis=0, return_inverse=True)[1].reshape(-1))
+
+
+def _later(ids: np.ndarray, at: np.ndarray, rank: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Which windows also stand earlier; a repeated row of one document is the same place, not a later one."""
+    lead = sources(ids, at, rank, start, width)
+    return (rank != rank[lead]) | (start != start[lead])
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` consecutive numbers from each start."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _starts(rank: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Each document with the starts of its windows."""
+    order = np.lexsort((start, rank))
+    rank, start = rank[order], start[order].astype("<u4")
+    cuts = np.flatnonzero(np.diff(rank)) + 1
+    for r, part in zip(rank[np.concatenate([[0], cuts])] if len(rank) else [], np.split(start, cuts), strict=False):
+        yield int(r), part.tobytes()
 
 
 class _Block:
-    """The windows that a task has gathered: its reference block."""
+    """The documents that a task has gathered: its reference block."""
 
-    def __init__(self, index_blocks: int) -> None:
-        self.index_blocks = index_blocks
+    def __init__(self, width: int, index_blocks: int) -> None:
+        self.width, self.index_blocks = width, index_blocks
         self.clear()
 
     def clear(self) -> None:
-        self.size = 0
+        self.windows = self.bytes = 0
         self.docs: list[tuple[int, int]] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.texts: list[bytes] = []
+        self.parts: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-    def add(self, doc: tuple[int, int], h: np.ndarray, g: np.ndarray, start: np.ndarray, anchor: np.ndarray) -> None:
-        rows = np.empty(len(h), _RECORD)
-        rows["h"], rows["g"], rows["doc"], rows["start"] = h, g, len(self.docs), start
+    def add(self, doc: tuple[int, int], text: bytes, n_words: int, start: np.ndarray, dealt: np.ndarray) -> None:
+        """A document of ``n_words`` with the starts of windows that may be repeated, and hashes by which they are dealt."""
         self.docs.append(doc)
-        self.parts.append((rows, (mix(anchor ^ np.uint64(1)) % np.uint64(self.index_blocks)).astype(np.int64)))
-        self.size += len(h)
+        self.texts.append(text)
+        self.parts.append((n_words, start, (mix(dealt ^ np.uint64(1)) % np.uint64(self.index_blocks)).astype(np.int64)))
+        self.windows += len(start)
+        self.bytes += len(text)
 
     def flush(self) -> Iterator[dict]:
-        if not self.size:
+        if not self.windows:
             return
-        rows = np.concatenate([r for r, _ in self.parts])
-        index = np.concatenate([i for _, i in self.parts])
+        ids, words = word_ids(pa.array(self.texts, pa.large_binary()))
         keys, rank = np.unique(np.array(self.docs, np.int64).reshape(-1, 2), axis=0, return_inverse=True)
-        rows["doc"] = rank.reshape(-1)[rows["doc"]]
-        later = _later(rows)
-        for doc, starts in _starts(rows[later]):
+        sizes = [len(s) for _, s, _ in self.parts]
+        n_words = np.array([n for n, _, _ in self.parts], np.int64)
+        base = np.repeat(np.cumsum(n_words) - n_words, sizes)
+        rank = np.repeat(rank.reshape(-1), sizes)
+        start = np.concatenate([s for _, s, _ in self.parts])
+        index = np.concatenate([i for _, _, i in self.parts])
+        self.clear()
+        later = _later(ids, base + start, rank, start, self.width)
+        for doc, starts in _starts(rank[later], start[later]):
             at = int(mix(np.array([doc], np.uint64))[0]) % self.index_blocks
             yield {"index": at, "keys": keys[doc].tobytes(), "starts": starts}
-        rows, index = rows[~later], index[~later]
-        order = np.argsort(index, kind="stable")
-        rows, index = rows[order], index[order]
-        cuts = np.flatnonzero(np.diff(index)) + 1
-        firsts = index[np.concatenate([[0], cuts])] if len(index) else []
-        for part, i in zip(np.split(rows, cuts), firsts, strict=False):
+        base, rank, start, index = (x[~later] for x in (base, rank, start, index))
+        if not len(start):
+            return
+        # runs of windows that go to one index block
+        new = np.ones(len(start), bool)
+        new[1:] = (base[1:] != base[:-1]) | (start[1:] != start[:-1] + 1) | (index[1:] != index[:-1])
+        head = np.flatnonzero(new)
+        order = head[np.argsort(index[head], kind="stable")]
+        rows = np.empty(len(order), _ROW)
+        rows["doc"], rows["start"] = rank[order], start[order]
+        lengths = np.diff(np.append(head, len(start)))
+        rows["n"] = lengths[np.searchsorted(head, order)]
+        places = (base + start)[order]
+        cuts = np.flatnonzero(np.diff(index[order])) + 1
+        ends = [*cuts.tolist(), len(rows)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            part, n = rows[a:b], rows["n"][a:b].astype(np.int64) + self.width - 1
             used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-            yield {"index": int(i), "keys": keys[used].tobytes(), "windows": part.tobytes()}
-        self.clear()
+            text = words.take(pa.array(_ranges(places[a:b], n)))
+            joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(text)], text), pa.scalar(b" ", pa.large_binary()))
+            yield {"index": int(index[order[a]]), "keys": keys[used].tobytes(), "runs": part.tobytes(), "words": joined[0].as_py()}
 
 
 def _ship(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"index": pa.int64(), "keys": pa.binary(), "windows": pa.binary(), "starts": pa.binary()}
-    return pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
+    return pa.RecordBatch.from_pylist(rows, _SHIP)
 
 
 def duplicate_windows(
@@ -158,45 +219,55 @@ def duplicate_windows(
 
     ``texts`` has ``doc``, ``text_hash`` and ``text``.
     """
-    table, places = repeated_anchors(texts, width, gram, bits)
+    repeated, hot, places = anchor_tables(texts, width, gram, bits, max(1, index_windows // HOT_SHARE))
     index_blocks = 1 + places * (width - gram + 2) // 2 // index_windows
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    shared = texts.sparkSession.sparkContext.broadcast((repeated, hot))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, block = shared.value, _Block(index_blocks)
+        (repeated, hot), block = shared.value, _Block(width, index_blocks)
         for batch in batches_of(batches):
             docs = zip(batch.column("doc").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)
-            hashed = word_hashes(column_bytes(batch.column("text")), SPACES)
-            for doc, words in zip(docs, hashed, strict=True):
-                anchor = anchors(words, width, gram)[0]
+            raw = column_bytes(batch.column("text"))
+            for doc, text, hashed in zip(docs, raw, word_hashes(raw, SPACES), strict=True):
+                anchor = anchors(hashed, width, gram)[0]
                 n = numbers(anchor, bits)
-                start = np.flatnonzero(repeated[n >> 3] >> (n & 7).astype(np.uint8) & 1)
+                start = np.flatnonzero(_bit(repeated, n))
                 if len(start):
-                    block.add(doc, rolling(words, width)[start], second(words, width)[start], start, anchor[start])
-            if block.size >= block_windows:
-                yield _ship(list(block.flush()))
+                    whole = _bit(hot, n[start])
+                    dealt = np.where(whole, rolling(hashed, width)[start], anchor[start]) if whole.any() else anchor[start]
+                    block.add(doc, text, len(hashed), start, dealt)
+                if block.windows >= block_windows or block.bytes >= BLOCK_BYTES:
+                    yield _ship(list(block.flush()))
         yield _ship(list(block.flush()))
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        done = group[group["starts"].notna()]
-        rest = group[group["windows"].notna()]
-        out = [(*np.frombuffer(k, np.int64).tolist(), s) for k, s in zip(done["keys"], done["starts"], strict=True)]
-        rows, keys, base = [], [], 0
-        for k, w in zip(rest["keys"], rest["windows"], strict=True):
-            part = np.frombuffer(w, _RECORD).copy()
+    def meet(group: pa.Table) -> pa.Table:
+        out, rows, keys, texts, base = [], [], [], [], 0
+        for row in group.to_pylist():
+            if row["starts"] is not None:
+                out.append((*np.frombuffer(row["keys"], np.int64).tolist(), row["starts"]))
+                continue
+            part = np.frombuffer(row["runs"], _ROW).copy()
             part["doc"] += base
-            keys.append(np.frombuffer(k, np.int64).reshape(-1, 2))
+            keys.append(np.frombuffer(row["keys"], np.int64).reshape(-1, 2))
             base += len(keys[-1])
             rows.append(part)
+            texts.append(row["words"])
         if rows:
             every = np.concatenate(rows)
+            ids = word_ids(pa.array(texts, pa.large_binary()))[0]
             ranked, rank = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
-            every["doc"] = rank.reshape(-1)[every["doc"]]
-            out += [(int(ranked[d][0]), int(ranked[d][1]), s) for d, s in _starts(every[_later(every)])]
-        return pd.DataFrame(out, columns=["doc", "text_hash", "starts"])
+            n = every["n"].astype(np.int64)
+            span = n + width - 1
+            at = _ranges(np.cumsum(span) - span, n)
+            rank = np.repeat(rank.reshape(-1)[every["doc"]], n)
+            start = _ranges(every["start"].astype(np.int64), n)
+            later = _later(ids, at, rank, start, width)
+            out += [(int(ranked[d][0]), int(ranked[d][1]), s) for d, s in _starts(rank[later], start[later])]
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
-    shipped = texts.mapInArrow(parse, _SHIP)
-    return shipped.groupBy("index").applyInPandas(meet, "doc long, text_hash long, starts binary")
+    shipped = texts.mapInArrow(parse, "index long, keys binary, runs binary, words binary, starts binary")
+    return shipped.groupBy("index").applyInArrow(meet, "doc long, text_hash long, starts binary")
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> tuple[np.ndarray, list[dict]]:
@@ -229,8 +300,8 @@ def remove_duplicates(
     text are one document and fare alike.  Null and empty texts have no words and keep an empty
     text.  An empty table gives an empty table.  A clashing column name is prefixed with ``_``.
 
-    The broadcast table has ``2 ** table_bits`` bits whatever the input.  When anchors outnumber it,
-    it lets more unique windows through to the exact index, and the result stays the same.
+    The broadcast tables have ``2 ** table_bits`` bits each whatever the input.  When anchors outnumber
+    them, they let more unique windows through to the index, and the result stays the same.
     """
     n_words, kept, spans, k, t, s = fresh(docs, "n_words", "kept_text", "spans", "doc", "text_hash", "starts")
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))

@@ -2,7 +2,8 @@
 
 A rule for words is a set of separator bytes below 0x80, so a UTF-8 text splits by bytes as it would
 by characters.  Texts longer than a piece are cut at separators, so memory follows the piece and
-eight bytes a word, not the text's bytes times eight.
+eight bytes a word, not the text's bytes times eight.  Hashes find candidates; what is decided by
+words compares words (``word_ids`` numbers them exactly).
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 #: Bytes handled at once.
 PIECE = 1 << 20
 _U = np.uint64
 _BASE, _BASE2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-_powers: dict[int, np.ndarray] = {}
+#: What eight bytes are cut to, by the number that count; words of more bytes than the second are hashed one by one.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+LONG_WORD = 64
 
 
 class WordRule:
@@ -64,25 +69,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 to base**(n-1), modulo 2**64; kept, and lengthened by doubling."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, _U)
-        have[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def _hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each word: its bytes as digits to an odd base, from running sums, mixed."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    inverse = _U(pow(int(_BASE), -1, 1 << 64))
-    sums = np.zeros(len(buffer) + 1, _U)
-    np.cumsum((buffer.astype(_U) + _U(1)) * powers(_BASE, len(buffer)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(inverse, len(buffer))[starts])
+    """64 bits of each word: its length, then its bytes, eight at a time, each mixed into what stands before."""
+    sizes = ends - starts
+    h = mix(sizes.astype(_U) * _BASE)
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    h = mix(h ^ (eight[starts] & _MASKS[np.minimum(sizes, 8)])) if len(h) else h
+    rest = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    done = 8
+    while len(rest):
+        part = eight[starts[rest] + done] & _MASKS[np.minimum(sizes[rest] - done, 8)]
+        h[rest] = mix(h[rest] * _BASE2 ^ part)
+        done += 8
+        rest = rest[sizes[rest] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]])
+    return h
 
 
 def _groups(texts: list[bytes], rule: WordRule) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -119,6 +122,13 @@ def word_hashes(texts: list[bytes], rule: WordRule) -> list[np.ndarray]:
     return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, _U) for x in out]
 
 
+def word_ids(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts (binary, split at ASCII white space) as numbers, equal for equal words only; the words themselves."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string(), safe=False)).flatten().cast(pa.large_binary())
+    split = split.filter(pc.greater(pc.binary_length(split), 0))
+    return split.dictionary_encode().indices.to_numpy(), split
+
+
 def rolling(h: np.ndarray, width: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A 64-bit hash of every ``width`` consecutive hashes, by doubling."""
     n = len(h) - width + 1
@@ -138,11 +148,6 @@ def rolling(h: np.ndarray, width: int, base: np.uint64 = _BASE) -> np.ndarray:
     return mix(out[:n])
 
 
-def second(h: np.ndarray, width: int) -> np.ndarray:
-    """Another 32 bits of every ``width`` consecutive hashes, for keys of 96 bits."""
-    return (rolling(mix(h ^ _BASE2), width, _BASE2) >> _U(32)).astype(np.uint32)
-
-
 def sliding(h: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     """``op`` (minimum or maximum) over every ``width`` consecutive values."""
     n, have, block = len(h) - width + 1, 1, h
@@ -164,8 +169,6 @@ def batches_of(texts: Iterable[pa.RecordBatch], most: int = 4 << 20, column: str
     for batch in texts:
         if not batch.num_rows:
             continue
-        import pyarrow.compute as pc
-
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         total, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
