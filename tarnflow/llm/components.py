@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import written
+from tarnflow.llm.shared import forget, written
 
 #: Rounds after which a run is taken to be at fault; a round halves long chains.
 MAX_ROUNDS = 60
@@ -48,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where(F.col("a") != F.col("b")).distinct(), "links")
     seen = _mark(edges)
     for _ in range(MAX_ROUNDS):
-        edges = written(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        forget(before)
         now = _mark(edges)
         if now == seen:
             return edges

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, links by multi-index hashing, components."""
+"""SimHash near-duplicates: fingerprints, links by multi-index hashing, components, one document of each group."""
 
 from __future__ import annotations
 
@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import NULL_ID, fresh, written
-from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes, rolling, word_hashes
+from tarnflow.llm.shared import NULL_ID, forget, fresh, written
+from tarnflow.llm.shingles import SEED, key_members, may_be_near, sets_of, similar, with_keys
+from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
 
-SEED = 42
-#: Segments of a 64-bit fingerprint, as (first bit, bits).
-SEGMENTS = ((0, 32), (32, 32))
+#: Bits by which linked fingerprints differ at most.
+LIMIT = 2
+#: Bits of a segment, lowest first; of two linked fingerprints the first segments differ by at most
+#: one bit, or else the second ones by none.  Fixed by ``LIMIT``.
+SEGMENT = 32
+#: Fingerprints of a bucket of a segment's table that are compared one by one.
+BUCKET = 64
 
 
-def fingerprint(text: bytes, shingle: int, digest=xxhash.xxh64_digest, width: int = 8) -> bytes:
+def fingerprint(text: bytes, shingle: int) -> bytes:
     """Big-endian fingerprint: a bit is 1 if it is set in over half of the shingles' hashes."""
+    digest, width = xxhash.xxh64_digest, 8
     ones, total, carry = np.zeros(8 * width, np.int64), 0, []
     last = b""
     for piece in SPACES_LOWER.pieces(text):
@@ -42,17 +48,15 @@ def fingerprint(text: bytes, shingle: int, digest=xxhash.xxh64_digest, width: in
     return np.packbits(2 * ones > total).tobytes()
 
 
-def with_fingerprints(docs: DataFrame, text: str, shingle: int, *names: str) -> DataFrame:
-    """``docs`` with the fingerprint of each text as signed longs: 64 bits for one name, 128 for two."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
-    wide, digest = len(names), xxhash.xxh64_digest if len(names) == 1 else xxhash.xxh3_128_digest
+def with_fingerprints(docs: DataFrame, text: str, shingle: int, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each text as a signed long."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, column=text):
-            prints = b"".join([fingerprint(t, shingle, digest, 8 * wide) for t in column_bytes(batch.column(text))])
-            values = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, wide)
-            added = [pa.array(values[:, i].copy()) for i in range(wide)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+            prints = b"".join([fingerprint(t, shingle) for t in column_bytes(batch.column(text))])
+            values = np.frombuffer(prints, ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -61,19 +65,65 @@ def _flip(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """In as many parts as a shuffle has: rows are few bytes and are about to become many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns)
+
+
+def segment_table(x: DataFrame) -> DataFrame:
+    """(``key``, ``y``): each fingerprint under the value of each of its segments, the segment's number above."""
+    low, high = F.col("x").bitwiseAND((1 << SEGMENT) - 1), F.shiftrightunsigned("x", SEGMENT)
+    return x.select(F.explode(F.array(low, high + (1 << SEGMENT))).alias("key"), F.col("x").alias("y"))
+
+
+def ball_probes(x: DataFrame) -> DataFrame:
+    """(``key``, ``x``): the buckets in which a fingerprint looks for linked ones.
+
+    The first segment's ball has radius 1, the second's radius 0.  Of two values that differ by one
+    bit, the one without the bit looks for the other, so half of the ball is enough.
+    """
+    low, high = F.col("x").bitwiseAND((1 << SEGMENT) - 1), F.shiftrightunsigned("x", SEGMENT)
+    bits = F.array(*[F.lit(b) for b in range(SEGMENT)])
+    ball = F.transform(F.filter(bits, lambda b: F.col("x").bitwiseAND(_flip(b)) == 0), lambda b: low.bitwiseOR(_flip(b)))
+    return x.select(F.explode(F.concat(F.array(low, high + (1 << SEGMENT)), ball)).alias("key"), "x")
+
+
 def links(prints: DataFrame, column: str) -> DataFrame:
-    """Star links (``a``, ``b``) that join all distinct fingerprints at most 2 bits apart.
-
-    Of two such fingerprints, each segment differs by at most 2 bits, and a fingerprint one bit away
-    from both, or one of the two, is in the radius-1 ball of both.  So each fingerprint enumerates
-    the balls of radius 1 of its segments; the key is the altered segment with the other segment as
-    it stands.  A key of one segment alone would gather any number of fingerprints that share it;
-    the whole key gathers 65 at most, and whom it gathered is a mask of 64 bits and a flag, which
-    sums before the shuffle.  Members of a key are linked to its least; each link's complete
-    distance is verified.
+    """Links (``a``, ``b``) that join all distinct fingerprints at most 2 bits apart.
+
+    Multi-index hashing: each fingerprint stands in the table of each segment; it enumerates the small
+    balls around its own segments' values, fetches what the tables hold there, and complete distances
+    decide.  A bucket of more than ``BUCKET`` fingerprints is not paired out: those in it and those
+    that look there go by ``dense_links``, which is as exact and gathers 65 at most under a key.
     """
-    x = prints.select(F.col(column).alias("x")).distinct()
-    bits = F.array(*[F.lit(b) for first, n in SEGMENTS for b in range(first, first + n)])
+    x = _spread(written(prints.select(F.col(column).alias("x")).distinct(), "distinct-prints"))
+    table, probes = segment_table(x), ball_probes(x)
+    full = written(table.groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "full-buckets")
+    crowded = not full.isEmpty()
+    if crowded:
+        table = table.join(full, "key", "left_anti")
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    low = F.bit_count(differ.bitwiseAND((1 << SEGMENT) - 1))
+    # each pair once: the second table gives what the first cannot, and members of one bucket in order
+    first = (low == 1) | ((low == 0) & (F.col("x") < F.col("y")))
+    wanted = F.when(F.col("key") < 1 << SEGMENT, first).otherwise((low == LIMIT) & (F.col("x") < F.col("y")))
+    met = probes.join(table, "key").where(wanted & (F.bit_count(differ) <= LIMIT))
+    found = met.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if crowded:
+        there = probes.union(segment_table(x).select("key", F.col("y").alias("x"))).join(full, "key", "left_semi").select("x").distinct()
+        found = found.union(dense_links(_spread(there)))
+    return found
+
+
+def dense_links(x: DataFrame) -> DataFrame:
+    """Star links (``a``, ``b``) that join all fingerprints ``x`` at most 2 bits apart, however many share a segment.
+
+    Of two such fingerprints, one that is one bit away from both, or one of the two, is in the ball
+    of radius 1 of both.  So a key is a segment's ball member with the rest of the fingerprint as it
+    stands; it gathers 65 at most, and whom it gathered is a mask of 64 bits and a flag, which sums
+    before the shuffle.  Members of a key are at most 2 bits apart and are linked to its least.
+    """
+    bits = F.array(*[F.lit(b) for b in range(64)])
     ball = F.transform(bits, lambda b: F.struct(F.col("x").bitwiseXOR(_flip(b)).alias("key"), _flip(b).alias("mask")))
     own = F.array(F.struct(F.col("x").alias("key"), F.lit(0).cast("long").alias("mask")))
     keys = x.select(F.explode(F.concat(own, ball)).alias("k")).select("k.key", "k.mask")
@@ -86,7 +136,7 @@ def links(prints: DataFrame, column: str) -> DataFrame:
     )
     members = F.when(F.col("own"), F.concat(F.array("key"), near)).otherwise(near)
     met = met.select(F.array_min(members).alias("b"), F.explode(members).alias("a"))
-    return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
+    return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT)).distinct()
 
 
 def near_duplicates(
@@ -110,205 +160,72 @@ def near_duplicates(
     return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Least Jaccard similarity of near copies, as a fraction.
-NEAR, OF = 4, 5
-#: Documents read to learn which shingles are common, and how many of them share a common one.
-COMMON_DOCS, COMMON = 20_000, 4
 #: Rounds of stars at most before all pairs that are left are compared, and pairs a key's member
 #: from which another round is worth while.
-ROUNDS, PAIRS = 8, 1
-#: Bits of the tables of keys (32 MB) and texts (2 MB) that are worth a shuffle, and words of a parity sketch.
-TABLE_BITS, TEXT_BITS, SKETCH = 28, 24, 8
-
+ROUNDS, PAIRS = 8, 8
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text the hashes of its distinct shingles, sorted; a text of fewer words is one shingle."""
-    return [np.unique(rolling(h, min(width, max(1, len(h))))) for h in word_hashes(texts, SPACES_LOWER)]
 
+def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of ids whose SimHashes are linked, by one id of each fingerprint, and of ids that share one."""
+    least = written(sets.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    same = sets.join(least, "fp").where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    of = lambda end: least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_id"))
+    linked = links(least, "fp").join(of("a"), "a").join(of("b"), "b")
+    return same.union(linked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
-def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and their ranks.  It is a sample: it orders keys and changes no result."""
-    n = docs.count()
-    if n > COMMON_DOCS:
-        docs = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 40)) < int(COMMON_DOCS / n * (1 << 40)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
-            found = np.concatenate(shingle_sets(column_bytes(batch.column("text")), shingle))
-            key, count = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    got = counts.where(F.col("n") >= COMMON).toArrow()
-    key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return key[order], np.log2(np.maximum(got.column("n").to_numpy(), 1))[order].astype(np.uint8)
+def _with_roots(rows: DataFrame, ends: tuple[str, ...], found: DataFrame) -> DataFrame:
+    """``rows`` with the component of each id in ``ends``, as ``<end>_root``."""
+    roots = components(found)
+    for end in ends:
+        root = roots.select(F.col("a").alias(end), F.col("b").alias("to"))
+        rows = rows.join(root, end, "left").withColumn(f"{end}_root", F.coalesce("to", end)).drop("to")
+    return rows
 
 
-def with_keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """``k`` and ``t`` of ``docs`` with the ``id`` of the text's shingle set, its size ``n``, ``sketch`` and ``keys``.
+def near_links(members: DataFrame, near: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``, ``near`` links known already.
 
-    Of two sets of Jaccard similarity t or more, in any one order of all shingles, the first
-    n - ceil(t n) + 1 shingles of each have one in common.  These are the keys, rare ones first.
-    The sketch has parities of the shingles' numbers by hash: a bit that differs takes a shingle
-    that only one set has.
+    Members of one component have no need to meet.  While many pairs of different components are
+    left under the keys, the members of a key are compared with one of them, another in each round.
+    Then all pairs that are left are compared: first one for each id, then those of ids still apart.
+    ``possible`` leaves out pairs that sketches rule out, ``verify`` those that are not near.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = shared.value
-        for batch in batches_of(batches):
-            ids, sizes, sketches, keys = [], [], [], []
-            for own in shingle_sets(column_bytes(batch.column("text")), shingle):
-                n = len(own)
-                ids.append(xxhash.xxh3_64_digest(own.tobytes(), SEED))
-                sizes.append(n)
-                parity = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-                if n and len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    own = own[np.argsort(np.where(common[at] == own, ranks[at] + 1, 0), kind="stable")]
-                keys.append(own[: n + NEAR * n // -OF + 1 if n else 0])
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            values = pa.array(np.concatenate(keys).view(np.int64))
-            sketch = pa.ListArray.from_arrays(np.arange(0, SKETCH * len(ids) + 1, SKETCH, np.int32), pa.array(np.concatenate(sketches)))
-            id_ = np.frombuffer(b"".join(ids), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("t"), pa.array(id_), pa.array(sizes, pa.int32()), sketch, pa.ListArray.from_arrays(ends, values)],
-                ["k", "t", "id", "n", "sketch", "keys"],
-            )
-
-    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, id long, n int, sketch array<long>, keys array<long>")
-
-
-def _table(values: DataFrame, bits: int) -> np.ndarray:
-    """A table of fixed size, packed: bit by bit, whether ``v`` has a value that ends so."""
-    chunk = 15
-    at = F.col("v").bitwiseAND((1 << bits) - 1)
-    rows = values.select(F.shiftright(at, chunk).alias("chunk"), at.bitwiseAND((1 << chunk) - 1).alias("at"))
-    rows = rows.groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits"))
-    table = np.zeros(1 << bits - 3, np.uint8)
-    for row in rows.toLocalIterator():
-        at = row.chunk << chunk - 3
-        table[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
-    return table
-
-
-def _in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & np.int64(8 * len(table) - 1)
-    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-
-
-def _members(prints: DataFrame) -> DataFrame:
-    """``key``, ``id`` and ``n``: the keys that several sets have."""
-    spark = prints.sparkSession
-    twice = written(prints.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "twice")
-    shared = spark.sparkContext.broadcast(_table(twice.select(F.col("key").alias("v")), TABLE_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("keys")
-            values = keys.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy(zero_copy_only=False))
-            some = _in_table(shared.value, values)
-            at = pa.array(row[some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[some]), batch.column("id").take(at), batch.column("n").take(at)], ["key", "id", "n"]
-            )
-
-    some = written(prints.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int").distinct(), "some")
-    shared.unpersist()
-    return some.join(some.groupBy("key").count().where("count > 1").select("key"), "key")
-
-
-def _texts(narrow: DataFrame, ids: DataFrame) -> DataFrame:
-    """``ids`` (``id``, ``k``, ``t``) with their texts."""
-    shared = narrow.sparkSession.sparkContext.broadcast(_table(ids.select(F.col("t").alias("v")), TEXT_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_table(shared.value, batch.column("t").to_numpy())))
-
-    some = narrow.mapInArrow(run, narrow.schema)
-    return some.groupBy("k", "t").agg(F.first("text").alias("text")).join(ids, ["k", "t"])
-
-
-def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``id`` and text as ``id`` and the hashes of the text's shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
-            sets = shingle_sets(column_bytes(batch.column("text")), shingle)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, values)], ["id", "set"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, set array<long>")
-
-
-def _may_be_near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """``pairs`` without those whose sketches show that more shingles differ than a near pair's can."""
-    at = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
-    of = lambda end: at.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("s").alias(f"{end}_s"))
-    differ = sum((F.bit_count(F.col("a_s")[i].bitwiseXOR(F.col("b_s")[i])) for i in range(SKETCH)), F.lit(0))
-    most = (F.col("a_n") + F.col("b_n")) * (OF - NEAR)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ * (OF + NEAR) <= most).select("a", "b")
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of ids whose sets have a Jaccard similarity of ``NEAR / OF`` at least."""
-    of = lambda end: sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    all_ = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(both * OF >= all_ * NEAR).select("a", "b")
-
-
-def near_links(members: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``.
-    ``sets_of`` gives the sets (``id``, ``set``) of a table of ids.
-
-    In a round, the members of a key are compared with one of them, another in each round; then
-    members of one component have no need to meet.  Rounds end when few pairs of different
-    components are left under the keys, or when they find nothing, and all these pairs are compared.
-    """
-    fits = F.least("n", "b_n") * OF >= F.greatest("n", "b_n") * NEAR
-    rest, rows, found = members.withColumn("root", F.col("id")), members.count(), None
+    found, rest, rows = near, members, members.count()
     for turn in range(ROUNDS + 1):
-        one = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("one"))
-        ends = [F.col("one.id").alias("b"), F.col("one.n").alias("b_n"), F.col("one.root").alias("b_root")]
-        last = turn == ROUNDS
-        if turn:
-            sizes = rest.groupBy("key", "root").count().groupBy("key")
-            sizes = sizes.agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"))
-            left = sizes.agg(F.sum("cross")).first()[0] or 0
-            if not left:
-                break
-            last = last or left <= 2 * PAIRS * rows or near.isEmpty()
-        if last:
-            other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-            met = rest.join(other, "key").where("id < b")
-        else:
-            met = rest.join(one.select("key", *ends), "key")
-        pairs = met.where((F.col("root") != F.col("b_root")) & fits).select(F.col("id").alias("a"), "b").distinct()
-        pairs = written(_may_be_near(pairs, prints), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        near = written(similar(pairs, sets_of(ids)), "near")
-        found = near if found is None else found.union(near)
-        if last:
-            break
-        roots = components(found).select(F.col("a").alias("id"), F.col("b").alias("to"))
-        moved = rest.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("to", "id")).drop("to")
-        moved = written(moved, "moved")
-        open_ = moved.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        moved = written(_with_roots(rest, ("id",), found), "moved")
+        open_ = moved.groupBy("key").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).where("x != y").select("key")
         rest = written(moved.join(open_, "key"), "rest")
-    return found
+        forget(moved)
+        sizes = rest.groupBy("key", "id_root").count().groupBy("key")
+        sizes = sizes.agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"))
+        left = sizes.agg(F.sum("cross")).first()[0] or 0
+        if not left:
+            return found
+        if left <= 2 * PAIRS * rows or turn == ROUNDS or (turn and near.isEmpty()):
+            break
+        one = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "id_root")).alias("one"))
+        met = rest.join(one, "key").where(F.col("id_root") != F.col("one.id_root"))
+        met = written(possible(met.select(F.col("id").alias("a"), F.col("one.id").alias("b")).distinct()), "met")
+        near = verify(met.groupBy("a").agg(F.min("b").alias("b")))
+        forget(met)
+        found, rest = found.union(near), rest.drop("id_root")
+    other = rest.select("key", F.col("id").alias("b"), F.col("id_root").alias("b_root"))
+    met = rest.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("id_root") != F.col("b_root")))
+    pairs = written(possible(met.select(F.col("id").alias("a"), "b").distinct()), "pairs")
+    one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    found = found.union(verify(one))
+    apart = _with_roots(pairs.join(one, ["a", "b"], "left_anti"), ("a", "b"), found).where(F.col("a_root") != F.col("b_root"))
+    return found.union(verify(apart.select("a", "b")))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group, the row of least key stays.
 
     A group is a component of links between texts whose sets of ``shingle``-word shingles have a
-    Jaccard similarity of 0.8 at least: all such pairs are linked (``near_links``), and no others.
+    Jaccard similarity of 0.8 at least: all such pairs are linked, and no others.  SimHash finds the
+    nearest by multi-index hashing (``links``); since no small distance reaches all pairs of 0.8,
+    ``near_links`` finds the rest.  Every link is verified on the whole sets.
     Texts without words form one group.  A null key is less than every other; equal keys rank by a
     hash of their texts; of equal rows one stays.  Columns stay as they are.  An empty table gives
     an empty table.
@@ -317,21 +234,32 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
     narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
     prints = written(with_keys(narrow, shingle), "prints")
-    members = written(_members(prints), "members")
-    first = prints.groupBy("id").agg(F.min(F.struct("k", "t")).alias("at")).select("id", "at.k", "at.t")
-    first = written(first, "first")
+    of_set = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
+    sets = written(prints.groupBy("id").agg(F.min(F.struct("k", "t")).alias("at"), *of_set).select("id", "at.k", "at.t", "n", "fp", "sketch"), "sets")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        some = written(first.join(ids, "id").select("id", "k", "t"), "ids")
-        return written(_with_sets(_texts(narrow, some), shingle), "sets")
+    def possible(pairs: DataFrame) -> DataFrame:
+        return may_be_near(pairs, sets)
 
-    found = components(near_links(members, prints, sets_of)).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    rooted = written(prints.select("k", "t", "id").join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = written(sets.select("id", "k", "t").join(ids, "id"), "ids")
+        whole = written(sets_of(wanted, narrow, shingle), "shingles")
+        near = written(similar(pairs, whole), "near")
+        forget(pairs, wanted, whole)
+        return near
+
+    near = verify(possible(_fingerprint_pairs(sets)))
+    members = key_members(prints)
+    places = written(prints.select("k", "t", "id"), "places")
+    forget(prints)
+    found = components(near_links(members, near, verify, possible)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    rooted = written(places.join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))
     goes = goes.select(F.col("k").alias(k), F.col("t").alias(t)).distinct()
     kept = keyed.join(goes, [k, t], "left_anti")
-    if not prints.groupBy("k", "t").count().where("count > 1").isEmpty():
+    if not places.groupBy("k", "t").count().where("count > 1").isEmpty():
         one = Window.partitionBy(k, t).orderBy(*[c for c in docs.columns if c not in (key, text)] or [F.lit(1)])
         kept = kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
     return kept.drop(k, t)
