@@ -6,21 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_base(pts: Column, num: Column, den: Column, common: int) -> Column:
-    """A time as a whole number of 1/``common`` units, ``common`` a multiple of every base: exact, so times compare."""
-    return pts.cast("decimal(20,0)") * num.cast("decimal(9,0)") * (F.lit(common) / den).cast("decimal(9,0)")
+def seconds(pts: Column, num: Column, den: Column) -> Column:
+    """A time ``pts * num / den`` as (whole seconds, rest), which compares exactly across bases.
+
+    Rests of denominators up to 10**9 differ by 10**-18 at least, so their floors in these units
+    differ too.  Null for a base that is not positive.
+    """
+    units = pts.cast("decimal(19,0)") * num.cast("decimal(9,0)")
+    below = den.cast("decimal(10,0)")
+    rest = F.pmod(units, below)
+    whole = ((units - rest) / below).cast("decimal(29,0)")
+    part = F.floor(rest.cast("decimal(10,0)") * F.lit(10**18).cast("decimal(19,0)") / below).cast("long")
+    known = (num > 0) & (den > 0) & pts.isNotNull()
+    return F.when(known, F.struct(whole.alias("whole"), part.alias("part")))
 
 
-def monotonic_gate(df: DataFrame, at: Column, *, sent: Column | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> DataFrame:
+def monotonic_gate(
+    df: DataFrame, at: Column, *, sent: Column | None = None, resets: Column | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "seq"
+) -> DataFrame:
     """Rows whose time is after every earlier sent one's.
 
     Rejected rows never exceed the running maximum, so they need not be told apart.  With ``sent``,
-    rows that could not be written do not count, yet are themselves tried.
+    rows that could not be written do not count, yet are themselves tried.  A row with ``resets`` is
+    bad input: it is dropped, and what was sent before it no longer counts.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = at if sent is None else F.when(sent, at)
-    rows = df.withColumn("__at", at).withColumn("__top", F.max(counted).over(w))
-    return rows.where(F.col("__at").isNotNull() & (F.col("__top").isNull() | (F.col("__at") > F.col("__top")))).drop("__at", "__top")
+    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    bad = F.lit(False) if resets is None else F.coalesce(resets, F.lit(False))
+    rows = df.withColumns({"__at": at, "__bad": bad, "__run": F.count(F.when(bad, 1)).over(run)})
+    w = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = F.when(~F.col("__bad") & (F.lit(True) if sent is None else sent), F.col("__at"))
+    rows = rows.withColumn("__top", F.max(counted).over(w))
+    later = F.col("__top").isNull() | (F.col("__at") > F.col("__top"))
+    return rows.where(F.col("__at").isNotNull() & ~F.col("__bad") & later).drop("__at", "__top", "__bad", "__run")
 
 
 def keyframe_gate(df: DataFrame, changed: Column, failed: Column, keyframe: Column, *, stream: str = "stream_id", order: str = "seq") -> Column:
@@ -41,16 +58,42 @@ def carry_forward(value: Column, sets: Column, clears: Column, *, keys: tuple[st
     return F.last(held, ignorenulls=True).over(w)["v"]
 
 
-def epochs(change: Column, *, stream: str = "stream_id", order: str = "seq") -> Column:
+def epochs(change: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> Column:
     """Revision in force at a row: changes up to and with it."""
-    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return F.count(F.when(change, 1)).over(w)
 
 
-def as_of(rows: DataFrame, settings: DataFrame, at: str, value: str, *, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with the newest ``value`` set at or before their time; by a union, so nothing is paired."""
-    marked = rows.withColumn("__set", F.lit(None).cast(settings.schema[value].dataType)).withColumn("__is", F.lit(1))
-    given = settings.select(*keys, at, F.col(value).alias("__set"), F.lit(0).alias("__is"))
-    w = Window.partitionBy(*keys).orderBy(at, "__is").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(given, allowMissingColumns=True)
-    return both.withColumn(value, F.last("__set", ignorenulls=True).over(w)).where("__is = 1").drop("__is", "__set")
+def epoch_tags(changes: list[Column], *, stream: str = "stream_id", order: str = "seq") -> list[Column]:
+    """For each slot of a chain, what its outputs are tagged with: (slot, revision) of it and of all before it.
+
+    A slot whose upstream tag changes is made anew, so ordered state of a slot goes by (stream, tag).
+    """
+    revisions = [epochs(c, keys=(stream,), order=order) for c in changes]
+    pairs = [F.struct(F.lit(i).alias("slot"), r.alias("revision")) for i, r in enumerate(revisions)]
+    return [F.array(*pairs[: i + 1]) for i in range(len(pairs))]
+
+
+def as_of(rows: DataFrame, settings: DataFrame, at: str, value: str, *, keys: tuple[str, ...] = (), slice_us: int = 86_400_000_000) -> DataFrame:
+    """``rows`` with the newest ``value`` set at or before their time; by a union, so nothing is paired.
+
+    Time is cut into slices; a slice is told the last setting of those before it, by one row a slice
+    and key.  So one key, or none, may hold all rows, as long as no slice does.  Of settings of one
+    time the largest value counts, null being the least.  A row without time has no setting.
+    """
+    kind = settings.schema[value].dataType
+    marked = rows.withColumns({"__set": F.lit(None).cast(kind), "__is": F.lit(1)})
+    given = settings.where(F.col(at).isNotNull()).select(*keys, at, F.col(value).alias("__set"), F.lit(0).alias("__is"))
+    both = marked.unionByName(given, allowMissingColumns=True).withColumn("__part", F.floor(F.col(at) / slice_us))
+    newest = F.max(F.when(F.col("__is") == 0, F.struct(F.col(at), F.col("__set").alias("set"))))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    last = both.groupBy(*keys, "__part").agg(newest.alias("newest"))
+    told = last.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__slice"), F.last("newest", ignorenulls=True).over(before).alias("__told"))
+    same = F.col("__part").eqNullSafe(F.col("__slice"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    within = Window.partitionBy(*keys, "__part").orderBy(at, "__is", "__set").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("__is") == 0, F.struct(F.col("__set").alias("set"))), ignorenulls=True).over(within)
+    found = both.withColumn("__held", held).where("__is = 1").join(told, same, "left")
+    chosen = F.when(F.col(at).isNull(), None).when(F.col("__held").isNotNull(), F.col("__held.set")).otherwise(F.col("__told.set"))
+    return found.select(*[c for c in rows.columns if c != value], chosen.alias(value))

@@ -18,10 +18,15 @@ FATAL = (
 )
 
 
-def is_fatal(*messages: Column, fragments: tuple[str, ...] = FATAL) -> Column:
-    """Whether one of the messages of an error and its causes has a fatal fragment."""
+#: An error of such a type ends the stream, whatever its message.
+FATAL_TYPES = ("MemoryError", "OutOfMemoryError", "ResourceSafetyError")
+
+
+def is_fatal(*messages: Column, types: tuple[Column, ...] = (), fragments: tuple[str, ...] = FATAL) -> Column:
+    """Whether one of the messages or types of an error and its causes is fatal; null messages and types say nothing."""
     whole = F.lower(F.concat_ws("\n", *messages))
-    return F.exists(F.array(*[F.lit(f) for f in fragments]), lambda f: F.contains(whole, f))
+    by_text = F.exists(F.array(*[F.lit(f) for f in fragments]), lambda f: F.contains(whole, f))
+    return by_text | F.arrays_overlap(F.array_compact(F.array(F.lit(""), *types)), F.array(*[F.lit(t) for t in FATAL_TYPES]))
 
 
 def pass_through(df: DataFrame, failed: Column, changes: Mapping[str, Column], *, keep: Mapping[str, Column] | None = None) -> DataFrame:
@@ -33,3 +38,12 @@ def pass_through(df: DataFrame, failed: Column, changes: Mapping[str, Column], *
 def without_dropped(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     """In a chain a dropped row keeps its place, marked; after it, it is gone."""
     return df.where(F.col(outcome) != "dropped").drop(outcome)
+
+
+#: What a step leaves on a frame for the next one only.
+TEMPORARY = ("model_input", "image_transform", "inference_profile")
+
+
+def cleaned(df: DataFrame, failed: Column, *, output: str = "model_output", temporary: tuple[str, ...] = TEMPORARY) -> DataFrame:
+    """Rows after a model's step, without what was there for it only, whether it worked or not; a failed one has no output."""
+    return df.withColumn(output, F.when(~F.coalesce(failed, F.lit(False)), F.col(output))).drop(*temporary)

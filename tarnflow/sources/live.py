@@ -7,22 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tarnflow.operators.recovery import FATAL
+from tarnflow.operators.recovery import FATAL, FATAL_TYPES
+
+
+def origins(error: BaseException) -> list[BaseException]:
+    """An error and all it came from, by cause or context, each once."""
+    found = [error]
+    for e in found:
+        found += [x for x in {id(x): x for x in (e.__cause__, e.__context__)}.values() if x is not None and all(x is not y for y in found)]
+    return found
 
 
 def fatal(error: BaseException | None) -> bool:
-    """Whether an error, its cause or its context, and so on, has a fatal message; loops in the chain end."""
-    seen: set[int] = set()
-    open_ = [error]
-    while open_:
-        e = open_.pop()
-        if e is None or id(e) in seen:
-            continue
-        seen.add(id(e))
-        if isinstance(e, MemoryError) or any(f in str(e).lower() for f in FATAL):
-            return True
-        open_ += [e.__cause__, e.__context__]
-    return False
+    """Whether an error, or one it came from, ends the stream: by its type or by a fragment of its message."""
+
+    def ends(e: BaseException) -> bool:
+        names = {t.__name__ for t in type(e).__mro__}
+        return bool(names.intersection(FATAL_TYPES)) or any(f in str(e).lower() for f in FATAL)
+
+    return error is not None and any(map(ends, origins(error)))
 
 
 def keep_running(

@@ -41,10 +41,33 @@ def test_dts_gate_table(spark):
 def test_dts_gate_across_bases(spark):
     rows = [(0, 0, 9000, 90000), (0, 1, 100, 1000), (0, 2, 99, 1000), (0, 3, 101, 1000)]
     df = frame(spark, rows, "stream_id long, seq long, dts long, den int")
-    out = gating.monotonic_gate(df, gating.in_base(F.col("dts"), F.lit(1), F.col("den"), 90000))
+    out = gating.monotonic_gate(df, gating.seconds(F.col("dts"), F.lit(1), F.col("den")))
     assert sorted(r.dts for r in out.collect()) == [101, 9000]
 
 
+def test_times_of_odd_bases_compare_exactly(spark):
+    df = frame(spark, [(0, 0, 100, 30), (0, 1, 3336, 1001), (0, 2, 3337, 1001)], "stream_id long, seq long, dts long, den int")
+    out = gating.monotonic_gate(df, gating.seconds(F.col("dts"), F.lit(1), F.col("den")))
+    assert sorted(r.seq for r in out.collect()) == [0, 2]
+    rng = random.Random(6)
+    pairs = [(rng.randrange(-(10**6), 10**6), rng.randrange(1, 200), rng.randrange(1, 10**9), rng.randrange(1, 200), rng.randrange(1, 10**9)) for _ in range(2000)]
+    pairs += [(7 * k, 3, 90_000 * k, 7, 270_000) for k in range(1, 200)] + [(2**62, 1, 10**9, 1, 10**9 - 1)]
+    rows = [(i, p, n, e, p * n * d // (e * m), m, d) for i, (p, n, e, m, d) in enumerate(pairs)]
+    df = frame(spark, rows, "i long, a long, n long, e long, b long, m long, d long")
+    one, two = gating.seconds(F.col("a"), F.col("n"), F.col("e")), gating.seconds(F.col("b"), F.col("m"), F.col("d"))
+    got = {r.i: (r.less, r.same) for r in df.select("i", (one < two).alias("less"), (one == two).alias("same")).collect()}
+    for i, a, n, e, b, m, d in rows:
+        assert got[i] == (a * n * d < b * m * e, a * n * d == b * m * e)
+    assert frame(spark, [(1, 0), (1, -3), (None, 5)], "p long, d long").where(gating.seconds(F.col("p"), F.lit(1), F.col("d")).isNotNull()).count() == 0
+
+
+def test_gate_forgets_at_bad_input(spark):
+    rows = [(0, 0, 50, False), (0, 1, 60, True), (0, 2, 10, False), (0, 3, 9, False), (1, 0, 5, None)]
+    df = frame(spark, rows, "stream_id long, seq long, dts long, bad boolean")
+    out = gating.monotonic_gate(df, F.col("dts"), resets=F.col("bad"))
+    assert sorted((r.stream_id, r.seq) for r in out.collect()) == [(0, 0), (0, 2), (1, 0)]
+
+
 def test_gates_against_replay(spark):
     rng = random.Random(5)
     rows = [(s, i, rng.randrange(30), rng.random() < 0.1, rng.random() < 0.15, rng.random() < 0.3, rng.random() < 0.2) for s in range(60) for i in range(25)]
@@ -95,3 +118,23 @@ def test_as_of_takes_newest(spark):
     settings = frame(spark, [(1, 5, "a"), (1, 11, "b")], "k long, at long, v string")
     out = gating.as_of(rows, settings, "at", "v", keys=("k",)).orderBy("at").collect()
     assert [r.v for r in out] == ["a", "a", "b"]
+
+
+def test_as_of_over_slices(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, rng.randrange(60)]), i) for i in range(200)]
+    given = [(rng.choice([None, 1, 2]), rng.randrange(60), rng.choice([None, 1, 2, 3])) for _ in range(25)]
+    df, settings = frame(spark, rows, "k long, at long, i long"), frame(spark, given, "k long, at long, v long")
+    for keys in ((), ("k",)):
+        got = {r.i: r.v for r in gating.as_of(df, settings, "at", "v", keys=keys, slice_us=7).collect()}
+        for k, at, i in rows:
+            known = [(a, v is not None, v or 0, v) for g, a, v in given if at is not None and a <= at and (not keys or g == k)]
+            assert got[i] == (max(known)[3] if known else None)
+    assert gating.as_of(df.limit(0), settings, "at", "v").count() == 0
+
+
+def test_steps_after_a_drop_do_not_see_the_row(spark):
+    df = frame(spark, [(0,), (1,), (None,)], "k long")
+    broken = lambda v: F.when(F.col("k") == 0, F.raise_error(F.lit("seen")).cast("long")).otherwise(v + 1)
+    value, gone = sampling.chain_with_drops([lambda v: v, broken], [lambda v: v == 0, lambda v: F.lit(False)], F.col("k"))
+    assert [tuple(r) for r in df.select(value.alias("v"), gone.alias("g")).collect()] == [(0, True), (2, False), (None, False)]
