@@ -24,7 +24,11 @@ Finish = Callable[[Any], list[tuple]]
 def replay(
     df: DataFrame, step: Step, schema: str, *, start: Callable[[], Any], stream: str = "stream_id", order: tuple[str, ...] = ("seq",), finish: Finish | None = None
 ) -> DataFrame:
-    """The rows that ``step`` gives, with the stream's id before them."""
+    """The rows that ``step`` gives, with the stream's id before them.
+
+    A stream's rows come in ``order`` (nulls first, equal ones in any order).  Rows of a null id are one
+    stream.  An empty table gives no rows.
+    """
     out = T.StructType([df.schema[stream], *T.StructType.fromDDL(schema).fields])
     kinds = to_arrow_schema(out)
 
@@ -62,21 +66,47 @@ def busy_skip(free: int | None, row: Row) -> tuple[int | None, list[tuple]]:
 def deadline(limit_us: int) -> Step:
     """One slot with a deadline a row: outcome, and whether a row comes out.
 
-    A row that finds the slot taken passes as it is.  One that ends in time gives its result, or
-    itself if it failed.  One that does not is dropped, unless its input was released in time.
+    ``busy``       the slot is taken: the row passes as it is;
+    ``completed``  done in time: its result comes out;
+    ``error``      failed in time: the row passes as it is;
+    ``dropped``    done in time, and the result is that nothing comes out;
+    ``timeout``    not done in time: dropped, unless its input was released or it was done by the time
+                   of the check, ``check_us`` after the deadline;
+    ``partial``    of several ``stages_us``, those that would start at the deadline or later were left out;
+    ``fatal``      the stream ends: once a fatal row is done no row comes out, and later ones are ``ended``.
+
+    A row has ``at_us``, ``service_us`` or ``stages_us``, and may have ``failed``, ``dropped``,
+    ``fatal``, ``check_us``, ``released_after_us`` (which counts for a single stage only) and
+    ``frame_released_after_us``.
     """
 
-    def step(state: tuple[int, int] | None, row: Row) -> tuple[tuple[int, int], list[tuple]]:
-        clock, free = state or (row["at_us"], row["at_us"])
+    def step(state: tuple | None, row: Row) -> tuple[tuple, list[tuple]]:
+        clock, free, dies = state or (row["at_us"], row["at_us"], None)
         clock = max(clock, row["at_us"])
+        if dies is not None and clock >= dies:
+            return (clock, free, dies), [(row["seq"], "ended", False)]
         if clock < free:
-            return (clock, free), [(row["seq"], "busy", True)]
-        done, last = clock + row["service_us"], clock + limit_us
+            return (clock, free, dies), [(row["seq"], "busy", True)]
+        stages = row.get("stages_us") or [row["service_us"]]
+        last = clock + limit_us
+        done, ran = clock, 0
+        for service in stages:
+            if ran and done >= last:
+                break
+            done, ran = done + service, ran + 1
+        whole = ran == len(stages)
+        fatal = whole and row.get("fatal")
+        if fatal:
+            dies = done
         if done <= last:
-            return (done, done), [(row["seq"], "error" if row["failed"] else "completed", True)]
-        released = row["released_after_us"]
-        emitted = released is not None and clock + released <= last
-        return (last, done), [(row["seq"], "timeout", emitted)]
+            kind = "partial" if not whole else "fatal" if fatal else "error" if row.get("failed") else "dropped" if row.get("dropped") else "completed"
+            return (done, done, dies), [(row["seq"], kind, kind not in ("fatal", "dropped"))]
+        check = last + (row.get("check_us") or 0)
+        if fatal and done <= check:
+            return (check, done, dies), [(row["seq"], "fatal", False)]
+        released = [row.get("frame_released_after_us"), row.get("released_after_us") if len(stages) == 1 else None]
+        emitted = done <= check or any(x is not None and clock + x <= check for x in released)
+        return (check, done, dies), [(row["seq"], "timeout" if whole else "partial", emitted)]
 
     return step
 
@@ -108,13 +138,18 @@ def chained_dts(last: tuple[int, int, int] | None, row: Row) -> tuple[tuple[int,
 
 
 class DropOldest:
-    """A queue of ``size`` before one consumer; when full, the oldest waiting row is dropped."""
+    """A queue of ``size`` before one consumer; when full, the oldest waiting row is dropped.
+
+    A row may be an event: ``discard`` drops all that wait; ``failed`` ends the queue: its consumer
+    gets the error next, before any row that waits, and nothing after it.  Rows that come out carry
+    how many were dropped before.
+    """
 
     def __init__(self, size: int = 30) -> None:
         self.size = size
 
     def start(self) -> dict[str, Any]:
-        return {"free": None, "waiting": deque(), "dropped": 0}
+        return {"free": None, "waiting": deque(), "dropped": 0, "ended": False}
 
     def _take(self, state: dict[str, Any], until: int | None) -> list[tuple]:
         out = []
@@ -129,7 +164,17 @@ class DropOldest:
         return out
 
     def step(self, state: dict[str, Any], row: Row) -> tuple[dict[str, Any], list[tuple]]:
+        if state["ended"]:
+            return state, []
         out = self._take(state, row["at_us"])
+        if row.get("failed"):
+            state["ended"] = True
+            state["waiting"].clear()
+            return state, [*out, (row["seq"], max(row["at_us"], state["free"] or row["at_us"]), state["dropped"])]
+        if row.get("discard"):
+            state["dropped"] += len(state["waiting"])
+            state["waiting"].clear()
+            return state, out
         if len(state["waiting"]) == self.size:
             state["waiting"].popleft()
             state["dropped"] += 1

@@ -102,6 +102,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_keeps_values_and_ends(spark, tmp_path):
+    """Large whole numbers, nulls and NaN come through; a stream that falls silent gives what it held."""
+    big = 2**53 + 1
+    rows = [(0, 1, big, float("nan"), 10), (0, 2, None, 1.0, 20), (1, 1, big, None, 15)]
+    later = [(2, 9, 0, 0.0, 4000)]
+    for part in (rows, later, [(2, 10, 0, 0.0, 8000)]):
+        df = spark.createDataFrame(part, "stream_id long, at_us long, big long, x double, s long").withColumn("ts", F.timestamp_seconds("s"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def step(held, row):
+        return [*held, (row["at_us"], row["big"], repr(row["x"]))], []
+
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = replay_stream(live, step, "at_us long, big long, x string", start=list, finish=lambda held: held, at="ts", idle_ms=60_000)
+    got = sorted((r.stream_id, r.at_us, r.big, r.x) for r in run_available(out, "held", str(tmp_path / "check")).collect() if r.stream_id < 2)
+    assert got == [(0, 1, big, "nan"), (0, 2, None, "1.0"), (1, 1, big, "None")]
+
+
 def test_long_stream_spans_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
