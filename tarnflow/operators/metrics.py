@@ -13,15 +13,30 @@ def counters(seconds: Column, *, keys: tuple[str, ...] = ("stream_id",), order:
 
 
 def interval_metrics(df: DataFrame, interval_us: int, seconds: Column, inference: Column, *, keys: tuple[str, ...] = ("stream_id",), at: str = "at_us") -> DataFrame:
-    """Per interval: frames a second, mean milliseconds (0 without frames), mean inference (null without)."""
+    """Per interval, from a key's first to its last: frames a second, mean milliseconds, mean inference.
+
+    An interval without frames has a row too: 0 frames, 0.0 milliseconds and no mean inference.
+    """
     n, m = F.count("*"), F.count(inference)
-    return df.groupBy(*keys, F.floor(F.col(at) / interval_us).cast("long").alias("interval")).agg(
+    found = df.groupBy(*keys, F.floor(F.col(at) / interval_us).cast("long").alias("interval")).agg(
         n.alias("frames"),
-        (n / (interval_us / 1e6)).alias("fps"),
-        F.round(F.coalesce(F.avg(F.greatest(seconds, F.lit(0.0))) * 1000, F.lit(0.0)), 6).alias("avg_ms"),
+        F.avg(F.greatest(seconds, F.lit(0.0))).alias("__mean"),
         m.alias("inferences"),
         F.round(F.avg(inference) * 1000, 6).alias("inference_avg_ms"),
     )
+    w = Window.partitionBy(*keys).orderBy("interval")
+    gap = F.sequence(F.col("interval"), F.coalesce(F.lead("interval").over(w) - 1, F.col("interval")))
+    rows = found.withColumn("__all", gap).withColumn("__at", F.explode("__all"))
+    here = F.col("__at") == F.col("interval")
+    return rows.select(
+        *keys,
+        F.col("__at").alias("interval"),
+        F.when(here, F.col("frames")).otherwise(0).alias("frames"),
+        F.when(here, F.col("frames") / (interval_us / 1e6)).otherwise(0.0).alias("fps"),
+        F.when(here, F.round(F.coalesce(F.col("__mean"), F.lit(0.0)) * 1000, 6)).otherwise(0.0).alias("avg_ms"),
+        F.when(here, F.col("inferences")).otherwise(0).alias("inferences"),
+        F.when(here, F.col("inference_avg_ms")).alias("inference_avg_ms"),
+    )
 
 
 def trailing_average(value: Column, window_us: int, *, keys: tuple[str, ...] = ("stream_id",), at: str = "at_us") -> Column:
@@ -55,10 +70,24 @@ def stage_report(parts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def bounded_history(df: DataFrame, keep: int, *, keys: tuple[str, ...], order: str, window_us: int | None = None, now: Column | None = None) -> DataFrame:
-    """The newest ``keep`` rows of each key, and none older than the window."""
+def windowed_report(parts: DataFrame, since: DataFrame, window_us: int, *keys: str, kind: str = "kind", at: str = "at_us") -> DataFrame:
+    """``stage_report`` over two periods: ``window``, after the kind's last report, and ``recent``, the last
+    ``window_us``.  ``since`` has ``kind``, ``since_us`` and ``now_us``, one row a kind; later parts are not seen."""
+    rows = parts.join(F.broadcast(since), kind).where(F.col(at) <= F.col("now_us"))
+    names = F.array_compact(
+        F.array(F.when(F.col(at) > F.col("since_us"), "window"), F.when(F.col(at) > F.col("now_us") - window_us, "recent"))
+    )
+    return stage_report(rows.withColumn("period", F.explode(names)), "period", *keys)
+
+
+def bounded_history(df: DataFrame, keep: int, *, keys: tuple[str, ...], order: str, window_us: int | None = None) -> DataFrame:
+    """The newest ``keep`` rows of each key, and none older than the window before the newest of all."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    rows = df if window_us is None else df.where(F.col(order) > now - window_us)
+    rows = df
+    if window_us is not None:
+        # one row, joined so that no job runs while the plan is made
+        newest = df.agg(F.max(order).alias("__now"))
+        rows = df.join(F.broadcast(newest), F.col(order) > F.col("__now") - window_us).drop("__now")
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
 
 

@@ -50,6 +50,16 @@ def chain_until_failure(steps: list[Callable[[Column], Column]], failed: list[Co
     return out
 
 
+def chain_with_drops(steps: list[Callable[[Column], Column]], drops: list[Callable[[Column], Column]], value: Column) -> tuple[Column, Column]:
+    """Value after an inner chain, and whether a step dropped the row; ``drops`` tell so of each step's
+    result.  Steps after a drop do not see the row."""
+    out, gone = value, F.lit(False)
+    for step, drop in zip(steps, drops, strict=True):
+        out = F.when(~gone, step(out)).otherwise(out)
+        gone = gone | F.coalesce(F.when(~gone, drop(out)), F.lit(False))
+    return out, gone
+
+
 def run_once(df: DataFrame, changes: Mapping[str, Column], *, fails: Column | None = None, stream: str = "stream_id", order: str = "seq") -> DataFrame:
     """``changes`` at the first row on which the step does not fail; others pass."""
     works = F.lit(True) if fails is None else ~fails

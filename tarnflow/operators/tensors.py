@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,14 +26,14 @@ def valid_inputs(inputs: Column, *, shared: bool = False) -> Column:
 
 def valid_backend(name: Column) -> Column:
     """One of the known backends, or ``module:Class``."""
-    return name.isin(*BACKENDS) | name.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*:[A-Za-z_]\w*$")
+    return name.isin(*BACKENDS) | name.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*:[A-Za-z_]\w*\z")
 
 
 def fits_engine(shape: Column, low: Column, high: Column, fixed: Column) -> Column:
     """Whether a shape has the engine's rank, its fixed sides (-1: free) and lies in its profile."""
     sides = F.forall(F.zip_with(shape, fixed, lambda s, f: (f == -1) | (s == f)), lambda x: x)
-    least = F.forall(F.zip_with(shape, low, lambda s, x: s >= x), lambda x: x)
-    most = F.forall(F.zip_with(shape, high, lambda s, x: s <= x), lambda x: x)
+    least = F.forall(F.zip_with(shape, low, lambda s, x: x.isNull() | (s >= x)), lambda x: x)
+    most = F.forall(F.zip_with(shape, high, lambda s, x: x.isNull() | (s <= x)), lambda x: x)
     return F.coalesce((F.size(shape) == F.size(fixed)) & sides & least & most, F.lit(False))
 
 
@@ -44,6 +46,102 @@ def flatten_outputs(outputs: Column) -> Column:
     return F.map_from_entries(F.flatten(inner))
 
 
+def _leaves(outputs: Any) -> dict[str, str]:
+    """Names and values of a model's outputs of any depth; containers wait in a queue, in order."""
+    found: dict[str, str] = {}
+    waiting = [("", outputs)]
+    while waiting:
+        path, value = waiting.pop(0)
+        if isinstance(value, (dict, list)):
+            if not value:
+                raise ValueError(f"empty container at {path or 'the top'}")
+            named = value.items() if isinstance(value, dict) else ((f"output{i}", v) for i, v in enumerate(value))
+            children = [(f"{path}/{name}" if path else name, name, v) for name, v in named]
+            if any(not name.strip() for _, name, _ in children):
+                raise ValueError(f"blank name under {path or 'the top'}")
+            waiting = [(full, v) for full, _, v in children] + waiting
+        elif value is None:
+            raise ValueError(f"no tensor at {path or 'the top'}")
+        else:
+            name = path or "output0"
+            if name in found:
+                raise ValueError(f"two outputs named {name}")
+            found[name] = value if isinstance(value, str) else json.dumps(value)
+    return found
+
+
+def normalize_outputs(outputs: Column) -> Column:
+    """Outputs in JSON, in which what is no container stands for a tensor, as (``outputs``: name to tensor, ``error``).
+
+    A lone tensor is ``output0``, the i-th of a list ``output<i>``, and names of levels are joined by
+    ``/``.  Empty containers, blank names, names that come twice, nulls and text that is not JSON are errors.
+    """
+
+    def one(text: str | None) -> dict[str, Any]:
+        try:
+            return {"outputs": _leaves(json.loads(text or "null")), "error": None}
+        except ValueError as e:
+            return {"outputs": None, "error": "not JSON" if isinstance(e, json.JSONDecodeError) else str(e)}
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["outputs", "error"])
+
+    return F.pandas_udf(run, "outputs map<string,string>, error string")(outputs)
+
+
+#: Keys under which an encoder's answer has its bytes, the first that has any.
+BYTE_KEYS = ("bitstream", "data", "packet", "encoded_data", "payload")
+
+
+def _bytes_in(answer: Any) -> bytes | None:
+    if isinstance(answer, list) and all(isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 256 for x in answer):
+        return bytes(answer)
+    if isinstance(answer, dict):
+        preferred = [answer[k] for k in BYTE_KEYS if k in answer]
+        inside = [*preferred, *answer.values()]
+    else:
+        inside = answer if isinstance(answer, list) else []
+    return next((b for b in map(_bytes_in, inside) if b is not None), None)
+
+
+def encoded_bytes(answer: Column) -> Column:
+    """The bytes in an encoder's answer in JSON: a list of bytes, or the first such list in it, looking under the
+    preferred keys of a map first; null if there is none."""
+
+    def one(text: str | None) -> bytes | None:
+        try:
+            return _bytes_in(json.loads(text or "null"))
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda texts: texts.map(one).astype(object), "binary")(answer)
+
+
+def engine_payload(file: Column, most: int = 1 << 20) -> Column:
+    """An engine's file without the metadata before it: four bytes of length, lowest first, and a JSON object.
+
+    What does not begin so is the engine as it is.
+    """
+    size = F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(file, 1, 4)), F.lit("(..)"), F.lit(1))), ""), 16, 10).cast("long")
+    fits = (F.octet_length(file) >= 4) & (size > 0) & (size <= F.least(F.lit(most), F.octet_length(file) - 4))
+    text = F.try_validate_utf8(F.substring(file, F.lit(5), size.cast("int")).cast("string"))
+    is_object = F.startswith(F.ltrim(text), F.lit("{")) & F.try_parse_json(text).isNotNull()
+    rest = F.substring(file, size.cast("int") + 5, F.octet_length(file))
+    return F.when(fits & F.coalesce(is_object, F.lit(False)), rest).otherwise(file)
+
+
+def fits_bindings(inputs: Column, bindings: Column) -> Column:
+    """Whether inputs (name to (dtype, shape)) have exactly the engine's names and, each, its type and a shape that
+    fits: ``bindings`` maps a name to (dtype, fixed, low, high), where -1 in ``fixed`` is free within (low, high)."""
+    names = F.array_sort(F.map_keys(inputs)) == F.array_sort(F.map_keys(bindings))
+
+    def one(k: Column, v: Column) -> Column:
+        b = F.try_element_at(bindings, k)
+        return F.coalesce((v["dtype"] == b["dtype"]) & fits_engine(v["shape"], b["low"], b["high"], b["fixed"]), F.lit(False))
+
+    return F.coalesce(names & F.forall(F.map_entries(inputs), lambda e: one(e["key"], e["value"])), F.lit(False))
+
+
 def infer(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.Series]], output: str = "double", name: str = "model_output") -> DataFrame:
     """``df`` with a model's output; a task makes its model once.  ``factory`` gives rows -> values."""
     schema = f"{df._jdf.schema().toDDL()}, `{name}` {output}"

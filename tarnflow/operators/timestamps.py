@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rescale(pts: Column, num: Column, den: Column, to_num: int, to_den: int) -> Column:
+def rescale(pts: Column, num: Column, den: Column, to_num: Column | int, to_den: Column | int) -> Column:
     """``pts`` in another base, to the nearest whole number, halves to even; null for a base of 0 or less."""
-    top = pts.cast("decimal(20,0)") * (num * to_den).cast("decimal(12,0)")
-    low = (den * to_num).cast("decimal(12,0)")
+    to = [F.lit(x) if isinstance(x, int) else x for x in (to_num, to_den)]
+    top = pts.cast("decimal(20,0)") * (num * to[1]).cast("decimal(12,0)")
+    low = (den * to[0]).cast("decimal(12,0)")
     return F.when((num > 0) & (den > 0), F.bround((top / low).cast("decimal(38,9)"), 0).cast("long"))
 
 
+def session_base(num: Column, den: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> Column:
+    """The base (num, den) of a session: that of its first packet whose base is positive."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.first(F.when((num > 0) & (den > 0), F.struct(num.alias("num"), den.alias("den"))), ignorenulls=True).over(w)
+
+
 def fill_dts(dts: Column, pts: Column) -> Column:
     """A missing decoding time is the presentation time."""
     return F.coalesce(dts, pts)
@@ -34,8 +41,18 @@ def valid_time(pts: Column, num: Column, den: Column, duration: Column) -> Colum
 
 
 def preserve(frames: DataFrame, packets: DataFrame, valid: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> DataFrame:
-    """Output packets in order take the times of valid frames in order; packets in excess go."""
+    """Output packets in order take the times of valid frames in order; packets in excess go.
+
+    After a failure nothing waits any more: pairs are made within ``keys``, which have the number of
+    failures so far (``failures``) where a codec may fail.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     left = frames.where(valid).withColumn("__n", F.row_number().over(w))
     right = packets.withColumn("__n", F.row_number().over(w)).drop(order)
     return left.join(right, [*keys, "__n"]).drop("__n")
+
+
+def failures(failed: Column, *, stream: str = "stream_id", order: str = "seq") -> Column:
+    """How often the codec has failed up to a row, and at it."""
+    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.count(F.when(failed, 1)).over(w)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnflow.operators.replay import Row, replay
 
@@ -22,12 +27,29 @@ def nv12_to_rgb(y: Column, u: Column, v: Column) -> dict[str, Column]:
     }
 
 
-def frame_outcome(fmt: Column, height: Column, width: Column) -> Column:
-    """ok; dropped for NV12 whose sides are not even and positive; error for what cannot be read."""
-    even = (height > 0) & (width > 0) & (height % 2 == 0) & (width % 2 == 0)
-    return (
-        F.when((fmt == "nv12") & even, "ok").when(fmt == "nv12", "dropped").when(fmt.isin("rgb", "bgr"), "ok").otherwise("error")
-    )
+def nv12_pixels(frames: DataFrame, buffer: str, *keep: str, height: str = "height", width: str = "width", pitch: str | None = None) -> DataFrame:
+    """A row (keep, y, x, r, g, b) for each pixel of NV12 buffers, arrays of bytes: luma rows, then rows of
+    chroma pairs, of which each holds for four pixels.  Rows are ``pitch`` long, if not ``width``."""
+    row = F.col(pitch or width)
+    rows = frames.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col(height) * F.col(width) - 1)))
+    rows = rows.withColumns({"y": F.floor(F.col("__i") / F.col(width)), "x": F.col("__i") % F.col(width)})
+    at = lambda i: F.get(buffer, i.cast("int"))
+    cell = (F.col(height) + F.floor(F.col("y") / 2)) * row + F.floor(F.col("x") / 2) * 2
+    rgb = nv12_to_rgb(at(F.col("y") * row + F.col("x")), at(cell), at(cell + 1))
+    return rows.select(*keep, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *[c.alias(n) for n, c in rgb.items()])
+
+
+def frame_outcome(fmt: Column, height: Column, width: Column, size: Column | None = None, pitch: Column | None = None) -> Column:
+    """ok; dropped for NV12 whose sides are not even and positive or whose buffer is too small; error for what
+    cannot be read: another format, or RGB whose buffer is not of its size."""
+    sides = (height > 0) & (width > 0)
+    row = width if pitch is None else F.coalesce(pitch, width)
+    enough = F.lit(True) if size is None else (row >= width) & (size % row == 0) & (size / row >= height * 3 / 2)
+    whole = F.lit(True) if size is None else size == height * width * 3
+    nv12 = F.coalesce(sides & (height % 2 == 0) & (width % 2 == 0) & enough, F.lit(False))
+    rgb = F.coalesce(sides & whole, F.lit(False))
+    known = F.lower(fmt)
+    return F.when(known == "nv12", F.when(nv12, "ok").otherwise("dropped")).when(known.isin("rgb", "bgr") & rgb, "ok").otherwise("error")
 
 
 def letterbox(h: Column, w: Column, th: int, tw: int, *, mode: str = "letterbox", crop: tuple[int, int] | None = None, scaleup: bool = True, center: bool = True, auto: bool = False, stride: int = 32) -> dict[str, Column]:
@@ -136,42 +158,47 @@ def merge_detections(found: Column, model: Column, boxes: Column) -> Column:
 
 
 def edge_mask(boxes: DataFrame, height: int, width: int, thickness: int, *, frame: str = "frame_id") -> DataFrame:
-    """Painted pixels of box outlines (x1, y1, x2, y2): corner deltas, then two running sums.
+    """Painted pixels (frame, y, x) of the outlines of boxes (x1, y1, x2, y2).
 
-    Sides are rounded, halves to even, and held in the image; boxes that are not numbers, inverted
-    or outside are left out.
+    Corners are rounded, halves to even, and belong to the box; what reaches over the image is cut at
+    its border, where the outline then runs.  Boxes with a corner that is null or not finite, inverted
+    ones and those outside the image have no pixels.  Only outlines are made, a row of a box at a time.
     """
-    side = lambda c: F.bround(F.col(c), 0).cast("long")
-    hold = lambda c, low, high: F.greatest(F.lit(low), F.least(c, F.lit(high))).cast("int")
-    seen = boxes.where(F.coalesce(~F.isnan(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2")), F.lit(False)))
-    seen = seen.select(frame, side("x1").alias("l"), side("y1").alias("t"), side("x2").alias("r"), side("y2").alias("b"))
-    seen = seen.where((F.col("r") >= F.col("l")) & (F.col("b") >= F.col("t")) & (F.col("r") >= 0) & (F.col("b") >= 0))
-    seen = seen.where((F.col("l") < width) & (F.col("t") < height)).select(
-        frame, hold(F.col("l"), 0, width).alias("l"), hold(F.col("t"), 0, height).alias("t"),
-        (hold(F.col("r"), 0, width - 1) + 1).alias("r"), (hold(F.col("b"), 0, height - 1) + 1).alias("b"),
-    )
-    left, top, right, bottom = (F.col(c) for c in "ltrb")
-    edges = F.array(
-        *[
-            F.struct(x.alias("l"), y.alias("t"), z.alias("r"), q.alias("b"))
-            for x, y, z, q in (
-                (left, top, right, F.least(bottom, top + thickness)), (left, F.greatest(top, bottom - thickness), right, bottom),
-                (left, top, F.least(right, left + thickness), bottom), (F.greatest(left, right - thickness), top, right, bottom),
-            )
-        ]
-    )
-    rects = seen.select(frame, F.explode(edges).alias("e")).select(frame, "e.*")
-    deltas = F.array(*[F.struct(F.col(y).alias("y"), F.col(x).alias("x"), F.lit(d).alias("d")) for y, x, d in (("t", "l", 1), ("t", "r", -1), ("b", "l", -1), ("b", "r", 1))])
-    points = rects.select(frame, F.explode(deltas).alias("p")).select(frame, "p.*").groupBy(frame, "y", "x").agg(F.sum("d").alias("d"))
-    # a row of pixels for each frame that has boxes
-    cells = points.select(frame).distinct().select(frame, F.explode(F.sequence(F.lit(0), F.lit(height))).alias("y")).select(
-        frame, "y", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("x")
+    at = {c: F.bround(F.col(c), 0) for c in ("x1", "y1", "x2", "y2")}
+    finite = F.lit(True)
+    for c in at:
+        finite = finite & (F.abs(F.col(c)) < float("inf"))
+    shown = finite & (at["x1"] <= at["x2"]) & (at["y1"] <= at["y2"]) & (at["x2"] >= 0) & (at["y2"] >= 0) & (at["x1"] < width) & (at["y1"] < height)
+    within = lambda c, most: clamp(at[c], 0, most).cast("int")
+    cut = boxes.where(F.coalesce(shown, F.lit(False))).select(
+        frame, within("x1", width - 1).alias("left"), within("x2", width - 1).alias("right"), within("y1", height - 1).alias("top"), within("y2", height - 1).alias("bottom")
     )
-    full = cells.join(points, [frame, "y", "x"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    along = Window.partitionBy(frame, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(frame, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    summed = full.withColumn("d", F.sum("d").over(along)).withColumn("d", F.sum("d").over(down))
-    return summed.where(f"d > 0 and y < {height} and x < {width}").select(frame, "y", "x")
+    rows = cut.select("*", F.explode(F.sequence("top", "bottom")).alias("y"))
+    left, right, band = F.col("left"), F.col("right"), thickness - 1
+    edge_row = (F.col("y") - F.col("top") <= band) | (F.col("bottom") - F.col("y") <= band)
+    sides = F.concat(F.sequence(left, F.least(left + band, right)), F.sequence(F.greatest(right - band, left), right))
+    return rows.select(frame, "y", F.explode(F.when(edge_row, F.sequence(left, right)).otherwise(sides)).alias("x")).distinct()
+
+
+def yuv(color: str) -> tuple[int, int, int]:
+    """A colour ``#rrggbb`` in limited-range luma and chroma, by the fixed weights of BT.601."""
+    r, g, b = bytes.fromhex(color.removeprefix("#"))
+    weights = {"y": (16, 65.481, 128.553, 24.966), "u": (128, -37.797, -74.203, 112.0), "v": (128, 112.0, -93.786, -18.214)}
+    y, u, v = (round(base + (wr * r + wg * g + wb * b) / 255) for base, wr, wg, wb in weights.values())
+    return y, u, v
+
+
+def paint(pixels: DataFrame, mask: DataFrame, color: str, *, frame: str = "frame_id") -> DataFrame:
+    """``pixels`` (frame, plane ``y``, ``u`` or ``v``, y, x, v) with the colour where ``mask`` (frame, y, x) has luma pixels.
+
+    A chroma cell is painted if one of its four luma pixels is.
+    """
+    luma, u, v = yuv(color)
+    cells = chroma_mask(mask, frame=frame)
+    one = lambda df, plane, value: df.select(frame, F.lit(plane).alias("plane"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.lit(value).alias("__color"))
+    colored = one(mask, "y", luma).union(one(cells, "u", u)).union(one(cells, "v", v)).distinct()
+    found = pixels.join(colored, [frame, "plane", "y", "x"], "left")
+    return found.withColumn("v", F.coalesce("__color", "v")).select(*pixels.columns)
 
 
 def chroma_mask(mask: DataFrame, *, frame: str = "frame_id") -> DataFrame:
@@ -179,20 +206,46 @@ def chroma_mask(mask: DataFrame, *, frame: str = "frame_id") -> DataFrame:
     return mask.select(frame, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).distinct()
 
 
-def nearest_score(queries: DataFrame, memory: DataFrame, *, image: str, patch: str, vector: str = "v", block: int = 4096) -> DataFrame:
-    """Per image the largest, over its patches, of the distance to the nearest vector of ``memory``.
+def nearest_distances(queries: DataFrame, memory: DataFrame, *, vector: str = "v", distance: str = "distance", block: int = 4096, most: int = 1_000_000) -> DataFrame:
+    """``queries`` with the distance of each vector to the nearest of ``memory``; null without memory.
 
-    The memory is a model: it is sent to the tasks in blocks of ``block`` vectors, and minima of the
-    blocks are combined.
+    The memory is a model: vectors are read once, a block of them at a time, and each is a matrix
+    product with a batch of queries, so neither side is paired in rows.  It is sent to the tasks, so
+    more than ``most`` vectors are refused.
     """
-    n = memory.count()
-    square = lambda c: F.aggregate(F.transform(c, lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    dot = F.aggregate(F.zip_with(vector, "m", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    far = F.greatest(F.lit(0.0), square(F.col(vector)) + square(F.col("m")) - 2 * dot)
-    parts = None
-    for part in range(max(1, -(-n // block))):
-        mine = memory.where(F.pmod(F.xxhash64(vector), F.lit(max(1, -(-n // block)))) == part).select(F.col(vector).alias("m"))
-        one = queries.join(F.broadcast(mine)).groupBy(image, patch).agg(F.min(far).alias("d"))
-        parts = one if parts is None else parts.unionByName(one)
-    nearest = parts.groupBy(image, patch).agg(F.sqrt(F.min("d")).alias("d"))
-    return nearest.groupBy(image).agg(F.max("d").alias("score"))
+    kept = memory.select(F.col(vector).alias("m")).limit(most + 1).toArrow().column("m").combine_chunks()
+    if len(kept) > most:
+        raise ValueError(f"a memory of over {most} vectors")
+    bank = np.asarray(kept.flatten(), np.float64).reshape(len(kept), -1) if len(kept) else None
+    shared = queries.sparkSession.sparkContext.broadcast(bank)
+    out = T.StructType([*queries.schema.fields, T.StructField(distance, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bank = shared.value
+        for batch in batches:
+            found = pa.nulls(batch.num_rows, pa.float64())
+            if bank is not None and batch.num_rows:
+                mine = np.asarray(batch.column(vector).flatten(), np.float64).reshape(batch.num_rows, -1)
+                near = np.full(len(mine), np.inf)
+                for at in range(0, len(bank), block):
+                    part = bank[at : at + block]
+                    square = (mine * mine).sum(1)[:, None] + (part * part).sum(1) - 2 * mine @ part.T
+                    near = np.minimum(near, square.min(1))
+                found = pa.array(np.sqrt(np.maximum(near, 0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=out.names)
+
+    return queries.mapInArrow(run, out)
+
+
+def nearest_score(queries: DataFrame, memory: DataFrame, *, image: str, patch: str, vector: str = "v", block: int = 4096) -> DataFrame:
+    """Per image the largest, over its patches, of the distance to the nearest vector of ``memory``."""
+    found = nearest_distances(queries.select(image, vector), memory, vector=vector, block=block)
+    return found.groupBy(image).agg(F.max("distance").alias("score"))
+
+
+def anomaly_map(patches: DataFrame, h: int, w: int, height: int, width: int, *, image: str) -> DataFrame:
+    """Distances of patches (image, y, x, distance) on a grid of (h, w) as a map of the image's size, by bilinear resize."""
+    grid = patches.select(F.col(image).alias("frame_id"), "y", "x", F.col("distance").alias("v"))
+    resized = bilinear(grid, h, w, height, width)
+    columns = ("y", "x") if (h, w) == (height, width) else ("ty", "tx")
+    return resized.select(F.col("frame_id").alias(image), F.col(columns[0]).alias("y"), F.col(columns[1]).alias("x"), F.col("v").alias("distance"))

@@ -46,6 +46,8 @@ def batch_settings(section: Mapping[str, Any] | None, backend: str) -> tuple[int
         return 1, 0.0
     if set(section) & {"timeout", "timeout_ms", "batch_timeout_ms"}:
         raise ValueError("max_batch_wait_ms has taken the place of timeout settings")
+    if "profile_index" in section:
+        raise ValueError("profile_index is an argument of the step, not a setting of the model")
     if backend != "tensorrt" and not {"max_batch_size", "max_batch_wait_ms"} <= set(section):
         raise ValueError("both max_batch_size and max_batch_wait_ms are needed")
     wait = section.get("max_batch_wait_ms", 0)

@@ -6,10 +6,10 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.sampling import drop_frames, every_n, position
+from tarnflow.operators.sampling import drop_frames, every_n
 from tarnflow.plans.config import resolve, walk
 
 
@@ -62,14 +62,19 @@ class EveryNFrames(Step):
 
 
 class RunOnce(Step):
-    """The inner step sees the first row of each stream only."""
+    """The inner step sees one row of each stream: the first, or the first at which it does not fail.
 
-    def __init__(self, step: Step) -> None:
+    ``fails`` is SQL that tells at which rows it fails; such rows pass as they are and it is tried again.
+    """
+
+    def __init__(self, step: Step, fails: str | None = None) -> None:
         super().__init__()
-        self.step = step
+        self.step, self.fails = step, fails
 
     def apply(self, df: DataFrame) -> DataFrame:
-        marked = df.withColumn("__first", position() == 0)
+        works = F.lit(True) if self.fails is None else ~F.coalesce(F.expr(self.fails), F.lit(False))
+        turn = F.row_number().over(Window.partitionBy("stream_id").orderBy(works.desc(), "seq"))
+        marked = df.withColumn("__first", (turn == 1) & works)
         first = self.step.apply(marked.where("__first").drop("__first"))
         return first.unionByName(marked.where("not __first").drop("__first"), allowMissingColumns=True)
 

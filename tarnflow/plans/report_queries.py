@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators import gating, logs, metrics, tensors
+from tarnflow.operators.trees import tree_depths
 from tarnflow.plans import config
 from tarnflow.plans.registry import query
 from tarnflow.sources.tables import event_stream, table
@@ -26,10 +27,11 @@ def cumulative_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "interval_metrics",
-    """WITH {ev} SELECT stream_id, at_us // 86400000000 AS interval, count(*) AS frames, count(*) / 86400.0::DOUBLE AS fps,
-         round(avg(greatest(value, 0)) * 1000, 6) AS avg_ms, count(CASE WHEN event_type = 'view' THEN value END) AS inferences,
-         round(avg(CASE WHEN event_type = 'view' THEN value END) * 1000, 6) AS inference_avg_ms
-       FROM ev GROUP BY ALL""",
+    """WITH {ev}, g AS (SELECT stream_id, at_us // 86400000000 AS interval, count(*) AS frames, avg(greatest(value, 0)) AS mean,
+         count(CASE WHEN event_type = 'view' THEN value END) AS inferences, round(avg(CASE WHEN event_type = 'view' THEN value END) * 1000, 6) AS inference_avg_ms FROM ev GROUP BY ALL),
+       i AS (SELECT stream_id, unnest(range(min(interval), max(interval) + 1)) AS interval FROM g GROUP BY stream_id)
+       SELECT stream_id, interval, coalesce(frames, 0) AS frames, coalesce(frames / 86400.0::DOUBLE, 0.0) AS fps, coalesce(round(mean * 1000, 6), 0.0) AS avg_ms,
+         coalesce(inferences, 0) AS inferences, inference_avg_ms FROM i LEFT JOIN g USING (stream_id, interval)""",
 )
 def interval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.interval_metrics(event_stream(spark, sf_dir), 24 * HOUR, F.col("value"), F.when(IS("view"), F.col("value")))
@@ -137,6 +139,21 @@ def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stage_report(_parts(spark, sf_dir), "kind", "part")
 
 
+@query(
+    "detection_windows",
+    """WITH {ev}, p AS (SELECT event_type AS kind, at_us, 'prepare' AS part, value / 4 AS s, NULL::DOUBLE AS g FROM ev
+         UNION ALL SELECT event_type, at_us, 'infer', value / 2, CASE WHEN k % 2 = 0 THEN value * 3 END FROM ev),
+       w AS (SELECT event_type AS kind, max(CASE WHEN k > 90 THEN at_us END) AS since_us, max(at_us) AS now_us FROM ev GROUP BY event_type),
+       x AS (SELECT 'window' AS period, p.* FROM p JOIN w USING (kind) WHERE at_us > since_us
+             UNION ALL SELECT 'recent', p.* FROM p JOIN w USING (kind) WHERE at_us > now_us - 864000000000)
+       SELECT period, kind, part, round(avg(s) * 1000, 6) AS avg_ms, count(*) AS n, round(avg(g), 6) AS avg_gpu_ms, count(g) AS gpu_n FROM x GROUP BY period, kind, part""",
+)
+def detection_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("kind"))
+    since = rows.agg(F.max(F.when(F.col("k") > 90, F.col("at_us"))).alias("since_us"), F.max("at_us").alias("now_us"))
+    return metrics.windowed_report(_parts(spark, sf_dir), since, 240 * HOUR, "kind", "part")
+
+
 @query(
     "detection_states",
     """WITH {ev} SELECT event_type AS kind, count(*) FILTER (k % 6 = 0) AS completed, count(*) FILTER (k % 6 = 1) AS skipped, count(*) FILTER (k % 6 = 2) AS busy,
@@ -156,9 +173,7 @@ def detection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT event_type AS kind, event_id FROM t WHERE r <= 50""",
 )
 def bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_stream(spark, sf_dir)
-    now = F.lit(rows.agg(F.max("at_us")).first()[0])
-    kept = metrics.bounded_history(rows, 50, keys=("event_type",), order="at_us", window_us=720 * HOUR, now=now)
+    kept = metrics.bounded_history(event_stream(spark, sf_dir), 50, keys=("event_type",), order="at_us", window_us=720 * HOUR)
     return kept.select(F.col("event_type").alias("kind"), "event_id")
 
 
@@ -261,30 +276,26 @@ def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "live_config",
-    """WITH {ev}, c AS (SELECT at_us, event_id, k FROM ev WHERE event_type = 'purchase' AND stream_id % 5 = 0),
-       x AS (SELECT stream_id, seq, event_id, (SELECT arg_max(c.k, c.at_us) FROM c WHERE c.at_us <= ev.at_us) AS setting FROM ev WHERE stream_id % 5 = 1)
-       SELECT stream_id, seq, setting FROM x""",
+    """WITH {ev}, c AS (SELECT at_us, max(k) AS setting FROM ev WHERE event_type = 'purchase' GROUP BY at_us)
+       SELECT stream_id, seq, setting FROM ev ASOF LEFT JOIN c ON c.at_us <= ev.at_us""",
 )
 def live_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings hold for all streams, so no key parts the rows."""
     rows = event_stream(spark, sf_dir)
-    settings = rows.where(IS("purchase") & (F.col("stream_id") % 5 == 0)).select(F.lit(0).alias("all"), "at_us", F.col("k").alias("setting"))
-    found = gating.as_of(rows.where(F.col("stream_id") % 5 == 1).withColumn("all", F.lit(0)), settings, "at_us", "setting", keys=("all",))
-    return found.select("stream_id", "seq", "setting")
+    settings = rows.where(IS("purchase")).select("at_us", F.col("k").alias("setting"))
+    return gating.as_of(rows, settings, "at_us", "setting").select("stream_id", "seq", "setting")
 
 
 @query(
     "step_tree",
-    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS id, p_partkey // 3 AS parent FROM part WHERE p_partkey <= 60),
+    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS id, p_partkey // 3 AS parent FROM part),
        r AS (SELECT id, 0 AS depth FROM e WHERE id <= 2 UNION ALL SELECT e.id, r.depth + 1 FROM r JOIN e ON e.parent = r.id WHERE e.id > 2)
        SELECT id, depth FROM r""",
 )
 def step_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("tarnflow_part")
-    return spark.sql(
-        """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS id, p_partkey DIV 3 AS parent FROM tarnflow_part WHERE p_partkey <= 60),
-           r AS (SELECT id, 0 AS depth FROM e WHERE id <= 2 UNION ALL SELECT e.id, r.depth + 1 FROM r JOIN e ON e.parent = r.id WHERE e.id > 2)
-           SELECT id, depth FROM r"""
-    )
+    key = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(key.alias("id"), F.when(key > 2, F.floor(key / 3)).alias("parent")).distinct()
+    return tree_depths(nodes)
 
 
 @query("name_validation", "SELECT DISTINCT name, regexp_full_match(name, '[A-Za-z0-9_-]{1,64}') AS valid FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN source || ' ' || lang ELSE source END AS name FROM documents)")
@@ -310,17 +321,39 @@ def log_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.log_policy(records, levels, root=20, disable=10)
 
 
-@query("safe_payload")
+@query(
+    "safe_payload",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"k": ' || json_extract(props, '$.k') || '}'
+         WHEN 1 THEN '[{"a": [{"b": "{''k'': ' || json_extract(props, '$.k') || '}"}]}]' ELSE '"not JSON ' || event_type || '"' END AS payload FROM events""",
+)
 def safe_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", logs.safe_payload(F.col("props")).alias("payload"))
+    deep = F.concat(F.lit('[{"a": [{"b": '), "props", F.lit("}]}]"))
+    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, deep).otherwise(F.concat(F.lit("not JSON "), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", logs.safe_payload(text).alias("payload"))
 
 
-@query(
-    "log_lines",
-    """WITH l AS (SELECT conv_id, turn, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS a FROM conversations WHERE length(text) > 0),
-       x AS (SELECT conv_id, turn, generate_subscripts(a, 1) - 1 AS line, unnest(a) AS t FROM l)
-       SELECT conv_id, turn, line, unnest(range(greatest(1, ceil(length(t) / 40.0)::BIGINT))) AS part,
-              substr(t, unnest(range(greatest(1, ceil(length(t) / 40.0)::BIGINT))) * 40 + 1, 40) AS text FROM x""",
-)
+#: Lines of a text and their parts of 40 bytes: a part takes all characters that end within 40 bytes of its start.
+_LINES = """l AS (SELECT *, string_split(CASE WHEN ends_with(body, chr(10)) THEN body[:-2] ELSE body END, chr(10)) AS a FROM t WHERE length(body) > 0),
+       x AS (SELECT KEYS, generate_subscripts(a, 1) - 1 AS line, unnest(a) AS whole FROM l),
+       c AS (SELECT KEYS, line, whole, 0 AS part, 1 AS first, (SELECT count(*) FROM range(least(length(whole), 40)) n(i) WHERE strlen(whole[1:i + 1]) <= 40) AS n FROM x
+             UNION ALL
+             SELECT KEYS, line, whole, part + 1, first + n, (SELECT count(*) FROM range(40) m(i) WHERE first + n + i <= length(whole) AND strlen(whole[first + n:first + n + i]) <= 40)
+             FROM c WHERE first + n <= length(whole))
+       SELECT KEYS, line, part, whole[first:first + n - 1] AS text FROM c"""
+
+
+@query("log_lines", "WITH RECURSIVE t AS (SELECT conv_id, turn, text AS body FROM conversations), " + _LINES.replace("KEYS", "conv_id, turn"))
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.lines(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn", chunk=40)
+
+
+@query(
+    "log_writes",
+    "WITH RECURSIVE t AS (SELECT conv_id, string_agg(coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN chr(10) ELSE '' END, '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id), "
+    + _LINES.replace("KEYS", "conv_id"),
+)
+def log_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a thread's writes, of which every third ends its line."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, "\n").otherwise(""))
+    writes = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    return logs.written_lines(writes, "text", thread="conv_id", order="turn", chunk=40)

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import gating, tensors, vision
+from tarnflow.operators import gating, recovery, tensors, vision
 from tarnflow.plans.registry import query
+from tarnflow.plans.vision_steps import PreProcess
 from tarnflow.sources.tables import event_stream, table
 from tarnflow.sources.tables import tensors as tensor_table
 
@@ -48,14 +49,38 @@ def nv12_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[F.round(c, 9).alias(n) for n, c in rgb.items()])
 
 
+#: Vectors as buffers of bytes.
+_BYTES = "f AS (SELECT vec_id, [CAST(floor(abs(x::DOUBLE) * 1000) AS INT) % 256 FOR x IN embedding] AS b FROM embeddings)"
+
+
+def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_table(spark, sf_dir).select("vec_id", F.transform("v", lambda x: (F.floor(F.abs(x) * 1000) % 256).cast("int")).alias("bytes"))
+
+
+@query(
+    "nv12_frames",
+    "WITH " + _BYTES + """, p AS (SELECT vec_id, y, x, b[y * 6 + x + 1] AS l, b[(4 + y // 2) * 6 + x // 2 * 2 + 1] AS u, b[(4 + y // 2) * 6 + x // 2 * 2 + 2] AS v FROM f, range(4) yy(y), range(4) xx(x)),
+       q AS (SELECT vec_id, y, x, greatest(l - 16, 0) / 219.0::DOUBLE AS c, (u - 128) / 224.0::DOUBLE AS d, (v - 128) / 224.0::DOUBLE AS e FROM p)
+       SELECT vec_id, y, x, round(greatest(0.0, least(1.0, c + 1.402::DOUBLE * e)), 9) AS r,
+         round(greatest(0.0, least(1.0, c - 0.344136::DOUBLE * d - 0.714136::DOUBLE * e)), 9) AS g, round(greatest(0.0, least(1.0, c + 1.772::DOUBLE * d)), 9) AS b FROM q""",
+)
+def nv12_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 4 x 4 in rows of six bytes."""
+    frames = byte_frames(spark, sf_dir).withColumns({"height": F.lit(4), "width": F.lit(4), "pitch": F.lit(6)})
+    found = vision.nv12_pixels(frames, "bytes", "vec_id", pitch="pitch")
+    return found.select("vec_id", "y", "x", *[F.round(c, 9).alias(c) for c in "rgb"])
+
+
 @query(
     "frame_validation",
-    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size > 0 AND p_size % 2 = 0 THEN 'ok' ELSE 'dropped' END
-       WHEN p_partkey % 3 = 1 THEN 'ok' ELSE 'error' END AS outcome FROM part""",
+    """WITH f AS (SELECT p_partkey, p_size AS h, p_size * 6 + p_partkey % 2 * 6 AS n, CASE WHEN p_partkey % 5 = 0 THEN 6 END AS pitch, p_size * 12 AS rgb FROM part)
+       SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN h % 2 = 0 AND n % coalesce(pitch, 4) = 0 AND n / coalesce(pitch, 4) >= h * 1.5 THEN 'ok' ELSE 'dropped' END
+       WHEN p_partkey % 3 = 1 THEN CASE WHEN n = h * 12 THEN 'ok' ELSE 'error' END ELSE 'error' END AS outcome FROM f""",
 )
 def frame_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fmt = F.get(F.array(F.lit("nv12"), F.lit("rgb"), F.lit("gray")), (F.col("p_partkey") % 3).cast("int"))
-    outcome = vision.frame_outcome(fmt, F.col("p_size"), F.lit(4))
+    key, side = F.col("p_partkey"), F.col("p_size")
+    fmt = F.get(F.array(F.lit("NV12"), F.lit("rgb"), F.lit("gray")), (key % 3).cast("int"))
+    outcome = vision.frame_outcome(fmt, side, F.lit(4), side * 6 + key % 2 * 6, F.when(key % 5 == 0, 6))
     return table(spark, sf_dir, "part").select("p_partkey", outcome.alias("outcome"))
 
 
@@ -131,6 +156,26 @@ def bilinear_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_id", "ty", "tx", F.round("v", 6).alias("v"))
 
 
+@query(
+    "preprocess_frames",
+    "WITH " + _BYTES + """, p AS (SELECT vec_id, y, x, c, b[(y * 4 + x) * 3 + (2 - c) + 1] AS v FROM f, range(4) yy(y), range(4) xx(x), range(3) cc(c)),
+       g AS (SELECT ty, tx, greatest(0.0, least(3.0, (ty + 0.5) / 2 - 0.5))::DOUBLE AS sy, greatest(0.0, least(3.0, (tx + 0.5) / 2 - 0.5))::DOUBLE AS sx FROM range(8) a(ty), range(8) b(tx)),
+       k AS (SELECT ty, tx, least(floor(sy)::INT + dy, 3) AS y, least(floor(sx)::INT + dx, 3) AS x,
+               (CASE WHEN dy = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN dx = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w
+             FROM g, range(2) d(dy), range(2) e(dx)),
+       r AS (SELECT vec_id, c, ty AS y, tx + 1 AS x, sum(v * w) AS v FROM p JOIN k USING (y, x) GROUP BY ALL
+             UNION ALL SELECT vec_id, c, y, x, [100, 110, 120][c + 1] FROM f, range(8) yy(y), (VALUES (0), (9)) xx(x), range(3) cc(c))
+       SELECT vec_id, ((y * 10 + x) * 3 + c)::INT AS i, (v - [16, 32, 64][c + 1]) / [2.0, 4.0, 8.0][c + 1]::DOUBLE AS v FROM r""",
+)
+def preprocess_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 4 x 4 in BGR brought to 8 x 10 in RGB, padded left and right, normalised by channel, laid out by pixel."""
+    digits = F.transform(F.slice("bytes", 1, 48), lambda b: F.lpad(F.hex(b), 2, "0"))
+    frames = byte_frames(spark, sf_dir).select("vec_id", F.unhex(F.array_join(digits, "")).alias("pixels"), F.lit("bgr").alias("pixel_format"), F.lit(4).alias("height"), F.lit(4).alias("width"))
+    step = PreProcess(size=(8, 10), padding_value=(100, 110, 120), scale=1.0, mean=(16, 32, 64), std=(2, 4, 8), layout="nhwc", input_name="images")
+    found = step.apply(frames).select("vec_id", F.posexplode(F.try_element_at("model_input", F.lit("images"))).alias("i", "v"))
+    return found.select("vec_id", "i", F.col("v").cast("double").alias("v"))
+
+
 @query("normalise", "SELECT vec_id, i, round((embedding[i + 1]::DOUBLE * 2.0::DOUBLE - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS v FROM embeddings, range(64) t(i)")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tensor_table(spark, sf_dir).select("vec_id", F.posexplode(vision.normalise(F.col("v"), 2.0, 0.5, 0.25)).alias("i", "v"))
@@ -204,10 +249,11 @@ def merge_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream_id", "seq", F.try_element_at("m", F.lit("own")).alias("own"), F.try_element_at("m", F.lit("other")).alias("other"))
 
 
-@query("context_cleanup", "WITH {ev} SELECT stream_id, seq, event_type FROM ev")
+@query("context_cleanup", "WITH {ev} SELECT stream_id, seq, event_type, CASE WHEN event_type <> 'error' THEN k END AS model_output FROM ev")
 def context_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_stream(spark, sf_dir).withColumns({"model_input": F.col("k"), "image_transform": F.col("value")})
-    return rows.drop("model_input", "image_transform").select("stream_id", "seq", "event_type")
+    rows = event_stream(spark, sf_dir).withColumns({"model_input": F.col("k"), "image_transform": F.col("value"), "inference_profile": F.lit(1), "model_output": F.col("k")})
+    left = [c for c in rows.columns if c not in ("event_id", "at_us", "value", "k", "service_us")]
+    return recovery.cleaned(rows.select(*left), IS("error"))
 
 
 @query("class_names", "WITH " + _CANDIDATES + " SELECT frame_id, cand_ix, 'class-' || cls::VARCHAR AS name FROM x WHERE conf > 0.2::DOUBLE")
@@ -249,6 +295,22 @@ def chroma_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.chroma_mask(_mask(spark, sf_dir))
 
 
+@query(
+    "overlay_paint",
+    "WITH " + _CANDIDATES + ", " + _MASK + """, f AS (SELECT DISTINCT frame_id FROM x),
+       a AS (SELECT frame_id, 'y' AS plane, y, x FROM f, range(24) yy(y), range(32) xx(x) UNION ALL SELECT frame_id, p, y, x FROM f, (VALUES ('u'), ('v')) pp(p), range(12) yy(y), range(16) xx(x)),
+       painted AS (SELECT frame_id, 'y' AS plane, y, x, 145 AS color FROM px UNION ALL SELECT DISTINCT frame_id, p, y // 2, x // 2, c FROM px, (VALUES ('u', 54), ('v', 34)) pp(p, c))
+       SELECT frame_id, plane, y, x, coalesce(color, y + x)::INT AS v FROM a LEFT JOIN painted USING (frame_id, plane, y, x)""",
+)
+def overlay_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = candidates(spark, sf_dir).select("frame_id").distinct()
+    plane = lambda name, h, w: frames.select("frame_id", F.lit(name).alias("plane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(h - 1).cast("long"))).alias("y")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(w - 1).cast("long"))).alias("x")
+    )
+    pixels = plane("y", 24, 32).union(plane("u", 12, 16)).union(plane("v", 12, 16)).withColumn("v", (F.col("y") + F.col("x")).cast("int"))
+    return vision.paint(pixels, _mask(spark, sf_dir), "#00ff00")
+
+
 @query(
     "knn_anomaly",
     """WITH t AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
@@ -265,6 +327,26 @@ def knn_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image", F.round("score", 5).alias("score"))
 
 
+@query(
+    "anomaly_map",
+    """WITH t AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+       d AS (SELECT q.vec_id // 25 AS image, q.vec_id % 25 // 5 AS y, q.vec_id % 5 AS x, min(list_distance(q.v, m.v)) AS d FROM t q, embeddings m2, LATERAL (SELECT [x::DOUBLE FOR x IN m2.embedding] AS v) m
+             WHERE m2.label = 0 GROUP BY ALL),
+       g AS (SELECT ty, tx, greatest(0.0, least(4.0, (ty + 0.5) / 2 - 0.5))::DOUBLE AS sy, greatest(0.0, least(4.0, (tx + 0.5) / 2 - 0.5))::DOUBLE AS sx FROM range(10) a(ty), range(10) b(tx)),
+       k AS (SELECT ty, tx, least(floor(sy)::INT + dy, 4) AS y, least(floor(sx)::INT + dx, 4) AS x,
+               (CASE WHEN dy = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN dx = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w
+             FROM g, range(2) d(dy), range(2) e(dx))
+       SELECT image, ty AS y, tx AS x, round(sum(d * w), 5) AS distance FROM d JOIN k USING (y, x) GROUP BY image, ty, tx""",
+)
+def anomaly_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 5 x 5 patches; the vectors of one label are the memory."""
+    rows = tensor_table(spark, sf_dir)
+    at = {"image": F.floor(F.col("vec_id") / 25), "y": F.floor(F.col("vec_id") % 25 / 5), "x": (F.col("vec_id") % 5).cast("long")}
+    near = vision.nearest_distances(rows.withColumns(at).select("image", "y", "x", "v"), rows.where("label = 0"))
+    found = vision.anomaly_map(near, 5, 5, 10, 10, image="image")
+    return found.select("image", "y", "x", F.round("distance", 5).alias("distance"))
+
+
 @query("flatten_outputs", "WITH {ev} SELECT stream_id, seq, value AS v0, value * 2 AS v1, k::DOUBLE AS v2 FROM ev")
 def flatten_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.create_map(F.lit("boxes"), F.col("value"), F.lit("scores"), F.col("value") * 2)
@@ -274,6 +356,37 @@ def flatten_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream_id", "seq", *[F.try_element_at("m", F.lit(n)).alias(f"v{i}") for i, n in enumerate(names)])
 
 
+@query(
+    "normalize_outputs",
+    """WITH {ev}, r AS (SELECT stream_id, seq, k % 6 AS c, k FROM ev)
+       SELECT stream_id, seq, unnest(CASE c WHEN 0 THEN ['output0'] WHEN 1 THEN ['output0', 'output1/a', 'output1/b/output0'] WHEN 2 THEN ['boxes/xy', 'boxes/wh', 'mask'] ELSE [NULL] END) AS name,
+              unnest(CASE c WHEN 0 THEN ['t' || k] WHEN 1 THEN ['t1', 't' || k, 't3'] WHEN 2 THEN ['t1', 't2', 't' || k] ELSE [NULL] END) AS tensor,
+              CASE c WHEN 3 THEN 'two outputs named a/b' WHEN 4 THEN 'empty container at x' WHEN 5 THEN 'blank name under the top' END AS error FROM r""",
+)
+def normalize_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    t = F.concat(F.lit('"t'), k, F.lit('"'))
+    cases = [
+        t, F.concat(F.lit('["t1", {"a": '), t, F.lit(', "b": ["t3"]}]')), F.concat(F.lit('{"boxes": {"xy": "t1", "wh": "t2"}, "mask": '), t, F.lit("}")),
+        F.lit('{"a": {"b": "t1"}, "a/b": "t2"}'), F.lit('{"x": {}, "y": "t1"}'), F.lit('{" ": "t1"}'),
+    ]
+    given = F.get(F.array(*cases), (k % 6).cast("int"))
+    rows = event_stream(spark, sf_dir).select("stream_id", "seq", tensors.normalize_outputs(given).alias("o"))
+    return rows.select("stream_id", "seq", F.explode_outer("o.outputs").alias("name", "tensor"), F.col("o.error").alias("error"))
+
+
+@query(
+    "engine_payload",
+    """WITH {ev} SELECT stream_id, seq, CASE WHEN k % 4 < 2 THEN 'AA' || printf('%02X', k::INT) WHEN k % 4 = 2 THEN '02000000' || hex('[]') || 'AA' ELSE 'AA' END AS payload FROM ev""",
+)
+def engine_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k") % 4
+    tail = F.concat(F.lit("AA"), F.lpad(F.hex("k"), 2, "0"))
+    meta = F.concat(F.lit("0A000000"), F.hex(F.lit('{"a": "b"}').cast("binary")), tail)
+    file = F.when(k == 0, meta).when(k == 1, tail).when(k == 2, F.concat(F.lit("02000000"), F.hex(F.lit("[]").cast("binary")), F.lit("AA"))).otherwise("AA")
+    return event_stream(spark, sf_dir).select("stream_id", "seq", F.hex(tensors.engine_payload(F.unhex(file))).alias("payload"))
+
+
 @query("validate_inputs", "WITH {ev} SELECT stream_id, seq, coalesce(k % 5 > 0 AND k % 3 > 0, false) AS valid FROM ev")
 def validate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tensor = F.struct(F.lit("float32").alias("dtype"), F.array(F.lit(1).cast("long"), F.col("k") % 5).alias("shape"))
@@ -281,12 +394,19 @@ def validate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir).select("stream_id", "seq", tensors.valid_inputs(inputs, shared=True).alias("valid"))
 
 
-@query("engine_shapes", "WITH {ev} SELECT stream_id, seq, k % 7 BETWEEN 2 AND 4 AND k % 2 = 0 AS fits FROM ev")
+@query(
+    "engine_shapes",
+    "WITH {ev} SELECT stream_id, seq, k % 7 BETWEEN 2 AND 4 AND k % 2 = 0 AS fits, k % 7 BETWEEN 2 AND 4 AND k % 2 = 0 AND k % 5 > 0 AND k % 3 > 0 AS bound FROM ev",
+)
 def engine_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.array(F.col("k") % 7, F.col("k") % 2 + 3)
     ints = lambda *x: F.array(*[F.lit(i).cast("long") for i in x])
     fits = tensors.fits_engine(shape, ints(2, 1), ints(4, 9), ints(-1, 3))
-    return event_stream(spark, sf_dir).select("stream_id", "seq", fits.alias("fits"))
+    binding = F.struct(F.lit("float32").alias("dtype"), ints(-1, 3).alias("fixed"), ints(2, 1).alias("low"), ints(4, 9).alias("high"))
+    given = F.struct(F.when(F.col("k") % 5 > 0, "float32").otherwise("float16").alias("dtype"), shape.alias("shape"))
+    inputs = F.create_map(F.when(F.col("k") % 3 > 0, "images").otherwise("other"), given)
+    bound = tensors.fits_bindings(inputs, F.create_map(F.lit("images"), binding))
+    return event_stream(spark, sf_dir).select("stream_id", "seq", fits.alias("fits"), bound.alias("bound"))
 
 
 def linear_model():

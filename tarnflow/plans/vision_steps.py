@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators import vision
+from tarnflow.operators import images, vision
 from tarnflow.plans.pipeline import Step
 
 Rule = Callable[[Any], bool]
@@ -31,6 +31,11 @@ def _several(rule: Rule, n: int) -> Rule:
     return lambda x: isinstance(x, (list, tuple)) and len(x) == n and all(rule(i) for i in x)
 
 
+def _each(rule: Rule) -> Rule:
+    """For all channels, or for each of three."""
+    return lambda x: rule(x) or _several(rule, 3)(x)
+
+
 def _or_none(rule: Rule) -> Rule:
     return lambda x: x is None or rule(x)
 
@@ -56,9 +61,10 @@ class Checked(Step):
 
 
 class PreProcess(Checked):
-    """Geometry of frames (``height``, ``width``) brought to ``size``, and their values made model input.
+    """Frames (``height``, ``width``) brought to ``size`` and made model input.
 
-    Adds ``transform`` (ratios, sides, offsets) and, from an array ``pixels``, ``model_input``.
+    With a buffer ``pixels`` (and its ``pixel_format``) pixels are resized, padded or cut, put in order,
+    normalised and laid out: ``images.prepare``.  Without one only the geometry is given, as ``transform``.
     """
 
     rules = {
@@ -68,12 +74,12 @@ class PreProcess(Checked):
         "stride": _integer(1),
         "scaleup": _flag,
         "center": _flag,
-        "padding_value": lambda x: _number(0, 255)(x) or _several(_number(0, 255), 3)(x),
+        "padding_value": _each(_number(0, 255)),
         "crop_size": _or_none(_several(_integer(1), 2)),
         "color_order": _one_of("rgb", "bgr"),
         "scale": _number(),
-        "mean": _number(),
-        "std": lambda x: _number(0)(x) and x > 0,
+        "mean": _each(_number()),
+        "std": _each(lambda x: _number(0)(x) and x > 0),
         "dtype": _one_of("float32", "float16"),
         "layout": _one_of("nchw", "nhwc"),
         "input_name": _or_none(_named),
@@ -95,6 +101,8 @@ class PreProcess(Checked):
         self.defaults = dict(self.settings)
 
     def apply(self, df: DataFrame) -> DataFrame:
+        if "pixels" in df.columns:
+            return images.prepare(df, self.settings)
         s = self.settings
         cropped = s["resize_mode"] == "resize_center_crop"
         mode = "center_crop" if cropped else s["resize_mode"]
@@ -102,11 +110,7 @@ class PreProcess(Checked):
             F.col("height"), F.col("width"), *s["size"], mode=mode, crop=tuple(s["crop_size"] or s["size"]) if cropped else None,
             scaleup=s["scaleup"], center=s["center"], auto=s["auto"], stride=s["stride"],
         )
-        df = df.withColumn("transform", F.struct(*[c.alias(n) for n, c in found.items()]))
-        if "pixels" not in df.columns:
-            return df
-        values = vision.normalise(F.col("pixels").cast("array<double>"), s["scale"], s["mean"], s["std"])
-        return df.withColumn("model_input", F.create_map(F.lit(s["input_name"] or ""), values.cast("array<float>")))
+        return df.withColumn("transform", F.struct(*[c.alias(n) for n, c in found.items()]))
 
 
 class PostProcess(Checked):

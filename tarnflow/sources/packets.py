@@ -32,3 +32,15 @@ def key_generation(*key: str, stream: str = "stream_id", order: str = "seq") ->
     for c in key:
         same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
     return F.when((F.row_number().over(w) > 1) & ~same, 1).otherwise(0)
+
+
+def connect(packets: DataFrame, begins: Column, metadata: Column, usable: Column, *, size: str = "size", stream: str = "stream_id", order: str = "seq") -> DataFrame:
+    """Packets with data, their ``connection`` and its ``metadata``, which all packets of a connection share.
+
+    A row with ``begins`` opens a connection; if its metadata are not ``usable`` the connection gives
+    nothing, and neither do rows before the first.
+    """
+    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.when(begins, F.struct(metadata.alias("metadata"), usable.alias("usable")))
+    rows = packets.withColumns({"connection": generation(begins, stream, order), "__last": F.last(opened, ignorenulls=True).over(w)})
+    return packet_source(rows.where("__last.usable"), size).withColumn("metadata", F.col("__last.metadata")).drop("__last")

@@ -1,9 +1,13 @@
 """Metrics, settings, logs, images."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.operators import logs, metrics, tensors, vision
+from tarnflow.operators.trees import tree_depths
 from tarnflow.plans import config
 from tarnflow.plans.pipeline import Apply, DropFrames, EveryNFrames, Pipeline, RunOnce
 
@@ -35,6 +39,14 @@ def test_interval_without_frames_or_inferences(spark):
     assert (row.fps, row.avg_ms, row.inferences, row.inference_avg_ms) == (2.0, 15.0, 0, None)
 
 
+def test_interval_between_frames_has_a_row(spark):
+    df = spark.createDataFrame([(0, 0, 0.010), (0, 3_500_000, 0.020), (1, 9_000_000, 0.5)], "stream_id long, at_us long, s double")
+    rows = metrics.interval_metrics(df, 1_000_000, F.col("s"), F.col("s")).orderBy("stream_id", "interval").collect()
+    assert [(r.stream_id, r.interval, r.frames, r.fps, r.avg_ms, r.inference_avg_ms) for r in rows] == [
+        (0, 0, 1, 1.0, 10.0, 10.0), (0, 1, 0, 0.0, 0.0, None), (0, 2, 0, 0.0, 0.0, None), (0, 3, 1, 1.0, 20.0, 20.0), (1, 9, 1, 1.0, 500.0, 500.0)
+    ]
+
+
 def test_geometry_clips(spark):
     df = spark.createDataFrame([(-3.0, -8.0, 21.0, 16.0)], "x1 double, y1 double, x2 double, y2 double")
     back = [vision.restore(F.col(c), 1 if c[0] == "x" else -2, 2.0 if c[0] == "x" else 3.0, 8.0 if c[0] == "x" else 4.0) for c in df.columns]
@@ -70,6 +82,8 @@ def test_settings():
         config.load("A: 3")
     assert config.batch_settings(None, "torchscript") == (1, 0.0)
     assert config.batch_settings({"max_batch_wait_ms": 25}, "tensorrt") == (1, 0.025)
+    with pytest.raises(ValueError):
+        config.batch_settings({"profile_index": 1}, "tensorrt")
     for bad in ({"max_batch_wait_ms": 25}, {"max_batch_size": True, "max_batch_wait_ms": 1}, {"max_batch_size": 0, "max_batch_wait_ms": 1}, {"timeout": 1}):
         with pytest.raises(ValueError):
             config.batch_settings(bad, "torchscript")
@@ -78,6 +92,8 @@ def test_settings():
 def test_pipeline_sections_and_reload(spark):
     df = spark.createDataFrame([(0, i, i) for i in range(6)], "stream_id long, seq long, value long")
     once = RunOnce(Apply(lambda d: d.withColumn("value", F.col("value") - 1)))
+    again = RunOnce(Apply(lambda d: d.withColumn("value", -F.col("value"))), fails="value < 2")
+    assert sorted(r.value for r in again.apply(df).collect()) == [-2, 0, 1, 3, 4, 5]
     pipeline = Pipeline("p", {"DropFrames": {"keep_every": 2}}).step(DropFrames(1)).step(EveryNFrames({"value": "value * 10"}, 2)).step(once)
     assert sorted(r.value for r in pipeline.run(df).collect()) == [-1, 2, 40]
     assert not pipeline.reload({"DropFrames": {"no_such": 1}}) and pipeline.steps[0].settings == {"keep_every": 2}
@@ -86,7 +102,93 @@ def test_pipeline_sections_and_reload(spark):
         Pipeline("bad name")
 
 
-def test_log_lines_and_names(spark):
-    df = spark.createDataFrame([(0, "ab\ncdefg\n"), (1, "")], "id long, t string")
-    assert [(r.id, r.line, r.part, r.text) for r in logs.lines(df, "t", "id", chunk=3).collect()] == [(0, 0, 0, "ab"), (0, 1, 0, "cde"), (0, 1, 1, "fg")]
-    assert logs.safe_value({"a": {"b": {"c": {"d": {"e": 1}}}}}) == {"a": {"b": {"c": {"d": "{'e': 1}"}}}}
+def parts(text, chunk):
+    """Line by line, bytes by bytes."""
+    out = []
+    lines = text.split("\n")
+    for i, line in enumerate(lines[:-1] if lines[-1] == "" else lines):
+        raw, at, part = line.encode(), 0, 0
+        while True:
+            end = min(len(raw), at + chunk)
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append((i, part, raw[at:end].decode()))
+            at, part = end, part + 1
+            if at >= len(raw):
+                break
+    return out
+
+
+def test_log_lines(spark):
+    texts = ["ab\ncdefg\n", "", "a\n\n", "\n", "\n\nx", "é日本ab😀😀c\nß" * 3, "12345678"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for chunk in (4, 5, 7, 100):
+        got = sorted((r.id, r.line, r.part, r.text) for r in logs.lines(df, "t", "id", chunk=chunk).collect())
+        assert got == sorted((i, *x) for i, t in enumerate(texts) if t for x in parts(t, chunk))
+        written = logs.written_lines(df.withColumn("thread", F.lit(1)), "t", thread="thread", order="id", chunk=chunk).collect()
+        assert [(r.line, r.part, r.text) for r in written] == parts("".join(texts), chunk)
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("abc\n",), ("a-b_C9",), ("",), ("x" * 65,), (None,)], "n string")
+    assert [r.v for r in df.select(logs.valid_name(F.col("n")).alias("v")).collect()] == [False, True, False, False, False]
+    backends = spark.createDataFrame([("a.b:C\n",), ("a.b:C",), ("patchcore",)], "n string")
+    assert [r.v for r in backends.select(tensors.valid_backend(F.col("n")).alias("v")).collect()] == [False, True, True]
+
+
+def test_payloads(spark):
+    texts = ['{"a": {"b": {"c": {"d": {"e": 1}}}}}', "no { JSON", None, "[[[[[1]]]]]", '"x"', "", '{"b": 1, "a": null}']
+    want = ['{"a": {"b": {"c": {"d": "{\'e\': 1}"}}}}', '"no { JSON"', None, '[[[["[1]"]]]]', '"x"', '""', '{"a": null, "b": 1}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    assert [r.p for r in df.select("i", logs.safe_payload(F.col("t")).alias("p")).orderBy("i").collect()] == want
+
+
+def test_equal_records_stay(spark):
+    records = spark.createDataFrame([(1, "a", 30), (1, "a", 30), (2, "a.b", 5)], "id long, name string, level int")
+    levels = spark.createDataFrame([("a", 10, False)], "name string, level int, disabled boolean")
+    assert sorted((r.id, r.enabled) for r in logs.log_policy(records, levels, root=20).collect()) == [(1, True), (1, True), (2, False)]
+
+
+def outline(box, height, width, thickness):
+    if any(x is None or not math.isfinite(x) for x in box):
+        return set()
+    x1, y1, x2, y2 = (round(x) for x in box)
+    if x2 < x1 or y2 < y1 or x2 < 0 or y2 < 0 or x1 >= width or y1 >= height:
+        return set()
+    x1, x2, y1, y2 = max(x1, 0), min(x2, width - 1), max(y1, 0), min(y2, height - 1)
+    return {(y, x) for y in range(y1, y2 + 1) for x in range(x1, x2 + 1) if min(y - y1, y2 - y, x - x1, x2 - x) < thickness}
+
+
+def test_outlines(spark):
+    rng = random.Random(4)
+    odd = [(float("inf"), 0.0, 5.0, 5.0), (float("nan"), 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0), (-1e300, -1e300, 1e300, 1e300), (5.0, 5.0, 4.0, 6.0), (-3.0, -3.0, -1.0, -1.0), (0.5, 1.5, 2.5, 3.5)]
+    boxes = odd + [tuple(rng.uniform(-6, 22) for _ in range(4)) for _ in range(60)]
+    df = spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "frame_id long, x1 double, y1 double, x2 double, y2 double")
+    for thickness in (1, 3):
+        got = sorted((r.frame_id, r.y, r.x) for r in vision.edge_mask(df, 12, 16, thickness).collect())
+        assert got == sorted((i, *p) for i, b in enumerate(boxes) for p in outline(b, 12, 16, thickness))
+
+
+def test_color_and_paint(spark):
+    assert vision.yuv("#00ff00") == (145, 54, 34)
+    pixels = spark.createDataFrame([(0, "y", 0, 0, 1), (0, "y", 1, 1, 2), (0, "u", 0, 0, 3), (0, "v", 0, 0, 4), (0, "v", 0, 1, 5)], "frame_id long, plane string, y long, x long, v int")
+    mask = spark.createDataFrame([(0, 1, 1)], "frame_id long, y int, x int")
+    got = {(r.plane, r.y, r.x): r.v for r in vision.paint(pixels, mask, "#00ff00").collect()}
+    assert got == {("y", 0, 0): 1, ("y", 1, 1): 145, ("u", 0, 0): 54, ("v", 0, 0): 34, ("v", 0, 1): 5}
+
+
+def test_model_outputs(spark):
+    cases = ['"t"', '["a", {"x": "b"}]', '{"o": {"p": ["a", "b"]}, "q": 3}', "[]", '{"": "a"}', '{"a": null}', "{", None, '{"a/b": "x", "a": {"b": "y"}}']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, c string")
+    got = [(r.o.outputs, r.o.error) for r in df.select("i", tensors.normalize_outputs(F.col("c")).alias("o")).orderBy("i").collect()]
+    assert got[:3] == [({"output0": "t"}, None), ({"output0": "a", "output1/x": "b"}, None), ({"o/p/output0": "a", "o/p/output1": "b", "q": "3"}, None)]
+    assert all(outputs is None and error for outputs, error in got[3:])
+
+
+def test_tree_depths(spark):
+    nodes = [(0, None), (1, 0), (2, 1), (3, 2), (4, 3), (9, 8), (5, 6), (6, 7), (7, 5), (4, 3), (None, 1), (8, 77)]
+    df = spark.createDataFrame(nodes, "id long, parent long")
+    assert sorted(map(tuple, tree_depths(df).collect())) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)]
+    chain = spark.range(500).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    assert tree_depths(chain).where("id <> depth").count() == 0 and tree_depths(chain).count() == 500
+    assert tree_depths(df.limit(0)).count() == 0

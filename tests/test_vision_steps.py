@@ -1,7 +1,9 @@
 """Options of the vision steps, and a frame from pixels to boxes."""
 
+import numpy as np
 import pytest
 
+from tarnflow.operators import images, vision
 from tarnflow.plans.pipeline import Pipeline
 from tarnflow.plans.vision_steps import PostProcess, PreProcess
 
@@ -41,6 +43,74 @@ def test_frame_to_boxes(spark):
 
 
 def test_pixels_become_input(spark):
-    df = spark.createDataFrame([(4, 8, [255, 0])], "height int, width int, pixels array<int>")
-    row = PreProcess(size=(12, 16), input_name="images", mean=0.5, std=0.5).apply(df).first()
-    assert row.model_input == {"images": [1.0, -1.0]} and (row.transform.new_h, row.transform.top) == (8, 2)
+    df = spark.createDataFrame([(1, 2, bytearray([255, 0, 51, 0, 255, 102]))], "height int, width int, pixels binary")
+    step = PreProcess(size=(1, 2), input_name="images", mean=0.5, std=0.5, color_order="bgr")
+    row = step.apply(df).first()
+    assert row.input_shape == [1, 3, 1, 2] and row.transform.ratio_x == 1.0
+    assert [round(x, 5) for x in row.model_input["images"]] == [-0.6, -0.2, -1.0, 1.0, 1.0, -1.0]
+    each = PreProcess(size=(1, 2), mean=(0, 1, 0), std=(1, 2, 4), scale=1.0, layout="nhwc", dtype="float16").apply(df).first()
+    assert each.input_shape == [1, 1, 2, 3] and each.model_input[""] == [255.0, -0.5, 12.75, 0.0, 127.0, 25.5]
+
+
+GEOMETRY = [
+    ({}, (2.0, 2.0, 2, 0, 12, 16)),
+    ({"center": False}, (2.0, 2.0, 0, 0, 12, 16)),
+    ({"auto": True, "stride": 4}, (2.0, 2.0, 0, 0, 8, 16)),
+    ({"resize_mode": "stretch"}, (3.0, 2.0, 0, 0, 12, 16)),
+    ({"resize_mode": "resize_center_crop"}, (3.0, 3.0, 0, -4, 12, 16)),
+    ({"resize_mode": "resize_center_crop", "crop_size": (10, 10)}, (3.0, 3.0, -1, -7, 10, 10)),
+    ({"scaleup": False}, (1.0, 1.0, 4, 4, 12, 16)),
+]
+
+
+@pytest.mark.parametrize("options,want", GEOMETRY)
+def test_geometry_of_pixels_and_columns(spark, options, want):
+    """A frame of 4 x 8 brought to (12, 16), with and without its pixels."""
+    df = spark.createDataFrame([(4, 8, bytearray(range(96)))], "height int, width int, pixels binary")
+    step = PreProcess(size=(12, 16), **options)
+    t = step.apply(df).first().transform
+    assert (t.ratio_y, t.ratio_x, t.top, t.left, t.height, t.width) == want
+    c = step.apply(df.drop("pixels")).first().transform
+    assert (c.ratio_y, c.ratio_x, c.top, c.left) == want[:4]
+
+
+def test_padding_and_cut():
+    image = np.arange(96, dtype=float).reshape(3, 4, 8)
+    options = PreProcess(size=(6, 8), padding_value=(1, 2, 3)).settings
+    out, how = images.fit(image, options)
+    assert out.shape == (3, 6, 8) and how["top"] == 1 and np.array_equal(out[:, 1:5], image)
+    assert np.array_equal(out[:, [0, 5]], np.broadcast_to(np.array([1.0, 2, 3])[:, None, None], (3, 2, 8)))
+    cut, _ = images.fit(image, PreProcess(size=(4, 4), resize_mode="resize_center_crop").settings)
+    assert np.array_equal(cut, image[:, :, 2:6])
+
+
+def test_bilinear_by_points():
+    image = np.random.default_rng(0).random((1, 5, 7))
+    out = images.resize(image, 8, 3)
+    for y in range(8):
+        for x in range(3):
+            sy, sx = (min(max((i + 0.5) * n / m - 0.5, 0), n - 1) for i, n, m in ((y, 5, 8), (x, 7, 3)))
+            (b, fy), (a, fx) = divmod(sy, 1), divmod(sx, 1)
+            at = lambda i, j: image[0, min(int(i), 4), min(int(j), 6)]  # noqa: B023, E731
+            want = (1 - fy) * ((1 - fx) * at(b, a) + fx * at(b, a + 1)) + fy * ((1 - fx) * at(b + 1, a) + fx * at(b + 1, a + 1))
+            assert abs(out[0, y, x] - want) < 1e-12
+
+
+def test_unusable_frames_are_dropped(spark):
+    rows = [
+        (0, 4, 4, bytearray(24), "NV12", None), (1, 4, 4, bytearray(23), "nv12", None), (2, 3, 4, bytearray(18), "nv12", None), (3, 4, 4, bytearray(36), "nv12", 6),
+        (4, 4, 4, None, "rgb", None), (5, 4, 4, bytearray(48), "bgr", None), (6, 4, 4, bytearray(20), "nv12", 3),
+    ]
+    df = spark.createDataFrame(rows, "i int, height int, width int, pixels binary, pixel_format string, pitch int")
+    assert sorted(r.i for r in PreProcess(size=(4, 4)).apply(df).collect()) == [0, 3, 5]
+    for bad in ((4, 4, bytearray(47), "rgb"), (4, 4, bytearray(48), "gray")):
+        with pytest.raises(Exception, match="rgb of|no format"):
+            PreProcess(size=(4, 4)).apply(spark.createDataFrame([bad], "height int, width int, pixels binary, pixel_format string")).collect()
+
+
+def test_nv12_by_columns_and_arrays(spark):
+    raw = np.random.default_rng(1).integers(0, 256, 6 * 8).astype(np.uint8)
+    image = images.nv12_to_rgb(images.planes(raw, "nv12", 4, 6, 8))
+    df = spark.createDataFrame([(raw.tolist(), 4, 6, 8)], "b array<int>, height int, width int, pitch int")
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in vision.nv12_pixels(df, "b", pitch="pitch").collect()}
+    assert len(got) == 24 and all(np.allclose(got[y, x], image[:, y, x]) for y, x in got)
