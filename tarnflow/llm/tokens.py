@@ -2,102 +2,231 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnflow.llm.shared import written
-from tarnflow.llm.words import SPACES, batches_of
+from tarnflow.llm.words import SPACES, batches_of, column_bytes
 
 #: Id that ends every document.
 END = 2
 #: Bytes of a stripe and rows between entries of its index.
 STRIPE, STRIDE = 64 << 20, 10_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker keeps, of plain ones and of others.
+CACHE_WORDS = 500_000
 #: Words that are handed to the tokenizer at once.
 BATCH_WORDS = 2000
 #: Bytes from which a text is encoded by pieces.
 LONG = 8 << 20
 #: ASCII punctuation but the apostrophe, and what it must follow to be a token run of its own.
 TAIL, STEM_END = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: How a file must split its texts for words to be encoded one by one.  Fixed values.
+_NORMAL = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordEncoder:
-    """Ids of whole texts, from the ids of their words.
+def splits_by_words(path: str) -> bool:
+    """Whether a tokenizer's file says that a text's ids are its words' ids in order, and that ASCII case does not count."""
+    rules = json.loads(Path(path).read_text(encoding="utf-8"))
+    normal = (rules.get("normalizer") or {}).get("normalizers") or []
+    split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    own = (split.get("pattern") or {}).get("Regex") == _SPLIT and split.get("behavior") == "Removed" and split.get("invert") is True
+    special = all("<|" in t["content"] and not t["content"].split()[1:] and not t["normalized"] for t in rules.get("added_tokens") or [])
+    return tuple(normal) == _NORMAL and own and special and rules["model"].get("end_of_word_suffix") == "</w>"
+
+
+class TextEncoder:
+    """Ids of whole texts by the library alone, for any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has; the end id is not among them."""
+        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        ids = [np.array(x.ids, np.int32) for x in found]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+
+class WordEncoder(TextEncoder):
+    """Ids of whole texts, from the ids of their distinct words.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are its words' ids in
     order.  ASCII letters are lower-cased by the tokenizer itself, so words that differ by that
-    share their ids, but for texts with ``<|``, where a special token may stand.  Ids fit 16 bits.
+    share their ids, but for texts with ``<|``, where a special token may stand.  Punctuation after a
+    letter or digit is a token run of its own, so a word is its core and its tail.  Plain cores, of
+    lower-case Latin-1 letters, are one token run that no normaliser changes.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("the tokenizer has ids of over 16 bits")
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        super().__init__(path)
+        self.known: dict[bytes, np.ndarray] = {}
+        self.cores, self.core_ids, self.core_sizes = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        # plain cores need no normaliser and no pattern, and each ends with its one end-of-word token
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Make the words known.
+    def _plain_ids(self, cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct plain cores in a row, and how many each has.
 
-        Punctuation after an ASCII letter or digit is a token run of its own, so such a word is its
-        core and its tail, which other words share.
+        Cores of earlier batches are kept, up to a number; beyond it only those of the last batch are.
         """
-        known, parts, new = self.known, [], set()
-        for w in words:
-            core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and core[-1] in STEM_END and b"<|" not in w:
-                parts.append((w, core, w[len(core) :]))
-                new.add(core)
-                new.add(parts[-1][2])
-            else:
-                new.add(w)
-        new = list(new - known.keys())
-        for i in range(0, len(new), BATCH_WORDS):
-            part = new[i : i + BATCH_WORDS]
+        at = pc.index_in(cores, value_set=self.cores)
+        new = np.asarray(pc.is_null(at))
+        fresh, sizes = self._tokenize(cores.filter(pa.array(new)))
+        cut = np.cumsum(self.core_sizes) - self.core_sizes
+        place = np.where(new, 0, np.asarray(pc.fill_null(at, 0)))
+        size = np.zeros(len(cores), np.int64)
+        size[new], size[~new] = sizes, self.core_sizes[place[~new]]
+        start = np.zeros(len(cores), np.int64)
+        start[new], start[~new] = len(self.core_ids) + np.cumsum(sizes) - sizes, cut[place[~new]]
+        both = np.concatenate([self.core_ids, fresh])
+        ids = both[_places(start, size)]
+        if len(self.cores) + len(sizes) <= CACHE_WORDS:
+            self.cores = pa.concat_arrays([self.cores, cores.filter(pa.array(new))])
+            self.core_ids, self.core_sizes = both, np.concatenate([self.core_sizes, sizes])
+        else:
+            self.cores, self.core_ids, self.core_sizes = cores, ids, size
+        return ids, size
+
+    def _tokenize(self, cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(cores), BATCH_WORDS):
+            part = cores[at : at + BATCH_WORDS].to_pylist()
+            found = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) != len(part):
+                each = self._other_ids(part)
+                found, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _other_ids(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of some distinct words."""
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), BATCH_WORDS):
+            part = new[at : at + BATCH_WORDS]
             texts = [w.decode("utf-8", "replace") for w in part]
             found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u2").tobytes()
-            ends = (2 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            for w, start, end in zip(part, ends, ends[1:], strict=False):
-                known[w] = ids[start:end]
-        for w, core, tail in parts:
-            known[w] = known[core] + known[tail]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, without the end id; a long text goes by pieces, cut at white space."""
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(part)))
+            known.update(zip(part, np.split(np.array(found.ids, np.int32), ends), strict=True))
+        return [known[w] for w in words]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, and how many each has."""
+        cores = pc.ascii_rtrim(words.cast(pa.large_string(), safe=False), characters=TAIL.decode()).cast(pa.large_binary())
+        plain = _is_plain(cores)
+        rest = np.flatnonzero(~plain)
+        cut, tails = [], []
+        for w in words.take(pa.array(rest)).to_pylist():
+            core = w.rstrip(TAIL)
+            whole = len(core) == len(w) or not core or core[-1] not in STEM_END or b"<|" in w
+            cut.append(w if whole else core)
+            tails.append(b"" if whole else w[len(core) :])
+        tail = _after(words, cores).filter(pa.array(plain)).dictionary_encode()
+        core = cores.filter(pa.array(plain)).dictionary_encode()
+        ids, sizes = self._plain_ids(core.dictionary)
+        named = [*tail.dictionary.to_pylist(), *cut, *tails]
+        number = {w: i for i, w in enumerate(dict.fromkeys(named))}
+        number.setdefault(b"", len(number))
+        others = self._other_ids(list(number))
+        pool = np.concatenate([ids, *others])
+        size = np.concatenate([sizes, [len(x) for x in others]]).astype(np.int64)
+        start = np.cumsum(size) - size
+        # every word is two runs of the pool: a core and a tail
+        runs = np.empty((len(words), 2), np.int64)
+        runs[plain, 0] = core.indices.to_numpy()
+        at_tail = np.array([number[w] for w in tail.dictionary.to_pylist()], np.int64) + len(sizes)
+        runs[plain, 1] = at_tail[tail.indices.to_numpy()] if len(at_tail) else 0
+        runs[rest, 0] = np.array([number[w] for w in cut], np.int64) + len(sizes)
+        runs[rest, 1] = np.array([number[w] for w in tails], np.int64) + len(sizes)
+        return pool[_places(start[runs].reshape(-1), size[runs].reshape(-1))], size[runs].sum(axis=1)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if any(len(t) > LONG for t in texts):
-            pieces = [list(SPACES.pieces(t)) for t in texts]
-            return [np.concatenate([self._encode([p])[0] for p in own]) if len(own) > 1 else self._encode(own)[0] for own in pieces]
+            # a long text goes by pieces, cut at white space
+            done = [[self._encode([p]) for p in SPACES.pieces(t)] for t in texts]
+            sizes = [sum(int(n[0]) for _, n in own) for own in done]
+            return np.concatenate([ids for own in done for ids, _ in own]), np.array(sizes, np.int64)
         return self._encode(texts)
 
-    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = set().union(*split)
-        if len(self.known) > CACHE_WORDS // 2:
-            # words of the last half stay at hand, those that come again are taken over
-            self.before, self.known = self.known, {}
-        missing = words - self.known.keys()
-        again = missing & self.before.keys()
-        self.known.update((w, self.before[w]) for w in again)
-        self._learn(missing - again)
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in own]), "<u2") for own in split]
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary())
+        split = pc.ascii_split_whitespace(column.cast(pa.large_string(), safe=False))
+        words = split.values.cast(pa.large_binary()).dictionary_encode()
+        pool, size = self._word_ids(words.dictionary)
+        at = words.indices.to_numpy()
+        n = size[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        return pool[_places((np.cumsum(size) - size)[at], n)], np.diff(before[split.offsets.to_numpy()])
+
+
+def _places(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` consecutive places from each start."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binary words in a row, and where each starts and the last ends."""
+    words = pa.concat_arrays([words])
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
+
+
+def _is_plain(words: pa.Array) -> np.ndarray:
+    """Whether words are of lower-case Latin-1 letters, one or more."""
+    data, offsets = _bytes_of(words)
+    lead = np.zeros(len(data) + 2, bool)
+    lead[1:-1] = data == 0xC3
+    follows = np.zeros(len(data) + 2, bool)
+    follows[1:-1] = (data >= 0x9F) & (data <= 0xBF) & (data != 0xB7)
+    good = ((data >= 0x61) & (data <= 0x7A)) | (lead[1:-1] & follows[2:]) | (follows[1:-1] & lead[:-2])
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    return (bad[offsets[1:]] == bad[offsets[:-1]]) & (np.diff(offsets) > 0)
+
+
+def _after(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What words have after their cores."""
+    data, offsets = _bytes_of(words)
+    core = np.asarray(pc.binary_length(cores)).astype(np.int64)
+    n = np.diff(offsets) - core
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    tails = np.ascontiguousarray(data[_places(offsets[:-1] + core, n)])
+    return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(tails)])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
+    """The encoder of a file, made once a worker: by words where the file allows it, else by whole texts."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = (WordEncoder if splits_by_words(path) else TextEncoder)(path)
     return _ENCODERS[path]
 
 
@@ -110,25 +239,21 @@ def write_token_ids(
     file.  A null or empty text has the end id alone.  A null key comes first.  Rows of equal key
     stand in the order of a hash of their texts.  An empty table gives no rows.
 
-    ``tokenizer`` is a file of the tokenizers library that executors can read.
+    ``tokenizer`` is a file of the tokenizers library that executors can read.  Any file will do: one
+    whose rules let words be encoded one by one is used so, and any other gets whole texts.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("order", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "order").sortWithinPartitions("doc_id", "order")
     kinds = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = _encoder(tokenizer), 0
-        for batch in batches_of(batches, 2 << 20):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids = encoder.encode(texts)
-            sizes = np.array([len(x) + 1 for x in ids], np.int64)
-            flat = np.full(int(sizes.sum()), end, np.int32)
-            inside = np.ones(len(flat), bool)
-            inside[np.cumsum(sizes) - 1] = False
-            flat[inside] = np.concatenate(ids)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            places = np.arange(place, place + len(ids))
-            place += len(ids)
+        found, place = encoder(tokenizer), 0
+        for batch in batches_of(batches, 8 << 20):
+            ids, sizes = found.encode(column_bytes(batch.column("text")))
+            flat = np.insert(ids, np.cumsum(sizes), end).astype(np.int32, copy=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
+            places = np.arange(place, place + len(sizes))
+            place += len(sizes)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(places), lists], schema=kinds)
 
