@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.llm.shared import fresh
+
 BEGIN, END, ROLE, BODY = "<s>", "</s>", "[ROLE]", "[/ROLE]"
 #: Placeholder and tokens that it expands to where a part gives no number.
 PLACEHOLDERS = {"image": ("[IMAGE]", 576), "audio": ("[AUDIO]", 188), "document": ("[DOCUMENT]", 1024)}
@@ -114,7 +116,11 @@ def format_chats(
 
 
 def read_chats(formatted: DataFrame, *, text: str = "formatted", loss: str = "loss") -> DataFrame:
-    """The rows with ``turns`` (role, text) and ``learnt`` (texts under the loss mask), read back and unescaped."""
+    """The rows with ``turns`` (role, text) and ``learnt`` (texts under the loss mask), read back and unescaped.
+
+    Rows stay as they are, repeated ones too.  A null conversation has null turns and nothing learnt, a
+    null loss list null ``learnt``.  An empty table gives an empty table.  A clashing column name is prefixed with ``_``.
+    """
     inner = F.substring(F.col(text), F.lit(len(BEGIN) + 1), F.length(text))
     split = F.split(inner, END)
     pieces = F.slice(split, F.lit(1), F.size(split) - 1)
@@ -129,4 +135,5 @@ def read_chats(formatted: DataFrame, *, text: str = "formatted", loss: str = "lo
         ),
         1,
     )
-    return formatted.withColumns({"turns": turns, "learnt": under})
+    turns_at, learnt_at = fresh(formatted, "turns", "learnt")
+    return formatted.withColumns({turns_at: turns, learnt_at: under})

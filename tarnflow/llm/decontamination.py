@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.shared import NULL_ID, fresh, written
-from tarnflow.llm.words import ALNUM_LOWER, batches_of, column_bytes, rolling, word_hashes
+from tarnflow.llm.shingles import bit_table
+from tarnflow.llm.words import ALNUM_LOWER, batches_of, column_bytes, mix, rolling, word_hashes
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
-#: Bytes of benchmark text whose tables are sent to the executors at once.
+#: Bytes of a benchmark whose tables are sent to the executors whole.
 BLOCK_BYTES = 1 << 20
+#: Bits of the table of suffixes of a larger benchmark: 2**28 bits, 32 MB.
+SUFFIX_BITS = 28
 #: Entries of a shift table; a block of words picks one by its hash.
 TABLE_BITS = 20
 
@@ -104,8 +107,8 @@ def hits(hashes: np.ndarray, text: bytes, indexes: list[WindowIndex]) -> tuple[l
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _search(docs: DataFrame, text: str, items: list[tuple[str, bytes]], width: int, names: list[str], only: bool) -> DataFrame:
-    """``docs`` with words, spans and items for one block of test items; ``only``: rows with a hit."""
+def _search(docs: DataFrame, text: str, items: list[tuple[str, bytes]], width: int, names: list[str]) -> DataFrame:
+    """``docs`` with words, spans and items, for a benchmark that fits one block: nothing is shuffled."""
     n_words, spans, found = names
     schema = T.StructType(
         [*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(spans, SPAN), T.StructField(found, T.ArrayType(T.StringType()))]
@@ -124,12 +127,63 @@ def _search(docs: DataFrame, text: str, items: list[tuple[str, bytes]], width: i
                 pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in out], kind),
                 pa.array([i for _, i in out], pa.list_(pa.string())),
             ]
-            whole = pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
-            yield whole.filter(pa.array([bool(s) for s, _ in out])) if only else whole
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
+def _suffixes(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` words: a hash of the block at its end, and one of the whole window."""
+    block = min(3, length)
+    ends = rolling(hashes, block)[length - block :]
+    return mix(ends ^ np.uint64(length)), mix(rolling(hashes, length) ^ np.uint64(length))
+
+
+def _windows(tests: DataFrame, width: int) -> DataFrame:
+    """Every window of the benchmark: its length, hashes of its suffix and of itself, its words, its item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            texts = column_bytes(batch.column("text"))
+            rows = []
+            for item, text, hashes in zip(batch.column("item").to_pylist(), texts, word_hashes(texts, ALNUM_LOWER), strict=True):
+                n = min(width, len(hashes))
+                if n:
+                    words = ALNUM_LOWER.words(text)
+                    suffix, whole = (x.view(np.int64).tolist() for x in _suffixes(hashes, n))
+                    rows += [(n, s, h, b" ".join(words[i : i + n]), item) for i, (s, h) in enumerate(zip(suffix, whole, strict=True))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n", "suffix", "hash", "words", "item"])
+
+    return written(tests.mapInArrow(run, "n int, suffix long, hash long, words binary, item string").distinct(), "windows")
+
+
+def _possible(narrow: DataFrame, text: str, lengths: list[int], table: np.ndarray) -> DataFrame:
+    """Places of ``narrow`` (``k``, ``t``) whose suffix some window of the length may have, with their words."""
+    shared = narrow.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, column=text):
+            texts, rows = column_bytes(batch.column(text)), []
+            keys = zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True)
+            for key, one, hashes in zip(keys, texts, word_hashes(texts, ALNUM_LOWER), strict=True):
+                words: list[bytes] = []
+                for n in lengths:
+                    if len(hashes) < n:
+                        continue
+                    suffix, whole = _suffixes(hashes, n)
+                    at = suffix.view(np.int64) & np.int64(8 * len(shared.value) - 1)
+                    there = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    words = words or (ALNUM_LOWER.words(one) if len(there) else [])
+                    rows += [(*key, i, n, h, b" ".join(words[i : i + n])) for i, h in zip(there.tolist(), whole[there].view(np.int64).tolist(), strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k", "t", "start", "n", "hash", "words"])
+
+    return narrow.mapInArrow(run, "k long, t long, start long, n int, hash long, words binary")
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -140,12 +194,14 @@ def find_contamination(
     item_text: str = "text",
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    table_bits: int = SUFFIX_BITS,
 ) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``spans`` (word ranges inside test windows) and ``items``.
 
-    The benchmark is searched in blocks of about ``block_bytes``, each sent to the executors by
-    itself, so what is broadcast is bounded however long the benchmark is.  With one block nothing
-    is shuffled; with more, hits are gathered by document and joined to it.
+    A benchmark of up to ``block_bytes`` is sent to the tasks, which search every text by its shift
+    tables, and nothing is shuffled.  Of a larger one a table of its windows' suffixes is sent, which
+    has ``2 ** table_bits`` bits whatever the benchmark; places whose suffix is in it meet the windows in buckets by a
+    shuffle, and words are compared there.  So the corpus is read twice however long the benchmark is.
 
     Null texts have no words; items without words have no window; a null item id is an empty text.
     Items of equal text each count.  Rows with equal key and text are found alike.  Empty tables
@@ -156,30 +212,19 @@ def find_contamination(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
     )
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = int(total) // block_bytes + 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-
-    def of(b: int) -> list[tuple[str, bytes]]:
-        return [(r.item, r.text.encode()) for r in tests.where(part == b).collect()]
-
-    if blocks == 1:
-        return _search(docs, text, of(0), width, names, False)
+    if total <= block_bytes:
+        return _search(docs, text, [(r.item, r.text.encode()) for r in tests.collect()], width, names)
+    windows = _windows(tests, width)
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())
     k, t = fresh(docs.select("*", *[F.lit(0).alias(n) for n in names]), "key", "text_hash")
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
-    narrow = keyed.select(k, t, text)
-    found = None
-    for b in range(blocks):
-        one = written(_search(narrow, text, of(b), width, names, True).select(k, t, *names[1:]), "hits")
-        found = one if found is None else found.union(one)
-    merged = (
-        found.distinct()
-        .groupBy(k, t)
-        .agg(
-            merge_spans(F.flatten(F.collect_list(names[1]))).alias(names[1]),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(names[2])))).alias(names[2]),
-        )
+    narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
+    places = _possible(narrow, "text", lengths, bit_table(windows.select(F.col("suffix").alias("v")), table_bits))
+    found = places.join(windows.drop("suffix"), ["n", "hash", "words"]).select("k", "t", "start", (F.col("start") + F.col("n")).alias("end"), "item")
+    merged = found.groupBy(F.col("k").alias(k), F.col("t").alias(t)).agg(
+        merge_spans(F.collect_set(F.struct("start", "end"))).alias(names[1]), F.array_sort(F.collect_set("item")).alias(names[2])
     )
-    counted = _search(keyed, text, [], width, names, False).drop(*names[1:])
+    counted = keyed.withColumn(names[0], F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"))
     return (
         counted.join(merged, [k, t], "left")
         .withColumn(names[1], F.coalesce(names[1], F.array().cast(SPAN)))
@@ -203,5 +248,5 @@ def merge_spans(spans: Column) -> Column:
 
 
 def clean(found: DataFrame, spans: str = "spans") -> DataFrame:
-    """The rows without a hit."""
+    """The rows without a hit; repeated rows fare alike, null spans count as a hit.  An empty table gives an empty table."""
     return found.where(F.size(spans) == 0)

@@ -116,6 +116,9 @@ def mix_sources(
 
 
 def emit_copies(mixed: DataFrame, copies: str = "copies") -> DataFrame:
-    """One row per copy: a row with ``copies`` of 0 goes, one with 2 stands twice."""
+    """One row per copy: a row with ``copies`` of 0 goes, one with 2 stands twice; columns but ``copies`` stay.
+
+    A null number of copies counts as 0.  Repeated rows count one by one.  An empty table gives an empty table.
+    """
     (unit,) = fresh(mixed, "unit")
     return mixed.withColumn(unit, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(unit, copies)

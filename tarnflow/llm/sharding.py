@@ -69,6 +69,10 @@ def assign_shards(
 
 
 def write_shards(sharded: DataFrame, path: str, *, shard: str = "shard", files: int = 1) -> None:
-    """Parquet files under ``path``, one folder per shard; ``files`` tasks share a shard's rows."""
+    """Parquet files under ``path``, one folder per shard; ``files`` tasks share a shard's rows.
+
+    Rows are dealt by all their columns, nulls included, so a hot key is not one task's; equal rows meet
+    in one file.  An empty table writes no shard.
+    """
     parts = F.pmod(F.xxhash64(*[F.col(c) for c in sharded.columns]), F.lit(files))
     sharded.repartition(F.col(shard), parts).write.partitionBy(shard).parquet(path)
