@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.operators.recovery import fatal
+
 BACKENDS = ("tensorrt", "torchscript", "ultralytics", "patchcore")
 
 
@@ -142,16 +144,50 @@ def fits_bindings(inputs: Column, bindings: Column) -> Column:
     return F.coalesce(names & F.forall(F.map_entries(inputs), lambda e: one(e["key"], e["value"])), F.lit(False))
 
 
-def infer(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.Series]], output: str = "double", name: str = "model_output") -> DataFrame:
-    """``df`` with a model's output; a task makes its model once.  ``factory`` gives rows -> values."""
+def infer(
+    df: DataFrame,
+    factory: Callable[[], Callable[[pd.DataFrame], pd.Series]],
+    output: str = "double",
+    name: str = "model_output",
+    *,
+    usable: Column | None = None,
+    guarded: bool = False,
+) -> DataFrame:
+    """``df`` with a model's output; a task makes its model once.  ``factory`` gives rows -> values.
+
+    Rows that are not ``usable`` are not shown to the model and have no output.  If ``guarded``, a model that
+    fails is made anew and the rows of the failed call are tried one by one; those that fail alone have no
+    output.  A fatal error, and one of an unguarded model, ends the job.
+    """
+    mark = "__usable"
+    rows = df.withColumn(mark, F.coalesce(usable, F.lit(False)) if usable is not None else F.lit(True))
     schema = f"{df._jdf.schema().toDDL()}, `{name}` {output}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        made: list = []
+
+        def call(part: pd.DataFrame) -> list:
+            if not made:
+                made.append(factory())
+            return list(made[0](part))
+
+        def values(part: pd.DataFrame) -> list:
+            try:
+                return call(part)
+            except Exception as e:
+                if not guarded or fatal(e):
+                    raise
+                made.clear()
+                return [None] if len(part) == 1 else [v for i in range(len(part)) for v in values(part.iloc[i : i + 1])]
+
         for part in parts:
-            yield part.assign(**{name: model(part)})
+            shown = part[part[mark]].drop(columns=mark)
+            out = pd.Series([None] * len(part), index=part.index, dtype=object)
+            if len(shown):
+                out[shown.index] = pd.Series(values(shown), index=shown.index, dtype=object)
+            yield part.drop(columns=mark).assign(**{name: out})
 
-    return df.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def first_bytes(found: Column, preferred: tuple[str, ...] = ("bitstream", "data", "packet", "encoded_data", "payload")) -> Column:

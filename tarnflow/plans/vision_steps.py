@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators import images, vision
+from tarnflow.operators import images, tensors, vision
 from tarnflow.plans.pipeline import Step
 
 Rule = Callable[[Any], bool]
@@ -113,6 +114,38 @@ class PreProcess(Checked):
         return df.withColumn("transform", F.struct(*[c.alias(n) for n, c in found.items()]))
 
 
+class Inference(Checked):
+    """A model's output for each frame: ``model_id`` and ``model_output``.
+
+    ``factory`` makes the model, once a task, from the path, the GPU and the profile; the model takes rows and gives
+    a value each.  Frames whose ``inputs`` (name to (dtype, shape)) cannot be used, and frames at which the model
+    fails, pass without an output; with ``batch`` the first axis must be 1, as requests share calls.
+    ``profile_index`` is for one backend only.
+    """
+
+    rules = {
+        "model_path": _named,
+        "batch": _flag,
+        "gpu_id": _integer(0),
+        "id": _or_none(_named),
+        "backend": lambda x: isinstance(x, str) and (x in tensors.BACKENDS or re.fullmatch(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)*:[A-Za-z_]\w*", x) is not None),
+        "profile_index": _integer(0),
+    }
+    together = (("profile_index with another backend than tensorrt", lambda s: s["profile_index"] == 0 or s["backend"] == "tensorrt"),)
+
+    def __init__(self, model_path: str, factory: Callable[[str, int, int], Callable], **options: Any) -> None:
+        super().__init__(model_path=model_path, batch=False, gpu_id=0, id=None, backend="tensorrt", profile_index=0)
+        self.factory = factory
+        self.configure(options)
+        self.defaults = dict(self.settings)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        s, make = dict(self.settings), self.factory
+        usable = tensors.valid_inputs(F.col("inputs"), shared=s["batch"]) if "inputs" in df.columns else None
+        found = tensors.infer(df, lambda: make(s["model_path"], s["gpu_id"], s["profile_index"]), usable=usable, guarded=True)
+        return found.withColumn("model_id", F.lit(s["id"] or s["model_path"].replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]))
+
+
 class PostProcess(Checked):
     """Detections from candidates (frame_id, cand_ix, cx, cy, w, h, scores), in the source image.
 

@@ -7,25 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tarnflow.operators.recovery import FATAL, FATAL_TYPES
-
-
-def origins(error: BaseException) -> list[BaseException]:
-    """An error and all it came from, by cause or context, each once."""
-    found = [error]
-    for e in found:
-        found += [x for x in {id(x): x for x in (e.__cause__, e.__context__)}.values() if x is not None and all(x is not y for y in found)]
-    return found
-
-
-def fatal(error: BaseException | None) -> bool:
-    """Whether an error, or one it came from, ends the stream: by its type or by a fragment of its message."""
-
-    def ends(e: BaseException) -> bool:
-        names = {t.__name__ for t in type(e).__mro__}
-        return bool(names.intersection(FATAL_TYPES)) or any(f in str(e).lower() for f in FATAL)
-
-    return error is not None and any(map(ends, origins(error)))
+from tarnflow.operators.publish import Publisher
+from tarnflow.operators.recovery import fatal
+from tarnflow.streaming.stateful import replay_stream
 
 
 def keep_running(
@@ -55,3 +39,10 @@ def publish(df: DataFrame, path: str, checkpoint: str, *, generation: str = "gen
         rows.write.mode("overwrite").partitionBy(generation).parquet(f"{path}/batch={batch}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def publish_packets(packets: DataFrame, path: str, checkpoint: str, *, wait_us: int = 3_000_000, stream: str = "stream_id"):
+    """Packets of a stream through ``Publisher`` to a sink: only what it sends is written, by stream, with its decoding time."""
+    machine = Publisher(wait_us)
+    found = replay_stream(packets, machine.step, machine.schema, start=machine.start, stream=stream, order=("seq",))
+    return publish(found.where("outcome = 'sent'").drop("outcome"), path, checkpoint, generation=stream)

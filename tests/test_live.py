@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.plans.watch import LiveSettings
-from tarnflow.sources.live import fatal, keep_running, publish
+from tarnflow.operators.recovery import fatal
+from tarnflow.sources.live import keep_running, publish, publish_packets
 from tarnflow.sources.packets import generation
 from tarnflow.streaming.observed import Report, observed
 from tarnflow.streaming.windows import interval_report, sessions
@@ -95,6 +96,16 @@ def test_report_and_sink(spark, tmp_path):
     assert rows.count() == 60
 
 
+def test_publisher_as_a_sink(spark, tmp_path):
+    schema = "stream_id long, seq long, at_us long, key long, valid boolean, opens boolean, writes boolean, dts long, pts long, duration long, num long, den long"
+    for part in ([(0, 9000), (1, 9000), (2, 6000)], [(3, 8000), (4, None), (5, 99999)]):
+        rows = [(1, i, i, 0, True, True, True, d, None, 3000, 1, 90000) for i, d in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    publish_packets(live, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.seq, r.dts) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 9000), (4, 12000), (5, 99999)]
+
+
 def test_generations(spark):
     df = spark.createDataFrame([(0, i, i in (2, 5)) for i in range(7)], "stream_id long, seq long, new boolean")
     assert [r.g for r in df.select("seq", generation(F.col("new")).alias("g")).orderBy("seq").collect()] == [0, 0, 1, 1, 1, 2, 2]

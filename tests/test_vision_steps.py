@@ -5,7 +5,7 @@ import pytest
 
 from tarnflow.operators import images, vision
 from tarnflow.plans.pipeline import Pipeline
-from tarnflow.plans.vision_steps import PostProcess, PreProcess
+from tarnflow.plans.vision_steps import Inference, PostProcess, PreProcess
 
 
 @pytest.mark.parametrize(
@@ -52,6 +52,41 @@ def test_pixels_become_input(spark):
     assert each.input_shape == [1, 1, 2, 3] and each.model_input[""] == [255.0, -0.5, 12.75, 0.0, 127.0, 25.5]
 
 
+def test_inference_passes_what_fails(spark):
+    class Sum:
+        """Sums values; some rows it cannot take, and after one it is of no use."""
+
+        def __init__(self):
+            self.broken = False
+
+        def __call__(self, rows):
+            if self.broken:
+                raise AssertionError("a model that failed was called again")
+            if rows["x"].isna().any():
+                self.broken = True
+                raise ValueError("no value")
+            return rows["x"] * 2
+
+    rows = [(0, 1.0, {"images": ("float32", [1, 3])}), (1, None, {"images": ("float32", [1, 3])}), (2, 3.0, {"images": ("float32", [2, 3])}), (3, 4.0, {" ": ("float32", [1])}), (4, 5.0, None)]
+    df = spark.createDataFrame(rows, "i int, x double, inputs map<string,struct<dtype:string,shape:array<long>>>").coalesce(1)
+    out = Inference("/models/a.engine", lambda path, gpu, profile: Sum(), batch=True).apply(df).orderBy("i").collect()
+    assert [(r.model_id, r.model_output) for r in out] == [("a.engine", 2.0), *[("a.engine", None)] * 4]
+    alone = Inference("m\\b.pt", lambda path, gpu, profile: Sum(), backend="torchscript", id="mine").apply(df.drop("inputs")).orderBy("i").collect()
+    assert [(r.model_id, r.model_output) for r in alone] == [("mine", x) for x in (2.0, None, 6.0, 8.0, 10.0)]
+
+    def lost(path, gpu, profile):
+        def call(rows):
+            raise RuntimeError("CUDA error: lost")
+
+        return call
+
+    with pytest.raises(Exception, match="CUDA error"):
+        Inference("a", lost).apply(df).collect()
+    for bad in ({"backend": "nothing"}, {"profile_index": 1, "backend": "torchscript"}, {"gpu_id": -1}, {"id": " "}, {"batch": 1}):
+        with pytest.raises(ValueError):
+            Inference("a", lost, **bad)
+
+
 GEOMETRY = [
     ({}, (2.0, 2.0, 2, 0, 12, 16)),
     ({"center": False}, (2.0, 2.0, 0, 0, 12, 16)),
