@@ -56,6 +56,32 @@ def test_settings_that_are_refused_are_not_tried_again():
     assert [t["A"]["x"] for t in taken] == [1, 3] and len(tries) == 3
 
 
+def test_watched_settings_are_read_when_told():
+    text, now, reads, watched = ["A:\n  x: 1"], [0.0], [0], [True]
+
+    def read():
+        reads[0] += 1
+        if text[0] is None:
+            raise OSError("gone")
+        return text[0]
+
+    live = LiveSettings(read, lambda found: True, clock=lambda: now[0], watched=lambda: watched[0])
+    assert live.check() and reads[0] == 1
+    now[0], text[0] = 29.0, "A:\n  x: 2"
+    assert not live.check() and reads[0] == 1
+    live.changed()
+    assert live.check() and reads[0] == 2
+    now[0] = 60.0
+    assert not live.check() and reads[0] == 3
+    text[0], now[0] = None, 61.0
+    live.changed()
+    assert not live.check() and not live.check() and reads[0] == 5
+    text[0] = "A:\n  x: 3"
+    assert live.check()
+    watched[0], now[0], text[0] = False, 61.6, "A:\n  x: 4"
+    assert live.check()
+
+
 def events(spark, tmp_path):
     rows = spark.range(60).select(
         F.timestamp_seconds(F.col("id") * 30 + F.when(F.col("id") >= 40, 600).otherwise(0)).alias("ts"),
