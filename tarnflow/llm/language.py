@@ -22,7 +22,7 @@ from tarnflow.llm.words import batches_of, mix
 DIM, MAX_LANGUAGES = 1024, 1024
 UNKNOWN = "und"
 #: Characters handled at once; cells of a matrix of counts; trigrams whose vectors are made at once.
-PIECE, CELLS, ROWS = 1 << 20, 1 << 22, 4096
+PIECE, CELLS, ROWS = 1 << 20, 1 << 21, 1024
 _LETTER: list[np.ndarray] = []
 
 
