@@ -13,11 +13,21 @@ from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import keep_one
 
 
+#: Rows of whole texts that go to Python at once, in every stage: few, as some texts are very long.
+BATCH_ROWS = 1000
+
+
+def _lean(spark: SparkSession) -> None:
+    """A stage's rows are computed after it returns, so this holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of no language go: null ones and those without letters.  A short text's cosine says little, so none goes for it.
 
     A tie of languages does not matter here; repeated rows fare alike; no rows give no rows.
     """
+    _lean(spark)
     found = identify(docs, crc_fold(F.col("doc_id")) != 1)
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
@@ -28,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of equal ids the text with the least hash stays, of repeated rows one; a null id is the least; texts without
     words are one group.  No rows give no rows.
     """
+    _lean(spark)
     return keep_one(docs)
 
 
@@ -36,6 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Repeated rows fare alike; without items, or without rows, nothing changes.
     """
+    _lean(spark)
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean(found).select(*docs.columns)
 
