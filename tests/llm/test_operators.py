@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import DOCS, awkward, empty  # noqa: E402
 
-from tarnflow.llm import chat, components, decontamination, language, mixing, quality, sharding, simhash, substrings, tokens, toxicity, words  # noqa: E402
+from tarnflow.llm import chat, components, decontamination, language, mixing, quality, sharding, shingles, simhash, substrings, tokens, toxicity, words  # noqa: E402
 from tarnflow.llm.shared import crc_fold, fresh  # noqa: E402
 
 VOCABULARY = [f"v{i}" for i in range(12)]
@@ -150,6 +150,65 @@ def test_windows_against_brute_force(spark, bits, block):
         assert r.kept_text == " ".join(x for x, g in zip(w, gone, strict=True) if not g)
 
 
+def spans_of(out):
+    return {r.doc_id: [(s.start, s.end) for s in r.spans] for r in out}
+
+
+def test_words_of_equal_polynomials_stay(spark):
+    """Two long words that every hash by digits to an odd base modulo 2**64 takes for one."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(29)]
+    rows = [(1, " ".join([*around[:15], one, *around[15:]]), "en", "a", 1), (2, " ".join([*around[:15], other, *around[15:]]), "en", "a", 1)]
+    out = substrings.remove_duplicates(spark.createDataFrame(rows, DOCS), table_bits=16).collect()
+    assert spans_of(out) == {1: [], 2: []}
+
+
+def test_misled_hashes_change_nothing():
+    """Windows that share a hash are told apart by their words."""
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 3, 500).astype(np.int32)
+    at = np.flatnonzero(rng.random(480) < 0.8)
+    rank = np.sort(rng.integers(0, 9, len(at)))
+    first = {}
+    want = [first.setdefault(tuple(ids[i : i + 4]), k) for k, i in enumerate(at.tolist())]
+    assert substrings.sources(ids, at, rank, at, 4).tolist() == want
+    real = substrings.rolling
+    substrings.rolling = lambda h, width: real(h, width) % np.uint64(5)
+    try:
+        assert substrings.sources(ids, at, rank, at, 4).tolist() == want
+    finally:
+        substrings.rolling = real
+
+
+def test_a_hot_phrase_is_dealt_by_windows(spark):
+    """Many documents share twelve words, some of them more around: no index block gathers all windows of an anchor."""
+    rng = random.Random(5)
+    phrase = [f"hot{i}" for i in range(12)]
+    rows = []
+    for i in range(300):
+        around = [f"x{rng.randrange(10**6)}" for _ in range(30)] if i % 10 else [f"y{j}" for j in range(30)]
+        rows.append((i, " ".join([*around[:15], *phrase, *around[15:]]), "en", "a", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    out = substrings.remove_duplicates(docs, table_bits=16, index_windows=100, block_windows=200).collect()
+    assert spans_of(out) == {i: [(0, 42)] if i and not i % 10 else [] for i in range(300)}
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    twice, hot, _ = substrings.anchor_tables(texts, 20, 8, 16, 5)
+    assert 0 < hot.sum() and np.array_equal(hot & twice, hot)
+
+
+def test_windows_of_long_texts(spark, monkeypatch):
+    """Texts over a piece, and over what is gathered at once."""
+    long = " ".join(f"w{i % 50021}x{i // 50021}" for i in range(250_000))
+    assert len(long) > 2 * words.PIECE
+    tail = long[-4000:].split(" ", 1)[1]
+    rows = [(1, long, "en", "a", 1), (2, "new " + tail + " end", "en", "a", 1), (3, "x " + long, "en", "a", 1)]
+    out = substrings.remove_duplicates(spark.createDataFrame(rows, DOCS), table_bits=22, block_windows=1000).collect()
+    assert spans_of(out) == {1: [], 2: [(1, 1 + len(tail.split()))], 3: [(1, 250_001)]}
+
+
 def test_windows_bear_awkward_rows(spark):
     rows = substrings.remove_duplicates(awkward(spark), width=4, gram=2, table_bits=16).collect()
     assert len(rows) == 9
@@ -190,6 +249,72 @@ def test_toxicity_of_few_toxic_labels(spark):
     assert {r.doc_id for r in out if r.predicted} == set(range(7, 1000, 100))
 
 
+def kneser_ney(words):
+    """For words of two classes: a function from a word to its difference, by the plain formulas."""
+    n = [Counter(), Counter()]
+    for c, own in enumerate(words):
+        for w, times in own.items():
+            p = "\0" * 4 + w + "\0"
+            for i in range(len(w) + 1):
+                n[c][p[i : i + 5]] += times
+    kinds = set(n[0]) | set(n[1])
+    by_order = {5: kinds}
+    for k in (4, 3, 2, 1):
+        by_order[k] = {g[1:] for g in by_order[k + 1]}
+
+    def shared(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(by_order[1]) + 1)
+        count = lambda x: sum(h[1:] == x for h in by_order[k + 1])
+        siblings = [x for x in by_order[k] if x[:-1] == g[:-1]]
+        total = sum(map(count, siblings))
+        return (max(count(g) - 0.75, 0) + 0.75 * len(siblings) * shared(g[1:])) / total if total else shared(g[1:])
+
+    def p(c, g):
+        siblings = {x: v for x, v in n[c].items() if x[:-1] == g[:-1]}
+        total = sum(siblings.values())
+        if not total:
+            return shared(g[1:])
+        return (max(siblings.get(g, 0) - 2, 0) + sum(min(v, 2) for v in siblings.values()) * shared(g[1:])) / total
+
+    return kinds, p
+
+
+def test_kneser_ney_by_definition(spark):
+    rows = [("aba abb", 0), ("aba aca", 0), ("aba", 1), ("zz aba zz", 1), ("zzz", 1), ("zz é", 1)]
+    counts = toxicity._counts(spark.createDataFrame(rows, "text string, toxic int").coalesce(2))
+    kinds, p = kneser_ney([Counter({"aba": 2, "abb": 1, "aca": 1}), Counter({"aba": 2, "zz": 2, "zzz": 1, "é": 1})])
+    by_gram, by_context = toxicity.differences(counts)
+    got = {r.gram: r.d * toxicity.UNIT for r in by_gram.collect()}
+    assert got.keys() == kinds
+    for g in kinds:
+        assert abs(got[g] - (np.log(p(1, g)) - np.log(p(0, g)))) < 2e-6
+    # each class's probabilities after a context it has met sum to 1, the last character of all counted ones and one more
+    ends = {g[-1] for g in kinds} | {"?"}
+    for context in {g[:4] for g in kinds}:
+        for c in (0, 1):
+            assert abs(sum(p(c, context + e) for e in ends) - 1) < 1e-9
+    rest = {r.context: r.d * toxicity.UNIT for r in by_context.collect()}
+    for context in {g[:4] for g in kinds}:
+        assert abs(rest[context] - (np.log(p(1, context + "?")) - np.log(p(0, context + "?")))) < 2e-6
+    model = toxicity.Model(by_gram, by_context)
+    for word in ("aba", "abq", "zzz", "qqq", "é", "a"):
+        padded = "\0" * 4 + word + "\0"
+        want = sum(np.log(p(1, padded[i : i + 5])) - np.log(p(0, padded[i : i + 5])) for i in range(len(word) + 1))
+        assert abs(model.differences([word])[0] * toxicity.UNIT - want) < 1e-5
+
+
+def test_toxicity_joined_equals_sent(spark):
+    docs = corpus(spark, 9).unionByName(awkward(spark))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "", r.text is None)
+    sent = sorted(toxicity.score_toxicity(docs, labels, F.lit(True)).collect(), key=key)
+    joined = sorted(toxicity.score_toxicity(docs, labels, F.lit(True), model_grams=0, sent_labels=0).collect(), key=key)
+    assert [key(r) for r in sent] == [key(r) for r in joined]
+    assert all(abs(a.score - b.score) < 1e-9 for a, b in zip(sent, joined, strict=True)) and len({r.score for r in sent}) > 20
+
+
 def test_toxicity_bears_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     docs = awkward(spark).withColumn("score", F.lit("x"))
@@ -229,6 +354,24 @@ def test_chat_parts(spark):
     assert chat.format_chats(df.limit(0), parts=F.col("parts")).count() == 0
 
 
+def test_chat_bears_awkward_rows(spark):
+    long = "long [x] <y> \\ " * 200_000
+    rows = [
+        (1, 0, "user", "same"), (1, 0, "user", "same"), (1, 0, "assistant", "b"), (1, None, "user", "first"), (None, 2, "assistant", "of none"), (None, 1, None, None),
+        (2, 5, "assistant", long), (3, 1, "assistant", ""), (4, 1, "assistant", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("Formatted", F.lit(0)).withColumn("loss", F.lit(0))
+    formatted = chat.format_chats(df).withColumn("Turns", F.lit("mine")).withColumn("learnt", F.lit("mine"))
+    got = {r.conv_id: r for r in chat.read_chats(formatted).collect()}
+    turns = {c: [(t.role, t.text) for t in r["_turns"]] for c, r in got.items()}
+    assert turns[1] == [("user", "first"), ("assistant", "b"), ("user", "same"), ("user", "same")]
+    assert turns[None] == [("", ""), ("assistant", "of none")] and turns[2] == [("assistant", long)]
+    assert [got[c]["_learnt"] for c in (1, None, 3, 4)] == [["b"], ["of none"], [""], [""]] and got[1]["Turns"] == "mine"
+    none = chat.read_chats(formatted.limit(1).withColumn("formatted", F.lit(None).cast("string"))).first()
+    assert none["_turns"] is None
+    assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
+
+
 # op 5 --------------------------------------------------------------------------------------------
 
 
@@ -242,6 +385,40 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
 
 
+def test_language_against_brute_force(spark):
+    """Profiles, cosines, the largest, and ties, from whole texts by the plain formulas."""
+    dim, rng = 64, random.Random(12)
+    texts = ["ab ba", "ba", "é à", "", None, "123", "日本語", "zz " * 30, "ab ba"] + ["".join(rng.choices("abcé ß-1", k=rng.randrange(40))) for _ in range(40)]
+    langs = [rng.choice(["x", "y", "z", None]) for _ in texts]
+    rows = [(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))] + [(100, "ab ba", "twin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    vector = lambda c: language.letter_vectors(np.array([ord(c) if c != "_" else 0]), dim)[0]
+
+    def bundle(text):
+        out, words = np.zeros(dim), "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        for w in words:
+            for x, y, z in zip("_" + w[:-1], w, w[1:] + "_", strict=True):
+                out += np.roll(vector(x), 2) * np.roll(vector(y), 1) * vector(z)
+        return out
+
+    profiles = defaultdict(lambda: np.zeros(dim))
+    for i, t, g in rows:
+        if g is not None and i % 3:
+            profiles[g] += bundle(t)
+    names = sorted(profiles)
+    got = {r.doc_id: r for r in language.identify(docs, F.col("doc_id") % 3 != 0, dim=dim).collect()}
+    for i, t, _ in rows:
+        b = bundle(t)
+        cosine = [float(b @ profiles[g] / (np.linalg.norm(b) * np.linalg.norm(profiles[g]))) if b.any() and profiles[g].any() else 0.0 for g in names]
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            best = max(cosine)
+            assert abs(got[i].score - min(1.0, max(0.0, best))) < 1e-9 and cosine[names.index(got[i].lang_pred)] > best - 1e-9
+    twins = language.identify(docs.where("doc_id in (0, 8, 100)").withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 7)), F.lit(True), dim=dim).collect()
+    assert {r.lang_pred for r in twins} == {"l0"}
+
+
 def test_bundles_by_definition(monkeypatch):
     text = "ab c-é"
     letters = lambda c: language.letter_vectors(np.array([ord(c) if c != "_" else 0]))[0]
@@ -314,8 +491,8 @@ def test_search_against_brute_force(spark):
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: [w for w in words.ALNUM_LOWER.words((t or "").encode())]
     windows = [(str(i) if i is not None else "", w[a : a + min(4, len(w))]) for i, t in items for w in [split(t)] for a in range(len(w) - min(4, len(w)) + 1) if w]
-    for block in (1 << 20, 20):
-        out = decontamination.find_contamination(docs, bench, width=4, block_bytes=block).collect()
+    for block, bits in ((1 << 20, 0), (20, 20), (20, 4)):
+        out = decontamination.find_contamination(docs, bench, width=4, block_bytes=block, table_bits=bits).collect()
         assert len(out) == len(texts)
         for r in out:
             w, hit, found = split(r.text), set(), set()
@@ -333,6 +510,8 @@ def test_search_bears_awkward_rows(spark):
     rows = decontamination.find_contamination(awkward(spark).withColumn("items", F.lit(0)), bench).collect()
     assert len(rows) == 9 and sum(bool(r["_items"]) for r in rows) == 2
     assert decontamination.find_contamination(empty(spark), bench).count() == 0
+    large = decontamination.find_contamination(awkward(spark).withColumn("items", F.lit(0)), bench, block_bytes=0, table_bits=20)
+    assert sorted(map(str, large.collect())) == sorted(map(str, rows)) and decontamination.find_contamination(empty(spark), bench, block_bytes=0, table_bits=20).count() == 0
     assert decontamination.clean(decontamination.find_contamination(awkward(spark), bench.limit(0))).count() == 9
 
 
@@ -365,7 +544,16 @@ def test_near_duplicates_against_brute_force(spark):
             prints.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
-    got = {r.a: r.b for r in components.components(simhash.links(df, "fp")).collect()}
+    pairs = [(r.a, r.b) for r in simhash.links(df, "fp").collect()]
+    unsigned = lambda x: x % (1 << 64)
+    near = {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+    assert len(pairs) == len(set(map(frozenset, pairs))) and {frozenset(map(unsigned, p)) for p in pairs} == near
+    dense = simhash.dense_links(df.select(F.col("fp").alias("x")))
+    for found in (simhash.links(df, "fp"), dense):
+        same_classes(prints, {r.a: r.b for r in components.components(found).collect()}, signed)
+
+
+def same_classes(prints, got, signed):
     want = classes(prints, lambda a, b: (a ^ b).bit_count() <= 2)
     groups = defaultdict(set)
     for x in prints:
@@ -373,6 +561,56 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_full_buckets_lose_no_link(spark, monkeypatch):
+    """Many fingerprints share a segment; some links lie across a full bucket and others outside any."""
+    rng = random.Random(8)
+    low, high = rng.getrandbits(32), rng.getrandbits(32)
+    prints = {rng.getrandbits(32) << 32 | low for _ in range(60)} | {high << 32 | rng.getrandbits(32) for _ in range(60)}
+    for x in list(prints)[:80]:
+        for _ in range(2):
+            y = x
+            for b in rng.sample(range(64), rng.randrange(1, 4)):
+                y ^= 1 << b
+            prints.add(y)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
+    for bucket in (1, 10, 64):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        same_classes(prints, {r.a: r.b for r in components.components(simhash.links(df, "fp")).collect()}, signed)
+
+
+def test_near_duplicates_from_texts(spark):
+    """From texts to components, against fingerprints by definition and all pairs."""
+    import xxhash
+
+    rng, texts = random.Random(14), [None, "", " ", "One", "one", "a b", "A B c d"]
+    for i in range(25):
+        w = rng.choices([f"w{j}" for j in range(50)], k=rng.randrange(20, 200))
+        for _ in range(rng.randrange(1, 5)):
+            texts.append(" ".join(w))
+            w = [*w, f"x{rng.randrange(9)}"]
+    prints = []
+    for text in texts:
+        w = (text or "").lower().split()
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        prints.append(sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)))
+    least = {}
+    for i, p in enumerate(prints):
+        least.setdefault(p, i)
+    label = classes(set(prints), lambda a, b: (a ^ b).bit_count() <= 2)
+    want = [min(least[q] for q in label if label[q] == label[p]) for p in prints]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert [found[i].fingerprint % (1 << 64) for i in range(len(texts))] == prints
+    assert [found[i].component_id for i in range(len(texts))] == want
+
+
+def test_majority_of_hashes():
+    own = np.random.default_rng(2).integers(0, 1 << 63, 70_001).astype(np.uint64)
+    bits = sum((2 * int((own >> np.uint64(b) & np.uint64(1)).sum()) > len(own)) << b for b in range(64))
+    assert shingles.majority(own) % (1 << 64) == bits and shingles.majority(own[:0]) == 0
+
+
 def test_fingerprint_by_definition(monkeypatch):
     import xxhash
 
@@ -504,6 +742,11 @@ def test_policies_and_ablations(spark):
 # op 10 -------------------------------------------------------------------------------------------
 
 
+def each(encoder, texts):
+    ids, sizes = encoder.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_ids_equal_the_library(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -513,8 +756,8 @@ def test_ids_equal_the_library(spark, tmp_path):
     rng = random.Random(6)
     alphabet = list("ab,.!'<|>~ \n\tA1éİΣ\x1c日½") + ["<|endoftext|>", "'ll"]
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)]
-    got = tokens.WordEncoder(path).encode([t.encode() for t in texts])
-    assert all(plain.encode(t, add_special_tokens=False).ids == g.tolist() for t, g in zip(texts, got, strict=True))
+    got = each(tokens.WordEncoder(path), [t.encode() for t in texts])
+    assert all(plain.encode(t, add_special_tokens=False).ids == g for t, g in zip(texts, got, strict=True))
     rows = awkward(spark)
     tokens.write_token_ids(rows, str(tmp_path / "ids"), path)
     back = tokens.read_token_ids(spark, str(tmp_path / "ids")).collect()
@@ -532,18 +775,127 @@ def test_small_cache_and_long_texts(monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = [b"alpha beta, gamma. " * 30, b"delta epsilon zeta eta", b"theta iota"]
-    whole = [x.tolist() for x in tokens.WordEncoder(path).encode(texts)]
+    texts = [b"alpha beta, gamma. " * 30, b"delta epsilon zeta eta", b"", b"theta iota"]
+    whole = each(tokens.WordEncoder(path), texts)
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
     monkeypatch.setattr(tokens, "LONG", 50)
     monkeypatch.setattr(words, "PIECE", 20)
     small = tokens.WordEncoder(path)
-    assert [x.tolist() for t in texts for x in small.encode([t])] == whole
+    assert [x for t in texts for x in each(small, [t])] == whole == each(small, texts)
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not tokens.splits_by_words(path) and tokens.splits_by_words(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(path)
+    rows = awkward(spark).union(spark.createDataFrame([(10, "Hello World, this is  A test.", "en", "a", 1)], DOCS))
+    tokens.write_token_ids(rows, str(tmp_path / "ids"), path)
+    back = tokens.read_token_ids(spark, str(tmp_path / "ids")).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in back) == Counter(
+        (r.doc_id, (*plain.encode(r.text or "", add_special_tokens=False).ids, 2)) for r in rows.collect()
+    )
+
+
+def test_a_filter_on_ids_skips_rows(spark, tmp_path):
+    import public_tokenizers
+
+    n, path = 4 * tokens.STRIDE, str(tmp_path / "ids")
+    docs = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tokens.write_token_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def read(doc_id):
+        rows = tokens.read_token_ids(spark, path).where(F.col("doc_id") == doc_id).select("doc_id", "ids")
+        found = rows.collect()
+        leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+        return len(found), leaves.head().metrics().get("numOutputRows").get().value()
+
+    assert read(2 * tokens.STRIDE + 4) == (1, tokens.STRIDE)  # one entry of the row index
+    assert read(2 * tokens.STRIDE + 5) == (0, 0)  # between the least and the largest: the Bloom filter says no
+
+
+def test_operators_take_long_texts(spark):
+    """Texts above what is handled at once: over 2 MB by pieces of 1 MB, and over 8 MB for token ids."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(2)
+    words_ = [f"w{rng.randrange(5000)}" for _ in range(450_000)]
+    passage = " ".join(words_[300_000:300_030])
+    long = " ".join(words_)
+    assert len(long) > 2 * words.PIECE
+    docs = spark.createDataFrame([(1, long, "en"), (2, f"before {passage} after", "en"), (3, long + " more", "fr")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    hit = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in decontamination.find_contamination(docs, bench).collect()}
+    assert hit == {1: [(300_000, 300_030)], 2: [(1, 31)], 3: [(300_000, 300_030)]}
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert found[1].component_id == found[3].component_id == 1 and found[2].component_id == 2
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, F.col("doc_id") != 2).collect()}.keys() == {1, 2, 3}
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    huge = ("Ab, cé! " * (tokens.LONG // 8)) + "the end"
+    assert len(huge.encode()) > tokens.LONG
+    ids, sizes = encoder.encode([huge.encode(), b"x"])
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(huge, add_special_tokens=False).ids
+    assert ids[: sizes[0]].tolist() == want and sizes[1] == 1
 
 
 # the pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows from whole texts by the plain rules, down to the last."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    item = rng.choices([f"b{j}" for j in range(300)], k=25)
+    rows = []
+    for i in range(70):
+        w = rng.choices([f"v{j}" for j in range(400)], k=rng.randrange(20, 120))
+        if i % 9 == 0:
+            w[5:5] = item[3:15]
+        text = " ".join(w)
+        rows.append((text, f"s{i % 3}"))
+        for _ in range(i % 4):
+            copy = list(w)
+            for at in rng.sample(range(0, len(copy), 5), rng.randrange(0, 3)):
+                copy[at] = f"x{rng.random()}"
+            rows.append((" ".join(copy), f"s{i % 2}"))
+    rows += [("1 2 3", "s0"), (None, "s1"), ("", None), (rows[0][0], "s0")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", g, len(t or "")) for i, (t, g) in enumerate(rows)], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lettered = [i for i, (t, _) in enumerate(rows) if any(c.isalpha() for c in t or "")]
+    root = _groups_by_force([rows[i][0] for i in lettered])
+    one = [i for at, i in enumerate(lettered) if root[at] == at]
+    windows = {tuple(item[a : a + 10]) for a in range(16)}
+    split = lambda t: words.ALNUM_LOWER.words(t.encode())
+    clean = [i for i in one if not any(tuple(x.decode() for x in split(rows[i][0])[a : a + 10]) in windows for a in range(len(split(rows[i][0]))))]
+    assert len(lettered) == len(rows) - 3 and len(clean) < len(one) < len(lettered)
+    stages, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        stages[name] = sorted(r.doc_id for r in now.collect())
+    assert (stages["language_id"], stages["near_dedup"], stages["decontaminate"]) == (lettered, one, clean)
+    left = docs.where(F.col("doc_id").isin(clean))
+    copies = {r.doc_id: r.copies for r in mixing.mix_sources(left).collect()}
+    assert stages["mix"] == sorted(i for i in clean for _ in range(copies[i]))
+    shard = {r.doc_id: (r.slot, r.shard) for r in sharding.assign_shards(left).collect()}
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.slot, r.shard) for r in final) == sorted((i, *shard[i]) for i in stages["mix"])
+
+
 def test_stages_bear_awkward_tables(spark, tmp_path):
     import corpus_pipeline
 
