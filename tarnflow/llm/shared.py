@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank of a null id among ids: below every other.
 NULL_ID = -(2**63)
+#: The folder of a local session that names none.
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="tarnflow-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="tarnflow-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        at = _LOCAL[0]
     return at
 
 
@@ -46,6 +51,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send Python batches of ``rows`` rows: rows of whole texts may be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def meet(rows: DataFrame, wanted: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
+    """``rows`` joined to the few that are wanted: sent to the tasks up to ``most`` rows, else by a shuffle."""
+    return rows.join(wanted.hint("broadcast" if wanted.count() <= most else "merge"), on)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables given by ``written`` whose readers are done; others are left alone."""
     for df in tables:

@@ -271,7 +271,11 @@ def write_token_ids(
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(``doc_id``, ``place``, ``ids``, ``file``) from the files; a filter on ``doc_id`` skips stripes."""
+    """(``doc_id``, ``place``, ``ids``, ``file``) from the files; a filter on ``doc_id`` skips stripes.
+
+    What was written comes back row by row: null ids, repeated rows and empty texts (the end id alone)
+    too.  Files without rows give none.
+    """
     rows = spark.read.schema("doc_id long, place long, ids array<int>").orc(path)
     return rows.select("*", F.col("_metadata.file_name").alias("file"))
 
@@ -279,6 +283,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
 def token_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: ``start`` (ids before it), ``n_tokens`` and the crc32 of its ids.
 
+    Repeated rows and null ids are documents like others; no files, no rows.
     Sums run within a file; files start where the files before them end, which takes one row a file.
     """
 
