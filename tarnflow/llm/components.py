@@ -11,9 +11,12 @@ from tarnflow.llm.shared import forget, written
 MAX_ROUNDS = 60
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether links are stars: every child has one parent, and no parent is a child."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+    ends = ends.union(edges.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    ends = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return ends.where((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("parent") > 0))).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,17 +44,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(``a``, ``b``): every node that has a link, except the least of its component, and that least node.
 
     ``edges`` has columns ``a`` and ``b`` of one comparable type; direction, repeats and loops do
-    not matter.  Each round is written to the shared folder; only counts and checksums reach the
-    driver.  Minima are combined before the shuffle, and the joins may be split where a node has
+    not matter.  Each round is written to the shared folder; only whether links have settled reaches
+    the driver.  Minima are combined before the shuffle, and the joins may be split where a node has
     many links.  No edges: no rows.
     """
     edges = written(edges.where(F.col("a") != F.col("b")).distinct(), "links")
-    seen = _mark(edges)
     for _ in range(MAX_ROUNDS):
         before, edges = edges, written(_small_star(_large_star(edges)), "stars")
         forget(before)
-        now = _mark(edges)
-        if now == seen:
+        # a star's centre is its least node: both steps link to the least
+        if _settled(edges):
             return edges
-        seen = now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import forget, written
+from tarnflow.llm.shared import forget, meet, written
 from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes, rolling, word_hashes
 
 SEED = 42
 #: Least Jaccard similarity of near copies, as a fraction.
 NEAR, OF = 4, 5
-#: Documents read to learn which shingles are common, and how many of them share a common one.
-COMMON_DOCS, COMMON = 20_000, 4
-#: Bits of the tables of keys (32 MB) and documents (2 MB) that are worth a shuffle, and words of a parity sketch.
-TABLE_BITS, DOC_BITS, SKETCH = 28, 24, 8
+#: One document of so many is read to learn which shingles are common, how many of those share a common one, and how
+#: many common ones are kept at most (32 MB), the commonest.  This orders keys and changes no result.
+COMMON_SHARE, COMMON, COMMON_MOST = 4, 4, 4_000_000
+#: Bits of the table of keys that are worth a shuffle (32 MB), and words of a parity sketch.
+TABLE_BITS, SKETCH = 28, 8
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -41,22 +43,32 @@ def majority(own: np.ndarray) -> int:
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and their ranks.  It is a sample: it orders keys and changes no result."""
-    n = docs.count()
-    if n > COMMON_DOCS:
-        docs = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 40)) < int(COMMON_DOCS / n * (1 << 40)))
+    """Halves of hashes of common shingles, sorted, and their ranks."""
+    some = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(COMMON_SHARE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
             found = np.concatenate(shingle_sets(column_bytes(batch.column("text")), shingle))
-            key, count = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    got = counts.where(F.col("n") >= COMMON).toArrow()
-    key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
+            key, count = np.unique(_half(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int32)), pa.array(count.astype(np.int32))], ["key", "n"])
+
+    counts = some.select("text").mapInArrow(run, "key int, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("n") >= COMMON), "common")
+    least = COMMON
+    if counts.count() > COMMON_MOST:
+        # the least number of documents that no more than so many shingles have
+        sizes = counts.groupBy("n").count().toPandas().sort_values("n", ascending=False)
+        least = int(sizes["n"][sizes["count"].cumsum() <= COMMON_MOST].min())
+    got = counts.where(F.col("n") >= least).toArrow()
+    key = got.column("key").to_numpy().astype(np.int32).view(np.uint32)
     order = np.argsort(key)
-    return key[order], np.log2(np.maximum(got.column("n").to_numpy(), 1))[order].astype(np.uint8)
+    ranks = np.log2(np.maximum(got.column("n").to_numpy(), 1))[order].astype(np.uint8)
+    forget(counts)
+    return key[order], ranks
+
+
+def _half(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def with_keys(docs: DataFrame, shingle: int) -> DataFrame:
@@ -81,8 +93,9 @@ def with_keys(docs: DataFrame, shingle: int) -> DataFrame:
                 parity = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 if n and len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    own = own[np.argsort(np.where(common[at] == own, ranks[at] + 1, 0), kind="stable")]
+                    half = _half(own)
+                    at = np.minimum(np.searchsorted(common, half), len(common) - 1)
+                    own = own[np.argsort(np.where(common[at] == half, ranks[at] + 1, 0), kind="stable")]
                 keys.append(own[: n + NEAR * n // -OF + 1 if n else 0])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             values = pa.array(np.concatenate(keys).view(np.int64))
@@ -143,26 +156,35 @@ def key_members(prints: DataFrame) -> DataFrame:
     return members
 
 
-def sets_of(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """``id`` and ``set`` of a table of ``id``, ``k`` and ``t``, from the rows of ``texts`` they stand for.
+def packed_texts(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id`` and ``z``, the words of a text in lower case, compressed, of a table of ``id``, ``k`` and ``t``.
 
-    Texts are read again and only sets of wanted rows are shuffled, found by a table of fixed size;
-    a row that it lets through in error has an id that nobody asks for.
+    A text takes far less room so than the hashes of its shingles.
     """
-    of = F.xxhash64("k", "t")
-    shared = texts.sparkSession.sparkContext.broadcast(bit_table(ids.select(of.alias("v")), DOC_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.filter(pa.array(_in_table(shared.value, batch.column("v").to_numpy())))
-            for part in batches_of([wanted]):
-                sets = shingle_sets(column_bytes(part.column("text")), shingle)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.ListArray.from_arrays(ends, values)], ["id", "set"])
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches_of(batches):
+            lean = [b" ".join(SPACES_LOWER.words(t)) for t in column_bytes(batch.column("text"))]
+            packed = [len(t).to_bytes(8, "big") + codec.compress(t, asbytes=True) for t in lean]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "z"])
+
+    found = meet(texts.select("k", "t", "text"), ids, ["k", "t"]).select("id", "text").mapInArrow(run, "id long, z binary")
+    return found.groupBy("id").agg(F.first("z").alias("z"))
+
 
-    found = texts.select(of.alias("v"), "text").mapInArrow(run, "id long, set array<long>")
-    return found.groupBy("id").agg(F.first("set").alias("set")).join(ids.select("id"), "id", "left_semi")
+def _unpack(z: bytes, codec: pa.Codec) -> bytes:
+    return codec.decompress(z[8:], decompressed_size=int.from_bytes(z[:8], "big"), asbytes=True) if len(z) > 8 else b""
+
+
+#: Names of a folded sketch's words.
+FOLDS = ("fold0", "fold1")
+
+
+def folded(sketch: str) -> list[Column]:
+    """A sketch in two words: parities of fewer and larger classes, which rule out less and take less room."""
+    parts = [[F.col(sketch)[i] for i in range(j, SKETCH, len(FOLDS))] for j in range(len(FOLDS))]
+    return [reduce(lambda x, y: x.bitwiseXOR(y), part).alias(name) for part, name in zip(parts, FOLDS, strict=True)]
 
 
 def may_be_near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -174,9 +196,19 @@ def may_be_near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(fits & (differ * (OF + NEAR) <= most)).select("a", "b")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of ids whose sets have a Jaccard similarity of ``NEAR / OF`` at least."""
-    of = lambda end: sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    all_ = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(both * OF >= all_ * NEAR).select("a", "b")
+def similar(pairs: DataFrame, packed: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (``a``, ``b``) of ids whose shingle sets have a Jaccard similarity of ``NEAR / OF`` at least."""
+    of = lambda end: packed.select(F.col("id").alias(end), F.col("z").alias(f"{end}_z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column("a_z"), batch.column("b_z"), strict=True):
+                one, other = shingle_sets([_unpack(a.as_py(), codec), _unpack(b.as_py(), codec)], shingle)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                near.append(both * OF >= (len(one) + len(other) - both) * NEAR)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_z", "b_z")
+    return both.mapInArrow(run, "a long, b long")

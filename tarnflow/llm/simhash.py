@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import NULL_ID, forget, fresh, written
-from tarnflow.llm.shingles import SEED, key_members, may_be_near, sets_of, similar, with_keys
+from tarnflow.llm.shared import NULL_ID, forget, fresh, small_batches, written
+from tarnflow.llm.shingles import FOLDS, NEAR, OF, SEED, folded, key_members, may_be_near, packed_texts, similar, with_keys
 from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
 
 #: Bits by which linked fingerprints differ at most.
@@ -160,9 +160,11 @@ def near_duplicates(
     return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Rounds of stars at most before all pairs that are left are compared, and pairs a key's member
-#: from which another round is worth while.
-ROUNDS, PAIRS = 8, 8
+#: Rows of whole texts that go to Python at once.
+BATCH_ROWS = 1000
+#: Rounds of stars at most before all pairs that are left are compared; pairs a key's member from which another
+#: round is worth while, and the share of them that a round may leave for another to follow.
+ROUNDS, PAIRS, LEFT = 12, 4, 0.8
 
 
 def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
@@ -183,18 +185,28 @@ def _with_roots(rows: DataFrame, ends: tuple[str, ...], found: DataFrame) -> Dat
     return rows
 
 
-def near_links(members: DataFrame, near: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``, ``near`` links known already.
+def near_links(members: DataFrame, folds: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``,
+    ``folds`` each id's folded sketch, ``first`` pairs to begin with.
 
-    Members of one component have no need to meet.  While many pairs of different components are
-    left under the keys, the members of a key are compared with one of them, another in each round.
-    Then all pairs that are left are compared: first one for each id, then those of ids still apart.
-    ``possible`` leaves out pairs that sketches rule out, ``verify`` those that are not near.
+    In a round, the members of a key are compared with one of them, another in each round: one pair an
+    id, with the least.  Then members of one component have no need to meet any more.  Once few pairs of
+    different components are left under the keys, or a round finds nothing, all of them are compared:
+    first one for each id, then those of ids still apart.
+    ``possible`` leaves out pairs that sizes and sketches rule out, ``verify`` those that are not near.
     """
-    found, rest, rows = near, members, members.count()
-    for turn in range(ROUNDS + 1):
-        moved = written(_with_roots(rest, ("id",), found), "moved")
+    fits = F.least("n", "b_n") * OF >= F.greatest("n", "b_n") * NEAR
+    found, rest, rows, before = None, members.withColumn("id_root", F.col("id")), members.count(), None
+    for turn in range(ROUNDS):
+        one = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "id_root")).alias("one"))
+        met = rest.join(one.select("key", F.col("one.id").alias("b"), F.col("one.n").alias("b_n"), F.col("one.id_root").alias("b_root")), "key")
+        met = met.where((F.col("id_root") != F.col("b_root")) & fits).select(F.col("id").alias("a"), "b").distinct()
+        star = possible(met).groupBy("a").agg(F.min("b").alias("b"))
+        near = verify(star if turn else star.union(first.select("a", "b")))
+        found = near if found is None else found.union(near)
+        moved = written(_with_roots(rest.drop("id_root"), ("id",), found), "moved")
         open_ = moved.groupBy("key").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).where("x != y").select("key")
+        forget(rest)
         rest = written(moved.join(open_, "key"), "rest")
         forget(moved)
         sizes = rest.groupBy("key", "id_root").count().groupBy("key")
@@ -202,16 +214,14 @@ def near_links(members: DataFrame, near: DataFrame, verify: Callable[[DataFrame]
         left = sizes.agg(F.sum("cross")).first()[0] or 0
         if not left:
             return found
-        if left <= 2 * PAIRS * rows or turn == ROUNDS or (turn and near.isEmpty()):
+        if left <= 2 * PAIRS * rows or (before and left > LEFT * before) or near.isEmpty():
             break
-        one = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "id_root")).alias("one"))
-        met = rest.join(one, "key").where(F.col("id_root") != F.col("one.id_root"))
-        met = written(possible(met.select(F.col("id").alias("a"), F.col("one.id").alias("b")).distinct()), "met")
-        near = verify(met.groupBy("a").agg(F.min("b").alias("b")))
-        forget(met)
-        found, rest = found.union(near), rest.drop("id_root")
-    other = rest.select("key", F.col("id").alias("b"), F.col("id_root").alias("b_root"))
-    met = rest.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("id_root") != F.col("b_root")))
+        before = left
+    rest = written(rest.join(folds, "id"), "rest")
+    other = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "id_root", *FOLDS)])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in FOLDS), F.lit(0))
+    fits = fits & (differ * (OF + NEAR) <= (F.col("n") + F.col("b_n")) * (OF - NEAR))
+    met = rest.join(other, "key").where((F.col("id") < F.col("b_id")) & (F.col("id_root") != F.col("b_id_root")) & fits).withColumnRenamed("b_id", "b")
     pairs = written(possible(met.select(F.col("id").alias("a"), "b").distinct()), "pairs")
     one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
     found = found.union(verify(one))
@@ -233,6 +243,17 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
     k, t, n = fresh(docs, "key", "text_hash", "n")
     keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn(t, F.xxhash64(text))
     narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        goes, twice = _goes(narrow, shingle)
+    kept = keyed.join(goes.select(F.col("k").alias(k), F.col("t").alias(t)), [k, t], "left_anti")
+    if twice:
+        one = Window.partitionBy(k, t).orderBy(*[c for c in docs.columns if c not in (key, text)] or [F.lit(1)])
+        kept = kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    return kept.drop(k, t)
+
+
+def _goes(narrow: DataFrame, shingle: int) -> tuple[DataFrame, bool]:
+    """(``k``, ``t``) of the rows of ``narrow`` that have a near copy of less key; whether some rows are repeated."""
     prints = written(with_keys(narrow, shingle), "prints")
     of_set = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
     sets = written(prints.groupBy("id").agg(F.min(F.struct("k", "t")).alias("at"), *of_set).select("id", "at.k", "at.t", "n", "fp", "sketch"), "sets")
@@ -244,22 +265,19 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
         pairs = written(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = written(sets.select("id", "k", "t").join(ids, "id"), "ids")
-        whole = written(sets_of(wanted, narrow, shingle), "shingles")
-        near = written(similar(pairs, whole), "near")
-        forget(pairs, wanted, whole)
+        near = written(similar(pairs, packed_texts(wanted, narrow), shingle), "near")
+        forget(pairs, wanted)
         return near
 
-    near = verify(possible(_fingerprint_pairs(sets)))
     members = key_members(prints)
     places = written(prints.select("k", "t", "id"), "places")
     forget(prints)
-    found = components(near_links(members, near, verify, possible)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    first = possible(_fingerprint_pairs(sets))
+    found = components(near_links(members, sets.select("id", *folded("sketch")), first, verify, possible)).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = written(places.join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))
-    goes = goes.select(F.col("k").alias(k), F.col("t").alias(t)).distinct()
-    kept = keyed.join(goes, [k, t], "left_anti")
-    if not places.groupBy("k", "t").count().where("count > 1").isEmpty():
-        one = Window.partitionBy(k, t).orderBy(*[c for c in docs.columns if c not in (key, text)] or [F.lit(1)])
-        kept = kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
-    return kept.drop(k, t)
+    goes = written(goes.select("k", "t").distinct(), "goes")
+    twice = not places.groupBy("k", "t").count().where("count > 1").isEmpty()
+    forget(sets, members, places, rooted)
+    return goes, twice
