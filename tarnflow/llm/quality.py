@@ -60,17 +60,25 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column, gram: int = GRAM) -> Column:
     """Words in windows of ``gram`` words that the text has twice or more.
 
-    Windows with their places are sorted, so equal ones are neighbours; the places of those with an
-    equal neighbour are sorted again, and each adds the words that the place before does not cover.
+    Hashes of windows are sorted with their places, so equal windows are neighbours; the places of those
+    with an equal neighbour are sorted again, and each adds the words that the place before does not
+    cover.  Neighbours of equal hash are compared word by word: should a hash have misled, the text's windows are
+    sorted themselves.
     """
 
     def windows(w: Column) -> Column:
         n = F.size(w) - gram + 1
         at = F.sequence(F.lit(1), n)
-        joined = F.transform(at, lambda i: F.concat_ws(" ", *[F.get(w, i - 1 + k) for k in range(gram)]))
-        placed = F.arrays_zip(joined.alias("g"), at.alias("i"))
-        several = _let(joined, lambda j: F.size(F.array_distinct(j)) < F.size(j))
-        return F.when(n < 2, F.lit(0)).when(~several, F.lit(0)).otherwise(_let(F.array_sort(placed), places))
+        hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i - 1 + k) for k in range(gram)]))
+        several = lambda h: F.size(F.array_distinct(h)) < F.size(h)
+        by_hash = lambda h: F.when(several(h), _let(F.array_sort(F.arrays_zip(h.alias("g"), at.alias("i"))), lambda s: checked(s, w))).otherwise(F.lit(0))
+        return F.when(n < 2, F.lit(0)).otherwise(_let(hashed, by_hash))
+
+    def checked(s: Column, w: Column) -> Column:
+        same = lambda x, y: F.forall(F.sequence(F.lit(0), F.lit(gram - 1)), lambda k: F.get(w, x["i"] - 1 + k) == F.get(w, y["i"] - 1 + k))
+        misled = F.exists(F.transform(s, lambda x, k: F.struct(x.alias("x"), F.get(s, k - 1).alias("y"))), lambda p: (p["x"]["g"] == p["y"]["g"]) & ~same(p["x"], p["y"]))
+        joined = F.transform(F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.struct(F.slice(w, i, gram).alias("g"), i.alias("i")))
+        return F.when(F.coalesce(misled, F.lit(False)), _let(F.array_sort(joined), places)).otherwise(places(s))
 
     def places(s: Column) -> Column:
         same = F.filter(s, lambda x, k: (x["g"] == F.get(s, k - 1)["g"]) | (x["g"] == F.get(s, k + 1)["g"]))
@@ -83,19 +91,29 @@ def repeated_words(words: Column, gram: int = GRAM) -> Column:
     return _let(words, windows).cast("long")
 
 
-def measurements(text: Column) -> dict[str, Column]:
-    """What the rules look at, by name."""
+#: What a line without words is made of.
+BLANKS = " \t\n\x0b\x0c\r"
+#: Characters that count as symbols; fixed.
+SYMBOLS = "#*$%&|<>"
+
+
+def measurements(text: Column) -> Column:
+    """What the rules look at, as fields of one column: the text's words are taken once."""
     text = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]", "")) > 0)
-    return {
-        "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words),
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+    found = {
+        "n_words": lambda w, _: F.size(w),
+        "word_chars": lambda w, _: F.length(F.array_join(w, "")),
+        "n_symbols": lambda w, _: F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "n_lines": lambda _, x: F.size(x),
+        "n_dup_lines": lambda _, x: F.size(x) - F.size(F.array_distinct(x)),
+        "n_repeat_words": lambda w, _: repeated_words(w),
     }
+    return _let(words, lambda w: _let(lines, lambda x: F.struct(*[f(w, x).cast("long").alias(n) for n, f in found.items()])))
+
+
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def quality_ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -105,11 +123,10 @@ def quality_ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ..
     ledgers.  An empty table gives an empty table.  Clashing column names are prefixed with ``_``.
     Nothing is shuffled.
     """
-    found = measurements(F.col(text))
-    names = dict(zip(found, fresh(docs, *found), strict=True))
-    (failed,) = fresh(docs, "failed")
-    measured = docs.withColumns({names[k]: v for k, v in found.items()})
-    values = {k: F.col(names[k]) for k in found}
+    *own, failed, ledger = fresh(docs, *MEASURED, "failed", "ledger")
+    names = dict(zip(MEASURED, own, strict=True))
+    measured = docs.withColumn(ledger, measurements(F.col(text))).withColumns({names[k]: F.col(f"`{ledger}`.{k}") for k in MEASURED}).drop(ledger)
+    values = {k: F.col(names[k]) for k in MEASURED}
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(rule.fails(values), F.lit(1 << rule.bit)).otherwise(0).cast("long"))
