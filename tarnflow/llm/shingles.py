@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,8 @@ NEAR, OF = 4, 5
 #: One document of so many is read to learn which shingles are common, how many of those share a common one, and how
 #: many common ones are kept at most (32 MB), the commonest.  This orders keys and changes no result.
 COMMON_SHARE, COMMON, COMMON_MOST = 4, 4, 4_000_000
-#: Bits of the table of keys that are worth a shuffle (32 MB), and words of a parity sketch.
-TABLE_BITS, SKETCH = 28, 8
+#: Bits of the table of keys that are worth a shuffle (16 MB), and words of a parity sketch.
+TABLE_BITS, SKETCH = 27, 8
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -125,9 +124,10 @@ def _in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def key_members(prints: DataFrame) -> DataFrame:
-    """``key``, ``id`` and ``n``: the keys that several sets have.
+    """``key``, ``id`` and ``n``: the keys that several sets have, and of keys that the same sets have one.
 
-    Ends of keys are counted first: a key whose end comes once is one set's alone and is not sent.
+    Ends of keys are counted first: a key whose end comes once is one set's alone and is not sent.  Which
+    sets have a key is told by their number and 128 bits of hashes, as sets are told by their ids.
     """
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,10 @@ def key_members(prints: DataFrame) -> DataFrame:
             )
 
     some = written(prints.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int").distinct(), "some")
-    shared.unpersist()
-    members = written(some.join(some.groupBy("key").count().where("count > 1").select("key"), "key"), "members")
+    shared.destroy()
+    has = [F.count("*").alias("has"), F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("other")]
+    kept = some.groupBy("key").agg(*has).where("has > 1").groupBy("has", "one", "other").agg(F.min("key").alias("key"))
+    members = written(some.join(kept.select("key"), "key"), "members")
     forget(some)
     return members
 
@@ -177,23 +179,17 @@ def _unpack(z: bytes, codec: pa.Codec) -> bytes:
     return codec.decompress(z[8:], decompressed_size=int.from_bytes(z[:8], "big"), asbytes=True) if len(z) > 8 else b""
 
 
-#: Names of a folded sketch's words.
-FOLDS = ("fold0", "fold1")
-
-
-def folded(sketch: str) -> list[Column]:
-    """A sketch in two words: parities of fewer and larger classes, which rule out less and take less room."""
-    parts = [[F.col(sketch)[i] for i in range(j, SKETCH, len(FOLDS))] for j in range(len(FOLDS))]
-    return [reduce(lambda x, y: x.bitwiseXOR(y), part).alias(name) for part, name in zip(parts, FOLDS, strict=True)]
+def may_fit(n: str, sketch: str, other_n: str, other_sketch: str) -> Column:
+    """Whether two sets' sizes and sketches do not show that they share fewer shingles than near sets share."""
+    differ = sum((F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(other_sketch)[i])) for i in range(SKETCH)), F.lit(0))
+    sizes = F.least(n, other_n) * OF >= F.greatest(n, other_n) * NEAR
+    return sizes & (differ * (OF + NEAR) <= (F.col(n) + F.col(other_n)) * (OF - NEAR))
 
 
 def may_be_near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of ids whose sizes and sketches do not show that fewer shingles are shared than near sets share."""
+    """The pairs (``a``, ``b``) of ids whose sets may be near by their sizes and sketches."""
     of = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_s"))
-    differ = sum((F.bit_count(F.col("a_s")[i].bitwiseXOR(F.col("b_s")[i])) for i in range(SKETCH)), F.lit(0))
-    most = (F.col("a_n") + F.col("b_n")) * (OF - NEAR)
-    fits = F.least("a_n", "b_n") * OF >= F.greatest("a_n", "b_n") * NEAR
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(fits & (differ * (OF + NEAR) <= most)).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(may_fit("a_n", "a_s", "b_n", "b_s")).select("a", "b")
 
 
 def similar(pairs: DataFrame, packed: DataFrame, shingle: int) -> DataFrame:

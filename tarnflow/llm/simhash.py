@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
 from tarnflow.llm.shared import NULL_ID, forget, fresh, small_batches, written
-from tarnflow.llm.shingles import FOLDS, NEAR, OF, SEED, folded, key_members, may_be_near, packed_texts, similar, with_keys
+from tarnflow.llm.shingles import NEAR, OF, SEED, key_members, may_be_near, may_fit, packed_texts, similar, with_keys
 from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
 
 #: Bits by which linked fingerprints differ at most.
@@ -164,7 +164,9 @@ def near_duplicates(
 BATCH_ROWS = 1000
 #: Rounds of stars at most before all pairs that are left are compared; pairs a key's member from which another
 #: round is worth while, and the share of them that a round may leave for another to follow.
-ROUNDS, PAIRS, LEFT = 12, 4, 0.8
+ROUNDS, PAIRS, LEFT = 12, 1, 0.8
+#: Members of a key with which the others are compared in a round, and pairs of a text that are verified in it.
+STARS = 3
 
 
 def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
@@ -185,12 +187,12 @@ def _with_roots(rows: DataFrame, ends: tuple[str, ...], found: DataFrame) -> Dat
     return rows
 
 
-def near_links(members: DataFrame, folds: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``,
-    ``folds`` each id's folded sketch, ``first`` pairs to begin with.
+    ``sketches`` each id's, ``first`` pairs to begin with.
 
-    In a round, the members of a key are compared with one of them, another in each round: one pair an
-    id, with the least.  Then members of one component have no need to meet any more.  Once few pairs of
+    In a round, the members of a key are compared with a few of them, others in each round, and a few of an
+    id's pairs are verified.  Then members of one component have no need to meet any more.  Once few pairs of
     different components are left under the keys, or a round finds nothing, all of them are compared:
     first one for each id, then those of ids still apart.
     ``possible`` leaves out pairs that sizes and sketches rule out, ``verify`` those that are not near.
@@ -198,10 +200,13 @@ def near_links(members: DataFrame, folds: DataFrame, first: DataFrame, verify: C
     fits = F.least("n", "b_n") * OF >= F.greatest("n", "b_n") * NEAR
     found, rest, rows, before = None, members.withColumn("id_root", F.col("id")), members.count(), None
     for turn in range(ROUNDS):
-        one = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "id_root")).alias("one"))
-        met = rest.join(one.select("key", F.col("one.id").alias("b"), F.col("one.n").alias("b_n"), F.col("one.id_root").alias("b_root")), "key")
+        by = [F.min(F.struct(F.xxhash64("id", F.lit(STARS * turn + i)), "id", "n", "id_root")) for i in range(STARS)]
+        some = rest.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("some")).select("key", F.explode("some").alias("one"))
+        met = rest.join(some.select("key", F.col("one.id").alias("b"), F.col("one.n").alias("b_n"), F.col("one.id_root").alias("b_root")), "key")
         met = met.where((F.col("id_root") != F.col("b_root")) & fits).select(F.col("id").alias("a"), "b").distinct()
-        star = possible(met).groupBy("a").agg(F.min("b").alias("b"))
+        # at most so many pairs of a text, others in each round
+        star = possible(met).groupBy("a").agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b"))).alias("s"))
+        star = star.select("a", F.explode(F.slice("s", 1, STARS)).alias("s")).select("a", "s.b")
         near = verify(star if turn else star.union(first.select("a", "b")))
         found = near if found is None else found.union(near)
         moved = written(_with_roots(rest.drop("id_root"), ("id",), found), "moved")
@@ -217,12 +222,12 @@ def near_links(members: DataFrame, folds: DataFrame, first: DataFrame, verify: C
         if left <= 2 * PAIRS * rows or (before and left > LEFT * before) or near.isEmpty():
             break
         before = left
-    rest = written(rest.join(folds, "id"), "rest")
-    other = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "id_root", *FOLDS)])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in FOLDS), F.lit(0))
-    fits = fits & (differ * (OF + NEAR) <= (F.col("n") + F.col("b_n")) * (OF - NEAR))
-    met = rest.join(other, "key").where((F.col("id") < F.col("b_id")) & (F.col("id_root") != F.col("b_id_root")) & fits).withColumnRenamed("b_id", "b")
-    pairs = written(possible(met.select(F.col("id").alias("a"), "b").distinct()), "pairs")
+    rest = written(rest.join(sketches, "id"), "rest")
+    other = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "id_root", "sketch")])
+    # sizes and sketches are part of the join, so pairs that they rule out are not made
+    fits = may_fit("n", "sketch", "b_n", "b_sketch")
+    met = rest.join(other, "key").where((F.col("id") < F.col("b_id")) & (F.col("id_root") != F.col("b_id_root")) & fits)
+    pairs = written(met.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
     found = found.union(verify(one))
     apart = _with_roots(pairs.join(one, ["a", "b"], "left_anti"), ("a", "b"), found).where(F.col("a_root") != F.col("b_root"))
@@ -273,7 +278,7 @@ def _goes(narrow: DataFrame, shingle: int) -> tuple[DataFrame, bool]:
     places = written(prints.select("k", "t", "id"), "places")
     forget(prints)
     first = possible(_fingerprint_pairs(sets))
-    found = components(near_links(members, sets.select("id", *folded("sketch")), first, verify, possible)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    found = components(near_links(members, sets.select("id", "sketch"), first, verify, possible)).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = written(places.join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))
