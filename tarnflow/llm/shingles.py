@@ -19,8 +19,8 @@ NEAR, OF = 4, 5
 #: One document of so many is read to learn which shingles are common, how many of those share a common one, and how
 #: many common ones are kept at most (32 MB), the commonest.  This orders keys and changes no result.
 COMMON_SHARE, COMMON, COMMON_MOST = 4, 4, 4_000_000
-#: Bits of the table of keys that are worth a shuffle (16 MB), and words of a parity sketch.
-TABLE_BITS, SKETCH = 27, 8
+#: Bits of the table of keys that are worth a shuffle (32 MB), and words of a parity sketch.
+TABLE_BITS, SKETCH = 28, 8
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -124,8 +124,10 @@ def _in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def key_members(prints: DataFrame) -> DataFrame:
-    """``key``, ``id`` and ``n``: the keys that several sets have, and of keys that the same sets have one.
+    """``key``, ``id``, ``n`` and ``lead``: the keys that several sets have, and of keys that the same sets have one.
 
+    Of two near sets, the smaller has 8 ninths of its shingles in the other, so a shared key is among its
+    first n - ceil(8 n / 9) + 1: these are its leading keys.
     Ends of keys are counted first: a key whose end comes once is one set's alone and is not sent.  Which
     sets have a key is told by their number and 128 bits of hashes, as sets are told by their ids.
     """
@@ -142,16 +144,19 @@ def key_members(prints: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column("keys")
             values = keys.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy(zero_copy_only=False))
+            sizes = keys.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            n = batch.column("n").to_numpy().astype(np.int64)
+            lead = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= (n + 2 * NEAR * n // -(NEAR + OF))[row]
             some = _in_table(shared.value, values)
             at = pa.array(row[some])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[some]), batch.column("id").take(at), batch.column("n").take(at)], ["key", "id", "n"]
+                [pa.array(values[some]), batch.column("id").take(at), batch.column("n").take(at), pa.array(lead[some])], ["key", "id", "n", "lead"]
             )
 
-    some = written(prints.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int").distinct(), "some")
+    some = written(prints.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int, lead boolean").distinct(), "some")
     shared.destroy()
-    has = [F.count("*").alias("has"), F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("other")]
+    has = [F.count("*").alias("has"), F.bit_xor(F.xxhash64("id", "lead")).alias("one"), F.bit_xor(F.xxhash64("lead", "id", F.lit(1))).alias("other")]
     kept = some.groupBy("key").agg(*has).where("has > 1").groupBy("has", "one", "other").agg(F.min("key").alias("key"))
     members = written(some.join(kept.select("key"), "key"), "members")
     forget(some)

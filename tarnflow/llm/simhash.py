@@ -162,9 +162,9 @@ def near_duplicates(
 
 #: Rows of whole texts that go to Python at once.
 BATCH_ROWS = 1000
-#: Rounds of stars at most before all pairs that are left are compared; pairs a key's member from which another
-#: round is worth while, and the share of them that a round may leave for another to follow.
-ROUNDS, PAIRS, LEFT = 12, 1, 0.8
+#: Rounds of stars at most before all pairs that are left are compared, and the share of a round's pairs that must be
+#: near for another to follow.
+ROUNDS, GOOD = 12, 0.5
 #: Members of a key with which the others are compared in a round, and pairs of a text that are verified in it.
 STARS = 3
 
@@ -188,17 +188,17 @@ def _with_roots(rows: DataFrame, ends: tuple[str, ...], found: DataFrame) -> Dat
 
 
 def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id`` and ``n``,
+    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id``, ``n`` and ``lead``,
     ``sketches`` each id's, ``first`` pairs to begin with.
 
     In a round, the members of a key are compared with a few of them, others in each round, and a few of an
-    id's pairs are verified.  Then members of one component have no need to meet any more.  Once few pairs of
-    different components are left under the keys, or a round finds nothing, all of them are compared:
-    first one for each id, then those of ids still apart.
+    id's pairs are verified.  Then members of one component have no need to meet any more.  After a round
+    that finds few near pairs, all pairs of different components left under the keys are compared: first one
+    for each id, then those of ids still apart.  Of a pair the smaller set must lead under the key.
     ``possible`` leaves out pairs that sizes and sketches rule out, ``verify`` those that are not near.
     """
     fits = F.least("n", "b_n") * OF >= F.greatest("n", "b_n") * NEAR
-    found, rest, rows, before = None, members.withColumn("id_root", F.col("id")), members.count(), None
+    found, rest = None, members.withColumn("id_root", F.col("id"))
     for turn in range(ROUNDS):
         by = [F.min(F.struct(F.xxhash64("id", F.lit(STARS * turn + i)), "id", "n", "id_root")) for i in range(STARS)]
         some = rest.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("some")).select("key", F.explode("some").alias("one"))
@@ -207,26 +207,25 @@ def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify
         # at most so many pairs of a text, others in each round
         star = possible(met).groupBy("a").agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b"))).alias("s"))
         star = star.select("a", F.explode(F.slice("s", 1, STARS)).alias("s")).select("a", "s.b")
-        near = verify(star if turn else star.union(first.select("a", "b")))
+        star = written(star if turn else star.union(first.select("a", "b")), "star")
+        tried, near = star.count(), verify(star)
         found = near if found is None else found.union(near)
         moved = written(_with_roots(rest.drop("id_root"), ("id",), found), "moved")
         open_ = moved.groupBy("key").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).where("x != y").select("key")
         forget(rest)
         rest = written(moved.join(open_, "key"), "rest")
         forget(moved)
-        sizes = rest.groupBy("key", "id_root").count().groupBy("key")
-        sizes = sizes.agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"))
-        left = sizes.agg(F.sum("cross")).first()[0] or 0
-        if not left:
+        if rest.isEmpty():
             return found
-        if left <= 2 * PAIRS * rows or (before and left > LEFT * before) or near.isEmpty():
+        if near.count() < GOOD * tried:
             break
-        before = left
     rest = written(rest.join(sketches, "id"), "rest")
     other = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "id_root", "sketch")])
+    rest = rest.where("lead")
     # sizes and sketches are part of the join, so pairs that they rule out are not made
     fits = may_fit("n", "sketch", "b_n", "b_sketch")
-    met = rest.join(other, "key").where((F.col("id") < F.col("b_id")) & (F.col("id_root") != F.col("b_id_root")) & fits)
+    smaller = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("id") < F.col("b_id")))
+    met = rest.join(other, "key").where(smaller & (F.col("id_root") != F.col("b_id_root")) & fits)
     pairs = written(met.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
     found = found.union(verify(one))
@@ -267,11 +266,11 @@ def _goes(narrow: DataFrame, shingle: int) -> tuple[DataFrame, bool]:
         return may_be_near(pairs, sets)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
+        pairs = pairs if hasattr(pairs, "scratch_path") else written(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = written(sets.select("id", "k", "t").join(ids, "id"), "ids")
         near = written(similar(pairs, packed_texts(wanted, narrow), shingle), "near")
-        forget(pairs, wanted)
+        forget(wanted)
         return near
 
     members = key_members(prints)
