@@ -63,9 +63,9 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def meet(rows: DataFrame, wanted: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
-    """``rows`` joined to the few that are wanted: sent to the tasks up to ``most`` rows, else by a shuffle."""
-    return rows.join(wanted.hint("broadcast" if wanted.count() <= most else "merge"), on)
+def meet(rows: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``rows`` joined to a narrow table: it is sent to the tasks up to ``most`` rows (some 16 MB), else both are shuffled."""
+    return rows.join(wanted.hint("broadcast" if wanted.count() <= most else "merge"), on, how)
 
 
 def forget(*tables: DataFrame) -> None:

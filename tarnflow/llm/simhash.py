@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import NULL_ID, forget, fresh, small_batches, written
+from tarnflow.llm.shared import NULL_ID, forget, fresh, meet, small_batches, written
 from tarnflow.llm.shingles import NEAR, OF, SEED, key_members, may_be_near, may_fit, packed_texts, similar, with_keys
 from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
 
@@ -249,7 +249,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
     narrow = keyed.select(F.col(k).alias("k"), F.col(t).alias("t"), F.col(text).alias("text"))
     with small_batches(docs.sparkSession, BATCH_ROWS):
         goes, twice = _goes(narrow, shingle)
-    kept = keyed.join(goes.select(F.col("k").alias(k), F.col("t").alias(t)), [k, t], "left_anti")
+    kept = meet(keyed, goes.select(F.col("k").alias(k), F.col("t").alias(t)), [k, t], "left_anti")
     if twice:
         one = Window.partitionBy(k, t).orderBy(*[c for c in docs.columns if c not in (key, text)] or [F.lit(1)])
         kept = kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
