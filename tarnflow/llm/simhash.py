@@ -160,8 +160,8 @@ def near_duplicates(
     return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Rows of whole texts that go to Python at once.
-BATCH_ROWS = 1000
+#: Rows of whole texts, and of pairs of them, that go to Python at once.
+BATCH_ROWS, PAIR_ROWS = 1000, 32
 #: Rounds of stars at most before all pairs that are left are compared, and the share of a round's pairs that must be
 #: near for another to follow.
 ROUNDS, GOOD = 12, 0.5
@@ -269,7 +269,9 @@ def _goes(narrow: DataFrame, shingle: int) -> tuple[DataFrame, bool]:
         pairs = pairs if hasattr(pairs, "scratch_path") else written(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = written(sets.select("id", "k", "t").join(ids, "id"), "ids")
-        near = written(similar(pairs, packed_texts(wanted, narrow), shingle), "near")
+        # a row here has two whole texts, and long ones may come together
+        with small_batches(narrow.sparkSession, PAIR_ROWS):
+            near = written(similar(pairs, packed_texts(wanted, narrow), shingle), "near")
         forget(wanted)
         return near
 
