@@ -113,6 +113,18 @@ FROM b
 """
 
 
+_OP12 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.x, r.x)::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
+
+
 def _op6() -> str:
     """The table is given as a list: SQL states the placement, tests compare the filling with a plain one."""
     table = lookup_table([f"shard-{k:05d}" for k in range(SHARDS)], SLOTS)
@@ -131,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_sharding": _op6(),
         "op7_decontamination": _OP7,
         "op9_quality": _OP9,
+        "op12_topk": _OP12,
     }

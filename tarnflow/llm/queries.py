@@ -17,7 +17,9 @@ from tarnflow.llm.sharding import assign_shards
 from tarnflow.llm.simhash import near_duplicates
 from tarnflow.llm.substrings import remove_duplicates
 from tarnflow.llm.tokens import token_ledger, write_token_ids
+from tarnflow.llm.topk import top_k
 from tarnflow.llm.toxicity import score_toxicity
+from tarnflow.llm.whitening import whiten
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +103,17 @@ def op10_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
     return token_ledger(spark, path)
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null here; the operator has it as a decimal."""
+    white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=4)
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -113,4 +126,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_quality": op9_quality,
         "op10_tokens": op10_tokens,
+        "op12_topk": op12_topk,
+        "op13_whitening": op13_whitening,
     }
