@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.llm.alignment import align_tokenizers
 from tarnflow.llm.chat import format_chats, read_chats
 from tarnflow.llm.decontamination import find_contamination
 from tarnflow.llm.language import identify
@@ -103,6 +104,14 @@ def op10_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
     return token_ledger(spark, path)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    found = align_tokenizers(documents(spark, sf_dir), public_tokenizers.path(a), public_tokenizers.path(b))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -126,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_quality": op9_quality,
         "op10_tokens": op10_tokens,
+        "op11_alignment": op11_alignment,
         "op12_topk": op12_topk,
         "op13_whitening": op13_whitening,
     }
