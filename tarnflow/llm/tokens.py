@@ -34,7 +34,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def splits_by_words(path: str) -> bool:
-    """Whether a tokenizer's file says that a text's ids are its words' ids in order, and that ASCII case does not count."""
+    """Whether a tokenizer's file says that a text's ids are its words' ids in order, and that a word's ASCII case does not count but where ``_keeps_case``."""
     rules = json.loads(Path(path).read_text(encoding="utf-8"))
     normal = (rules.get("normalizer") or {}).get("normalizers") or []
     split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -63,8 +63,7 @@ class WordEncoder(TextEncoder):
 
     The tokenizer drops white space and no token crosses it, so a text's ids are its words' ids in
     order.  ASCII letters are lower-cased by the tokenizer itself, so words that differ by that
-    share their ids, but for texts with ``<|``, where a special token may stand.  Punctuation after a
-    letter or digit is a token run of its own, so a word is its core and its tail.  Plain cores, of
+    share their ids, but for those of ``_keeps_case``.  Punctuation after a letter or digit is a token run of its own, so a word is its core and its tail.  Plain cores, of
     lower-case Latin-1 letters, are one token run that no normaliser changes.
     """
 
@@ -173,11 +172,12 @@ class WordEncoder(TextEncoder):
         return self._encode(texts)
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        column = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary())
-        split = pc.ascii_split_whitespace(column.cast(pa.large_string(), safe=False))
-        words = split.values.cast(pa.large_binary()).dictionary_encode()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False))
+        written = split.values.dictionary_encode()
+        kept = pa.array(_keeps_case(written.dictionary.cast(pa.large_binary())))
+        words = pc.if_else(kept, written.dictionary, pc.ascii_lower(written.dictionary)).cast(pa.large_binary()).dictionary_encode()
         pool, size = self._word_ids(words.dictionary)
-        at = words.indices.to_numpy()
+        at = words.indices.to_numpy()[written.indices.to_numpy()]
         n = size[at]
         before = np.concatenate([[0], np.cumsum(n)])
         return pool[_places((np.cumsum(size) - size)[at], n)], np.diff(before[split.offsets.to_numpy()])
@@ -198,6 +198,17 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
+def _keeps_case(words: pa.Array) -> np.ndarray:
+    """Whether words must keep their case: with a capital before a character beyond ASCII, which may compose with it
+    and not with the small letter or the other way round; or with ``<|``, where a special token may stand."""
+    data, offsets = _bytes_of(words)
+    first, second = data[:-1], data[1:]
+    found = ((first >= 0x41) & (first <= 0x5A) & (second >= 0x80)) | ((first == 0x3C) & (second == 0x7C))
+    upto = np.concatenate([[0], np.cumsum(found), [0]])
+    # pairs that begin in the word and end in it
+    return upto[np.maximum(offsets[1:] - 1, offsets[:-1])] > upto[offsets[:-1]]
+
+
 def _is_plain(words: pa.Array) -> np.ndarray:
     """Whether words are of lower-case Latin-1 letters, one or more."""
     data, offsets = _bytes_of(words)

@@ -771,6 +771,35 @@ def test_ids_equal_the_library(spark, tmp_path):
     tokens.write_token_ids(empty(spark), str(tmp_path / "none"), path)
 
 
+def _library_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [x.ids for x in tool.encode_batch(texts, add_special_tokens=False)]
+
+
+def _own_ids(texts):
+    import public_tokenizers
+
+    ids, sizes = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode([t.encode() for t in texts])
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_capitals_before_combining_marks():
+    """A small letter and a mark may compose where its capital and the mark do not."""
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123)]]
+    texts = [f"a{letter}{chr(mark)}b {letter}{chr(mark)} X{letter}{chr(mark)}{chr(mark)}!" for letter in letters for mark in range(0x300, 0x370)]
+    assert _own_ids(texts) == _library_ids(texts)
+
+
+def test_ids_of_fuzzed_texts():
+    rng = random.Random(8)
+    parts = [*"AbCdTJWYHé ÄßİıΣς\u0308\u030c\u0331\u0301日🙂.,!?'<|>_-0179", "  ", "\n", "\t", "'S", "'re", "Don't", "<|endoftext|>", "<|ENDOFTEXT|>", "Über", "FÜR", "THE", "the", "\u200d", "\u00a0", "ﬁ", "Å", "K"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(30_000)]
+    assert _own_ids(texts) == _library_ids(texts)
+
+
 def test_small_cache_and_long_texts(monkeypatch):
     import public_tokenizers
 
