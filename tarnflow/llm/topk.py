@@ -59,6 +59,19 @@ def _blocks(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, _BLOCKS)
 
 
+def _asking(blocks: DataFrame) -> DataFrame:
+    """The queries of each block alone; ``asks`` has their numbers as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                asks = np.flatnonzero(np.frombuffer(r["asks"], bool))
+                ids, x = np.frombuffer(r["ids"], np.int64)[asks], unpack(r["x"]).reshape(r["n"], r["dim"])[asks]
+                yield _rows([(r["dim"], r["block"], len(asks), len(asks), ids.tobytes(), (r["block"] + asks).tobytes(), pack(x))])
+
+    return blocks.where("n_asks > 0").mapInArrow(run, _BLOCKS)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["dim", "block", "n", "n_asks", "ids", "asks", "x"]
@@ -133,8 +146,7 @@ def _search(cells: DataFrame, k: int, runs: int) -> DataFrame:
                     at, held, tops = (r["cell"], r["dim"]), [], None
                 ids, x = np.frombuffer(r["ids"], np.int64), unpack(r["x"]).reshape(r["n"], r["dim"])
                 if r["kind"] == 0:
-                    asks = np.flatnonzero(np.frombuffer(r["asks"], bool))
-                    held.append((ids[asks], r["block"] + asks, x[asks]))
+                    held.append((ids, np.frombuffer(r["asks"], np.int64), x))
                     continue
                 if held:
                     tops, held = _Tops(*(np.concatenate(p) for p in zip(*held, strict=True)), k), []
@@ -170,7 +182,7 @@ def top_k(
     down = max(1, min(n_blocks, max(-(-n // run), -(-wanted // across))))
     group = lambda seed, of: F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(of))
     own = blocks.withColumn("kind", F.lit(1)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("g", group(1, down))
-    asked = blocks.where("n_asks > 0").withColumn("kind", F.lit(0)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("h", group(2, across))
+    asked = _asking(blocks).withColumn("kind", F.lit(0)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("h", group(2, across))
     both = own.withColumn("asks", F.lit(None).cast("binary")).unionByName(asked)
     cells = both.withColumn("cell", F.col("g") * across + F.col("h")).repartition(down * across, "cell").sortWithinPartitions("cell", "dim", "kind", "block")
     tops = _search(cells.select("cell", "dim", "kind", "block", "n", "ids", "asks", "x"), k, across)
