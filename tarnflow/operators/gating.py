@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators.scan import count, last, scan, top
+
 
 def seconds(pts: Column, num: Column, den: Column) -> Column:
     """A time ``pts * num / den`` as (whole seconds, rest), which compares exactly across bases.
@@ -22,7 +24,7 @@ def seconds(pts: Column, num: Column, den: Column) -> Column:
 
 
 def monotonic_gate(
-    df: DataFrame, at: Column, *, sent: Column | None = None, resets: Column | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "seq"
+    df: DataFrame, at: Column, *, sent: Column | None = None, resets: Column | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "seq", slices: str | None = None
 ) -> DataFrame:
     """Rows whose time is after every earlier sent one's.
 
@@ -30,13 +32,17 @@ def monotonic_gate(
     rows that could not be written do not count, yet are themselves tried.  A row with ``resets`` is
     bad input: it is dropped, and what was sent before it no longer counts.
     """
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    bad = F.lit(False) if resets is None else F.coalesce(resets, F.lit(False))
-    rows = df.withColumns({"__at": at, "__bad": bad, "__run": F.count(F.when(bad, 1)).over(run)})
-    w = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = F.when(~F.col("__bad") & (F.lit(True) if sent is None else sent), F.col("__at"))
-    rows = rows.withColumn("__top", F.max(counted).over(w))
-    later = F.col("__top").isNull() | (F.col("__at") > F.col("__top"))
+    how = {"keys": keys, "order": (order,), "slices": slices}
+    rows, counted = df.withColumn("__at", at), F.lit(True) if sent is None else sent
+    if resets is None:
+        rows = scan(rows, {"__top": top(F.when(counted, F.col("__at")))}, **how, own=False)
+        later = F.col("__top").isNull() | (F.col("__at") > F.col("__top"))
+        return rows.where(F.col("__at").isNotNull() & later).drop("__at", "__top")
+    # runs only rise, so the largest (run, time) is of the last run
+    rows = scan(rows.withColumn("__bad", F.coalesce(resets, F.lit(False))), {"__run": count(F.col("__bad"))}, **how)
+    counted = ~F.col("__bad") & counted & F.col("__at").isNotNull()
+    rows = scan(rows, {"__top": top(F.when(counted, F.struct("__run", "__at")))}, **how, own=False)
+    later = F.coalesce((F.col("__top.__run") < F.col("__run")) | (F.col("__at") > F.col("__top.__at")), F.lit(True))
     return rows.where(F.col("__at").isNotNull() & ~F.col("__bad") & later).drop("__at", "__top", "__bad", "__run")
 
 
@@ -51,11 +57,11 @@ def keyframe_gate(df: DataFrame, changed: Column, failed: Column, keyframe: Colu
     return reset.isNull() | F.coalesce(key >= reset, F.lit(False))
 
 
-def carry_forward(value: Column, sets: Column, clears: Column, *, keys: tuple[str, ...], order: str = "seq") -> Column:
-    """The value that was set last, unless it was cleared since."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.when(sets, F.struct(value.alias("v"))).when(clears, F.struct(F.lit(None).cast("double").alias("v")))
-    return F.last(held, ignorenulls=True).over(w)["v"]
+def carry_forward(df: DataFrame, name: str, value: Column, sets: Column, clears: Column, *, keys: tuple[str, ...], order: str = "seq", slices: str | None = None) -> DataFrame:
+    """``df`` with the value that was set last, unless it was cleared since, as ``name``."""
+    held = last(F.when(sets, value), F.coalesce(sets, F.lit(False)) | F.coalesce(clears, F.lit(False)))
+    rows = scan(df, {"__held": held}, keys=keys, order=(order,), slices=slices)
+    return rows.withColumn(name, F.col("__held.v")).drop("__held")
 
 
 def epochs(change: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> Column:

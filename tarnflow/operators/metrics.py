@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators.scan import count, scan, total, trailing
 
-def counters(seconds: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> tuple[Column, Column]:
-    """Rows so far and their seconds so far; negative times count as 0."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.count("*").over(w), F.sum(F.greatest(seconds, F.lit(0.0))).over(w)
+
+def counters(df: DataFrame, seconds: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq", slices: str | None = None) -> DataFrame:
+    """``df`` with ``frames``, its rows so far, and ``seconds``, theirs so far; negative times count as 0."""
+    running = {"frames": count(), "seconds": total(F.greatest(seconds, F.lit(0.0)))}
+    return scan(df, running, keys=keys, order=(order,), slices=slices)
 
 
 def interval_metrics(df: DataFrame, interval_us: int, seconds: Column, inference: Column, *, keys: tuple[str, ...] = ("stream_id",), at: str = "at_us") -> DataFrame:
@@ -39,10 +41,9 @@ def interval_metrics(df: DataFrame, interval_us: int, seconds: Column, inference
     )
 
 
-def trailing_average(value: Column, window_us: int, *, keys: tuple[str, ...] = ("stream_id",), at: str = "at_us") -> Column:
-    """Mean over (now - window, now]; ranges include their ends, so the window is one microsecond shorter."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-(window_us - 1), 0)
-    return F.avg(value).over(w)
+def trailing_average(df: DataFrame, name: str, value: Column, window_us: int, *, keys: tuple[str, ...] = ("stream_id",), at: str = "at_us", width_us: int | None = None) -> DataFrame:
+    """``df`` with the mean over (now - window, now] as ``name``."""
+    return trailing(df, {name: F.avg(value)}, window_us, keys=keys, at=at, width=width_us)
 
 
 def connection_status(ok_at: Column, failed_at: Column, now: Column, stall_us: int = 5_000_000) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators.scan import numbered
+
 
 def _positive(n: object, name: str) -> int:
     if isinstance(n, bool) or not isinstance(n, int) or n < 1:
@@ -14,16 +16,11 @@ def _positive(n: object, name: str) -> int:
     return n
 
 
-def position(stream: str = "stream_id", order: str = "seq") -> Column:
-    """Place of a row in its stream, from 0."""
-    return F.row_number().over(Window.partitionBy(stream).orderBy(order)) - 1
-
-
-def drop_frames(df: DataFrame, keep_every: int = 1, *, stream: str = "stream_id", order: str = "seq") -> DataFrame:
+def drop_frames(df: DataFrame, keep_every: int = 1, *, stream: str = "stream_id", order: str = "seq", slices: str | None = None) -> DataFrame:
     """Rows at every ``keep_every``-th place, from the first."""
     _positive(keep_every, "keep_every")
     at = "__at"
-    return df.withColumn(at, position(stream, order)).where(F.col(at) % keep_every == 0).drop(at)
+    return numbered(df, at, keys=(stream,), order=(order,), slices=slices).where(F.col(at) % keep_every == 0).drop(at)
 
 
 def every_n(
@@ -33,12 +30,14 @@ def every_n(
     *,
     stream: str = "stream_id",
     order: str = "seq",
+    slices: str | None = None,
 ) -> DataFrame:
     """``changes`` at every ``interval``-th place; other rows pass.  The place counts all rows, even
     where a live interval changes."""
     n = interval if isinstance(interval, Column) else F.lit(_positive(interval, "interval"))
-    hit = position(stream, order) % n == 0
-    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()})
+    rows = numbered(df, "__at", keys=(stream,), order=(order,), slices=slices)
+    hit = F.col("__at") % n == 0
+    return rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()}).drop("__at")
 
 
 def chain_until_failure(steps: list[Callable[[Column], Column]], failed: list[Column], value: Column) -> Column:
@@ -73,5 +72,5 @@ def run_once_many(df: DataFrame, outputs: Column, name: str, *, stream: str = "s
     kind = df.select(outputs.alias("x")).schema["x"].dataType
     one = F.array(F.lit(None).cast(kind.elementType))
     at = "__at"
-    rows = df.withColumn(at, position(stream, order))
+    rows = numbered(df, at, keys=(stream,), order=(order,))
     return rows.withColumn(name, F.explode(F.when(F.col(at) == 0, outputs).otherwise(one))).drop(at)

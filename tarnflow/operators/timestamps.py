@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators.scan import numbered
+
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column | int, to_den: Column | int) -> Column:
     """``pts`` in another base, to the nearest whole number, halves to even; null for a base of 0 or less."""
@@ -30,9 +32,9 @@ def time_base(packet: Column, stream: Column, output: Column) -> Column:
     return F.coalesce(packet, stream, output)
 
 
-def generated(stream: str = "stream_id", *order: str) -> Column:
-    """Times that count output packets, from 0; they go on over a new encoder."""
-    return (F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1).cast("long")
+def generated(df: DataFrame, name: str, *order: str, stream: str = "stream_id", slices: str | None = None) -> DataFrame:
+    """``df`` with times that count output packets, from 0; they go on over a new encoder."""
+    return numbered(df, name, keys=(stream,), order=order, slices=slices)
 
 
 def valid_time(pts: Column, num: Column, den: Column, duration: Column) -> Column:

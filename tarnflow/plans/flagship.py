@@ -22,13 +22,13 @@ from tarnflow.sources.tables import event_stream
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second row, every third of those doubled, times made monotonic, trailing means."""
-    gate = Apply(lambda df: gating.monotonic_gate(df, F.col("seq") * 7 + F.col("k")))
-    average = F.round(metrics.trailing_average(F.col("value"), 360_000_000_000), 6)
+    gate = Apply(lambda df: gating.monotonic_gate(df, F.col("seq") * 7 + F.col("k"), slices="slice"))
+    means = Apply(lambda df: metrics.trailing_average(df, "average", F.col("value"), 360_000_000_000).withColumn("average", F.round("average", 6)))
     pipeline = (
         Pipeline("flagship")
         .step(DropFrames(2))
         .step(EveryNFrames({"value": "value * 2"}, 3))
         .step(gate)
-        .step(Apply(lambda df: df.withColumn("average", average)))
+        .step(means)
     )
     return pipeline.run(event_stream(spark, sf_dir)).select("stream_id", "seq", "at_us", "value", "average")

@@ -21,8 +21,8 @@ IS = lambda kind: F.col("event_type") == kind
        WINDOW w AS (PARTITION BY stream_id ORDER BY seq)""",
 )
 def cumulative_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, s = metrics.counters(F.col("value") - 20)
-    return event_stream(spark, sf_dir).select("stream_id", "seq", n.alias("frames"), F.round(s, 6).alias("seconds"))
+    rows = metrics.counters(event_stream(spark, sf_dir), F.col("value") - 20, slices="slice")
+    return rows.select("stream_id", "seq", "frames", F.round("seconds", 6).alias("seconds"))
 
 
 @query(
@@ -55,8 +55,8 @@ def interval_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
          RANGE BETWEEN 35999999999 PRECEDING AND CURRENT ROW), 6) AS average FROM ev""",
 )
 def trailing_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    average = F.round(metrics.trailing_average(F.col("value"), 10 * HOUR), 6)
-    return event_stream(spark, sf_dir).select("stream_id", "seq", average.alias("average"))
+    rows = metrics.trailing_average(event_stream(spark, sf_dir), "average", F.col("value"), 10 * HOUR, width_us=240 * HOUR)
+    return rows.select("stream_id", "seq", F.round("average", 6).alias("average"))
 
 
 @query(

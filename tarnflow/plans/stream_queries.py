@@ -24,7 +24,7 @@ IS = lambda kind: F.col("event_type") == kind
 )
 def source_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir).withColumn("size", F.when(F.col("k") % 7 > 0, F.col("k")))
-    found = packets.connect(rows, IS("purchase"), F.col("k"), F.col("k") % 3 > 0)
+    found = packets.connect(rows, IS("purchase"), F.col("k"), F.col("k") % 3 > 0, slices="slice")
     return found.select("stream_id", "seq", "size", "connection", F.col("metadata").alias("width"))
 
 
@@ -47,7 +47,7 @@ def stream_metadata_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
        OVER (PARTITION BY stream_id ORDER BY seq)::BIGINT AS generation FROM ev""",
 )
 def connection_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_stream(spark, sf_dir).select("stream_id", "seq", packets.generation(IS("purchase")).alias("generation"))
+    return packets.generations(event_stream(spark, sf_dir), "generation", IS("purchase"), slices="slice").select("stream_id", "seq", "generation")
 
 
 @query(
@@ -60,8 +60,7 @@ def output_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"connection_id": F.floor(F.col("seq") / 20), "stream_index": F.lit(0), "codec": F.col("event_type"), "width": F.col("k") % 2}
     known |= {"height": F.lit(1), "extradata": F.lit(None).cast("binary"), "stream_base": F.nullif(F.col("k") % 3, F.lit(0).cast("long"))}
     rows = event_stream(spark, sf_dir).withColumns(known)
-    rows = rows.withColumn("changed", packets.key_generation(*publish.KEY) == 1)
-    return rows.select("stream_id", "seq", packets.generation(F.col("changed")).alias("generation"))
+    return packets.key_generations(rows, "generation", *publish.KEY, slices="slice").select("stream_id", "seq", "generation")
 
 
 @query(
@@ -102,7 +101,7 @@ def dts_fill_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT stream_id, seq, k AS dts FROM t WHERE top IS NULL OR k > top""",
 )
 def dts_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gating.monotonic_gate(event_stream(spark, sf_dir), F.col("k")).select("stream_id", "seq", F.col("k").alias("dts"))
+    return gating.monotonic_gate(event_stream(spark, sf_dir), F.col("k"), slices="slice").select("stream_id", "seq", F.col("k").alias("dts"))
 
 
 @query(
@@ -115,7 +114,7 @@ def dts_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dts_gate_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     den = F.when(F.col("seq") % 2 == 0, 1000).otherwise(90_000)
     at = gating.seconds(F.col("k"), F.lit(1), den)
-    return gating.monotonic_gate(event_stream(spark, sf_dir), at, sent=~IS("error")).select("stream_id", "seq")
+    return gating.monotonic_gate(event_stream(spark, sf_dir), at, sent=~IS("error"), slices="slice").select("stream_id", "seq")
 
 
 @query(
@@ -129,7 +128,7 @@ def dts_gate_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dts_gate_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     den = F.when(F.col("seq") % 2 == 0, 30).otherwise(1001)
     at = gating.seconds(F.col("k") - 50, F.lit(1), den)
-    return gating.monotonic_gate(event_stream(spark, sf_dir), at, sent=~IS("error"), resets=IS("signup")).select("stream_id", "seq")
+    return gating.monotonic_gate(event_stream(spark, sf_dir), at, sent=~IS("error"), resets=IS("signup"), slices="slice").select("stream_id", "seq")
 
 
 @query(
@@ -388,8 +387,8 @@ def encode_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def generated_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir).where(F.col("k") % 3 > 0)
-    rows = rows.select("stream_id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") % 3 - 1)).alias("part"))
-    return rows.withColumn("pts", timestamps.generated("stream_id", "seq", "part"))
+    rows = rows.select("stream_id", "seq", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") % 3 - 1)).alias("part"))
+    return timestamps.generated(rows, "pts", "seq", "part", slices="slice").drop("slice")
 
 
 @query(
@@ -470,18 +469,18 @@ def nal_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("drop_frames", "WITH {ev} SELECT stream_id, seq, value FROM ev WHERE seq % 3 = 0")
 def drop_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.drop_frames(event_stream(spark, sf_dir), 3).select("stream_id", "seq", "value")
+    return sampling.drop_frames(event_stream(spark, sf_dir), 3, slices="slice").select("stream_id", "seq", "value")
 
 
 @query("every_n_frames", "WITH {ev} SELECT stream_id, seq, CASE WHEN seq % 3 = 0 THEN value * 2 ELSE value END AS value FROM ev")
 def every_n_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.every_n(event_stream(spark, sf_dir), {"value": F.col("value") * 2}, 3).select("stream_id", "seq", "value")
+    return sampling.every_n(event_stream(spark, sf_dir), {"value": F.col("value") * 2}, 3, slices="slice").select("stream_id", "seq", "value")
 
 
 @query("every_n_live", "WITH {ev} SELECT stream_id, seq, CASE WHEN seq % (CASE WHEN seq < 2 THEN 3 ELSE 2 END) = 0 THEN 1 ELSE 0 END AS hit FROM ev")
 def every_n_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(F.col("seq") < 2, 3).otherwise(2)
-    return sampling.every_n(event_stream(spark, sf_dir).withColumn("hit", F.lit(0)), {"hit": F.lit(1)}, n).select("stream_id", "seq", "hit")
+    return sampling.every_n(event_stream(spark, sf_dir).withColumn("hit", F.lit(0)), {"hit": F.lit(1)}, n, slices="slice").select("stream_id", "seq", "hit")
 
 
 @query(
@@ -491,7 +490,7 @@ def every_n_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 def every_n_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = sampling.chain_until_failure([lambda v: v + 1, lambda v: v * 10], [F.col("k") % 5 == 0, IS("error")], F.col("k"))
     rows = event_stream(spark, sf_dir).withColumn("v", F.col("k"))
-    return sampling.every_n(rows, {"v": inner}, 2).select("stream_id", "seq", "v")
+    return sampling.every_n(rows, {"v": inner}, 2, slices="slice").select("stream_id", "seq", "v")
 
 
 @query(

@@ -268,8 +268,8 @@ def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT m.stream_id, m.seq, CASE WHEN e.event_type = 'purchase' THEN e.value END AS boxes FROM m LEFT JOIN ev e ON e.stream_id = m.stream_id AND e.seq = m.at""",
 )
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = gating.carry_forward(F.col("value"), IS("purchase"), IS("error"), keys=("stream_id",))
-    return event_stream(spark, sf_dir).select("stream_id", "seq", held.alias("boxes"))
+    rows = gating.carry_forward(event_stream(spark, sf_dir), "boxes", F.col("value"), IS("purchase"), IS("error"), keys=("stream_id",), slices="slice")
+    return rows.select("stream_id", "seq", "boxes")
 
 
 _MASK = """m AS (SELECT frame_id, round_even(x1 / 20, 0)::BIGINT AS l, round_even(y1 / 20, 0)::BIGINT AS t, round_even(x2 / 20, 0)::BIGINT AS r, round_even(y2 / 20, 0)::BIGINT AS b

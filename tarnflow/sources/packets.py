@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.operators.scan import count, last, scan
+
 
 def packet_source(packets: DataFrame, size: str = "size") -> DataFrame:
     """Packets that carry data; a null size carries none."""
@@ -19,28 +21,27 @@ def valid_stream(codec: Column, width: Column, height: Column, index: Column, ra
     return F.coalesce(named & whole & rates, F.lit(False))
 
 
-def generation(resets: Column, stream: str = "stream_id", order: str = "seq") -> Column:
-    """Number of the connection, which a row with ``resets`` begins."""
-    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(F.when(resets, 1).otherwise(0)).over(w)
+def generations(df: DataFrame, name: str, resets: Column, *, stream: str = "stream_id", order: str = "seq", slices: str | None = None) -> DataFrame:
+    """``df`` with the number of the connection, which a row with ``resets`` begins."""
+    return scan(df, {name: count(resets)}, keys=(stream,), order=(order,), slices=slices)
 
 
-def key_generation(*key: str, stream: str = "stream_id", order: str = "seq") -> Column:
-    """Number of the output, which begins anew where the key changes; null equals null."""
-    w = Window.partitionBy(stream).orderBy(order)
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    return F.when((F.row_number().over(w) > 1) & ~same, 1).otherwise(0)
+def key_generations(df: DataFrame, name: str, *key: str, stream: str = "stream_id", order: str = "seq", slices: str | None = None) -> DataFrame:
+    """``df`` with the number of the output, which begins anew where the key changes; null equals null."""
+    how = {"keys": (stream,), "order": (order,), "slices": slices}
+    rows = scan(df.withColumn("__key", F.struct(*key)), {"__before": last(F.col("__key"), F.lit(True))}, **how, own=False)
+    changed = F.col("__before").isNotNull() & ~F.col("__before.v").eqNullSafe(F.col("__key"))
+    return scan(rows, {name: count(changed)}, **how).drop("__key", "__before")
 
 
-def connect(packets: DataFrame, begins: Column, metadata: Column, usable: Column, *, size: str = "size", stream: str = "stream_id", order: str = "seq") -> DataFrame:
+def connect(
+    packets: DataFrame, begins: Column, metadata: Column, usable: Column, *, size: str = "size", stream: str = "stream_id", order: str = "seq", slices: str | None = None
+) -> DataFrame:
     """Packets with data, their ``connection`` and its ``metadata``, which all packets of a connection share.
 
     A row with ``begins`` opens a connection; if its metadata are not ``usable`` the connection gives
     nothing, and neither do rows before the first.
     """
-    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.when(begins, F.struct(metadata.alias("metadata"), usable.alias("usable")))
-    rows = packets.withColumns({"connection": generation(begins, stream, order), "__last": F.last(opened, ignorenulls=True).over(w)})
-    return packet_source(rows.where("__last.usable"), size).withColumn("metadata", F.col("__last.metadata")).drop("__last")
+    opened = last(F.struct(metadata.alias("metadata"), usable.alias("usable")), F.coalesce(begins, F.lit(False)))
+    rows = scan(packets, {"connection": count(begins), "__last": opened}, keys=(stream,), order=(order,), slices=slices)
+    return packet_source(rows.where("__last.v.usable"), size).withColumn("metadata", F.col("__last.v.metadata")).drop("__last")

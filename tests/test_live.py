@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnflow.plans.watch import LiveSettings
 from tarnflow.operators.recovery import fatal
 from tarnflow.sources.live import keep_running, publish, publish_packets
-from tarnflow.sources.packets import generation
+from tarnflow.sources.packets import generations
 from tarnflow.streaming.observed import Report, observed
 from tarnflow.streaming.windows import interval_report, sessions
 from tarnflow.streaming.stateful import run_available
@@ -134,4 +134,4 @@ def test_publisher_as_a_sink(spark, tmp_path):
 
 def test_generations(spark):
     df = spark.createDataFrame([(0, i, i in (2, 5)) for i in range(7)], "stream_id long, seq long, new boolean")
-    assert [r.g for r in df.select("seq", generation(F.col("new")).alias("g")).orderBy("seq").collect()] == [0, 0, 1, 1, 1, 2, 2]
+    assert [r.g for r in generations(df, "g", F.col("new")).orderBy("seq").collect()] == [0, 0, 1, 1, 1, 2, 2]

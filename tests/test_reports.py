@@ -15,7 +15,7 @@ from tarnflow.plans.pipeline import Apply, DropFrames, EveryNFrames, Pipeline, R
 def test_trailing_window_is_half_open(spark):
     rows = [(0, 0, 10.0), (0, 2, 30.0), (0, 3, None), (0, 10, None), (0, 12, None)]
     df = spark.createDataFrame([(s, at * 1_000_000, v) for s, at, v in rows], "stream_id long, at_us long, v double")
-    out = df.withColumn("a", metrics.trailing_average(F.col("v"), 10_000_000)).orderBy("at_us").collect()
+    out = metrics.trailing_average(df, "a", F.col("v"), 10_000_000).orderBy("at_us").collect()
     assert [r.a for r in out] == [10.0, 20.0, 20.0, 30.0, None]
 
 
