@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from tarnflow.llm.shared import forget, written
 from tarnflow.llm.words import batches_of, column_bytes
 
-#: Bytes of text handled at once, pieces that a worker keeps aligned, pairs that a task counts before it sends them on.
-BATCH, KEPT_PIECES, COUNTED = 8 << 20, 200_000, 2_000_000
+#: Bytes of text handled at once, pairs that a task counts before it sends them on.
+BATCH, COUNTED = 4 << 20, 2_000_000
+#: How a byte-level file splits a text where it says no more.  A fixed value.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pairs of ids up to which their counts are sent to the tasks (some 70 MB); beyond, tables of BLOCK_PAIRS meet the links by a shuffle.
 SENT_PAIRS, BLOCK_PAIRS = 4_000_000, 1_000_000
 _LOW = (1 << 32) - 1
@@ -26,6 +28,9 @@ _LOW = (1 << 32) - 1
 class _Tokenizer:
     """Ids of pieces of text, and the bytes of each id."""
 
+    #: Bytes of pieces that are handed over at once.
+    handed = 1 << 16
+
     def __init__(self, entries: list[bytes]) -> None:
         self.sizes = np.array([len(e) for e in entries], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -35,6 +40,45 @@ class _Tokenizer:
         size = self.sizes[ids]
         return self.data[np.repeat(self.starts[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that begins with a line feed, without those of the line feed."""
+        raise NotImplementedError
+
+    def tokens(self, pieces: list[bytes], joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has.
+
+        Pieces that may be joined are handed over many at once, with a line feed, a token of its own on
+        either side, between them; where the ends of tokens are not those of pieces, one by one.
+        """
+        ids, counts = [np.zeros(0, np.int64)], np.zeros(len(pieces), np.int64)
+        together = np.flatnonzero(joins)
+        sizes = np.array([len(pieces[i]) for i in together.tolist()], np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // self.handed)) + 1
+        alone, order = np.flatnonzero(~joins).tolist(), []
+        for own in np.split(together, cuts) if len(together) else []:
+            part = [pieces[i] for i in own.tolist()]
+            found = np.array(self.encode(b"\n".join([b"", *part, b""]).decode("utf-8", "replace")), np.int64)
+            ends = np.cumsum(self.sizes[found])
+            want = np.cumsum([len(p) + 1 for p in part])
+            last = np.searchsorted(ends, want)
+            # the line feed after each piece is one token, and so is what stands before it the piece's
+            if ends[-1] != want[-1] or (ends[last] != want).any() or (self.sizes[found[last]] != 1).any():
+                alone += own.tolist()
+                continue
+            keep = np.ones(len(found), bool)
+            keep[last] = False
+            ids.append(found[keep])
+            counts[own] = np.diff(last, prepend=-1) - 1
+            order.append(own)
+        for i in alone:
+            found = np.array(self.encode("\n" + pieces[i].decode("utf-8", "replace")), np.int64)
+            ids.append(found)
+            counts[i] = len(found)
+        order = np.concatenate([*order, np.array(alone, np.int64)]) if pieces else np.zeros(0, np.int64)
+        given, at = np.concatenate(ids), np.zeros(len(pieces), np.int64)
+        at[order] = np.cumsum(counts[order]) - counts[order]
+        return given[_runs(at, counts)], counts
+
 
 class ByteLevel(_Tokenizer):
     """A byte-level file of the tokenizers library.  Its pattern lets no token run from anything into a space."""
@@ -55,28 +99,43 @@ class ByteLevel(_Tokenizer):
         rules = json.loads(Path(path).read_text(encoding="utf-8"))
         split = rules.get("pre_tokenizer") or {}
         self.cuts_before_spaces = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.ranked = self._by_ranks(rules, entries) if self.cuts_before_spaces else None
+
+    @staticmethod
+    def _by_ranks(rules: dict, entries: list[bytes]) -> object | None:
+        """The same tokenizer in a library that merges by rank and is quicker; only if the file's merges are in the order of their ids."""
+        model, special = rules["model"], {t["content"] for t in rules.get("added_tokens") or []}
+        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        if merged != list(range(256, 256 + len(merged))) or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        import tiktoken
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [x.ids for x in found]
+        ranks = {entries[i]: i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        # the line feed goes, as it would join white space at the start of a piece
+        if self.ranked is not None:
+            return self.ranked.encode_ordinary(text[1:])
+        return self.tokenizer.encode(text[1:], add_special_tokens=False).ids
 
 
 class Pieces(_Tokenizer):
     """A SentencePiece model, which itself puts a space before a text."""
 
+    handed = 1 << 12
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
-        self.space = self.model.piece_to_id("▁")
         self.cuts_before_spaces = not any("▁" in p.lstrip("▁") for p in names)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Every piece begins with a space."""
-        found = self.model.encode([p[1:].decode("utf-8", "replace") for p in pieces], num_threads=1)
-        return [[self.space] if p == b" " else x for p, x in zip(pieces, found, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        # the space that the model puts first and the line feed stay tokens of their own, as no piece has a line feed
+        return self.model.encode(text, num_threads=1)[2:]
 
 
 def cut_places(data: np.ndarray) -> np.ndarray:
@@ -132,15 +191,13 @@ class Aligned:
         n = len(pieces)
         sides, self.good = [], np.ones(n, bool)
         sizes = np.array([len(p) for p in pieces], np.int64)
+        joins = _may_join(pieces, sizes)
         for side in (a, b):
-            each = side.encode(pieces)
-            count = np.array([len(x) for x in each], np.int64)
-            ids = np.array([i for x in each for i in x], np.int64)
+            ids, count = side.tokens(pieces, joins)
             owner = np.repeat(np.arange(n), count)
             whole = np.bincount(owner, side.sizes[ids], n).astype(np.int64) == sizes
             # bytes are compared where there are as many
-            fit = whole[owner]
-            same = side.bytes_of(ids[fit]) == np.frombuffer(b"".join(p for p, w in zip(pieces, whole.tolist(), strict=True) if w), np.uint8)
+            same = side.bytes_of(ids[whole[owner]]) == np.frombuffer(b"".join(p for p, w in zip(pieces, whole.tolist(), strict=True) if w), np.uint8)
             wrong = np.bincount(np.repeat(np.flatnonzero(whole), sizes[whole])[~same], minlength=n) > 0
             self.good &= whole & ~wrong
             sides.append((ids, owner, count))
@@ -157,7 +214,6 @@ class Aligned:
         self.n_groups[good] = np.diff(np.searchsorted(cuts, last), prepend=0)
         self.n_a, self.n_b = (count for _, count in self.sides)
         self._link(n)
-        self.printed = self._print()
 
     def _link(self, n: int) -> None:
         """All pairs of ids within a group, each once a piece with how often it occurs: first once an id and group, then as products."""
@@ -181,9 +237,10 @@ class Aligned:
         at = np.flatnonzero(new)
         self.pairs, self.times = pair[at], np.add.reduceat(times, at) if len(at) else times
         self.n_pairs = np.bincount(piece[at], minlength=n)
+        self.first_pair = np.cumsum(self.n_pairs) - self.n_pairs
         self.n_links = np.bincount(piece[at], self.times, n).astype(np.int64)
 
-    def _print(self) -> pa.Array:
+    def printed(self) -> pa.Array:
         """Per piece its groups in decimal: ``a1,a2|b1;a3|b2,b3``."""
         texts = []
         for (ids, _), cut in zip(self.sides, self.ranges, strict=True):
@@ -194,77 +251,81 @@ class Aligned:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), both), pa.scalar(";", pa.large_string()))
 
 
-class Aligner:
-    """Aligned pieces of the texts of a worker, kept from batch to batch."""
-
-    def __init__(self, a: str, b: str) -> None:
-        self.a, self.b = ByteLevel(a), Pieces(b)
-        self.by_pieces = self.a.cuts_before_spaces and self.b.cuts_before_spaces
-        self.known: dict[bytes, int] = {}
-
-    def _align(self, pieces: list[bytes]) -> np.ndarray:
-        """The places of distinct pieces in the arrays of this object, which have those of ``Aligned``."""
-        anew = not self.known or len(self.known) + len(pieces) > KEPT_PIECES
-        if anew:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            found, base = Aligned(new, self.a, self.b), len(self.known)
-            for name in ("n_a", "n_b", "n_groups", "n_links", "good", "pairs", "times", "n_pairs"):
-                own = getattr(found, name)
-                setattr(self, name, own if anew else np.concatenate([getattr(self, name), own]))
-            self.printed = found.printed if anew else pa.concat_arrays([self.printed, found.printed])
-            self.first_pair = np.cumsum(self.n_pairs) - self.n_pairs
-            self.known.update((p, base + i) for i, p in enumerate(new))
-        return np.array([self.known[p] for p in pieces], np.int64)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the pieces of all texts in a row, and how many each text has; a text without tokens has none."""
+def _may_join(pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Pieces that begin with a space and something that is no white space, and end with such: a line feed
+    before and after them changes nothing.  Of characters beyond ASCII, none of those among which white space is."""
+    data = np.frombuffer(b"".join([b"\0\0", *pieces, b"\0\0"]), np.uint8)
+    start = np.cumsum(sizes) - sizes + 2
+    second, last, before, third = data[start + 1], data[start + sizes - 1], data[start + sizes - 2], data[start + sizes - 3]
+    shows = lambda c: (c > 0x20) & (c != 0x7F)
+    lead = lambda c: (c == 0xC2) | ((c >= 0xE1) & (c <= 0xE3))
+    return (sizes > 1) & (data[start] == 0x20) & shows(second) & ~lead(second) & shows(last) & ~((last >= 0x80) & (lead(before) | lead(third)))
+
+
+class Read:
+    """Texts as runs of distinct pieces: ``place`` numbers the pieces of all texts in a row, ``counts`` says how many
+    each text has (none, for one without tokens), ``pieces`` has them aligned."""
+
+    def __init__(self, texts: list[bytes], a: _Tokenizer, b: _Tokenizer) -> None:
         full = [t for t in texts if t]
+        self.place, self.counts, self.pieces = np.zeros(0, np.int64), np.zeros(len(texts), np.int64), None
+        if not full:
+            return
         data = np.frombuffer(b"".join(b" " + t for t in full), np.uint8)
         ends = np.cumsum([len(t) + 1 for t in full], dtype=np.int64)
-        if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        begins = cut_places(data) if self.by_pieces else np.zeros(len(data), bool)
+        begins = cut_places(data) if a.cuts_before_spaces and b.cuts_before_spaces else np.zeros(len(data), bool)
         begins[0] = True
         begins[ends[:-1]] = True
         starts = np.flatnonzero(begins)
         offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        place = self._align(cut.dictionary.to_pylist())[cut.indices.to_numpy()]
+        self.pieces = Aligned(cut.dictionary.to_pylist(), a, b)
+        place = cut.indices.to_numpy()
         sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
         owner = np.repeat(np.arange(len(full)), sizes)
-        broken = np.bincount(owner, ~self.good[place], len(full)) > 0
-        counts = np.zeros(len(texts), np.int64)
-        counts[[bool(t) for t in texts]] = np.where(broken, 0, sizes)
-        return place[~broken[owner]], counts
-
-    def links(self, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        broken = np.bincount(owner, ~self.pieces.good[place], len(full)) > 0
+        self.counts[[bool(t) for t in texts]] = np.where(broken, 0, sizes)
+        self.place = place[~broken[owner]].astype(np.int64)
+
+    def sums(self, values: np.ndarray) -> pa.Array:
+        """Per text the sum of a value of its pieces."""
+        return pa.array(_over(values[self.place], self.counts))
+
+    def numbers(self) -> list[pa.Array]:
+        """Per text its tokens, groups and links, and its groups in decimal."""
+        if not len(self.place):
+            return [pa.array(np.zeros(len(self.counts), np.int64))] * 4 + [pa.array([""] * len(self.counts), pa.large_string())]
+        own = self.pieces
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.counts)])), own.printed().take(pa.array(self.place)))
+        return [*(self.sums(x) for x in (own.n_a, own.n_b, own.n_groups, own.n_links)), pc.binary_join(lists, pa.scalar(";", pa.large_string()))]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct pairs of each text: the text, the pair, and how often it occurs there."""
-        if not len(place):
-            return place, place, place
-        owner = np.repeat(np.arange(len(counts)), counts)
-        n = len(self.good)
-        key, times = np.unique(owner * n + place, return_counts=True)
+        if not len(self.place):
+            return self.place, self.place, self.place
+        own = self.pieces
+        n = len(own.good)
+        key, times = np.unique(np.repeat(np.arange(len(self.counts)), self.counts) * n + self.place, return_counts=True)
         owner, piece = key // n, key % n
-        many = self.n_pairs[piece]
-        at = _runs(self.first_pair[piece], many)
-        distinct, number = np.unique(self.pairs[at], return_inverse=True)
-        key = np.repeat(owner, many) * len(distinct) + number
+        many = own.n_pairs[piece]
+        at = _runs(own.first_pair[piece], many)
+        distinct, number = np.unique(own.pairs, return_inverse=True)
+        key = np.repeat(owner, many) * len(distinct) + number[at]
         order = np.argsort(key, kind="stable")
-        key, weight = key[order], (np.repeat(times, many) * self.times[at])[order]
+        key, weight = key[order], (np.repeat(times, many) * own.times[at])[order]
         new = np.flatnonzero(np.diff(key, prepend=-1))
         return key[new] // len(distinct), distinct[key[new] % len(distinct)], np.add.reduceat(weight, new)
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+_SIDES: dict[str, _Tokenizer] = {}
 
 
-def aligner(a: str, b: str) -> Aligner:
-    """The aligner of two files, made once a worker."""
-    if (a, b) not in _ALIGNERS:
-        _ALIGNERS[a, b] = Aligner(a, b)
-    return _ALIGNERS[a, b]
+def read(texts: list[bytes], a: str, b: str) -> Read:
+    """Texts read by the tokenizers of two files, which are opened once a worker."""
+    for path, kind in ((a, ByteLevel), (b, Pieces)):
+        if path not in _SIDES:
+            _SIDES[path] = kind(path)
+    return Read(texts, _SIDES[a], _SIDES[b])
 
 
 def _over(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -278,9 +339,9 @@ def _count_pairs(texts: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of ids with the number of texts that link them; a task adds up its own before it sends them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, pairs, counts = aligner(a, b), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches_of(batches, BATCH):
-            _, pair, _ = tool.links(*tool.read(column_bytes(batch.column("text"))))
+            _, pair, _ = read(column_bytes(batch.column("text")), a, b).links()
             found, n = np.unique(pair, return_counts=True)
             both, place = np.unique(np.concatenate([pairs, found]), return_inverse=True)
             pairs, counts = both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
@@ -292,16 +353,6 @@ def _count_pairs(texts: DataFrame, a: str, b: str) -> DataFrame:
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _numbers(tool: Aligner, place: np.ndarray, counts: np.ndarray) -> tuple[list[pa.Array], pa.Array]:
-    """Tokens, groups and links of each text, and its groups in decimal."""
-    if not len(place):
-        return [pa.array(np.zeros(len(counts), np.int64))] * 4, pa.array([""] * len(counts), pa.large_string())
-    numbers = [pa.array(_over(row[place], counts)) for row in (tool.n_a, tool.n_b, tool.n_groups, tool.n_links)]
-    parts = tool.printed.take(pa.array(place))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]))
-    return numbers, pc.binary_join(pa.LargeListArray.from_arrays(offsets, parts), pa.scalar(";", pa.large_string()))
-
-
 def _scored(texts: DataFrame, table: DataFrame, a: str, b: str, schema: str) -> DataFrame:
     """With the counts of all pairs sent to the tasks."""
     found = table.toArrow()
@@ -310,18 +361,16 @@ def _scored(texts: DataFrame, table: DataFrame, a: str, b: str, schema: str) ->
     sent = texts.sparkSession.sparkContext.broadcast((pairs[order], n[order], best[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, (pairs, n, best) = aligner(a, b), sent.value
+        pairs, n, best = sent.value
         for batch in batches_of(batches, BATCH):
-            place, counts = tool.read(column_bytes(batch.column("text")))
-            numbers, printed = _numbers(tool, place, counts)
-            scores = [pa.array(np.zeros(len(counts), np.int64))] * 2
-            if len(place):
-                # what a piece's links add, for the pieces of this batch
-                own, number = np.unique(place, return_inverse=True)
-                many = tool.n_pairs[own]
-                at = _runs(tool.first_pair[own], many)
-                row = np.searchsorted(pairs, tool.pairs[at])
-                scores = [pa.array(_over(_over(tool.times[at] * value[row], many)[number], counts)) for value in (best, n)]
+            found = read(column_bytes(batch.column("text")), a, b)
+            *numbers, printed = found.numbers()
+            scores = [pa.array(np.zeros(len(found.counts), np.int64))] * 2
+            if len(found.place):
+                own = found.pieces
+                # pieces of texts without tokens may have pairs that nobody counted
+                row = np.minimum(np.searchsorted(pairs, own.pairs), len(pairs) - 1)
+                scores = [found.sums(_over(own.times * value[row], own.n_pairs)) for value in (best, n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, *scores, printed], names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
@@ -340,16 +389,15 @@ def _joined(texts: DataFrame, table: DataFrame, n_pairs: int, a: str, b: str, ki
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, row = aligner(a, b), TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << 36
         for batch in batches_of(batches, BATCH):
-            place, counts = tool.read(column_bytes(batch.column("text")))
-            numbers, printed = _numbers(tool, place, counts)
-            owner, pair, times = tool.links(place, counts)
+            found = read(column_bytes(batch.column("text")), a, b)
+            counts, (owner, pair, times) = found.counts, found.links()
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pair, times)]
             rows = pa.array(row + np.arange(len(counts)))
             row += len(counts)
-            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *numbers, printed, *lists], names)
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *found.numbers(), *lists], names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,7 +474,7 @@ def align_tokenizers(docs: DataFrame, a: str, b: str, *, text: str = "text", key
     ids, null ids too, are documents each.  No rows give no rows.  Special tokens in texts are plain text.
 
     Texts are cut before spaces where both tokenizers begin a token by their rules; each distinct piece
-    is aligned once a worker, by packed bitsets of token ends.  A text without such places is one piece.
+    of a batch is aligned once, by packed bitsets of token ends.  A text without such places is one piece.
     The corpus is read twice: to count pairs, and to score them.
     """
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))

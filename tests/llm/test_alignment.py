@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tarnflow.llm import alignment
-from tarnflow.llm.alignment import Aligner, align_tokenizers
+from tarnflow.llm.alignment import align_tokenizers, read
 from tests.llm.helpers import DOCS, awkward, empty
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -87,16 +87,27 @@ def fuzz(n, seed, marks=0.05):
 
 def test_pieces_give_the_ids_of_whole_texts(tools):
     """Cut where it cuts, a text has the libraries' tokens; and the bitsets' groups are those of plain loops."""
-    tool = Aligner(A, B)
-    assert tool.by_pieces
     texts = fuzz(4000, 1)
-    place, counts = tool.read([t.encode() for t in texts])
+    found = read([t.encode() for t in texts], A, B)
+    assert all(side.cuts_before_spaces for side in alignment._SIDES.values())
+    place, counts, printed = found.place, found.counts, found.pieces.printed()
     at = 0
     for text, n in zip(texts, counts.tolist(), strict=True):
-        printed = ";".join(tool.printed[i].as_py() for i in place[at : at + n].tolist())
+        got = ";".join(printed[i].as_py() for i in place[at : at + n].tolist())
         at += n
         want = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups_of(text, tools))
-        assert printed == want, repr(text)
+        assert got == want, repr(text)
+
+
+def test_merging_by_rank_gives_the_files_ids(tools):
+    side = alignment.ByteLevel(A)
+    assert side.ranked is not None
+    r = random.Random(5)
+    ranges = [(0, 0x250), (0x300, 0x370), (0x370, 0x500), (0x600, 0x700), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x4F00), (0x1F600, 0x1F640)]
+    letters = [chr(c) for a, b in ranges for c in range(a, b)]
+    texts = ["".join(r.choice(letters[:128] if r.random() < 0.7 else letters) for _ in range(r.randrange(1, 25))) for _ in range(20_000)]
+    texts += ["".join(r.choice("aeinrst") for _ in range(r.randrange(1, 40))) for _ in range(5000)]
+    assert [side.encode(" " + t) for t in texts] == [x.ids for x in tools[0].encode_batch(texts, add_special_tokens=False)]
 
 
 def test_alignment_equals_plain_loops(spark, tools):
@@ -115,17 +126,14 @@ def test_blocks_of_counts_give_the_same_rows(spark, tools, monkeypatch):
     assert rows_of(align_tokenizers(docs, A, B)) == want
 
 
-def test_small_caches_change_nothing(tools, monkeypatch):
+def test_pieces_one_by_one_and_together(monkeypatch):
     texts = [t.encode() for t in fuzz(300, 4)]
-    whole, by_ten = Aligner(A, B), Aligner(A, B)
-    place, _ = whole.read(texts)
-    want = [whole.printed[i].as_py() for i in place.tolist()]
-    monkeypatch.setattr(alignment, "KEPT_PIECES", 40)
-    got = []
-    for at in range(0, len(texts), 10):
-        place, _ = by_ten.read(texts[at : at + 10])
-        got += [by_ten.printed[i].as_py() for i in place.tolist()]
-    assert got == want
+    want = read(texts, A, B).numbers()
+    monkeypatch.setattr(alignment.ByteLevel, "handed", 40)
+    monkeypatch.setattr(alignment.Pieces, "handed", 30)
+    assert read(texts, A, B).numbers() == want
+    monkeypatch.setattr(alignment, "_may_join", lambda pieces, sizes: np.zeros(len(pieces), bool))
+    assert read(texts, A, B).numbers() == want
 
 
 def test_alignment_of_awkward_rows(spark, tools):
