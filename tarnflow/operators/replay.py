@@ -196,10 +196,21 @@ class Batcher:
         self.size, self.wait, self.service = size, wait_us, service_us
 
     def start(self) -> dict[str, Any]:
-        return {"free": None, "put_off": deque(), "queue": deque(), "batch": 0}
+        return {"free": None, "put_off": deque(), "queue": deque(), "batch": 0, "due": None}
+
+    def advance(self, state: dict[str, Any], known_to: int | None) -> list[tuple]:
+        """The batches that are decided once every row before ``known_to`` is known; ``None``: every row.
+
+        ``state["due"]`` is then the time after which the next one is, or null if nothing waits.
+        """
+        out: list[tuple] = []
+        while (batch := self._form(state, known_to)) is not None:
+            out += batch
+        return out
 
     def _form(self, state: dict[str, Any], known_to: int | None) -> list[tuple] | None:
         put_off, queue = state["put_off"], state["queue"]
+        state["due"] = None
         if not put_off and not queue:
             return None
         seed = put_off[0] if put_off else queue[0]
@@ -210,6 +221,7 @@ class Batcher:
         while len(members) < self.size:
             if i == len(queue):
                 if known_to is not None and known_to <= max(now, last):
+                    state["due"] = max(now, last)
                     return None  # a row that is still to come may belong to it
                 break
             row = queue[i]
@@ -232,13 +244,7 @@ class Batcher:
 
     def step(self, state: dict[str, Any], row: Row) -> tuple[dict[str, Any], list[tuple]]:
         state["queue"].append((row["seq"], row["at_us"], row["key"]))
-        out = []
-        while (batch := self._form(state, row["at_us"])) is not None:
-            out += batch
-        return state, out
+        return state, self.advance(state, row["at_us"])
 
     def finish(self, state: dict[str, Any]) -> list[tuple]:
-        out = []
-        while (batch := self._form(state, None)) is not None:
-            out += batch
-        return out
+        return self.advance(state, None)
