@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators import batching, codec, gating, publish, recovery, replay, sampling, tensors, timestamps
+from tarnflow.operators import batching, codec, gating, inference, publish, recovery, replay, sampling, tensors, timestamps
 from tarnflow.plans.registry import query
 from tarnflow.sources import packets
 from tarnflow.sources.tables import event_stream
@@ -635,9 +635,8 @@ def hotswap_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.pass_through(rows, IS("error"), {"v": (F.col("v") + 1) * 2}).select("stream_id", "seq", "v")
 
 
-@query(
-    "batch_collect",
-    """WITH RECURSIVE {ev},
+#: Batches of four, of one kind each, that wait 40 hours at most and take ten.
+_BATCHES = """WITH RECURSIVE {ev},
        r AS (
          SELECT DISTINCT stream_id, 0::BIGINT AS nxt, NULL::BIGINT AS free, []::BIGINT[] AS off, false AS open, 0 AS size, NULL::VARCHAR AS key,
                 NULL::BIGINT AS now, NULL::BIGINT AS last, -1::BIGINT AS batch, NULL::BIGINT AS seq, NULL::BIGINT AS place, NULL::BIGINT AS closed FROM ev
@@ -660,14 +659,45 @@ def hotswap_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
               LATERAL (SELECT NOT r.open AS seed, r.open AND r.size < 4 AND coalesce(a.at_us <= greatest(r.now, r.last), false) AS pull,
                               CASE WHEN r.size < 4 THEN greatest(r.now, r.last) ELSE r.now END AS ended) t
          WHERE r.open OR f.seq IS NOT NULL),
-       c AS (SELECT stream_id, batch, closed FROM r WHERE closed IS NOT NULL)
-       SELECT r.stream_id, r.seq, r.batch, r.place, c.closed AS closed_us FROM r JOIN c USING (stream_id, batch) WHERE r.seq IS NOT NULL""",
+       c AS (SELECT stream_id, batch, closed FROM r WHERE closed IS NOT NULL)"""
+
+
+@query(
+    "batch_collect",
+    _BATCHES
+    + " SELECT r.stream_id, r.seq, r.batch, r.place, c.closed AS closed_us FROM r JOIN c USING (stream_id, batch) WHERE r.seq IS NOT NULL",
 )
 def batch_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir).withColumn("key", F.col("event_type"))
     return batching.collect_batches(rows, 4, 40 * HOUR, 10 * HOUR)
 
 
+def shared_sum(kind: str) -> Callable:
+    """A model whose rows feel the others of their call: each plus 1000 times the sum of all; sums of sevens fail."""
+
+    def infer(rows):
+        whole = rows.sum()
+        if whole % 7 == 0:
+            raise ValueError(f"{kind}: {int(whole)}")
+        return rows + 1000 * whole
+
+    return infer
+
+
+@query(
+    "inference_batches",
+    _BATCHES
+    + """, m AS (SELECT r.stream_id, r.seq, r.batch, r.place, c.closed, e.k, e.event_type, sum(e.k) OVER (PARTITION BY r.stream_id, r.batch) AS whole
+         FROM r JOIN c USING (stream_id, batch) JOIN ev e ON e.stream_id = r.stream_id AND e.seq = r.seq WHERE r.seq IS NOT NULL)
+       SELECT stream_id, seq, batch, place, closed AS closed_us, CASE WHEN whole % 7 > 0 THEN (k + 1000 * whole)::DOUBLE END AS output,
+              CASE WHEN whole % 7 = 0 THEN 'ValueError: ' || event_type || ': ' || whole::BIGINT::VARCHAR END AS error FROM m""",
+)
+def inference_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir).withColumns({"key": F.col("event_type"), "rows": F.array(F.array(F.col("k").cast("double")))})
+    found = inference.infer_batches(rows, shared_sum, size=4, wait_us=40 * HOUR, service_us=10 * HOUR)
+    return found.withColumn("output", F.get(F.get("outputs", F.lit(0)), F.lit(0))).drop("outputs")
+
+
 @query(
     "batch_key",
     """WITH {ev} SELECT stream_id, seq, '{"backend":"' || event_type || '","gpu":' || (k % 2)::VARCHAR || ',"profile":0,"inputs":[{"name":"a","dtype":"float16","axes":[' || (k % 3 + 1)::VARCHAR

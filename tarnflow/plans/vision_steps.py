@@ -7,10 +7,12 @@ import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.operators import images, tensors, vision
+from tarnflow.operators.inference import infer_batches
+from tarnflow.plans.config import batch_settings
 from tarnflow.plans.pipeline import Step
 
 Rule = Callable[[Any], bool]
@@ -121,6 +123,9 @@ class Inference(Checked):
     a value each.  Frames whose ``inputs`` (name to (dtype, shape)) cannot be used, and frames at which the model
     fails, pass without an output; with ``batch`` the first axis must be 1, as requests share calls.
     ``profile_index`` is for one backend only.
+
+    With ``batch``, frames with ``stream_id``, ``seq``, ``at_us``, ``key`` and ``rows`` are requests: those that come together
+    share a call of the worker's model, and its error.  How many and how long they wait is in ``shared``, the settings file of the model.
     """
 
     rules = {
@@ -133,17 +138,28 @@ class Inference(Checked):
     }
     together = (("profile_index with another backend than tensorrt", lambda s: s["profile_index"] == 0 or s["backend"] == "tensorrt"),)
 
-    def __init__(self, model_path: str, factory: Callable[[str, int, int], Callable], **options: Any) -> None:
+    def __init__(self, model_path: str, factory: Callable[[str, int, int], Callable], shared: Mapping[str, Any] | None = None, **options: Any) -> None:
         super().__init__(model_path=model_path, batch=False, gpu_id=0, id=None, backend="tensorrt", profile_index=0)
-        self.factory = factory
+        self.factory, self.shared = factory, shared
         self.configure(options)
         self.defaults = dict(self.settings)
 
     def apply(self, df: DataFrame) -> DataFrame:
         s, make = dict(self.settings), self.factory
         usable = tensors.valid_inputs(F.col("inputs"), shared=s["batch"]) if "inputs" in df.columns else None
+        if s["batch"] and {"stream_id", "seq", "at_us", "key", "rows"} <= set(df.columns):
+            size, wait_s = batch_settings(self.shared, s["backend"])
+            token = f"{s['model_path']}|{s['gpu_id']}|{s['profile_index']}"
+            load = lambda key: make(s["model_path"], s["gpu_id"], s["profile_index"])
+            told = infer_batches(df, load, size=size, wait_us=round(wait_s * 1e6), token=token, usable=usable)
+            told = told.select("stream_id", "seq", F.col("outputs").alias("model_output"), F.col("error").alias("model_error"))
+            return df.join(told, ["stream_id", "seq"], "left").withColumn("model_id", self._name())
         found = tensors.infer(df, lambda: make(s["model_path"], s["gpu_id"], s["profile_index"]), usable=usable, guarded=True)
-        return found.withColumn("model_id", F.lit(s["id"] or s["model_path"].replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]))
+        return found.withColumn("model_id", self._name())
+
+    def _name(self) -> Column:
+        s = self.settings
+        return F.lit(s["id"] or s["model_path"].replace("\\", "/").rstrip("/").rsplit("/", 1)[-1])
 
 
 class PostProcess(Checked):
