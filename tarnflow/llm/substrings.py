@@ -182,9 +182,10 @@ class _Block:
         index = np.concatenate([i for _, _, i in self.parts])
         self.clear()
         later = _later(ids, base + start, rank, start, self.width)
+        # what is found here is known already and needs no group: it is dealt evenly, by document
+        spread = mix(keys[:, 0].astype(np.uint64) ^ mix(keys[:, 1].astype(np.uint64))) % np.uint64(self.index_blocks)
         for doc, starts in _starts(rank[later], start[later]):
-            at = int(mix(np.array([doc], np.uint64))[0]) % self.index_blocks
-            yield {"index": at, "keys": keys[doc].tobytes(), "starts": starts}
+            yield {"index": int(spread[doc]), "keys": keys[doc].tobytes(), "starts": starts}
         base, rank, start, index = (x[~later] for x in (base, rank, start, index))
         if not len(start):
             return

@@ -199,6 +199,18 @@ def test_a_hot_phrase_is_dealt_by_windows(spark):
     assert 0 < hot.sum() and np.array_equal(hot & twice, hot)
 
 
+def test_starts_that_are_known_spread_over_groups():
+    """Blocks of a few documents each: what they find goes to as many groups as by chance, not to the same few."""
+    text = " ".join(f"w{i}" for i in range(30)).encode()
+    groups = []
+    for b in range(20):
+        block = substrings._Block(20, 5000)
+        for d in range(50):
+            block.add((b * 50 + d, 7), text, 30, np.arange(11), np.arange(11).astype(np.uint64))
+        groups += [r["index"] for r in block.flush() if r.get("starts") is not None]
+    assert len(groups) == 20 * 49 and len(set(groups)) > 800
+
+
 def test_windows_of_long_texts(spark, monkeypatch):
     """Texts over a piece, and over what is gathered at once."""
     long = " ".join(f"w{i % 50021}x{i // 50021}" for i in range(250_000))
