@@ -26,13 +26,14 @@ class Codec(Protocol):
 
 
 class Decoder:
-    """Packets of a stream to frames, 0 to n each; what the codec holds back comes at the session's end.
+    """Packets of a stream to frames, 0 to n each; what the codec holds back comes at the stream's end.
 
     A row has ``key`` (a change begins a session), ``codec``, ``keyframe``, ``failed`` (the codec fails
-    at it), ``pts``, ``num`` and ``den``.  Packets are passed over until a keyframe at the start of a
-    session after the first, and after a failure; a failing packet is consumed.  Frames carry times in the base of
-    the session's first packet, halves to even.  Packets of other codecs, or with a base that is not
-    positive, fail.
+    at it), ``pts``, ``num`` and ``den``.  A change and a failure make the codec anew: what it held back and
+    the base are gone, and packets are passed over until a keyframe (not at the first session); a
+    failing packet is consumed.  Frames carry times in the base of the first packet that a codec is shown,
+    halves to even.  Packets without a base keep their times, and where the first has none all do.  Packets of
+    other codecs, or with a base that is not positive, fail.
     """
 
     schema = "seq long, session long, frame string, pts long, num long, den long"
@@ -45,29 +46,31 @@ class Decoder:
 
     def _rows(self, state: dict[str, Any], found: list) -> list[tuple]:
         base = state["base"]
-        return [(state["seq"], state["session"], frame, pts, base.numerator, base.denominator) for frame, pts in found]
+        told = (None, None) if base is None else (base.numerator, base.denominator)
+        return [(state["seq"], state["session"], frame, pts, *told) for frame, pts in found]
 
     def finish(self, state: dict[str, Any]) -> list[tuple]:
         return self._rows(state, state["codec"].flush()) if state["codec"] else []
 
     def step(self, state: dict[str, Any], row: Row) -> tuple[dict[str, Any], list[tuple]]:
-        out: list[tuple] = []
         if (row["key"],) != state["key"]:
-            out = self.finish(state)
             state.update(waits=state["key"] is not None, key=(row["key"],), codec=None, base=None, session=state["session"] + 1)
         state["seq"] = row["seq"]
         if state["waits"] and not row["keyframe"]:
-            return state, out
-        usable = (row["codec"] or "").lower() in CODECS and (row["num"] or 0) > 0 and (row["den"] or 0) > 0
+            return state, []
+        timed = row["num"] is not None and row["den"] is not None
+        usable = (row["codec"] or "").lower() in CODECS and (not timed or (row["num"] > 0 and row["den"] > 0))
         if row["failed"] or not usable:
-            state.update(codec=None, waits=True)
-            return state, out
+            state.update(codec=None, base=None, waits=True)
+            return state, []
+        base = Fraction(row["num"], row["den"]) if timed else None
+        if state["codec"] is None:
+            state.update(codec=self.factory(), base=base)
         state["waits"] = False
-        base = Fraction(row["num"], row["den"])
-        state["base"] = state["base"] or base
-        state["codec"] = state["codec"] or self.factory()
-        pts = None if row["pts"] is None else round(row["pts"] * base / state["base"])
-        return state, out + self._rows(state, state["codec"].step({**row, "pts": pts}))
+        pts = row["pts"]
+        if pts is not None and base is not None and state["base"] is not None:
+            pts = round(pts * base / state["base"])
+        return state, self._rows(state, state["codec"].step({**row, "pts": pts}))
 
 
 class Encoder:

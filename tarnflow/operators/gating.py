@@ -11,15 +11,16 @@ from tarnflow.operators.scan import count, last, scan, top
 def seconds(pts: Column, num: Column, den: Column) -> Column:
     """A time ``pts * num / den`` as (whole seconds, rest), which compares exactly across bases.
 
-    Rests of denominators up to 10**9 differ by 10**-18 at least, so their floors in these units
-    differ too.  Null for a base that is not positive.
+    Rests of denominators of up to ten digits differ by 10**-20 at least, so their floors in these units
+    differ too.  Null for a base that is not positive, or of more digits.
     """
-    units = pts.cast("decimal(19,0)") * num.cast("decimal(9,0)")
-    below = den.cast("decimal(10,0)")
+    units = pts.cast("decimal(19,0)") * num.try_cast("decimal(10,0)")
+    below = den.try_cast("decimal(10,0)")
     rest = F.pmod(units, below)
-    whole = ((units - rest) / below).cast("decimal(29,0)")
-    part = F.floor(rest.cast("decimal(10,0)") * F.lit(10**18).cast("decimal(19,0)") / below).cast("long")
-    known = (num > 0) & (den > 0) & pts.isNotNull()
+    whole = ((units - rest) / below).cast("decimal(30,0)")
+    parts = rest.cast("decimal(10,0)") * F.lit(str(10**20)).cast("decimal(21,0)")
+    part = ((parts - F.pmod(parts, below)) / below).cast("decimal(21,0)")
+    known = (num > 0) & (den > 0) & pts.isNotNull() & whole.isNotNull()
     return F.when(known, F.struct(whole.alias("whole"), part.alias("part")))
 
 

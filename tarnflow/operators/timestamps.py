@@ -9,11 +9,23 @@ from tarnflow.operators.scan import numbered
 
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column | int, to_den: Column | int) -> Column:
-    """``pts`` in another base, to the nearest whole number, halves to even; null for a base of 0 or less."""
+    """``pts`` in another base, to the nearest whole number, halves to even.
+
+    Exact: the whole part and what is left of it are whole numbers of up to 38 digits.  Null for a base
+    of 0 or less on either side, and where a product or the result has no room.
+    """
     to = [F.lit(x) if isinstance(x, int) else x for x in (to_num, to_den)]
-    top = pts.cast("decimal(20,0)") * (num * to[1]).cast("decimal(12,0)")
-    low = (den * to[0]).cast("decimal(12,0)")
-    return F.when((num > 0) & (den > 0), F.bround((top / low).cast("decimal(38,9)"), 0).cast("long"))
+    wide = [c.cast("decimal(19,0)") for c in (num, den, *to)]
+    # what cannot be multiplied exactly is null, not rounded
+    top = F.try_multiply(F.try_multiply(wide[0], wide[3]).try_cast("decimal(38,0)"), pts.cast("decimal(19,0)")).try_cast("decimal(38,0)")
+    low = F.try_multiply(wide[1], wide[2]).try_cast("decimal(38,0)")
+    rest = F.pmod(top, low)
+    whole = F.try_divide(top - rest, low).try_cast("decimal(38,0)")
+    # twice the rest may have no room, so the rest is held against what is missing
+    above = low - rest
+    up = (rest > above) | ((rest == above) & (F.pmod(whole, F.lit(2)) == 1))
+    known = (num > 0) & (den > 0) & (to[0] > 0) & (to[1] > 0)
+    return F.when(known, (whole + F.when(up, 1).otherwise(0)).try_cast("long"))
 
 
 def session_base(num: Column, den: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> Column:

@@ -216,33 +216,30 @@ def packets_of() -> Delayed:
 @query(
     "decode_frames",
     """WITH RECURSIVE {ev}, p AS (SELECT stream_id, seq, k, seq // 9 AS key, k % 2 = 0 AS keyframe, event_type IN ('error', 'purchase') AS broken, k * 10 AS pts,
-         CASE WHEN k % 5 = 0 THEN 40 ELSE 25 END AS den FROM ev),
+         CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 THEN 40 ELSE 25 END AS den FROM ev),
        r AS (
-         SELECT DISTINCT stream_id, -1::BIGINT AS seq, NULL::BIGINT AS key, -1::BIGINT AS session, false AS waits, NULL::BIGINT AS base, NULL::BIGINT AS hseq, 0::BIGINT AS hn, NULL::BIGINT AS hpts,
-                NULL::BIGINT AS f_at, NULL::BIGINT AS f_seq, 0::BIGINT AS f_n, NULL::BIGINT AS f_pts, NULL::BIGINT AS f_session, NULL::BIGINT AS f_base,
-                NULL::BIGINT AS o_seq, 0::BIGINT AS o_n, NULL::BIGINT AS o_pts FROM p
+         SELECT DISTINCT stream_id, -1::BIGINT AS seq, NULL::BIGINT AS key, -1::BIGINT AS session, false AS waits, false AS known, NULL::BIGINT AS base,
+                NULL::BIGINT AS hseq, 0::BIGINT AS hn, NULL::BIGINT AS hpts, NULL::BIGINT AS o_seq, 0::BIGINT AS o_n, NULL::BIGINT AS o_pts FROM p
          UNION ALL
-         SELECT p.stream_id, p.seq, p.key, s.session, CASE WHEN s.skip THEN true ELSE p.broken END, CASE WHEN s.skip OR p.broken THEN s.base ELSE coalesce(s.base, p.den) END,
+         SELECT p.stream_id, p.seq, p.key, s.session, CASE WHEN s.skip THEN true ELSE p.broken END, NOT (s.skip OR p.broken), CASE WHEN NOT (s.skip OR p.broken) THEN b.base END,
                 CASE WHEN s.skip OR p.broken THEN NULL ELSE p.seq END, CASE WHEN s.skip OR p.broken THEN 0 ELSE p.k % 3 END,
-                CASE WHEN s.skip OR p.broken THEN NULL ELSE round_even(p.pts * coalesce(s.base, p.den)::DOUBLE / p.den, 0)::BIGINT END,
-                r.seq, r.hseq, CASE WHEN s.changed THEN r.hn ELSE 0 END, r.hpts, r.session, r.base,
-                s.hseq, CASE WHEN s.skip OR p.broken THEN 0 ELSE s.hn END, s.hpts
+                CASE WHEN s.skip OR p.broken THEN NULL WHEN p.den IS NULL OR b.base IS NULL THEN p.pts ELSE round_even(p.pts * b.base::DOUBLE / p.den, 0)::BIGINT END,
+                r.hseq, CASE WHEN s.skip OR p.broken OR NOT s.known THEN 0 ELSE r.hn END, r.hpts
          FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1,
               LATERAL (SELECT r.key IS DISTINCT FROM p.key AS changed) c,
-              LATERAL (SELECT c.changed, r.session + CASE WHEN c.changed THEN 1 ELSE 0 END AS session, CASE WHEN c.changed THEN NULL ELSE r.base END AS base,
-                              CASE WHEN c.changed THEN 0 ELSE r.hn END AS hn, r.hseq, r.hpts,
-                              CASE WHEN c.changed THEN r.key IS NOT NULL ELSE r.waits END AND NOT p.keyframe AS skip) s),
-       e AS (SELECT stream_id, f_at AS seq, f_session AS session, f_seq AS hseq, f_n AS n, f_pts AS pts, f_base AS den FROM r WHERE f_n > 0
-             UNION ALL SELECT stream_id, seq, session, o_seq, o_n, o_pts, base FROM r WHERE o_n > 0
+              LATERAL (SELECT r.session + CASE WHEN c.changed THEN 1 ELSE 0 END AS session, r.known AND NOT c.changed AS known,
+                              CASE WHEN c.changed THEN r.key IS NOT NULL ELSE r.waits END AND NOT p.keyframe AS skip) s,
+              LATERAL (SELECT CASE WHEN s.known THEN r.base ELSE p.den END AS base) b),
+       e AS (SELECT stream_id, seq, session, o_seq AS hseq, o_n AS n, o_pts AS pts, base AS den FROM r WHERE o_n > 0
              UNION ALL SELECT stream_id, seq, session, hseq, hn, hpts, base FROM r WHERE hn > 0 AND seq = (SELECT max(seq) FROM p WHERE p.stream_id = r.stream_id))
-       SELECT stream_id, seq, session, 'f' || hseq || '.' || unnest(range(n)) AS frame, pts, 1::BIGINT AS num, den FROM e""",
+       SELECT stream_id, seq, session, 'f' || hseq || '.' || unnest(range(n)) AS frame, pts, CASE WHEN den IS NOT NULL THEN 1 END::BIGINT AS num, den FROM e""",
 )
 def decode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     given = F.create_map(*[F.lit(x) for x in ("view", "h264", "click", "HEVC", "signup", "h265", "purchase", "vp9", "error", "h264")])
     rows = event_stream(spark, sf_dir).select(
         "stream_id", "seq", "k", F.floor(F.col("seq") / 9).alias("key"), F.try_element_at(given, F.col("event_type")).alias("codec"), (k % 2 == 0).alias("keyframe"),
-        IS("error").alias("failed"), (k * 10).alias("pts"), F.lit(1).alias("num"), F.when(k % 5 == 0, 40).otherwise(25).alias("den"),
+        IS("error").alias("failed"), (k * 10).alias("pts"), F.when(k % 7 > 0, 1).alias("num"), F.when(k % 7 == 0, None).when(k % 5 == 0, 40).otherwise(25).alias("den"),
     )
     return codec.decode(rows, frames_of)
 
@@ -447,7 +444,7 @@ def encoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "encoded_bytes_nested",
     """WITH {ev} SELECT stream_id, seq, CASE k % 5 WHEN 0 THEN hex(k::UTINYINT::INT) WHEN 1 THEN '0102' WHEN 2 THEN '07' WHEN 3 THEN NULL ELSE '' END AS bytes
-       FROM (SELECT stream_id, seq, k FROM ev WHERE k > 15)""".replace("hex(k::UTINYINT::INT)", "printf('%02X%02X', k::INT, k::INT)"),
+       FROM ev""".replace("hex(k::UTINYINT::INT)", "printf('%02X%02X', k::INT, k::INT)"),
 )
 def encoded_bytes_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
@@ -455,7 +452,7 @@ def encoded_bytes_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(k % 5 == 0, own).when(k % 5 == 1, '[{"n": "a"}, {"data": null, "z": [1, 2]}]').when(k % 5 == 2, '{"bitstream": "no", "other": [[], 5], "payload": [7]}')
     answer = answer.when(k % 5 == 3, '{"data": "no", "n": 1.5}').otherwise("[]")
     found = F.hex(tensors.encoded_bytes(answer))
-    return event_stream(spark, sf_dir).where(k > 15).select("stream_id", "seq", found.alias("bytes"))
+    return event_stream(spark, sf_dir).select("stream_id", "seq", found.alias("bytes"))
 
 
 @query(

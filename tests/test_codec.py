@@ -90,11 +90,22 @@ def test_decoder_sessions():
     row = lambda seq, **x: {"seq": seq, "key": 0, "codec": "h264", "keyframe": False, "failed": False, "pts": seq * 10, "num": 1, "den": 40, **x}
     rows = [row(0), row(1, den=25), row(2, failed=True), row(3), row(4, keyframe=True), row(5, key=1, keyframe=True, codec="HEVC"), row(6, key=1), row(7, key=1, codec="vp9", keyframe=True)]
     out = run(machine, rows)
-    # 10 at 1/25 is 16 at 1/40; what is held goes with a failure, and comes out where a session ends
-    assert [(s, session, f, pts) for s, session, f, pts, _, _ in out] == [(1, 0, "f0", 0), (4, 0, "f4", 40), (6, 1, "f5", 50)]
+    # what is held goes with a failure and with a change of the stream
+    assert [(s, session, f, pts) for s, session, f, pts, _, _ in out] == [(1, 0, "f0", 0), (6, 1, "f5", 50)]
     assert codec.CODECS["h265"] == "hevc"
 
 
+def test_decoder_bases():
+    straight = Decoder(lambda: Held(0, lambda r: [(f"f{r['seq']}", r["pts"])]))
+    row = lambda seq, pts, den, **x: {"seq": seq, "key": 0, "codec": "h264", "keyframe": True, "failed": False, "pts": pts, "num": None if den is None else 1, "den": den, **x}
+    # 10 at 1/25 is 16 at 1/40; a failure forgets the base, so 100 at 1/50 stays
+    out = run(straight, [row(0, 0, 40), row(1, 10, 25), row(2, 1, 25, failed=True), row(3, 100, 50), row(4, 1, 25)])
+    assert [(f, pts, den) for _, _, f, pts, _, den in out] == [("f0", 0, 40), ("f1", 16, 40), ("f3", 100, 50), ("f4", 2, 50)]
+    # without a base times stay as they are; a base of 0 is a failure, after which the next packet's is the session's
+    out = run(straight, [row(0, 7, None), row(1, 10, 25), row(2, 5, 0), row(3, 8, 10), row(4, 9, None), row(5, None, 10)])
+    assert [(f, pts, den) for _, _, f, pts, _, den in out] == [("f0", 7, None), ("f1", 10, None), ("f3", 8, 10), ("f4", 9, 10), ("f5", None, 10)]
+
+
 def outcomes(limit, rows):
     step, state, out = replay.deadline(limit), None, []
     for row in rows:

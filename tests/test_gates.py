@@ -94,6 +94,30 @@ def test_rescale_halves_to_even(spark):
     assert {r.p: r.r for r in out} == {5: 0, 15: 2, -5: 0}
 
 
+def test_rescale_is_exact(spark):
+    """Bases whose quotients come close to a half, large ones, and numbers with no room."""
+    from fractions import Fraction
+
+    rng = random.Random(4)
+    rows = [(i, 1, 2_000_003, 1, 1_000_001) for i in range(1, 4000, 3)] + [(10**12 + i, 1, 10_000_000, 1001, 30_000) for i in range(300)]
+    rows += [(rng.randrange(-(2**62), 2**62), 1, 10**9, 1, 90_000) for _ in range(300)] + [(-15, 1, 10, 1, 1), (25, 1, 10, 1, 1), (7, 3, 2**31 - 1, 1, 2**31 - 1)]
+    df = frame(spark, [(i, *r) for i, r in enumerate(rows)], "i int, p long, n int, d int, tn int, td int")
+    out = {r.i: r.r for r in df.select("i", timestamps.rescale(F.col("p"), F.col("n"), F.col("d"), F.col("tn"), F.col("td")).alias("r")).collect()}
+    for i, (p, n, d, tn, td) in enumerate(rows):
+        want = round(Fraction(p * n, d) / Fraction(tn, td))
+        assert out[i] == (want if -(2**63) <= want < 2**63 else None), rows[i]
+    odd = frame(spark, [(2**62, 2**62, 1, 1, 2**62), (5, 0, 1, 1, 1), (5, 1, 1, 0, 1), (2**62, 1, 1, 1, 90_000)], "p long, n long, d long, tn long, td long")
+    assert [r.r for r in odd.select(timestamps.rescale(*map(F.col, ("p", "n", "d", "tn", "td"))).alias("r")).collect()] == [None] * 4
+
+
+def test_seconds_of_large_bases(spark):
+    rows = [(2, 2**31 - 1, 2**31 - 2), (2, 2**31, 2**31 - 1), (1, 10**12, 1), (1, 1, 10**12)]
+    df = frame(spark, rows, "p long, n long, d long")
+    got = df.select(gating.seconds(F.col("p"), F.col("n"), F.col("d")).alias("s")).collect()
+    # 2 + 2/(2^31-2) is more than 2 + 2/(2^31-1)
+    assert tuple(got[0].s) > tuple(got[1].s) and got[2].s is None and got[3].s is None
+
+
 def test_valid_times(spark):
     rows = [(None, 90000, 1), (5, 0, 1), (5, 90000, -1), (9000, 90000, 3000), (9, 90000, None)]
     df = frame(spark, rows, "pts long, den long, dur long")
