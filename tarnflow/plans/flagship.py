@@ -27,7 +27,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipeline = (
         Pipeline("flagship")
         .step(DropFrames(2))
-        .step(EveryNFrames({"value": "value * 2"}, 3))
+        .step(EveryNFrames({"value": "value * 2"}, interval_frames=3))
         .step(gate)
         .step(means)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators import batching, codec, gating, inference, publish, recovery, replay, sampling, tensors, timestamps
+from tarnflow.plans.pipeline import Apply, Change, EveryNFrames, Pipeline
 from tarnflow.plans.registry import query
 from tarnflow.sources import packets
 from tarnflow.sources.tables import event_stream
@@ -587,6 +588,25 @@ def drop_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.without_dropped(rows).select("stream_id", "seq", "v")
 
 
+@query(
+    "nested_steps",
+    """WITH {ev} SELECT stream_id, seq, CASE WHEN seq % 2 > 0 OR k % 5 = 0 THEN k WHEN event_type = 'error' THEN k + 1 WHEN k % 4 = 1 THEN 10 * (k + 1) ELSE 10 * (k + 1) - 3 END AS v
+       FROM ev WHERE seq % 2 > 0 OR k % 5 = 0 OR event_type = 'error' OR k % 7 > 0""",
+)
+def nested_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every second row: a step that fails at some rows, one that fails at others and drops some, one that gives some rows twice or not at all."""
+
+    def careless(df: DataFrame) -> DataFrame:
+        copies = F.array_repeat(F.lit(1), F.when(F.col("k") % 4 == 1, F.col("k") % 3 * 2).otherwise(1).cast("int"))
+        return df.withColumn("v", F.col("v") - 3).withColumn("copy", F.explode(copies)).drop("copy")
+
+    chain = EveryNFrames(
+        Change({"v": "v + 1"}, fails="k % 5 = 0"), Change({"v": "v * 10"}, fails="event_type = 'error'", drops="k % 7 = 0"), Apply(careless), interval_frames=2
+    )
+    rows = event_stream(spark, sf_dir).withColumn("v", F.col("k"))
+    return Pipeline("nested").step(chain).run(rows).select("stream_id", "seq", "v")
+
+
 @query(
     "pass_through_on_error",
     "WITH {ev} SELECT stream_id, seq, CASE WHEN event_type <> 'error' THEN value * 10 END AS model_output, value FROM ev",

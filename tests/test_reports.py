@@ -94,7 +94,7 @@ def test_pipeline_sections_and_reload(spark):
     once = RunOnce(Apply(lambda d: d.withColumn("value", F.col("value") - 1)))
     again = RunOnce(Apply(lambda d: d.withColumn("value", -F.col("value"))), fails="value < 2")
     assert sorted(r.value for r in again.apply(df).collect()) == [-2, 0, 1, 3, 4, 5]
-    pipeline = Pipeline("p", {"DropFrames": {"keep_every": 2}}).step(DropFrames(1)).step(EveryNFrames({"value": "value * 10"}, 2)).step(once)
+    pipeline = Pipeline("p", {"DropFrames": {"keep_every": 2}}).step(DropFrames(1)).step(EveryNFrames({"value": "value * 10"}, interval_frames=2)).step(once)
     assert sorted(r.value for r in pipeline.run(df).collect()) == [-1, 2, 40]
     assert not pipeline.reload({"DropFrames": {"no_such": 1}}) and pipeline.steps[0].settings == {"keep_every": 2}
     assert pipeline.reload({}) and pipeline.steps[0].settings == {"keep_every": 1}
