@@ -110,10 +110,15 @@ class Apply(Step):
 
 
 class DropFrames(Step):
-    def __init__(self, keep_every: int = 1) -> None:
+    """Every ``keep_every``-th row; ``index`` is a column that numbers a stream's rows where a table has only some of them."""
+
+    def __init__(self, keep_every: int = 1, index: str | None = None) -> None:
         super().__init__(keep_every=keep_every)
+        self.index = index
 
     def apply(self, df: DataFrame) -> DataFrame:
+        if self.index is not None:
+            return df.where(F.col(self.index) % self.settings["keep_every"] == 0)
         return drop_frames(df, self.settings["keep_every"], slices="slice" if "slice" in df.columns else None)
 
 
@@ -122,13 +127,15 @@ class EveryNFrames(Step):
 
     Each row must come out of each inner step once.  One that does not, or at which a step fails, goes on as
     the steps before have left it; one that a step drops is gone, and later steps do not see it.  Columns
-    given as a mapping to SQL are a step of their own.
+    given as a mapping to SQL are a step of their own.  ``index`` is a column that numbers a stream's rows, where a
+    table has only some of them, as a micro-batch has: the place counts all rows, whatever the interval was before.
     """
 
-    def __init__(self, *steps: Step | Mapping[str, str], interval_frames: int = 1) -> None:
+    def __init__(self, *steps: Step | Mapping[str, str], interval_frames: int = 1, index: str | None = None) -> None:
         if not steps:
             raise TypeError("EveryNFrames wants a step")
         super().__init__(interval_frames=interval_frames)
+        self.index = index
         self.steps = tuple(Change(x) if isinstance(x, Mapping) else x for x in steps)
         if any(not isinstance(x, Step) for x in self.steps):
             raise TypeError("EveryNFrames takes steps")
@@ -141,7 +148,8 @@ class EveryNFrames(Step):
 
     def apply(self, df: DataFrame) -> DataFrame:
         slices = "slice" if "slice" in df.columns else None
-        rows = numbered(df, "__at", slices=slices).withColumns({ALIVE: F.col("__at") % self.settings["interval_frames"] == 0, GONE: F.lit(False)}).drop("__at")
+        placed = df.withColumn("__at", F.col(self.index)) if self.index else numbered(df, "__at", slices=slices)
+        rows = placed.withColumns({ALIVE: F.col("__at") % self.settings["interval_frames"] == 0, GONE: F.lit(False)}).drop("__at")
         for step in self.steps:
             rows = step.within(rows)
         return rows.where(f"not {GONE}").drop(ALIVE, GONE)
