@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,75 +46,92 @@ def flatten_outputs(outputs: Column) -> Column:
     return F.map_from_entries(F.flatten(inner))
 
 
-def _leaves(outputs: Any) -> dict[str, str]:
-    """Names and values of a model's outputs of any depth; containers wait in a queue, in order."""
-    found: dict[str, str] = {}
-    waiting = [("", outputs)]
-    while waiting:
-        path, value = waiting.pop(0)
-        if isinstance(value, (dict, list)):
-            if not value:
-                raise ValueError(f"empty container at {path or 'the top'}")
-            named = value.items() if isinstance(value, dict) else ((f"output{i}", v) for i, v in enumerate(value))
-            children = [(f"{path}/{name}" if path else name, name, v) for name, v in named]
-            if any(not name.strip() for _, name, _ in children):
-                raise ValueError(f"blank name under {path or 'the top'}")
-            waiting = [(full, v) for full, _, v in children] + waiting
-        elif value is None:
-            raise ValueError(f"no tensor at {path or 'the top'}")
-        else:
-            name = path or "output0"
-            if name in found:
-                raise ValueError(f"two outputs named {name}")
-            found[name] = value if isinstance(value, str) else json.dumps(value)
-    return found
-
-
-def normalize_outputs(outputs: Column) -> Column:
-    """Outputs in JSON, in which what is no container stands for a tensor, as (``outputs``: name to tensor, ``error``).
+#: Levels of containers in JSON that are looked into.
+DEPTH = 12
 
-    A lone tensor is ``output0``, the i-th of a list ``output<i>``, and names of levels are joined by
-    ``/``.  Empty containers, blank names, names that come twice, nulls and text that is not JSON are errors.
-    """
 
-    def one(text: str | None) -> dict[str, Any]:
-        try:
-            return {"outputs": _leaves(json.loads(text or "null")), "error": None}
-        except ValueError as e:
-            return {"outputs": None, "error": "not JSON" if isinstance(e, json.JSONDecodeError) else str(e)}
+def _inside(v: Column) -> Column:
+    """(``name``, ``v``) of what a JSON container holds: a list by place, a map by name; null for anything else."""
+    items, fields = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
+    listed = F.transform(items, lambda x, i: F.struct(F.concat(F.lit("output"), i.cast("string")).alias("name"), x.alias("v")))
+    named = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("v")))
+    return F.coalesce(listed, named)
+
+
+def _place(path: Column) -> Column:
+    return F.when(path == "", "the top").otherwise(path)
+
+
+def _deeper(entry: Column) -> Column:
+    """What takes the place of an entry (``path``, ``v``, ``fault``, ``open``) one level further down."""
+    made = lambda path, v, fault, goes_on: F.struct(path.alias("path"), v.alias("v"), fault.cast("string").alias("fault"), goes_on.alias("open"))
+    path, v, inside = entry["path"], entry["v"], _inside(entry["v"])
+
+    def child(c: Column) -> Column:
+        blank = F.trim(c["name"]) == ""
+        full = F.when(path == "", c["name"]).otherwise(F.concat_ws("/", path, c["name"]))
+        return made(full, c["v"], F.when(blank, F.concat(F.lit("blank name under "), _place(path))), ~blank)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["outputs", "error"])
+    nothing = F.when(F.is_variant_null(v), F.concat(F.lit("no tensor at "), _place(path)))
+    leaf = F.array(made(F.when(path == "", "output0").otherwise(path), v, nothing, F.lit(False)))
+    empty = F.array(made(path, v, F.concat(F.lit("empty container at "), _place(path)), F.lit(False)))
+    return F.when(inside.isNull(), leaf).when(F.size(inside) == 0, empty).otherwise(F.transform(inside, child))
 
-    return F.pandas_udf(run, "outputs map<string,string>, error string")(outputs)
+
+def normalize_outputs(df: DataFrame, name: str, outputs: Column) -> DataFrame:
+    """``df`` with ``outputs`` in JSON, in which what is no container stands for a tensor, as ``name``: (``outputs``: name to tensor, ``error``).
+
+    A lone tensor is ``output0``, the i-th of a list ``output<i>``, and names of levels are joined by
+    ``/``.  Empty containers, blank names, names that come twice, nulls, text that is not JSON (a key that comes
+    twice in a map is not) and more than ``DEPTH`` levels are errors; of several, the first by place and name.
+    """
+    root, entries = F.col("__root"), F.col("__at")
+    first = F.struct(F.lit("").alias("path"), root.alias("v"), F.lit(None).cast("string").alias("fault"), F.lit(True).alias("open"))
+    rows = df.withColumn("__root", F.try_parse_json(F.coalesce(outputs, F.lit("null")))).withColumn("__at", F.array(first))
+    for _ in range(DEPTH + 1):
+        # a level is a projection of its own, and leaves rows without containers as they are
+        down = F.flatten(F.transform(entries, lambda e: F.when(e["open"], _deeper(e)).otherwise(F.array(e))))
+        rows = rows.withColumn("__at", F.when(F.exists(entries, lambda e: e["open"]), down).otherwise(entries))
+    faults = F.transform(entries, lambda e: F.coalesce(e["fault"], F.when(e["open"], F.concat(F.lit(f"more than {DEPTH} levels at "), e["path"]))))
+    names = F.transform(entries, lambda e: e["path"])
+    twice = F.get(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1), F.lit(0))
+    error = F.coalesce(F.get(F.array_compact(faults), F.lit(0)), F.when(twice.isNotNull(), F.concat(F.lit("two outputs named "), twice)))
+    error = F.when(root.isNull(), "not JSON").otherwise(error)
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    found = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["path"].alias("k"), text(e["v"]).alias("t"))))
+    return rows.withColumn(name, F.struct(F.when(error.isNull(), found).alias("outputs"), error.alias("error"))).drop("__root", "__at")
 
 
 #: Keys under which an encoder's answer has its bytes, the first that has any.
 BYTE_KEYS = ("bitstream", "data", "packet", "encoded_data", "payload")
 
 
-def _bytes_in(answer: Any) -> bytes | None:
-    if isinstance(answer, list) and all(isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 256 for x in answer):
-        return bytes(answer)
-    if isinstance(answer, dict):
-        preferred = [answer[k] for k in BYTE_KEYS if k in answer]
-        inside = [*preferred, *answer.values()]
-    else:
-        inside = answer if isinstance(answer, list) else []
-    return next((b for b in map(_bytes_in, inside) if b is not None), None)
+def _as_bytes(v: Column) -> Column:
+    """The numbers of a list of bytes, null for anything else."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    number = lambda x: F.when(F.schema_of_variant(x) == "BIGINT", F.try_variant_get(x, "$", "bigint"))
+    return F.when(F.forall(items, lambda x: F.coalesce(number(x).between(0, 255), F.lit(False))), F.transform(items, number))
 
 
-def encoded_bytes(answer: Column) -> Column:
-    """The bytes in an encoder's answer in JSON: a list of bytes, or the first such list in it, looking under the
-    preferred keys of a map first; null if there is none."""
+def encoded_bytes(df: DataFrame, name: str, answer: Column) -> DataFrame:
+    """``df`` with the bytes in an encoder's answer in JSON as ``name``: a list of bytes, or the first such list in it; null if there is none.
+
+    Of a map the preferred keys come first, then all by name; ``DEPTH`` levels are looked into.
+    """
+
+    def inside(v: Column) -> Column:
+        fields = F.try_variant_get(v, "$", "map<string,variant>")
+        preferred = F.filter(F.array(*[F.try_element_at(fields, F.lit(k)) for k in BYTE_KEYS]), lambda x: x.isNotNull())
+        listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.concat(preferred, F.map_values(fields)))
+        return F.coalesce(listed, F.array().cast("array<variant>"))
 
-    def one(text: str | None) -> bytes | None:
-        try:
-            return _bytes_in(json.loads(text or "null"))
-        except ValueError:
-            return None
+    found, rows = F.col("__at"), df.withColumn("__at", F.array(F.try_parse_json(answer)))
+    for _ in range(DEPTH):
+        # a level is a projection of its own
+        rows = rows.withColumn("__at", F.flatten(F.transform(found, lambda v: F.when(_as_bytes(v).isNotNull(), F.array(v)).otherwise(inside(v)))))
+    first = F.get(F.filter(F.transform(found, _as_bytes), lambda b: b.isNotNull()), F.lit(0))
+    return rows.withColumn(name, F.unhex(F.array_join(F.transform(first, lambda b: F.lpad(F.hex(b), 2, "0")), ""))).drop("__at")
 
-    return F.pandas_udf(lambda texts: texts.map(one).astype(object), "binary")(answer)
 
 
 def engine_payload(file: Column, most: int = 1 << 20) -> Column:

@@ -452,8 +452,8 @@ def encoded_bytes_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat(F.lit('{"x": [9], "packet": {"y": "no", "payload": ['), k, F.lit(","), k, F.lit("]}}"))
     answer = F.when(k % 5 == 0, own).when(k % 5 == 1, '[{"n": "a"}, {"data": null, "z": [1, 2]}]').when(k % 5 == 2, '{"bitstream": "no", "other": [[], 5], "payload": [7]}')
     answer = answer.when(k % 5 == 3, '{"data": "no", "n": 1.5}').otherwise("[]")
-    found = F.hex(tensors.encoded_bytes(answer))
-    return event_stream(spark, sf_dir).select("stream_id", "seq", found.alias("bytes"))
+    rows = tensors.encoded_bytes(event_stream(spark, sf_dir), "bytes", answer)
+    return rows.select("stream_id", "seq", F.hex("bytes").alias("bytes"))
 
 
 @query(

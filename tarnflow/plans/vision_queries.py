@@ -371,7 +371,7 @@ def normalize_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"a": {"b": "t1"}, "a/b": "t2"}'), F.lit('{"x": {}, "y": "t1"}'), F.lit('{" ": "t1"}'),
     ]
     given = F.get(F.array(*cases), (k % 6).cast("int"))
-    rows = event_stream(spark, sf_dir).select("stream_id", "seq", tensors.normalize_outputs(given).alias("o"))
+    rows = tensors.normalize_outputs(event_stream(spark, sf_dir), "o", given)
     return rows.select("stream_id", "seq", F.explode_outer("o.outputs").alias("name", "tensor"), F.col("o.error").alias("error"))
 
 

@@ -106,14 +106,8 @@ class PreProcess(Checked):
     def apply(self, df: DataFrame) -> DataFrame:
         if "pixels" in df.columns:
             return images.prepare(df, self.settings)
-        s = self.settings
-        cropped = s["resize_mode"] == "resize_center_crop"
-        mode = "center_crop" if cropped else s["resize_mode"]
-        found = vision.letterbox(
-            F.col("height"), F.col("width"), *s["size"], mode=mode, crop=tuple(s["crop_size"] or s["size"]) if cropped else None,
-            scaleup=s["scaleup"], center=s["center"], auto=s["auto"], stride=s["stride"],
-        )
-        return df.withColumn("transform", F.struct(*[c.alias(n) for n, c in found.items()]))
+        found = images.geometry(self.settings)
+        return df.withColumn("transform", F.struct(*[found[n].alias(n) for n in ("ratio_y", "ratio_x", "new_h", "new_w", "top", "left")]))
 
 
 class Inference(Checked):

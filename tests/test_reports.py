@@ -180,11 +180,30 @@ def test_color_and_paint(spark):
 def test_model_outputs(spark):
     cases = ['"t"', '["a", {"x": "b"}]', '{"o": {"p": ["a", "b"]}, "q": 3}', "[]", '{"": "a"}', '{"a": null}', "{", None, '{"a/b": "x", "a": {"b": "y"}}']
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, c string")
-    got = [(r.o.outputs, r.o.error) for r in df.select("i", tensors.normalize_outputs(F.col("c")).alias("o")).orderBy("i").collect()]
+    got = [(r.o.outputs, r.o.error) for r in tensors.normalize_outputs(df, "o", F.col("c")).orderBy("i").collect()]
     assert got[:3] == [({"output0": "t"}, None), ({"output0": "a", "output1/x": "b"}, None), ({"o/p/output0": "a", "o/p/output1": "b", "q": "3"}, None)]
     assert all(outputs is None and error for outputs, error in got[3:])
 
 
+def test_deep_json_ends_no_job(spark):
+    deep = lambda n, core="5": "[" * n + core + "]" * n
+    cases = [deep(3), deep(tensors.DEPTH), deep(tensors.DEPTH + 1), deep(900), deep(3000), deep(200_000), '{"x": ' * 500 + "1" + "}" * 500]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, c string")
+    rows = tensors.encoded_bytes(tensors.normalize_outputs(df, "o", F.col("c")), "b", F.col("c"))
+    got = rows.withColumn("p", logs.safe_payload(F.col("c"))).orderBy("i").collect()
+    assert got[0].o.outputs == {"output0/output0/output0": "5"} and [len(r.o.outputs or {}) for r in got] == [1, 1, 0, 0, 0, 0, 0]
+    assert [r.o.error.split(" at ")[0] for r in got[2:4]] == [f"more than {tensors.DEPTH} levels"] * 2 and got[4].o.error == "not JSON"
+    assert [None if r.b is None else bytes(r.b) for r in got] == [b"\x05", b"\x05", b"\x05", None, None, None, None]
+    assert all(r.p for r in got) and "MapInArrow" not in (plan := rows._jdf.queryExecution().toString()) and "ArrowEvalPython" not in plan
+
+
+def test_bytes_of_answers(spark):
+    cases = ['[1, 255]', "[1, 256]", "[1, true]", "[1.0]", "[]", '{"z": [1], "payload": [2], "data": "x", "packet": {"y": [3]}}', '[{"n": 1}, [[4], 5]]', '{"b": [6], "a": [7]}', '"[1]"', "7", None, "{"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, c string")
+    got = [None if r.b is None else list(r.b) for r in tensors.encoded_bytes(df, "b", F.col("c")).orderBy("i").collect()]
+    assert got == [[1, 255], None, None, None, [], [3], [4], [7], None, None, None, None]
+
+
 def test_tree_depths(spark):
     nodes = [(0, None), (1, 0), (2, 1), (3, 2), (4, 3), (9, 8), (5, 6), (6, 7), (7, 5), (4, 3), (None, 1), (8, 77)]
     df = spark.createDataFrame(nodes, "id long, parent long")

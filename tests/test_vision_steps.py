@@ -111,17 +111,28 @@ def test_geometry_of_pixels_and_columns(spark, options, want):
 
 def test_padding_and_cut():
     image = np.arange(96, dtype=float).reshape(3, 4, 8)
-    options = PreProcess(size=(6, 8), padding_value=(1, 2, 3)).settings
-    out, how = images.fit(image, options)
-    assert out.shape == (3, 6, 8) and how["top"] == 1 and np.array_equal(out[:, 1:5], image)
+    out = images.place(image, {"new_h": 4, "new_w": 8, "top": 1, "left": 0}, (6, 8), (1, 2, 3))
+    assert out.shape == (3, 6, 8) and np.array_equal(out[:, 1:5], image)
     assert np.array_equal(out[:, [0, 5]], np.broadcast_to(np.array([1.0, 2, 3])[:, None, None], (3, 2, 8)))
-    cut, _ = images.fit(image, PreProcess(size=(4, 4), resize_mode="resize_center_crop").settings)
+    cut = images.place(image, {"new_h": 4, "new_w": 8, "top": 0, "left": -2}, (4, 4))
     assert np.array_equal(cut, image[:, :, 2:6])
 
 
+def test_prepared_pixels(spark):
+    """The same by the step: padded above and below, and cut on both sides."""
+    df = spark.createDataFrame([(4, 8, bytearray(range(96)))], "height int, width int, pixels binary")
+    image = np.arange(96, dtype=float).reshape(4, 8, 3).transpose(2, 0, 1)
+    plain = {"scale": 1.0}
+    row = PreProcess(size=(6, 8), padding_value=7, **plain).apply(df).first()
+    got = np.array(row.model_input[""]).reshape(row.input_shape)[0]
+    assert np.array_equal(got[:, 1:5], image) and (got[:, [0, 5]] == 7).all()
+    row = PreProcess(size=(4, 4), resize_mode="resize_center_crop", **plain).apply(df).first()
+    assert np.array_equal(np.array(row.model_input[""]).reshape(row.input_shape)[0], image[:, :, 2:6])
+
+
 def test_bilinear_by_points():
     image = np.random.default_rng(0).random((1, 5, 7))
-    out = images.resize(image, 8, 3)
+    out = images.place(np.repeat(image, 3, axis=0), {"new_h": 8, "new_w": 3, "top": 0, "left": 0}, (8, 3))
     for y in range(8):
         for x in range(3):
             sy, sx = (min(max((i + 0.5) * n / m - 0.5, 0), n - 1) for i, n, m in ((y, 5, 8), (x, 7, 3)))
