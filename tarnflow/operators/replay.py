@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tarnflow.operators.scan import count, scan, top
+
 Row = dict[str, Any]
 Step = Callable[[Any, Row], tuple[Any, list[tuple]]]
 Finish = Callable[[Any], list[tuple]]
@@ -52,6 +55,24 @@ def replay(
     return df.repartition(stream).sortWithinPartitions(stream, *order).mapInArrow(run, out)
 
 
+def replay_runs(
+    df: DataFrame, step: Step, schema: str, ends: Column, *, start: Callable[[], Any], stream: str = "stream_id", at: str = "at_us", order: tuple[str, ...] = ("seq",), slices: str | None = None
+) -> DataFrame:
+    """``replay`` for steps whose state is as at the start once all that earlier rows began has ended: the parts of one
+    stream between such gaps are run through apart, so a stream is as many tasks as it has gaps.
+
+    ``ends`` is when what a row may begin has ended at the latest; ``order`` must go with ``at``.  A row at or after the
+    ends of all before it begins a part.
+    """
+    how = {"keys": (stream,), "order": order, "slices": slices}
+    rows = scan(df, {"__busy": top(ends)}, **how, own=False)
+    begins = F.col("__busy").isNull() | (F.col(at) >= F.col("__busy"))
+    rows = scan(rows.withColumn("__begins", begins), {"__part": count(F.col("__begins"))}, **how)
+    keyed = rows.withColumn("__run", F.struct(F.col(stream).alias("stream"), "__part")).drop("__busy", "__begins", "__part")
+    found = replay(keyed, step, schema, start=start, stream="__run", order=order)
+    return found.select(F.col("__run.stream").alias(stream), *[c for c in found.columns if c != "__run"])
+
+
 def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from tarnflow.operators.replay import Row, replay
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def clamp(x: Column, low: float, high: Column | float) -> Column:
@@ -125,26 +124,77 @@ def top_k(df: DataFrame, k: int, *, frame: str = "frame_id", score: str = "conf"
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def suppress(df: DataFrame, iou: float, max_det: int = 300, *, frame: str = "frame_id", tie: str = "cand_ix") -> DataFrame:
-    """Boxes kept by greedy suppression within a class: best first, none overlaps a kept one by more than ``iou``."""
+#: Boxes of a frame that are held against one another at once.
+BOXES = 512
+
+
+class _Frame:
+    """The boxes of a frame that stay, best first, as they come in blocks."""
+
+    def __init__(self, iou: float, most: int) -> None:
+        self.iou, self.most = iou, most
+        self.boxes, self.classes = np.zeros((0, 4)), np.zeros(0, np.int64)
+
+    def _over(self, a: np.ndarray, a_class: np.ndarray, b: np.ndarray, b_class: np.ndarray) -> np.ndarray:
+        """Bits: whether each of ``a`` and each of ``b`` are of a class and overlap by more than is allowed."""
+        a, b = a[:, None, :], b[None, :, :]
+        sides = np.maximum(0.0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]))
+        both = sides[..., 0] * sides[..., 1]
+        area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+        union = area(a) + area(b) - both
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (a_class[:, None] == b_class[None, :]) & (union > 0) & (both / union > self.iou)
+
+    def take(self, boxes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Which of the next boxes stay; one step for each that does."""
+        stay = []
+        for at in range(0, len(boxes), BOXES):
+            if len(self.boxes) >= self.most:
+                break
+            own, kinds = boxes[at : at + BOXES], classes[at : at + BOXES]
+            open_ = ~self._over(own, kinds, self.boxes, self.classes).any(axis=1)
+            pairs, found = self._over(own, kinds, own, kinds), []
+            while len(self.boxes) + len(found) < self.most and open_.any():
+                i = int(open_.argmax())
+                found.append(i)
+                open_ &= ~pairs[i]
+                open_[: i + 1] = False
+            self.boxes, self.classes = np.concatenate([self.boxes, own[found]]), np.concatenate([self.classes, kinds[found]])
+            stay += [at + i for i in found]
+        return np.array(stay, np.int64)
 
-    def step(kept: list[tuple], row: Row) -> tuple[list[tuple], list[tuple]]:
-        box = (row["x1"], row["y1"], row["x2"], row["y2"])
-        if len(kept) >= max_det or any(c == row["cls"] and _iou(box, other) > iou for c, other in kept):
-            return kept, []
-        kept.append((row["cls"], box))
-        return kept, [(row[tie], row["cls"], row["conf"])]
 
-    rows = df.withColumn("__down", -F.col("conf"))
-    return replay(rows, step, f"{tie} long, cls int, conf double", start=list, stream=frame, order=("__down", tie))
+def suppress(df: DataFrame, iou: float, max_det: int = 300, *, frame: str = "frame_id", tie: str = "cand_ix") -> DataFrame:
+    """Boxes kept by greedy suppression within a class: best first, none overlaps a kept one by more than ``iou``.
 
+    A frame's boxes are run through in blocks, each against what is kept and, by a matrix of bits, against itself.
+    """
+    out = T.StructType([df.schema[frame], *T.StructType.fromDDL(f"`{tie}` long, cls int, conf double").fields])
+    kinds = to_arrow_schema(out)
 
-def _iou(a: tuple, b: tuple) -> float:
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    both = w * h
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-    return both / union if union > 0 else 0.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(frame)
+            code = np.asarray(ids.dictionary_encode(null_encoding="encode").indices)
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+            boxes = np.column_stack([np.asarray(batch.column(c).cast(pa.float64()).fill_null(float("nan"))) for c in ("x1", "y1", "x2", "y2")])
+            classes = np.asarray(batch.column("cls").cast(pa.int64()).fill_null(-1))
+            stay = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                one = ids[a].as_py()
+                if kept is None or one != now:
+                    now, kept = one, _Frame(iou, max_det)
+                stay.append(a + kept.take(boxes[a:b], classes[a:b]))
+            rows = batch.take(pa.array(np.concatenate(stay)))
+            yield pa.RecordBatch.from_arrays([rows.column(f.name).cast(f.type) for f in kinds], schema=kinds)
+
+    corner = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    rows = df.select(frame, F.col(tie).cast("long").alias(tie), F.col("cls").cast("int").alias("cls"), F.col("conf").cast("double").alias("conf"), *corner)
+    rows = rows.withColumn("__down", -F.col("conf")).repartition(frame).sortWithinPartitions(frame, "__down", tie)
+    return rows.mapInArrow(run, out)
 
 
 def restore(x: Column, offset: Column | float, ratio: Column | float, limit: Column | float) -> Column:

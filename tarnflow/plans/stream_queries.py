@@ -510,19 +510,26 @@ def run_once_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.run_once_many(event_stream(spark, sf_dir), parts, "part").select("stream_id", "seq", "part")
 
 
-@query(
-    "tap_skip_if_busy",
-    """WITH RECURSIVE {ev}, r AS (
+_TAP = """WITH RECURSIVE {ev}, r AS (
          SELECT stream_id, seq, true AS taken, at_us + service_us AS free FROM ev WHERE seq = 0
          UNION ALL
          SELECT e.stream_id, e.seq, e.at_us >= r.free, CASE WHEN e.at_us >= r.free THEN e.at_us + e.service_us ELSE r.free END
          FROM r JOIN ev e ON e.stream_id = r.stream_id AND e.seq = r.seq + 1)
-       SELECT stream_id, seq, taken FROM r""",
-)
+       SELECT stream_id, seq, taken FROM r"""
+
+
+@query("tap_skip_if_busy", _TAP)
 def tap_skip_if_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(event_stream(spark, sf_dir), replay.busy_skip, "seq long, taken boolean", start=lambda: None)
 
 
+@query("tap_skip_in_runs", _TAP)
+def tap_skip_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the parts of a stream between idle gaps."""
+    rows = event_stream(spark, sf_dir)
+    return replay.replay_runs(rows, replay.busy_skip, "seq long, taken boolean", F.col("at_us") + F.col("service_us"), start=lambda: None, slices="slice")
+
+
 @query(
     "deadline_async",
     """WITH RECURSIVE {ev}, p AS (SELECT *, event_type = 'error' AS failed,

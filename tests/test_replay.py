@@ -128,3 +128,26 @@ def test_long_stream_spans_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r.seq for r in out if r.taken) == [i for i in range(100) if i // 2 % 2 == 0]
+
+
+def test_runs_between_idle_gaps_equal_the_whole_stream(spark):
+    rng = random.Random(9)
+    rows, at = [], 0
+    for i in range(3000):
+        at += rng.choice([1, 2, 5, 40])
+        rows.append((rng.choice([None, 1, 1, 1]), i, at, rng.randrange(0, 30), rng.random() < 0.2, None))
+    df = spark.createDataFrame(rows, "stream_id long, seq long, at_us long, service_us long, failed boolean, x long").repartition(3)
+    cases = [
+        (replay.busy_skip, "seq long, taken boolean", F.col("at_us") + F.col("service_us"), lambda: None),
+        (replay.back_off(25), "seq long, outcome string", F.when(F.col("failed"), F.col("at_us") + 25).otherwise(F.col("at_us")), lambda: (None, False)),
+    ]
+    for step, schema, ends, start in cases:
+        whole = replay.replay(df, step, schema, start=start)
+        cut = replay.replay_runs(df, step, schema, ends, start=start, slices=None)
+        assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    # the longest part is a small share of the stream
+    busy, longest, length = None, 0, 0
+    for _, _, at, service, _, _ in (r for r in rows if r[0] == 1):
+        length = 1 if busy is None or at >= busy else length + 1
+        busy, longest = max(busy or 0, at + service), max(longest, length)
+    assert longest < len(rows) // 50

@@ -160,3 +160,44 @@ def test_nv12_by_columns_and_arrays(spark):
     df = spark.createDataFrame([(raw.tolist(), 4, 6, 8)], "b array<int>, height int, width int, pitch int")
     got = {(r.y, r.x): (r.r, r.g, r.b) for r in vision.nv12_pixels(df, "b", pitch="pitch").collect()}
     assert len(got) == 24 and all(np.allclose(got[y, x], image[:, y, x]) for y, x in got)
+
+
+def greedy(boxes, iou, most):
+    """Kept boxes by a plain loop; a box is (tie, cls, conf, x1, y1, x2, y2)."""
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[2], b[0])):
+        def over(o, b=b):
+            w, h = (max(0.0, min(b[5 + i], o[5 + i]) - max(b[3 + i], o[3 + i])) for i in (0, 1))
+            union = (b[5] - b[3]) * (b[6] - b[4]) + (o[5] - o[3]) * (o[6] - o[4]) - w * h
+            return b[1] == o[1] and union > 0 and w * h / union > iou
+
+        if len(kept) < most and not any(map(over, kept)):
+            kept.append(b)
+    return sorted(b[0] for b in kept)
+
+
+BOX = "frame_id long, cand_ix long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
+
+
+def some_boxes(n, seed, classes=3, spread=60.0):
+    r = np.random.default_rng(seed)
+    at, size = r.uniform(0, spread, (n, 2)), r.uniform(1, 12, (n, 2))
+    return [(i, int(r.integers(classes)), float(r.integers(50)) / 50, *map(float, at[i]), *map(float, at[i] + size[i])) for i in range(n)]
+
+
+@pytest.mark.parametrize("most,block", [(300, 512), (7, 512), (300, 8)])
+def test_suppression_equals_a_plain_loop(spark, monkeypatch, most, block):
+    monkeypatch.setattr(vision, "BOXES", block)
+    frames = {None: some_boxes(90, 0), **{f: some_boxes(60 + 30 * f, f + 1) for f in range(4)}, 9: [(0, 0, 0.5, 1.0, 1.0, 1.0, 1.0), (1, 0, 0.5, 1.0, 1.0, 1.0, 1.0)]}
+    df = spark.createDataFrame([(f, *b) for f, own in frames.items() for b in own], BOX).repartition(3)
+    got = {}
+    for r in vision.suppress(df, 0.3, most).collect():
+        got.setdefault(r.frame_id, []).append(r.cand_ix)
+    assert {f: sorted(own) for f, own in got.items()} == {f: greedy(own, 0.3, most) for f, own in frames.items()}
+    assert vision.suppress(df.limit(0), 0.3).count() == 0
+
+
+def test_a_frame_of_thirty_thousand_boxes(spark):
+    boxes = some_boxes(30_000, 5, classes=80, spread=600.0)
+    df = spark.createDataFrame([(1, *b) for b in boxes], BOX)
+    assert sorted(r.cand_ix for r in vision.suppress(df, 0.5, 300).collect()) == greedy(boxes, 0.5, 300)
