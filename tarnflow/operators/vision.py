@@ -256,37 +256,101 @@ def chroma_mask(mask: DataFrame, *, frame: str = "frame_id") -> DataFrame:
     return mask.select(frame, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).distinct()
 
 
-def nearest_distances(queries: DataFrame, memory: DataFrame, *, vector: str = "v", distance: str = "distance", block: int = 4096, most: int = 1_000_000) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _nearer(near: np.ndarray, mine: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The least squares of distances so far, and to a block of vectors, by matrix products of 1024 rows."""
+    out, sizes = near.copy(), (part * part).sum(1)
+    for at in range(0, len(mine), 1024):
+        own = mine[at : at + 1024]
+        square = (own * own).sum(1)[:, None] + sizes - 2 * own @ part.T
+        out[at : at + 1024] = np.minimum(out[at : at + 1024], square.min(1))
+    return out
+
+
+def nearest_distances(
+    queries: DataFrame, memory: DataFrame, *, vector: str = "v", distance: str = "distance", block: int = 4096, sent_bytes: int = 64 << 20, held: int = 65_536
+) -> DataFrame:
     """``queries`` with the distance of each vector to the nearest of ``memory``; null without memory.
 
-    The memory is a model: vectors are read once, a block of them at a time, and each is a matrix
-    product with a batch of queries, so neither side is paired in rows.  It is sent to the tasks, so
-    more than ``most`` vectors are refused.
+    Blocks of the memory meet batches of queries in matrix products, so neither side is paired in rows.
+    A memory of up to ``sent_bytes`` is sent to the tasks; a larger one is packed into blocks, and each
+    task holds ``held`` queries and runs through all blocks.  Vectors are of one length.
     """
-    kept = memory.select(F.col(vector).alias("m")).limit(most + 1).toArrow().column("m").combine_chunks()
-    if len(kept) > most:
-        raise ValueError(f"a memory of over {most} vectors")
-    bank = np.asarray(kept.flatten(), np.float64).reshape(len(kept), -1) if len(kept) else None
-    shared = queries.sparkSession.sparkContext.broadcast(bank)
+    n, dim = memory.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
     out = T.StructType([*queries.schema.fields, T.StructField(distance, T.DoubleType())])
+    if 8 * n * dim > sent_bytes:
+        return _nearest_of_blocks(queries, memory, vector, out, block, held)
+    kept = memory.select(F.col(vector).alias("m")).toArrow().column("m").combine_chunks()
+    shared = queries.sparkSession.sparkContext.broadcast(_matrix(kept) if len(kept) else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank = shared.value
         for batch in batches:
             found = pa.nulls(batch.num_rows, pa.float64())
             if bank is not None and batch.num_rows:
-                mine = np.asarray(batch.column(vector).flatten(), np.float64).reshape(batch.num_rows, -1)
+                mine = _matrix(batch.column(vector))
                 near = np.full(len(mine), np.inf)
                 for at in range(0, len(bank), block):
-                    part = bank[at : at + block]
-                    square = (mine * mine).sum(1)[:, None] + (part * part).sum(1) - 2 * mine @ part.T
-                    near = np.minimum(near, square.min(1))
+                    near = _nearer(near, mine, bank[at : at + block])
                 found = pa.array(np.sqrt(np.maximum(near, 0)))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=out.names)
 
     return queries.mapInArrow(run, out)
 
 
+def _nearest_of_blocks(queries: DataFrame, memory: DataFrame, vector: str, out: T.StructType, block: int, held: int) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = _matrix(batch.slice(at, block).column("m"))
+                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([len(part)])], ["__block", "__rows"])
+
+    cells = max(1, -(-queries.count() // held))
+    own = queries.withColumns({"__cell": F.pmod(F.monotonically_increasing_id(), F.lit(cells)), "__kind": F.lit(0)})
+    blocks = memory.select(F.col(vector).alias("m")).mapInArrow(pack, "__block binary, __rows long").withColumn("__kind", F.lit(1))
+    blocks = blocks.withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    both = own.unionByName(blocks, allowMissingColumns=True).repartition(cells, "__cell").sortWithinPartitions("__cell", "__kind")
+    names = queries.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, mine, near = None, [], None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            at = 0
+            for part in waiting:
+                found = pa.array(np.sqrt(np.maximum(near[at : at + part.num_rows], 0)))
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=out.names)
+
+        for batch in batches:
+            key = np.asarray(batch.column("__cell")) * 2 + np.asarray(batch.column("__kind"))
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                cell, kind = divmod(int(key[a]), 2)
+                if cell != now:
+                    if waiting:
+                        yield from done()
+                    now, waiting, mine = cell, [], None
+                part = batch.slice(a, b - a)
+                if kind == 0:
+                    waiting.append(part.select(names))
+                elif waiting:
+                    if mine is None:
+                        mine = np.concatenate([_matrix(w.column(vector)) for w in waiting])
+                        near = np.full(len(mine), np.inf)
+                    for raw, rows in zip(part.column("__block").to_pylist(), part.column("__rows").to_pylist(), strict=True):
+                        near = _nearer(near, mine, np.frombuffer(raw).reshape(rows, -1))
+        if waiting:
+            yield from done()
+
+    return both.mapInArrow(run, out)
+
+
 def nearest_score(queries: DataFrame, memory: DataFrame, *, image: str, patch: str, vector: str = "v", block: int = 4096) -> DataFrame:
     """Per image the largest, over its patches, of the distance to the nearest vector of ``memory``."""
     found = nearest_distances(queries.select(image, vector), memory, vector=vector, block=block)

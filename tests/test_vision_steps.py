@@ -201,3 +201,17 @@ def test_a_frame_of_thirty_thousand_boxes(spark):
     boxes = some_boxes(30_000, 5, classes=80, spread=600.0)
     df = spark.createDataFrame([(1, *b) for b in boxes], BOX)
     assert sorted(r.cand_ix for r in vision.suppress(df, 0.5, 300).collect()) == greedy(boxes, 0.5, 300)
+
+
+@pytest.mark.parametrize("held", [1000, 30])
+def test_nearest_of_a_large_memory(spark, held):
+    r = np.random.default_rng(3)
+    queries, bank = r.normal(size=(100, 5)), r.normal(size=(700, 5))
+    df = spark.createDataFrame([(i % 7, v.tolist()) for i, v in enumerate(queries)], "i long, v array<double>").repartition(3)
+    memory = spark.createDataFrame([(v.tolist(),) for v in bank], "v array<double>")
+    want = sorted((i % 7, round(float(np.sqrt(((bank - q) ** 2).sum(1).min())), 8)) for i, q in enumerate(queries))
+    for options in ({}, {"sent_bytes": 0, "held": held, "block": 64}):
+        got = vision.nearest_distances(df, memory, **options).collect()
+        assert sorted((x.i, round(x.distance, 8)) for x in got) == want
+    assert vision.nearest_distances(df.limit(0), memory, sent_bytes=0).count() == 0
+    assert [x.distance for x in vision.nearest_distances(df.limit(2), memory.limit(0), sent_bytes=0).collect()] == [None, None]
