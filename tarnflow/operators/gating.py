@@ -47,15 +47,14 @@ def monotonic_gate(
     return rows.where(F.col("__at").isNotNull() & ~F.col("__bad") & later).drop("__at", "__top", "__bad", "__run")
 
 
-def keyframe_gate(df: DataFrame, changed: Column, failed: Column, keyframe: Column, *, stream: str = "stream_id", order: str = "seq") -> Column:
-    """Whether a row is decoded: after a change (at its own row) or a failure (at the next one), not
+def keyframe_gate(df: DataFrame, changed: Column, failed: Column, keyframe: Column, *, stream: str = "stream_id", order: str = "seq", slices: str | None = None) -> DataFrame:
+    """Rows that are decoded: after a change (at its own row) or a failure (at the next one), none
     before a keyframe has come."""
-    w = Window.partitionBy(stream).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    reset = F.greatest(F.max(F.when(changed, F.col(order))).over(upto), F.max(F.when(failed, F.col(order) + 1)).over(before))
-    key = F.max(F.when(keyframe, F.col(order))).over(upto)
-    return reset.isNull() | F.coalesce(key >= reset, F.lit(False))
+    how, at = {"keys": (stream,), "order": (order,), "slices": slices}, F.col(order)
+    rows = scan(df, {"__changed": top(F.when(changed, at)), "__key": top(F.when(keyframe, at))}, **how)
+    rows = scan(rows.withColumn("__fails", failed), {"__failed": top(F.when(F.col("__fails"), at + 1))}, **how, own=False)
+    reset = F.greatest("__changed", "__failed")
+    return rows.where(reset.isNull() | F.coalesce(F.col("__key") >= reset, F.lit(False))).drop("__changed", "__key", "__fails", "__failed")
 
 
 def carry_forward(df: DataFrame, name: str, value: Column, sets: Column, clears: Column, *, keys: tuple[str, ...], order: str = "seq", slices: str | None = None) -> DataFrame:

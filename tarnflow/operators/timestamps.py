@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.scan import numbered
+from tarnflow.operators.scan import count, first, numbered, scan
 
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column | int, to_den: Column | int) -> Column:
@@ -28,10 +28,11 @@ def rescale(pts: Column, num: Column, den: Column, to_num: Column | int, to_den:
     return F.when(known, (whole + F.when(up, 1).otherwise(0)).try_cast("long"))
 
 
-def session_base(num: Column, den: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> Column:
-    """The base (num, den) of a session: that of its first packet whose base is positive."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.first(F.when((num > 0) & (den > 0), F.struct(num.alias("num"), den.alias("den"))), ignorenulls=True).over(w)
+def session_base(df: DataFrame, name: str, num: Column, den: Column, *, keys: tuple[str, ...] = ("stream_id",), order: str = "seq", slices: str | None = None) -> DataFrame:
+    """``df`` with the base (num, den) of a session: that of its first packet whose base is positive."""
+    base = first(F.struct(num.alias("num"), den.alias("den")), F.coalesce((num > 0) & (den > 0), F.lit(False)))
+    rows = scan(df, {"__base": base}, keys=keys, order=(order,), slices=slices)
+    return rows.withColumn(name, F.col("__base.v")).drop("__base")
 
 
 def fill_dts(dts: Column, pts: Column) -> Column:
@@ -66,7 +67,6 @@ def preserve(frames: DataFrame, packets: DataFrame, valid: Column, *, keys: tupl
     return left.join(right, [*keys, "__n"]).drop("__n")
 
 
-def failures(failed: Column, *, stream: str = "stream_id", order: str = "seq") -> Column:
-    """How often the codec has failed up to a row, and at it."""
-    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.count(F.when(failed, 1)).over(w)
+def failures(df: DataFrame, name: str, failed: Column, *, stream: str = "stream_id", order: str = "seq", slices: str | None = None) -> DataFrame:
+    """``df`` with how often the codec has failed up to a row, and at it."""
+    return scan(df, {name: count(failed)}, keys=(stream,), order=(order,), slices=slices)

@@ -257,8 +257,7 @@ def decode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyframe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir)
-    kept = gating.keyframe_gate(rows, IS("purchase"), IS("error"), IS("signup"))
-    return rows.withColumn("kept", kept).where("kept").select("stream_id", "seq")
+    return gating.keyframe_gate(rows, IS("purchase"), IS("error"), IS("signup"), slices="slice").select("stream_id", "seq")
 
 
 @query(
@@ -268,7 +267,7 @@ def keyframe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pts_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     den = F.col("k") % 4 * 1000
-    rows = event_stream(spark, sf_dir).withColumn("base", timestamps.session_base(F.lit(1), den))
+    rows = timestamps.session_base(event_stream(spark, sf_dir), "base", F.lit(1), den, slices="slice")
     pts = timestamps.rescale(F.col("k"), F.lit(1), den, F.col("base.num"), F.col("base.den"))
     return rows.select("stream_id", "seq", pts.alias("pts"))
 
@@ -397,7 +396,7 @@ def generated_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT f.stream_id, f.seq, f.pts, p.event_id FROM f JOIN p USING (stream_id, lost, n)""",
 )
 def preserved_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_stream(spark, sf_dir).withColumn("lost", timestamps.failures(IS("error")))
+    rows = timestamps.failures(event_stream(spark, sf_dir), "lost", IS("error"), slices="slice")
     pts = F.when(~IS("error"), F.col("k"))
     valid = timestamps.valid_time(pts, F.lit(1), F.col("k") % 5, F.lit(None).cast("long"))
     frames = rows.select("stream_id", "lost", "seq", F.col("k").alias("pts"), valid.alias("valid"))

@@ -68,6 +68,7 @@ def test_one_stream_of_all_rows_is_in_no_task(spark):
             "gate": gating.monotonic_gate(df, F.col("seq"), slices="slice"),
             "resets": gating.monotonic_gate(df, F.col("seq"), resets=F.col("v") < 0, slices="slice"),
             "carry": gating.carry_forward(df, "c", F.col("v"), F.col("v") % 7 == 0, F.col("v") % 11 == 0, keys=("stream_id",), slices="slice"),
+            "keyframes": gating.keyframe_gate(df, F.col("v") % 50 == 0, F.col("v") % 31 == 0, F.col("v") % 3 > 0, slices="slice"),
             "counters": metrics.counters(df, F.col("v"), slices="slice"),
             "trailing": metrics.trailing_average(df, "m", F.col("v"), 10_000, width_us=250_000),
         }
