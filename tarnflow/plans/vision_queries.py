@@ -251,7 +251,7 @@ def merge_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("context_cleanup", "WITH {ev} SELECT stream_id, seq, event_type, CASE WHEN event_type <> 'error' THEN k END AS model_output FROM ev")
 def context_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_stream(spark, sf_dir).withColumns({"model_input": F.col("k"), "image_transform": F.col("value"), "inference_profile": F.lit(1), "model_output": F.col("k")})
+    rows = event_stream(spark, sf_dir).drop("slice").withColumns({"model_input": F.col("k"), "image_transform": F.col("value"), "inference_profile": F.lit(1), "model_output": F.col("k")})
     left = [c for c in rows.columns if c not in ("event_id", "at_us", "value", "k", "service_us")]
     return recovery.cleaned(rows.select(*left), IS("error"))
 
