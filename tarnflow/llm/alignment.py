@@ -44,7 +44,7 @@ class _Tokenizer:
         """Ids of a text that begins with a line feed, without those of the line feed."""
         raise NotImplementedError
 
-    def tokens(self, pieces: list[bytes], joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, pieces: list[bytes], size: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has.
 
         Pieces that may be joined are handed over many at once, with a line feed, a token of its own on
@@ -52,14 +52,13 @@ class _Tokenizer:
         """
         ids, counts = [np.zeros(0, np.int64)], np.zeros(len(pieces), np.int64)
         together = np.flatnonzero(joins)
-        sizes = np.array([len(pieces[i]) for i in together.tolist()], np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // self.handed)) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[together]) // self.handed)) + 1
         alone, order = np.flatnonzero(~joins).tolist(), []
         for own in np.split(together, cuts) if len(together) else []:
             part = [pieces[i] for i in own.tolist()]
             found = np.array(self.encode(b"\n".join([b"", *part, b""]).decode("utf-8", "replace")), np.int64)
             ends = np.cumsum(self.sizes[found])
-            want = np.cumsum([len(p) + 1 for p in part])
+            want = np.cumsum(size[own] + 1)
             last = np.searchsorted(ends, want)
             # the line feed after each piece is one token, and so is what stands before it the piece's
             if ends[-1] != want[-1] or (ends[last] != want).any() or (self.sizes[found[last]] != 1).any():
@@ -187,17 +186,19 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Aligned:
     """Distinct pieces of text with their tokens of both sides, groups and links, as flat arrays."""
 
-    def __init__(self, pieces: list[bytes], a: _Tokenizer, b: _Tokenizer) -> None:
-        n = len(pieces)
+    def __init__(self, given: pa.Array, a: _Tokenizer, b: _Tokenizer) -> None:
+        """``given`` is of large binary values and begins with its buffer."""
+        n, pieces = len(given), given.to_pylist()
         sides, self.good = [], np.ones(n, bool)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        joins = _may_join(pieces, sizes)
+        sizes = np.diff(np.frombuffer(given.buffers()[1], np.int64)[: n + 1])
+        data = np.frombuffer(given.buffers()[2], np.uint8)[: int(sizes.sum())]
+        joins = _may_join(data, sizes)
         for side in (a, b):
-            ids, count = side.tokens(pieces, joins)
+            ids, count = side.tokens(pieces, sizes, joins)
             owner = np.repeat(np.arange(n), count)
             whole = np.bincount(owner, side.sizes[ids], n).astype(np.int64) == sizes
             # bytes are compared where there are as many
-            same = side.bytes_of(ids[whole[owner]]) == np.frombuffer(b"".join(p for p, w in zip(pieces, whole.tolist(), strict=True) if w), np.uint8)
+            same = side.bytes_of(ids[whole[owner]]) == data[np.repeat(whole, sizes)]
             wrong = np.bincount(np.repeat(np.flatnonzero(whole), sizes[whole])[~same], minlength=n) > 0
             self.good &= whole & ~wrong
             sides.append((ids, owner, count))
@@ -251,10 +252,10 @@ class Aligned:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), both), pa.scalar(";", pa.large_string()))
 
 
-def _may_join(pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def _may_join(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pieces that begin with a space and something that is no white space, and end with such: a line feed
     before and after them changes nothing.  Of characters beyond ASCII, none of those among which white space is."""
-    data = np.frombuffer(b"".join([b"\0\0", *pieces, b"\0\0"]), np.uint8)
+    data = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)])
     start = np.cumsum(sizes) - sizes + 2
     second, last, before, third = data[start + 1], data[start + sizes - 1], data[start + sizes - 2], data[start + sizes - 3]
     shows = lambda c: (c > 0x20) & (c != 0x7F)
@@ -279,7 +280,7 @@ class Read:
         starts = np.flatnonzero(begins)
         offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        self.pieces = Aligned(cut.dictionary.to_pylist(), a, b)
+        self.pieces = Aligned(cut.dictionary, a, b)
         place = cut.indices.to_numpy()
         sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
         owner = np.repeat(np.arange(len(full)), sizes)

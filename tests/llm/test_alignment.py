@@ -132,7 +132,7 @@ def test_pieces_one_by_one_and_together(monkeypatch):
     monkeypatch.setattr(alignment.ByteLevel, "handed", 40)
     monkeypatch.setattr(alignment.Pieces, "handed", 30)
     assert read(texts, A, B).numbers() == want
-    monkeypatch.setattr(alignment, "_may_join", lambda pieces, sizes: np.zeros(len(pieces), bool))
+    monkeypatch.setattr(alignment, "_may_join", lambda data, sizes: np.zeros(len(sizes), bool))
     assert read(texts, A, B).numbers() == want
 
 
