@@ -63,11 +63,25 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def meet(rows: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
-    """``rows`` joined to a narrow table: it is sent to the tasks up to ``most`` rows (some 16 MB), else both are shuffled."""
+#: Rows of a narrow table that are sent to the tasks at most, some 16 MB.
+FEW = 200_000
+
+
+def meet(rows: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner", most: int = FEW) -> DataFrame:
+    """``rows`` joined to a narrow table: it is sent to the tasks up to ``most`` rows, else both are shuffled."""
     return rows.join(wanted.hint("broadcast" if wanted.count() <= most else "merge"), on, how)
 
 
+def meet_few(rows: DataFrame, wanted: DataFrame, bound: int, on: list[str]) -> DataFrame:
+    """``rows`` joined to a narrow table of ``bound`` rows at most: few are sent to the tasks, more are left to Spark."""
+    return rows.join(wanted.hint("broadcast") if bound <= FEW else wanted, on)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark drops broadcasts and shuffle files of tables that are gone only when the driver collects its garbage: now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables given by ``written`` whose readers are done; others are left alone."""
     for df in tables:

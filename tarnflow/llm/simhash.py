@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import NULL_ID, forget, fresh, meet, small_batches, written
+from tarnflow.llm.shared import NULL_ID, forget, fresh, meet, release, small_batches, written
 from tarnflow.llm.shingles import NEAR, OF, SEED, key_members, may_be_near, may_fit, packed_texts, similar, with_keys
 from tarnflow.llm.words import SPACES_LOWER, batches_of, column_bytes
 
@@ -178,9 +178,8 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
     return same.union(linked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
-def _with_roots(rows: DataFrame, ends: tuple[str, ...], found: DataFrame) -> DataFrame:
+def _with_roots(rows: DataFrame, ends: tuple[str, ...], roots: DataFrame) -> DataFrame:
     """``rows`` with the component of each id in ``ends``, as ``<end>_root``."""
-    roots = components(found)
     for end in ends:
         root = roots.select(F.col("a").alias(end), F.col("b").alias("to"))
         rows = rows.join(root, end, "left").withColumn(f"{end}_root", F.coalesce("to", end)).drop("to")
@@ -188,7 +187,7 @@ def _with_roots(rows: DataFrame, ends: tuple[str, ...], found: DataFrame) -> Dat
 
 
 def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (``a``, ``b``) that join all ids of near sets; ``members`` has ``key``, ``id``, ``n`` and ``lead``,
+    """``components`` of the links between all ids of near sets; ``members`` has ``key``, ``id``, ``n`` and ``lead``,
     ``sketches`` each id's, ``first`` pairs to begin with.
 
     In a round, the members of a key are compared with a few of them, others in each round, and a few of an
@@ -196,7 +195,9 @@ def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify
     that finds few near pairs, all pairs of different components left under the keys are compared: first one
     for each id, then those of ids still apart.  Of a pair the smaller set must lead under the key.
     ``possible`` leaves out pairs that sizes and sketches rule out, ``verify`` those that are not near.
+    Components are carried on: each round's near pairs are added to the stars of those before.
     """
+    spark = members.sparkSession
     fits = F.least("n", "b_n") * OF >= F.greatest("n", "b_n") * NEAR
     found, rest = None, members.withColumn("id_root", F.col("id"))
     for turn in range(ROUNDS):
@@ -209,15 +210,18 @@ def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify
         star = star.select("a", F.explode(F.slice("s", 1, STARS)).alias("s")).select("a", "s.b")
         star = written(star if turn else star.union(first.select("a", "b")), "star")
         tried, near = star.count(), verify(star)
-        found = near if found is None else found.union(near)
+        before, found = found, components(near if found is None else found.union(near))
+        good = near.count() >= GOOD * tried
+        forget(star, near, *([] if before is None else [before]))
         moved = written(_with_roots(rest.drop("id_root"), ("id",), found), "moved")
         open_ = moved.groupBy("key").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).where("x != y").select("key")
         forget(rest)
         rest = written(moved.join(open_, "key"), "rest")
         forget(moved)
+        release(spark)
         if rest.isEmpty():
             return found
-        if near.count() < GOOD * tried:
+        if not good:
             break
     rest = written(rest.join(sketches, "id"), "rest")
     other = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "id_root", "sketch")])
@@ -228,9 +232,13 @@ def near_links(members: DataFrame, sketches: DataFrame, first: DataFrame, verify
     met = rest.join(other, "key").where(smaller & (F.col("id_root") != F.col("b_id_root")) & fits)
     pairs = written(met.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-    found = found.union(verify(one))
+    if one.isEmpty():
+        return found
+    found = components(found.union(verify(one)))
+    release(spark)
     apart = _with_roots(pairs.join(one, ["a", "b"], "left_anti"), ("a", "b"), found).where(F.col("a_root") != F.col("b_root"))
-    return found.union(verify(apart.select("a", "b")))
+    apart = written(apart.select("a", "b"), "apart")
+    return found if apart.isEmpty() else components(found.union(verify(apart)))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
@@ -278,12 +286,13 @@ def _goes(narrow: DataFrame, shingle: int) -> tuple[DataFrame, bool]:
     members = key_members(prints)
     places = written(prints.select("k", "t", "id"), "places")
     forget(prints)
-    first = possible(_fingerprint_pairs(sets))
-    found = components(near_links(members, sets.select("id", "sketch"), first, verify, possible)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    first = written(possible(_fingerprint_pairs(sets)), "first")
+    release(narrow.sparkSession)
+    found = near_links(members, sets.select("id", "sketch"), first, verify, possible).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = written(places.join(found, "id", "left").select("k", "t", F.coalesce("root", "id").alias("root")), "roots")
     stays = rooted.groupBy("root").agg(F.min(F.struct("k", "t")).alias("stay"))
     goes = rooted.join(stays, "root").where((F.col("k") != F.col("stay.k")) | (F.col("t") != F.col("stay.t")))
     goes = written(goes.select("k", "t").distinct(), "goes")
     twice = not places.groupBy("k", "t").count().where("count > 1").isEmpty()
-    forget(sets, members, places, rooted)
+    forget(sets, members, places, rooted, first)
     return goes, twice
